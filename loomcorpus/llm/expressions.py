@@ -32,11 +32,11 @@ def gapless(df: DataFrame, group: list[str], order: list[str], out: str, buckets
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
     )
     rank = F.row_number().over(Window.partitionBy(*group, part).orderBy(*order))
-    numbered = df.withColumn("_rank", rank)
+    numbered = df.withColumn("_nth", rank)
     same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*group, part])]
     joined = numbered.join(starts, on=same, how="left")
-    return joined.withColumn(out, (F.col("_start") + F.col("_rank") - 1).cast("long")).drop(
-        part, "_rank", "_start", *[f"_k{i}" for i in range(len(group) + 1)]
+    return joined.withColumn(out, (F.col("_start") + F.col("_nth") - 1).cast("long")).drop(
+        part, "_nth", "_start", *[f"_k{i}" for i in range(len(group) + 1)]
     )
 
 
