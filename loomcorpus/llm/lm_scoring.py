@@ -21,7 +21,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,19 +104,26 @@ def pairs_of(tokens, lengths, start, names, parts):
 
 
 def _blocks(it: Iterator[pa.RecordBatch], parts: int) -> Iterator[tuple[int, Block]]:
-    partition = TaskContext.get().partitionId()
+    """Blocks of a partition's rows in order, each named by a hash of what it holds."""
+
+    def closed(held: list[tuple[object, np.ndarray]]) -> tuple[int, Block]:
+        name = xxhash.xxh64(repr([i for i, _ in held]).encode())
+        for _, h in held:
+            name.update(h.tobytes())
+        return name.intdigest() >> 1, Block(held, parts)
+
     held: list[tuple[object, np.ndarray]] = []
-    tokens = number = 0
+    tokens = 0
     for b in it:
         for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
             h = np.append(hashed(words(text)), _END)
             held.append((i, h))
             tokens += len(h)
             if tokens >= BLOCK_TOKENS:
-                yield (partition << 24) + number, Block(held, parts)
-                held, tokens, number = [], 0, number + 1
+                yield closed(held)
+                held, tokens = [], 0
     if held:
-        yield (partition << 24) + number, Block(held, parts)
+        yield closed(held)
 
 
 def _requests(docs: DataFrame, parts: int) -> DataFrame:
@@ -204,13 +210,14 @@ def _meet(parts: int):
         if pdf["block"].iloc[0] == -1:
             out = [empty | {"block": -1, "v": int(pdf["v"].sum()), "n": int(pdf["n"].sum())}]
             return pd.DataFrame(out)[[c.split()[0] for c in _MET.split(", ")]]
-        own = pdf[pdf["ngram"] == 0].iloc[0]
+        sequences = pdf[pdf["ngram"] == 0]  # blocks that hold the same share their answers
+        own = sequences.iloc[0]
         tokens, names, start = unplanes(own["c"], np.int32), unplanes(own["names"], np.uint64), int(own["v"])
         docs = pa.ipc.open_stream(own["ids"]).read_all()
         lengths = docs["n"].to_numpy()
         hashes, pair, before = pairs_of(tokens, lengths, start, names, parts)
         got = {}
-        for order, rows in pdf[pdf["ngram"] > 0].sort_values("part").groupby("ngram"):
+        for order, rows in pdf[pdf["ngram"] > 0].drop_duplicates(["ngram", "part"]).sort_values("part").groupby("ngram"):
             got[order] = [np.concatenate([unplanes(x, np.int64) for x in rows[c]]) for c in ("c", "h")]
         (c1, h1), (c2, h2) = got[1], got[2]
         if len(c1) != len(names) or len(c2) != len(hashes):
@@ -226,7 +233,7 @@ def _meet(parts: int):
             rows, weight = np.unique(rows, axis=0, return_counts=True)
             out += [empty | {"block": -2, "bucket": a, "q2": b, "qu": c, "q1": d, "weight": n}
                     for (a, b, c, d), n in zip(rows.tolist(), weight.tolist())]
-        return pd.DataFrame(out)[[c.split()[0] for c in _MET.split(", ")]]
+        return pd.DataFrame(out * len(sequences))[[c.split()[0] for c in _MET.split(", ")]]
 
     return run
 
