@@ -282,7 +282,7 @@ def class_links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataF
     held = own.select("text", "_cls", "block").mapInArrow(sets, "block long, cls long, set binary")
     sizes = members.groupBy("block").agg(F.sum("size").alias("shingles"), F.min("cls").alias("pivot"))
     sizes = materialize(
-        sizes.select(F.col("block").alias("_block"), "pivot", F.ceil(F.col("shingles") / CELL).cast("int").alias("cells"),
+        sizes.select(F.col("block").alias("_block"), "pivot", F.ceil(F.col("shingles") / CELL).cast("long").alias("cells"),
                      "shingles"),
         "join-blocks",
     )
@@ -304,9 +304,9 @@ def class_links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataF
     def multiplied(probes: DataFrame) -> DataFrame:
         to_rows = wide.join(probes.select(F.col("block").alias("_b"), "of").distinct(), F.col("block") == F.col("_b"))
         rows_in = to_rows.select("block", "cell", "of", "cls", "set", F.lit(False).alias("probe"))
-        all_cells = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
-        probes_in = probes.select("block", all_cells.cast("long").alias("cell"), "of", "cls", "set", F.lit(True).alias("probe"))
-        both = rows_in.withColumn("cell", F.col("cell").cast("long")).unionByName(probes_in)
+        all_cells = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
+        probes_in = probes.select("block", all_cells.alias("cell"), "of", "cls", "set", F.lit(True).alias("probe"))
+        both = rows_in.unionByName(probes_in)
         return both.groupBy("block", "cell", "of").applyInPandas(_cell_edges(percent), _EDGES)
 
     pivots = wide.filter(F.col("cls") == F.col("pivot")).withColumn("of", F.lit(0).cast("long"))
