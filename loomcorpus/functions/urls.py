@@ -8,6 +8,7 @@ from collections.abc import Iterable, Mapping
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Query keys that never identify a page.
 TRACKING_KEYS = ("from", "source", "spm", "timestamp", "share_code", "share_from")
@@ -136,7 +137,7 @@ def stable_id(prefix: str, value: Column, length: int = 20) -> Column:
     return F.concat(F.lit(f"{prefix}_"), F.substring(content_hash(value), 1, length))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility normal form; Spark has no function for it."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))

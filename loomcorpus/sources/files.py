@@ -48,7 +48,7 @@ _TIME = r"(\d{1,2}:\d{2}(?::\d{2})?[.,]\d{1,3})"
 def subtitle_scan(spark: SparkSession, path: str) -> DataFrame:
     """(file, position, start_seconds, end_seconds, content) of SRT and VTT files: blocks between
     blank lines that hold a time range."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     blocks = files.select("file", F.posexplode(F.split(F.replace("value", F.lit("\r"), F.lit("")), r"\n\s*\n")).alias("position", "b"))
     pattern = rf"{_TIME}\s*-->\s*{_TIME}[^\n]*\n([\s\S]*)"
     at = lambda i: F.regexp_extract("b", pattern, i)
