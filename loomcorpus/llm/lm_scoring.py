@@ -35,13 +35,15 @@ _ITERATIONS = 40
 
 
 def planes(a: np.ndarray) -> bytes:
-    """Bytes of an array, all lowest ones first, which lets codecs see runs of zeros."""
-    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+    """An array, compressed with the lowest bytes of all its numbers first, then the next."""
+    raw = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unplanes(b: bytes, kind: type) -> np.ndarray:
+    raw = pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True)
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
 def remainder(doc_id) -> int:
@@ -157,10 +159,11 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
             each = np.concatenate([unplanes(x, np.uint32) for x in rows[c]])
             total.append(np.bincount(inverse, weights=each, minlength=len(names)).astype(np.int64))
         at = 0
-        for block, part, h in zip(rows["block"], rows["part"], hashes):
-            mine = inverse[at : at + len(h)]
-            at += len(h)
-            out.append((block, order, part, planes(total[0][mine]), planes(total[1][mine]), None, None, 0, 0))
+        for block, part, own in zip(rows["block"], rows["part"], rows["h"]):
+            own = unplanes(own, np.uint32) > 0  # only a block's deleted texts ask for deleted counts
+            mine = inverse[at : at + len(own)]
+            at += len(own)
+            out.append((block, order, part, planes(total[0][mine]), planes(total[1][mine][own]), None, None, 0, 0))
         if order == 1:
             known = (total[0] > 0) & (names != _START)
             out.append((-1, 0, int(rows["part"].iloc[0]), None, None, None, None, int(known.sum()), int(total[0][known].sum())))
@@ -194,8 +197,8 @@ def octave(c: np.ndarray) -> np.ndarray:
 
 
 def _grid(c: np.ndarray) -> np.ndarray:
-    """Counts by eighths of an octave, -1 for none: only weights are learned from these."""
-    return np.where(c > 0, np.rint(8 * np.log2(np.maximum(c, 1))), -1).astype(np.int64)
+    """Counts by halves of an octave, -1 for none: only weights are learned from these."""
+    return np.where(c > 0, np.rint(2 * np.log2(np.maximum(c, 1))), -1).astype(np.int64)
 
 
 _MET = "block long, ids binary, tokens binary, before int, c1 binary, c2 binary, bucket int, q2 int, qu int, q1 int, weight long, v long, n long"
@@ -204,12 +207,15 @@ _MET = "block long, ids binary, tokens binary, before int, c1 binary, c2 binary,
 def _meet(parts: int):
     """Put a block's sequence and answers together: a row to score from, and rows of the deleted
     part's tokens by bucket and gridded counts."""
+    names_out = [c.split()[0] for c in _MET.split(", ")]
+
+    def frame(size: int, **columns) -> pd.DataFrame:
+        blank = dict.fromkeys(("ids", "tokens", "c1", "c2")) | dict.fromkeys(names_out[6:], 0) | {"before": 0}
+        return pd.DataFrame(blank | columns, index=range(size))[names_out]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        empty = {c: None for c in ("ids", "tokens", "c1", "c2")} | dict.fromkeys(("before", "bucket", "q2", "qu", "q1", "weight", "v", "n"), 0)
         if pdf["block"].iloc[0] == -1:
-            out = [empty | {"block": -1, "v": int(pdf["v"].sum()), "n": int(pdf["n"].sum())}]
-            return pd.DataFrame(out)[[c.split()[0] for c in _MET.split(", ")]]
+            return frame(1, block=-1, v=int(pdf["v"].sum()), n=int(pdf["n"].sum()))
         sequences = pdf[pdf["ngram"] == 0]  # blocks that hold the same share their answers
         own = sequences.iloc[0]
         tokens, names, start = unplanes(own["c"], np.int32), unplanes(own["names"], np.uint64), int(own["v"])
@@ -220,28 +226,32 @@ def _meet(parts: int):
         for order, rows in pdf[pdf["ngram"] > 0].drop_duplicates(["ngram", "part"]).sort_values("part").groupby("ngram"):
             got[order] = [np.concatenate([unplanes(x, np.int64) for x in rows[c]]) for c in ("c", "h")]
         (c1, h1), (c2, h2) = got[1], got[2]
-        if len(c1) != len(names) or len(c2) != len(hashes):
-            raise ValueError("the documents changed between two reads; write them to a table first")
-        out = [empty | {"block": int(own["block"]), "ids": own["ids"], "tokens": own["c"], "before": start,
-                        "c1": planes(c1), "c2": planes(c2[pair])}]
         rest = np.array([remainder(i) for i in docs["doc_id"].to_pylist()])
         held = np.repeat(rest == 2, lengths)
+        asked1 = np.bincount(tokens[held], minlength=len(names)) > 0
+        asked1[start] = (rest == 2).any()
+        asked2 = np.bincount(pair[held], minlength=len(hashes)) > 0
+        if [len(c1), len(c2), len(h1), len(h2)] != [len(names), len(hashes), asked1.sum(), asked2.sum()]:
+            raise ValueError("the documents changed between two reads; write them to a table first")
+        out = [frame(1, block=int(own["block"]), ids=own["ids"], tokens=own["c"], before=start, c1=planes(c1), c2=planes(c2[pair]))]
         if held.any():
-            r1, r2 = c1 - h1, c2 - h2
+            r1, r2 = c1.copy(), c2.copy()
+            r1[asked1] -= h1
+            r2[asked2] -= h2
             u, w, p = before[held], tokens[held], pair[held]
-            rows = np.stack([octave(r1[u]), _grid(r2[p]), _grid(r1[u]), _grid(r1[w])], 1)
-            rows, weight = np.unique(rows, axis=0, return_counts=True)
-            out += [empty | {"block": -2, "bucket": a, "q2": b, "qu": c, "q1": d, "weight": n}
-                    for (a, b, c, d), n in zip(rows.tolist(), weight.tolist())]
-        return pd.DataFrame(out * len(sequences))[[c.split()[0] for c in _MET.split(", ")]]
+            rows = np.stack([octave(r1[u]), _grid(r2[p]), _grid(r1[u]), _grid(r1[w])], 1) + 1
+            codes, weight = np.unique(rows @ np.array([1 << 24, 1 << 16, 1 << 8, 1]), return_counts=True)
+            bucket, q2, qu, q1 = ((codes >> s & 255) - 1 for s in (24, 16, 8, 0))
+            out.append(frame(len(codes), block=-2, bucket=bucket, q2=q2, qu=qu, q1=q1, weight=weight))
+        return pd.concat(out * len(sequences), ignore_index=True)
 
     return run
 
 
 def learn(rows: np.ndarray, n: float, v: int) -> np.ndarray:
     """Weights (bigram, unigram, uniform) per bucket from rows (bucket, pair, context and word
-    count by eighths of an octave, weight), by EM; buckets without rows share the weights of all."""
-    known = lambda q: np.where(q >= 0, 2.0 ** (q / 8), 0.0)
+    count by halves of an octave, weight), by EM; buckets without rows share the weights of all."""
+    known = lambda q: np.where(q >= 0, 2.0 ** (q / 2), 0.0)
     bucket, weight = rows[:, 0].astype(int), rows[:, 4].astype(float)
     context = known(rows[:, 2])
     p = np.stack([
@@ -310,7 +320,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     met = materialize(both.groupBy("block").applyInPandas(_meet(parts), _MET), "lm-blocks")
     total = met.filter("block = -1").agg(F.sum("n"), F.sum("v")).first()
     n, v = int(total[0] or 0), int(total[1] or 0)
-    # at most BUCKETS * 200 * 200 * 200 rows by construction, some thousands in practice
+    # at most BUCKETS * 90 * 90 * 90 rows by construction, some thousands in practice
     grid = met.filter("block = -2").groupBy("bucket", "q2", "qu", "q1").agg(F.sum("weight"))
     rows = np.array([tuple(r) for r in grid.collect()], np.float64).reshape(-1, 5)
     kept = n * max(0.0, 1 - rows[:, 4].sum() / max(n, 1))

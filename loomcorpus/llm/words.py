@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words that a worker keeps the hashes of; the table is emptied when full.
-CACHE = 1_000_000
+CACHE = 400_000
 
 
 class _Hashes(dict):
