@@ -202,3 +202,30 @@ def evaluate(ranking: DataFrame, gold: DataFrame, cases: DataFrame, ks: Iterable
         F.when(has, F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6)).alias("reciprocal_rank"),
         F.when(has, F.round(F.coalesce("dcg", F.lit(0.0)) / ideal, 6)).alias("ndcg_5"),
     )
+
+
+def embed(rows: DataFrame, key: str, text: str, encode, dimensions: int) -> DataFrame:
+    """(key, vector) by a caller's ``encode`` of a list of texts, batch by batch in the tasks. A
+    batch with another number of vectors, or one of another size, is an error."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            vectors = encode([t or "" for t in b.column(text).to_pylist()])
+            if len(vectors) != b.num_rows or any(len(v) != dimensions for v in vectors):
+                raise ValueError("the encoder gave other vectors than it was asked for")
+            out = pa.array([[float(x) for x in v] for v in vectors], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column(key), out], [key, "vector"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, text).mapInArrow(run, f"{key} {kind}, vector array<double>")
+
+
+#: Rankers by name: functions of (queries, chunks, terms, k) to a ranking.
+RANKERS = {"bm25": bm25, "hashed": hashed_rank}
+
+
+def rank_with(name: str, queries: DataFrame, chunks: DataFrame, terms, k: int) -> DataFrame:
+    """The ranking of a registered ranker; callers may add their own to RANKERS."""
+    if name not in RANKERS:
+        raise ValueError(f"no ranker is named {name}: {sorted(RANKERS)}")
+    return RANKERS[name](queries, chunks, terms, k)

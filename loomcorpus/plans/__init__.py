@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, conversation, corpus, retrieve, scalars, state, streams
+from . import chunks, conversation, corpus, retrieve, scalars, state, storage, streams
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "chunks", "conversation", "corpus", "retrieve", "scalars", "state", "streams"]
+__all__ = ["ORACLES", "QUERIES", "chunks", "conversation", "corpus", "retrieve", "scalars", "state", "storage", "streams"]

@@ -48,6 +48,7 @@ def stream_dedup(docs: DataFrame, text: Column, event_time: str | None = None, d
 
 def daily(events: DataFrame, time: str, key: str, delay: str = "1 hour") -> DataFrame:
     """Events and their sum per key and day (UTC); a day is closed when the delay has passed."""
+    events = events.withColumn(time, F.col(time).cast("timestamp"))
     late = events.withWatermark(time, delay) if events.isStreaming else events
     g = late.groupBy(F.window(time, "1 day").alias("_w"), key).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
     return g.select(F.to_date(F.col("_w.start")).alias("day"), key, "n", "total")
