@@ -30,7 +30,9 @@ from .scratch import materialize
 from .words import folded, mixed, shingles, signed
 
 #: Shingles that one cell of a large block holds, about.
-CELL = 2_000_000
+CELL = 500_000
+#: Shingles of small blocks that one task multiplies, about.
+BIN = 50_000
 _LARGEST = 1 << 40
 
 
@@ -262,7 +264,8 @@ def class_links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataF
         "join-members",
     )
     # the sets of one document of each class that shares its block
-    wanted = members.select("_id", F.col("cls").alias("_cls"), "block")
+    # the same plan at every size: members are a share of all documents, so they outgrow a broadcast
+    wanted = members.select("_id", F.col("cls").alias("_cls"), "block").hint("shuffle_hash")
     own = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
 
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +296,7 @@ def class_links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataF
     large = total[1] > 1
     if large:
         held = materialize(held, "join-sets")
-    bins = max(1, -(-int(total[0]) // (CELL // 4)))
+    bins = max(1, -(-int(total[0]) // BIN))
     small = held.filter("cells = 1").withColumn("bin", F.pmod(F.xxhash64("block"), F.lit(bins)))
     edges = small.select("bin", "block", "cls", "set").groupBy("bin").applyInPandas(_block_edges(percent), _EDGES)
     edges = materialize(edges, "join-links")
