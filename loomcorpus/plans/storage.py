@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import retrieval as r
 from ..sources import files
 from ..sources.html import extract_sections
+from ..sources.shared import place
 from .registry import query, table
 
 
-def place(spark, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loom-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT doc_id, lang, md5(text) AS digest FROM documents")
 def s1_read_jsonl_strict(spark, d):
     at = place(spark, "jsonl")

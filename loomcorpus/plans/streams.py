@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import place
 from ..streaming import jobs
 from .registry import query, table
 
 
 def drained(spark, df: DataFrame, mode: str = "append") -> DataFrame:
     """The rows of a stream after everything available has been read."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loom-")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = place(spark, "stream")
     if mode == "complete":
 
         def keep(batch: DataFrame, _: int) -> None:
@@ -40,8 +37,7 @@ def x1_stream_engagement(spark, d):
     reply = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     turns = table(spark, d, "conversations").filter("role <> 'system'").withColumn("reply", reply).filter("role = 'user'")
     rows = turns.select(F.col("conv_id").cast("string").alias("key"), F.col("turn").alias("seq"), "text", "reply")
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loom-")
-    at = f"{base.rstrip('/')}/turns-{uuid.uuid4().hex}"
+    at = place(spark, "turns")
     rows.write.parquet(at)
     stream = spark.readStream.schema(rows.schema).parquet(at)
     return drained(spark, jobs.stream_engagement(stream, positive=("tion",), low=("less",), comfort=("the",)))
