@@ -4,7 +4,8 @@ Two documents link when their shingle sets' Jaccard similarity is ``percent`` pe
 Documents with equal sets are one class, joined by the hash of the set. Classes are blocked first.
 For each range of sizes, the space of shingles is cut into more stripes than two linked sets can
 differ in, so linked sets agree on some whole stripe, and classes that agree on a stripe fall into
-one block. Within a block the incidence matrix is multiplied by its transpose, a row at a time:
+one block. Where sets are too small or may differ too much for that, classes whose prefixes meet do,
+in an order of shingles with common ones last. Within a block the incidence matrix is multiplied by its transpose, a row at a time:
 overlaps are summed over the postings of the row's shingles, and pairs whose sizes alone rule out
 a link are discarded.
 
@@ -34,14 +35,19 @@ CELL = 500_000
 #: Shingles of small blocks that one task multiplies, about.
 BIN = 50_000
 _LARGEST = 1 << 40
+#: Documents, by the smallest id hashes, among which common shingles are looked for; how many of
+#: them must have one, and how many are kept at most.
+LOOK, OFTEN, KEPT = 20_000, 8, 200_000
 
 
 class Stripes:
-    """Ranges of set sizes and how each is cut into stripes.
+    """Ranges of set sizes, and how each is cut into stripes if it can be.
 
     Range k takes sizes from bounds[k] to below bounds[k + 1]; a set links only within its range or
     with the next. ``differ[k]`` is the most that a linked pair whose smaller set is in range k can
-    differ by, ``count[k]`` the number of stripes, of which those with ``least[k]`` shingles count.
+    differ by, ``count[k]`` the number of stripes; only stripes of two shingles or more count. It is
+    0 where no number leaves more such stripes than a pair can differ in: small sets, or low
+    similarities. Pairs of those ranges are found by prefixes.
     """
 
     def __init__(self, percent: int):
@@ -50,52 +56,91 @@ class Stripes:
         while self.bounds[-1] < _LARGEST:
             b = self.bounds[-1]
             self.bounds.append(max(b + 1, b * 100 // percent))
-        self.differ, self.count, self.least = [], [], []
+        self.differ, self.count = [], []
         for low, high in zip(self.bounds, self.bounds[1:]):
             small = high - 1
             d = (small + small * 100 // percent) * (100 - percent) // (100 + percent)
-            least = 2 if low >= 64 else 1
-            m = d + 1
-            for _ in range(8):  # spare stripes for those that hold too few shingles
-                mean = low / m
-                few = math.exp(-mean) * sum(mean**i / math.factorial(i) for i in range(least))
-                m = d + 2 + math.ceil(1.2 * m * few + 2 * math.sqrt(m * few))
             self.differ.append(d)
-            self.count.append(m)
-            self.least.append(least)
+            self.count.append(self._stripes(low, d))
+
+    @staticmethod
+    def _stripes(low: int, d: int) -> int:
+        m = d + 2
+        while low >= 64 and m <= 1.5 * d + 8:
+            mean = low / m
+            thin = m * math.exp(-mean) * (1 + mean)
+            if m - thin - 3 * math.sqrt(thin) > d:
+                return m
+            m += 1 + m // 50
+        return 0
 
     def range_of(self, n: int) -> int:
         return int(np.searchsorted(self.bounds, n, "right")) - 1
 
-    def signatures(self, h: np.ndarray) -> np.ndarray:
+    def signatures(self, h: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
         """Hashes of a sorted set's stripes, for its own range and, as the larger of a pair, for
-        the one below. Where too few stripes hold enough, linked sets might agree on those only, so
-        the set adds the hashes of a prefix of its shingles: of two linked sets that both lack
-        stripes, the prefixes meet; if one doesn't, they agree on a stripe."""
+        the one below; and, where a range has no stripes or too few of the set's hold enough, of the
+        shingles of a prefix, for that range only. Of two linked sets whose range has stripes, either one has more
+        good stripes than they differ in, so they agree on one, or both have a prefix; prefixes of
+        linked sets meet.
+
+        Shingles of ``common`` (sorted) are left out of the stripes and come last in the order of
+        prefixes, or every text with a common line would fall into one block. Whatever is left out
+        of both sets of a pair, they differ by no more than before, so no link is lost."""
         own = self.range_of(len(h))
-        spread = mixed(h ^ np.uint64(0xA0761D6478BD642F))
+        rare = ordered = h
+        if common is not None and len(common):
+            often = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+            rare = h[~often]
+            ordered = np.concatenate([rare, h[often]])
+        spread = mixed(rare ^ np.uint64(0xA0761D6478BD642F))
+        prefix = ordered[: len(h) - -(-self.percent * len(h) // 100) + 1]
         out = []
         for k in (own, own - 1):
             if k < 0 or self.differ[k] == 0:
                 continue
-            stripe = (spread >> np.uint64(20)) % np.uint64(self.count[k])
-            order = np.argsort(stripe, kind="stable")
-            present, start, size = np.unique(stripe[order], return_index=True, return_counts=True)
-            sums = np.add.reduceat(mixed(spread[order] + np.uint64(k)), start)
-            enough = size >= self.least[k]
-            salt = np.uint64(2 * k + 1)
-            out.append(mixed((sums ^ (present * np.uint64(0x9E3779B97F4A7C15)))[enough] + salt))
-            if enough.sum() <= self.differ[k]:
-                prefix = len(h) - -(-self.percent * len(h) // 100) + 1
-                out.append(mixed(h[:prefix] ^ np.uint64((2 * k) << 40)))
+            good = 0
+            if self.count[k] and len(spread):
+                stripe = (spread >> np.uint64(20)) % np.uint64(self.count[k])
+                order = np.argsort(stripe, kind="stable")
+                present, start, size = np.unique(stripe[order], return_index=True, return_counts=True)
+                sums = np.add.reduceat(mixed(spread[order] + np.uint64(k)), start)
+                enough = size >= 2
+                out.append(mixed((sums ^ (present * np.uint64(0x9E3779B97F4A7C15)))[enough] + np.uint64(2 * k + 1)))
+                good = int(enough.sum())
+            if good <= self.differ[k]:
+                out.append(mixed(prefix ^ np.uint64(2 * k << 40)))
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
+    """Shingles that many of about LOOK documents have, sorted; at most KEPT. They only guide the
+    blocking: any list is right, so a sample of a stated size will do at every size of the corpus."""
+    total = docs.count()
+    below = int(min(1.0, LOOK / max(total, 1)) * (1 << 64)) - (1 << 63) - 1
+    order = F.xxhash64(F.lit("common"), "doc_id")
+    sample = docs.select("text", order.alias("_o")).filter(F.col("_o") <= below).select("text")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            sets = [shingles(t, n) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            if sets:
+                h, c = np.unique(np.concatenate(sets), return_counts=True)
+                # what one batch has once is rarely common, and is most of what there is
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h)[c > 1]), pa.array(c[c > 1])], ["h", "c"])
+
+    counts = sample.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= OFTEN)
+    rows = counts.orderBy(F.col("c").desc(), "h").limit(KEPT).select("h").collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+
+
 def _class_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """One table of three kinds of rows. 0: a document, its set's size and class. 1: a stripe (a)
     and the first class (b) of a batch that has it. 2: classes (a, b) of one batch that share a
     stripe. A batch names a stripe once, so a stripe that very many classes share stays few rows."""
 
+    common = common_shingles(docs, n)
+
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stripes = Stripes(percent)
         for b in it:
@@ -108,7 +153,7 @@ def _class_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 classes.append(None if c is None else c - (1 << 63))
                 if c is not None and c not in seen:
                     seen.add(c)
-                    sigs.append(stripes.signatures(h))
+                    sigs.append(stripes.signatures(h, common))
                     owners.append(np.full(len(sigs[-1]), classes[-1], np.int64))
             rows = b.num_rows
             yield pa.RecordBatch.from_arrays(
@@ -122,6 +167,8 @@ def _class_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 lead = owner[first]
                 local = lead[of] != owner
                 pairs = np.unique(np.stack([lead[of][local], owner[local]], 1), axis=0)
+                by_owner = np.argsort(first)  # runs of one owner, which the table stores as such
+                unique, lead = unique[by_owner], lead[by_owner]
                 kinds = np.concatenate([np.ones(len(unique), np.int8), np.full(len(pairs), 2, np.int8)])
                 a = np.concatenate([signed(unique), pairs[:, 0]])
                 z = np.concatenate([lead, pairs[:, 1]])
