@@ -101,11 +101,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     twice = table.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
     candidates = materialize(table.join(twice, "hash"), "line-candidates")
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "place")
-    first = (
+    # written, so that what follows is a plain join, which Spark can split at a hot chunk
+    first = materialize(
         candidates.groupBy("hash", "chunk")
         .agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
-        .select(F.col("hash").alias("_h"), F.col("chunk").alias("_c"), "first")
+        .select(F.col("hash").alias("_h"), F.col("chunk").alias("_c"), "first"),
+        "line-firsts",
     )
     same = (F.col("hash") == F.col("_h")) & (F.col("chunk") == F.col("_c"))
     gone = candidates.join(first, same).filter(order != F.col("first")).select("doc_id", "place")

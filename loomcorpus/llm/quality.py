@@ -266,7 +266,7 @@ def quality_filter(docs: DataFrame) -> DataFrame:
 def op6_robust_outliers(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     rows = materialize(statistics(docs).drop("text"), "quality-statistics")
-    rows = grouped(rows, groups(rows))
+    rows = grouped(rows, materialize(groups(rows), "quality-groups"))
     model = materialize(fit(rows.filter(~F.col("base_failed"))), "quality-model")
     return judge(rows, model).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
