@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import clock_seconds
+from ..functions.text import clock_seconds, strip
 
 
 def read_jsonl_strict(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -53,7 +53,7 @@ def subtitle_scan(spark: SparkSession, path: str) -> DataFrame:
     pattern = rf"{_TIME}\s*-->\s*{_TIME}[^\n]*\n([\s\S]*)"
     at = lambda i: F.regexp_extract("b", pattern, i)
     cues = blocks.filter(F.col("b").rlike(pattern))
-    return cues.select("file", "position", clock_seconds(at(1)).alias("start_seconds"), clock_seconds(at(2)).alias("end_seconds"), F.trim(at(3)).alias("content"))
+    return cues.select("file", "position", clock_seconds(at(1)).alias("start_seconds"), clock_seconds(at(2)).alias("end_seconds"), strip(at(3)).alias("content"))
 
 
 def segments_to_cues(records: DataFrame, key: str) -> DataFrame:
