@@ -1,16 +1,15 @@
-"""Token ids of whole texts, with a bounded cache of the pieces between single spaces."""
+"""Token ids of whole texts, with a bounded cache of their pieces."""
 
 from __future__ import annotations
 
-import re
+import sys
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 #: Entries of one worker's cache; it is emptied when full.
-CACHE = 1_000_000
-#: White space beside a space, or a space at an end: there a piece's ids depend on what is beside it.
-_KNOT = re.compile(r"[^\S ] | \s|^ | $|<\|")
+CACHE = 1_200_000
+#: Marks that end a word and form one token run of their own.
+_MARKS = ".,;:!?|#*$%&"
 
 
 @lru_cache(1)
@@ -20,46 +19,70 @@ def _encoder(path: str):
     return Tokenizer.from_file(path)
 
 
+def _bytes(ids: list[int]) -> bytes:
+    a = array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
-    The pre-tokenizer never joins what stands before a single space between two other characters
-    with what stands after it, so a text splits there and each piece keeps its leading space. Texts
-    where that doesn't hold are encoded whole.
+    The pre-tokenizer parts a text before a single space between two other characters (the space
+    goes with what follows) and around a single line end, so a text splits into pieces there: a
+    piece that starts with a line end follows one, any other follows a space. A piece of letters
+    and final marks parts once more between the two. An empty piece, or one with white space at an
+    end, shows that this doesn't hold; texts with such pieces are encoded whole.
     """
 
     def __init__(self, path: str):
         self.path = path
-        self.cache: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes | None] = {}
+        self.parts: dict[str, bytes] = {}
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        found = _encoder(self.path).encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [_bytes(e.ids) for e in _encoder(self.path).encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        whole: list[str] = []
-        missing: dict[str, None] = {}
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        cache = self.cache
-        for text in texts:
-            if not text:
-                split.append([])
-            elif _KNOT.search(text):
-                split.append(None)
-                whole.append(text)
+    def _learn(self, new: list[str]) -> None:
+        """Put the ids of new pieces into the cache."""
+        made: list[tuple[str, list[str]]] = []
+        for p in new:
+            after_line = p[:1] == "\n"
+            word = p[1:] if after_line else p
+            if not word or word != word.strip() or "<|" in word:
+                self.pieces[p] = None
+                continue
+            letters = word.rstrip(_MARKS)
+            head = ["\n", letters] if after_line else [" " + letters]
+            if letters.isalpha():
+                made.append((p, [*head, word[len(letters) :]]))
             else:
-                first, *rest = text.split(" ")
-                pieces = [first, *[" " + x for x in rest]]
-                missing.update(dict.fromkeys(p for p in pieces if p not in cache))
-                split.append(pieces)
-        new = list(missing)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            cache.update(zip(part, self._ids(part)))
-        rest_ids = iter(self._ids(whole)) if whole else iter(())
-        return [next(rest_ids) if p is None else b"".join([cache[x] for x in p]) for p in split]
+                made.append((p, ["\n", word] if after_line else [" " + word]))
+        parts = self.parts
+        missing = list({x for _, xs in [("", ["\n"]), *made] for x in xs if x and x not in parts})
+        for at in range(0, len(missing), 20_000):
+            some = missing[at : at + 20_000]
+            parts.update(zip(some, self._ids(some)))
+        parts[""] = b""
+        self.pieces.update((p, b"".join([parts[x] for x in xs])) for p, xs in made)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text; a null one has none."""
+        if len(self.pieces) > CACHE or len(self.parts) > CACHE:
+            self.pieces.clear()
+            self.parts.clear()
+        pieces = self.pieces
+        # the first piece of a text follows nothing, so it is made one that follows a line end
+        split = [("\n" + t.replace("\n", " \n")).split(" ") if t else [] for t in texts]
+        self._learn([p for p in set().union(*split) if p not in pieces])
+        out = []
+        for text, own in zip(texts, split):
+            try:
+                out.append(b"".join(map(pieces.__getitem__, own))[len(self.parts["\n"]) if own else 0 :])
+            except TypeError:
+                out.append(self._ids([text])[0])
+        return out
 
 
 @lru_cache(2)
