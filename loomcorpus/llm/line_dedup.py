@@ -123,7 +123,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     are named like the added ones are replaced.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
-    gone = materialize(repeats(docs), "line-repeats").withColumnRenamed("doc_id", "_id")
+    gone = materialize(repeats(docs), "line-repeats").withColumnsRenamed({"doc_id": "_id", "places": "_places"})
     joined = docs.select(*own).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
     kept = joined.schema
 
@@ -131,7 +131,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         at = own.index("text")
         for b in it:
             texts, total, removed = [], [], []
-            for t, places in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("places").to_pylist()):
+            for t, places in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("_places").to_pylist()):
                 lines = t.split(b"\n") if t else []
                 total.append(len(lines))
                 left = 0
