@@ -1,8 +1,9 @@
 """The signature rules of the license scan.
 
 Texts are matched as lower-case words with single spaces between them, so a full stop in "2.0" is a
-space here. A row of FAMILIES is written by hand: label, the word that must occur before any regex
-of the row is tried, and the license's name as a regex. Each gives four rules of falling priority:
+space here. A row of FAMILIES is written by hand: label, the words of which one must occur before
+any regex of the row is tried (every match of the name holds one; a test tries all alternatives),
+and the license's name as a regex. Each gives four rules of falling priority:
 the identifier tag, the grant ("licensed under ..."), the address, and the bare name. PHRASES are
 single rules for wording of license texts themselves.
 """
@@ -14,70 +15,70 @@ from dataclasses import dataclass
 
 _V = r"(?: license)?(?: version| v)? ?"
 
-# label, keyword, name, identifier tag, address (words)
+# label, keywords, name, identifier tag, address (words)
 FAMILIES: list[tuple[str, str, str, str, str]] = [
     ("mit", "mit", r"(?:the )?mit(?: x11)? licen[cs]e", r"mit", r"opensource org licenses mit"),
     ("mit-0", "mit", r"mit(?: no attribution| 0)(?: licen[cs]e)?", r"mit 0", r"github com aws mit 0"),
     ("x11", "x11", r"x11 licen[cs]e", r"x11", r"xfree86 org 3 3 6 copyright2"),
     ("isc", "isc", r"(?:the )?isc licen[cs]e", r"isc", r"opensource org licenses isc"),
-    ("bsd-2-clause", "bsd", r"(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd)(?: licen[cs]e)?", r"bsd 2 clause", r"opensource org licenses bsd 2 clause"),
+    ("bsd-2-clause", "bsd freebsd", r"(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd)(?: licen[cs]e)?", r"bsd 2 clause", r"opensource org licenses bsd 2 clause"),
     ("bsd-3-clause", "bsd", r"(?:(?:new|revised|modified) bsd|bsd 3 clause|3 clause bsd)(?: licen[cs]e)?", r"bsd 3 clause", r"opensource org licenses bsd 3 clause"),
     ("bsd-4-clause", "bsd", r"(?:original bsd|bsd 4 clause|4 clause bsd)(?: licen[cs]e)?", r"bsd 4 clause", r"directory fsf org wiki license bsd 4clause"),
-    ("bsd-zero", "bsd", r"(?:zero clause bsd|bsd zero clause|0bsd)(?: licen[cs]e)?", r"0bsd", r"opensource org licenses 0bsd"),
-    ("apache-1.0", "apache", rf"apache{_V}1 0", r"apache 1 0", r"apache org licenses license 1 0"),
-    ("apache-1.1", "apache", rf"apache(?: software)?{_V}1 1", r"apache 1 1", r"apache org licenses license 1 1"),
-    ("apache-2.0", "apache", rf"apache(?: software)?{_V}2(?: 0)?", r"apache 2 0", r"apache org licenses license 2 0"),
-    ("gpl-1.0", "gnu", rf"(?:gnu )?general public{_V}1(?: 0)?", r"gpl 1 0(?: only| or later)?", r"gnu org licenses old licenses gpl 1 0"),
-    ("gpl-2.0", "gnu", rf"(?:gnu )?general public{_V}2(?: 0)?", r"gpl 2 0(?: only| or later)?", r"gnu org licenses (?:old licenses )?gpl 2 0"),
-    ("gpl-3.0", "gnu", rf"(?:gnu )?general public{_V}3(?: 0)?", r"gpl 3 0(?: only| or later)?", r"gnu org licenses gpl 3 0"),
-    ("gpl", "gpl", r"gpl ?v?[23]?", r"gpl", r"gnu org (?:licenses|copyleft) gpl"),
-    ("lgpl-2.0", "lesser", rf"(?:gnu )?(?:library|lesser) general public{_V}2(?: 0)?", r"lgpl 2 0(?: only| or later)?", r"gnu org licenses old licenses lgpl 2 0"),
+    ("bsd-zero", "bsd 0bsd", r"(?:zero clause bsd|bsd zero clause|0bsd)(?: licen[cs]e)?", r"0bsd", r"opensource org licenses 0bsd"),
+    ("apache-1.0", "apache apache1", rf"apache{_V}1 0", r"apache 1 0", r"apache org licenses license 1 0"),
+    ("apache-1.1", "apache apache1", rf"apache(?: software)?{_V}1 1", r"apache 1 1", r"apache org licenses license 1 1"),
+    ("apache-2.0", "apache apache2", rf"apache(?: software)?{_V}2(?: 0)?", r"apache 2 0", r"apache org licenses license 2 0"),
+    ("gpl-1.0", "general", rf"(?:gnu )?general public{_V}1(?: 0)?", r"gpl 1 0(?: only| or later)?", r"gnu org licenses old licenses gpl 1 0"),
+    ("gpl-2.0", "general", rf"(?:gnu )?general public{_V}2(?: 0)?", r"gpl 2 0(?: only| or later)?", r"gnu org licenses (?:old licenses )?gpl 2 0"),
+    ("gpl-3.0", "general", rf"(?:gnu )?general public{_V}3(?: 0)?", r"gpl 3 0(?: only| or later)?", r"gnu org licenses gpl 3 0"),
+    ("gpl", "gpl gpl2 gpl3 gplv gplv2 gplv3", r"gpl ?v?[23]?", r"gpl", r"gnu org (?:licenses|copyleft) gpl"),
+    ("lgpl-2.0", "lesser library", rf"(?:gnu )?(?:library|lesser) general public{_V}2(?: 0)?", r"lgpl 2 0(?: only| or later)?", r"gnu org licenses old licenses lgpl 2 0"),
     ("lgpl-2.1", "lesser", rf"(?:gnu )?lesser general public{_V}2 1", r"lgpl 2 1(?: only| or later)?", r"gnu org licenses (?:old licenses )?lgpl 2 1"),
     ("lgpl-3.0", "lesser", rf"(?:gnu )?lesser general public{_V}3(?: 0)?", r"lgpl 3 0(?: only| or later)?", r"gnu org licenses lgpl 3 0"),
     ("agpl-3.0", "affero", rf"(?:gnu )?affero general public{_V}(?:3(?: 0)?)?", r"agpl 3 0(?: only| or later)?", r"gnu org licenses agpl"),
-    ("gfdl-1.1", "documentation", rf"(?:gnu )?free documentation{_V}1 1", r"gfdl 1 1(?: only| or later)?", r"gnu org licenses old licenses fdl 1 1"),
-    ("gfdl-1.2", "documentation", rf"(?:gnu )?free documentation{_V}1 2", r"gfdl 1 2(?: only| or later)?", r"gnu org licenses old licenses fdl 1 2"),
-    ("gfdl-1.3", "documentation", rf"(?:gnu )?free documentation{_V}(?:1 3)?", r"gfdl 1 3(?: only| or later)?", r"gnu org licenses fdl"),
+    ("gfdl-1.1", "documentation documentation1", rf"(?:gnu )?free documentation{_V}1 1", r"gfdl 1 1(?: only| or later)?", r"gnu org licenses old licenses fdl 1 1"),
+    ("gfdl-1.2", "documentation documentation1", rf"(?:gnu )?free documentation{_V}1 2", r"gfdl 1 2(?: only| or later)?", r"gnu org licenses old licenses fdl 1 2"),
+    ("gfdl-1.3", "documentation documentation1", rf"(?:gnu )?free documentation{_V}(?:1 3)?", r"gfdl 1 3(?: only| or later)?", r"gnu org licenses fdl"),
     ("mpl-1.0", "mozilla", rf"mozilla public{_V}1 0", r"mpl 1 0", r"mozilla org mpl mpl 1 0"),
     ("mpl-1.1", "mozilla", rf"mozilla public{_V}1 1", r"mpl 1 1", r"mozilla org mpl 1 1"),
     ("mpl-2.0", "mozilla", rf"mozilla public{_V}2(?: 0)?", r"mpl 2 0", r"mozilla org mpl 2 0"),
     ("epl-1.0", "eclipse", rf"eclipse public{_V}1(?: 0)?", r"epl 1 0", r"eclipse org legal epl v10"),
     ("epl-2.0", "eclipse", rf"eclipse public{_V}2(?: 0)?", r"epl 2 0", r"eclipse org legal epl (?:2 0|v20)"),
     ("cpl-1.0", "common", rf"common public{_V}1(?: 0)?", r"cpl 1 0", r"opensource org licenses cpl1 0"),
-    ("cddl-1.0", "distribution", rf"common development and distribution{_V}1(?: 0)?", r"cddl 1 0", r"opensource org licenses cddl1"),
-    ("cddl-1.1", "distribution", rf"common development and distribution{_V}1 1", r"cddl 1 1", r"glassfish java net public cddl"),
+    ("cddl-1.0", "distribution distribution1", rf"common development and distribution{_V}1(?: 0)?", r"cddl 1 0", r"opensource org licenses cddl1"),
+    ("cddl-1.1", "distribution distribution1", rf"common development and distribution{_V}1 1", r"cddl 1 1", r"glassfish java net public cddl"),
     ("cc0-1.0", "cc0", r"(?:creative commons )?cc0(?: 1 0)?(?: universal)?", r"cc0 1 0", r"creativecommons org publicdomain zero 1 0"),
-    ("cc-by-1.0", "cc", r"(?:creative commons attribution|cc by)(?: licen[cs]e)? 1 0", r"cc by 1 0", r"creativecommons org licenses by 1 0"),
-    ("cc-by-2.0", "cc", r"(?:creative commons attribution|cc by)(?: licen[cs]e)? 2 0", r"cc by 2 0", r"creativecommons org licenses by 2 0"),
-    ("cc-by-2.5", "cc", r"(?:creative commons attribution|cc by)(?: licen[cs]e)? 2 5", r"cc by 2 5", r"creativecommons org licenses by 2 5"),
-    ("cc-by-3.0", "cc", r"(?:creative commons attribution|cc by)(?: licen[cs]e)? 3 0", r"cc by 3 0", r"creativecommons org licenses by 3 0"),
-    ("cc-by-4.0", "cc", r"(?:creative commons attribution|cc by)(?: licen[cs]e)? 4 0", r"cc by 4 0", r"creativecommons org licenses by 4 0"),
-    ("cc-by-sa-2.0", "sa", r"(?:creative commons attribution share ?alike|cc by sa)(?: licen[cs]e)? 2 0", r"cc by sa 2 0", r"creativecommons org licenses by sa 2 0"),
-    ("cc-by-sa-2.5", "sa", r"(?:creative commons attribution share ?alike|cc by sa)(?: licen[cs]e)? 2 5", r"cc by sa 2 5", r"creativecommons org licenses by sa 2 5"),
-    ("cc-by-sa-3.0", "sa", r"(?:creative commons attribution share ?alike|cc by sa)(?: licen[cs]e)? 3 0", r"cc by sa 3 0", r"creativecommons org licenses by sa 3 0"),
-    ("cc-by-sa-4.0", "sa", r"(?:creative commons attribution share ?alike|cc by sa)(?: licen[cs]e)? 4 0", r"cc by sa 4 0", r"creativecommons org licenses by sa 4 0"),
-    ("cc-by-nd-3.0", "nd", r"(?:creative commons attribution no ?deriv(?:ative)?s|cc by nd)(?: licen[cs]e)? 3 0", r"cc by nd 3 0", r"creativecommons org licenses by nd 3 0"),
-    ("cc-by-nd-4.0", "nd", r"(?:creative commons attribution no ?deriv(?:ative)?s|cc by nd)(?: licen[cs]e)? 4 0", r"cc by nd 4 0", r"creativecommons org licenses by nd 4 0"),
-    ("cc-by-nc-2.0", "nc", r"(?:creative commons attribution non ?commercial|cc by nc)(?: licen[cs]e)? 2 0", r"cc by nc 2 0", r"creativecommons org licenses by nc 2 0"),
-    ("cc-by-nc-3.0", "nc", r"(?:creative commons attribution non ?commercial|cc by nc)(?: licen[cs]e)? 3 0", r"cc by nc 3 0", r"creativecommons org licenses by nc 3 0"),
-    ("cc-by-nc-4.0", "nc", r"(?:creative commons attribution non ?commercial|cc by nc)(?: licen[cs]e)? 4 0", r"cc by nc 4 0", r"creativecommons org licenses by nc 4 0"),
-    ("cc-by-nc-sa-3.0", "nc", r"(?:creative commons attribution non ?commercial share ?alike|cc by nc sa)(?: licen[cs]e)? 3 0", r"cc by nc sa 3 0", r"creativecommons org licenses by nc sa 3 0"),
-    ("cc-by-nc-sa-4.0", "nc", r"(?:creative commons attribution non ?commercial share ?alike|cc by nc sa)(?: licen[cs]e)? 4 0", r"cc by nc sa 4 0", r"creativecommons org licenses by nc sa 4 0"),
-    ("cc-by-nc-nd-3.0", "nc", r"(?:creative commons attribution non ?commercial no ?deriv(?:ative)?s|cc by nc nd)(?: licen[cs]e)? 3 0", r"cc by nc nd 3 0", r"creativecommons org licenses by nc nd 3 0"),
-    ("cc-by-nc-nd-4.0", "nc", r"(?:creative commons attribution non ?commercial no ?deriv(?:ative)?s|cc by nc nd)(?: licen[cs]e)? 4 0", r"cc by nc nd 4 0", r"creativecommons org licenses by nc nd 4 0"),
+    ("cc-by-1.0", "cc attribution", r"(?:creative commons attribution|cc by)(?: licen[cs]e)? 1 0", r"cc by 1 0", r"creativecommons org licenses by 1 0"),
+    ("cc-by-2.0", "cc attribution", r"(?:creative commons attribution|cc by)(?: licen[cs]e)? 2 0", r"cc by 2 0", r"creativecommons org licenses by 2 0"),
+    ("cc-by-2.5", "cc attribution", r"(?:creative commons attribution|cc by)(?: licen[cs]e)? 2 5", r"cc by 2 5", r"creativecommons org licenses by 2 5"),
+    ("cc-by-3.0", "cc attribution", r"(?:creative commons attribution|cc by)(?: licen[cs]e)? 3 0", r"cc by 3 0", r"creativecommons org licenses by 3 0"),
+    ("cc-by-4.0", "cc attribution", r"(?:creative commons attribution|cc by)(?: licen[cs]e)? 4 0", r"cc by 4 0", r"creativecommons org licenses by 4 0"),
+    ("cc-by-sa-2.0", "sa attribution", r"(?:creative commons attribution share ?alike|cc by sa)(?: licen[cs]e)? 2 0", r"cc by sa 2 0", r"creativecommons org licenses by sa 2 0"),
+    ("cc-by-sa-2.5", "sa attribution", r"(?:creative commons attribution share ?alike|cc by sa)(?: licen[cs]e)? 2 5", r"cc by sa 2 5", r"creativecommons org licenses by sa 2 5"),
+    ("cc-by-sa-3.0", "sa attribution", r"(?:creative commons attribution share ?alike|cc by sa)(?: licen[cs]e)? 3 0", r"cc by sa 3 0", r"creativecommons org licenses by sa 3 0"),
+    ("cc-by-sa-4.0", "sa attribution", r"(?:creative commons attribution share ?alike|cc by sa)(?: licen[cs]e)? 4 0", r"cc by sa 4 0", r"creativecommons org licenses by sa 4 0"),
+    ("cc-by-nd-3.0", "nd attribution", r"(?:creative commons attribution no ?deriv(?:ative)?s|cc by nd)(?: licen[cs]e)? 3 0", r"cc by nd 3 0", r"creativecommons org licenses by nd 3 0"),
+    ("cc-by-nd-4.0", "nd attribution", r"(?:creative commons attribution no ?deriv(?:ative)?s|cc by nd)(?: licen[cs]e)? 4 0", r"cc by nd 4 0", r"creativecommons org licenses by nd 4 0"),
+    ("cc-by-nc-2.0", "nc attribution", r"(?:creative commons attribution non ?commercial|cc by nc)(?: licen[cs]e)? 2 0", r"cc by nc 2 0", r"creativecommons org licenses by nc 2 0"),
+    ("cc-by-nc-3.0", "nc attribution", r"(?:creative commons attribution non ?commercial|cc by nc)(?: licen[cs]e)? 3 0", r"cc by nc 3 0", r"creativecommons org licenses by nc 3 0"),
+    ("cc-by-nc-4.0", "nc attribution", r"(?:creative commons attribution non ?commercial|cc by nc)(?: licen[cs]e)? 4 0", r"cc by nc 4 0", r"creativecommons org licenses by nc 4 0"),
+    ("cc-by-nc-sa-3.0", "nc attribution", r"(?:creative commons attribution non ?commercial share ?alike|cc by nc sa)(?: licen[cs]e)? 3 0", r"cc by nc sa 3 0", r"creativecommons org licenses by nc sa 3 0"),
+    ("cc-by-nc-sa-4.0", "nc attribution", r"(?:creative commons attribution non ?commercial share ?alike|cc by nc sa)(?: licen[cs]e)? 4 0", r"cc by nc sa 4 0", r"creativecommons org licenses by nc sa 4 0"),
+    ("cc-by-nc-nd-3.0", "nc attribution", r"(?:creative commons attribution non ?commercial no ?deriv(?:ative)?s|cc by nc nd)(?: licen[cs]e)? 3 0", r"cc by nc nd 3 0", r"creativecommons org licenses by nc nd 3 0"),
+    ("cc-by-nc-nd-4.0", "nc attribution", r"(?:creative commons attribution non ?commercial no ?deriv(?:ative)?s|cc by nc nd)(?: licen[cs]e)? 4 0", r"cc by nc nd 4 0", r"creativecommons org licenses by nc nd 4 0"),
     ("unlicense", "unlicense", r"the unlicense", r"unlicense", r"unlicense org"),
-    ("wtfpl", "wtfpl", r"(?:do what the fuck you want to public licen[cs]e|wtfpl)", r"wtfpl", r"wtfpl net"),
+    ("wtfpl", "wtfpl fuck", r"(?:do what the fuck you want to public licen[cs]e|wtfpl)", r"wtfpl", r"wtfpl net"),
     ("zlib", "zlib", r"zlib(?: libpng)? licen[cs]e", r"zlib", r"zlib net zlib license"),
     ("libpng", "libpng", r"libpng licen[cs]e", r"libpng(?: 2 0)?", r"libpng org pub png src libpng license"),
     ("bsl-1.0", "boost", rf"boost software{_V}(?:1(?: 0)?)?", r"bsl 1 0", r"boost org license 1 0"),
-    ("artistic-1.0", "artistic", rf"artistic{_V}1(?: 0)?", r"artistic 1 0", r"opensource org licenses artistic 1 0"),
-    ("artistic-2.0", "artistic", rf"artistic{_V}2(?: 0)?", r"artistic 2 0", r"perlfoundation org artistic license 2 0"),
+    ("artistic-1.0", "artistic artistic1", rf"artistic{_V}1(?: 0)?", r"artistic 1 0", r"opensource org licenses artistic 1 0"),
+    ("artistic-2.0", "artistic artistic2", rf"artistic{_V}2(?: 0)?", r"artistic 2 0", r"perlfoundation org artistic license 2 0"),
     ("psf-2.0", "python", r"python software foundation licen[cs]e", r"(?:psf|python) 2 0", r"opensource org licenses python 2 0"),
-    ("php-3.01", "php", rf"php{_V}3(?: 01?)?", r"php 3 01?", r"php net license 3 01"),
+    ("php-3.01", "php php3", rf"php{_V}3(?: 01?)?", r"php 3 01?", r"php net license 3 01"),
     ("ruby", "ruby", r"ruby licen[cs]e", r"ruby", r"ruby lang org en about license"),
     ("openssl", "openssl", r"openssl licen[cs]e", r"openssl", r"openssl org source license"),
-    ("ofl-1.1", "font", rf"(?:sil )?open font{_V}(?:1 1)?", r"ofl 1 1", r"scripts sil org ofl"),
-    ("odbl-1.0", "database", rf"open database{_V}(?:1 0)?", r"odbl 1 0", r"opendatacommons org licenses odbl"),
+    ("ofl-1.1", "font font1", rf"(?:sil )?open font{_V}(?:1 1)?", r"ofl 1 1", r"scripts sil org ofl"),
+    ("odbl-1.0", "database database1", rf"open database{_V}(?:1 0)?", r"odbl 1 0", r"opendatacommons org licenses odbl"),
     ("odc-by-1.0", "data", rf"open data commons attribution{_V}(?:1 0)?", r"odc by 1 0", r"opendatacommons org licenses by"),
     ("pddl-1.0", "domain", rf"public domain dedication(?: and)?{_V}(?:1 0)?", r"pddl 1 0", r"opendatacommons org licenses pddl"),
     ("eupl-1.1", "european", rf"european union public{_V}1 1", r"eupl 1 1", r"joinup ec europa eu software page eupl licence eupl 1 1"),
@@ -87,17 +88,17 @@ FAMILIES: list[tuple[str, str, str, str, str]] = [
     ("afl-3.0", "academic", rf"academic free{_V}(?:3(?: 0)?)?", r"afl 3 0", r"opensource org licenses afl 3 0"),
     ("osl-3.0", "open", rf"open software{_V}(?:3(?: 0)?)?", r"osl 3 0", r"opensource org licenses osl 3 0"),
     ("ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)? licen[cs]e", r"ncsa", r"opensource org licenses ncsa"),
-    ("upl-1.0", "permissive", rf"universal permissive{_V}(?:1 0)?", r"upl 1 0", r"oss oracle com licenses upl"),
+    ("upl-1.0", "permissive permissive1", rf"universal permissive{_V}(?:1 0)?", r"upl 1 0", r"oss oracle com licenses upl"),
     ("vim", "vim", r"vim licen[cs]e", r"vim", r"vimdoc sourceforge net htmldoc uganda"),
     ("ecl-2.0", "educational", rf"educational community{_V}(?:2 0)?", r"ecl 2 0", r"opensource org licenses ecl 2 0"),
     ("mulan-psl-2.0", "mulan", r"mulan psl(?: v?2)?|mulan permissive software licen[cs]e", r"mulanpsl 2 0", r"license coscl org cn mulanpsl2"),
     ("sspl-1.0", "server", rf"server side public{_V}(?:1)?", r"sspl 1 0", r"mongodb com licensing server side public license"),
     ("busl-1.1", "business", rf"business source{_V}(?:1 1)?", r"busl 1 1", r"mariadb com bsl11"),
-    ("elastic-2.0", "elastic", rf"elastic{_V}2(?: 0)?", r"elastic 2 0", r"elastic co licensing elastic license"),
-    ("openrail", "rail", r"(?:creativeml )?open ?rail(?: [ms])?(?: licen[cs]e)?", r"openrail(?: m)?", r"huggingface co spaces compvis stable diffusion license"),
+    ("elastic-2.0", "elastic elastic2", rf"elastic{_V}2(?: 0)?", r"elastic 2 0", r"elastic co licensing elastic license"),
+    ("openrail", "rail openrail", r"(?:creativeml )?open ?rail(?: [ms])?(?: licen[cs]e)?", r"openrail(?: m)?", r"huggingface co spaces compvis stable diffusion license"),
 ]
 
-# label, keyword, priority, confidence, words of a license's own text
+# label, keywords, priority, confidence, words of a license's own text
 PHRASES: list[tuple[str, str, int, float, str]] = [
     ("mit", "permission", 6, 0.95, r"permission is hereby granted free of charge to any person obtaining a copy"),
     ("isc", "permission", 6, 0.95, r"permission to use copy modify and or distribute this software for any purpose"),
@@ -127,24 +128,24 @@ _BARE = {"x11", "isc", "ruby", "vim", "gpl"}
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keyword: str
+    keywords: tuple[str, ...]
     priority: int
     confidence: float
     pattern: re.Pattern[str]
 
 
-def _rule(label: str, keyword: str, priority: int, confidence: float, words: str) -> Rule:
-    return Rule(label, keyword, priority, confidence, re.compile(rf"(?<!\S)(?:{words})(?!\S)"))
+def _rule(label: str, keywords: str, priority: int, confidence: float, words: str) -> Rule:
+    return Rule(label, tuple(keywords.split()), priority, confidence, re.compile(rf"(?<!\S)(?:{words})(?!\S)"))
 
 
 def rules() -> list[Rule]:
     """All rules in order of falling priority; ties keep the order of the tables."""
     out = []
-    for label, keyword, name, tag, address in FAMILIES:
+    for label, keywords, name, tag, address in FAMILIES:
         out.append(_rule(label, "spdx", 9, 0.99, rf"spdx license identifier (?:{tag})"))
-        out.append(_rule(label, keyword, 8, 0.95, rf"{_GRANT}(?:{name})"))
+        out.append(_rule(label, keywords, 8, 0.95, rf"{_GRANT}(?:{name})"))
         out.append(_rule(label, address.split()[0].strip("(?:"), 7, 0.85, rf"(?:https? )?(?:www )?(?:{address})"))
         if label not in _BARE:
-            out.append(_rule(label, keyword, 4, 0.7, name))
+            out.append(_rule(label, keywords, 4, 0.7, name))
     out += [_rule(*row) for row in PHRASES]
     return sorted(out, key=lambda r: -r.priority)

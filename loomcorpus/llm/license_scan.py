@@ -1,12 +1,13 @@
 """License scans by ordered signature rules.
 
-Rules are tried only where their keyword is among the text's words. Matches are taken in order of
-priority, then length, then place; one that lies inside a match taken before is suppressed.
+Rules are tried only where one of their keywords is among the text's words; every match holds one.
+Matches are taken in order of priority, then length, then place; one that lies inside a match taken
+before is suppressed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import groupby
 
@@ -44,17 +45,20 @@ def base_places(words: list[bytes]) -> list[tuple[int, str]]:
 
 
 @lru_cache(1)
-def _by_keyword() -> dict[bytes, list[Rule]]:
-    ordered = sorted(rules(), key=lambda r: r.keyword)
-    return {k.encode(): list(g) for k, g in groupby(ordered, key=lambda r: r.keyword)}
+def _by_keyword() -> dict[str, list[Rule]]:
+    ordered = sorted(((k, r) for r in rules() for k in r.keywords), key=lambda x: x[0])
+    return {k: [r for _, r in g] for k, g in groupby(ordered, key=lambda x: x[0])}
 
 
 def detect(words: list[bytes]) -> list[tuple[int, int, Rule]]:
     """(start, end, rule) of the matches that stay, as offsets into the words joined by spaces."""
-    tried = [rule for k in _by_keyword().keys() & set(words) for rule in _by_keyword()[k]]
-    if not tried:
-        return []
     text = b" ".join(words).decode("utf-8", "replace")
+    # split as the regexes see it: spaces beyond ASCII part words too
+    tried = dict.fromkeys(r for k in _by_keyword().keys() & set(text.split()) for r in _by_keyword()[k])
+    return _kept(text, tried)
+
+
+def _kept(text: str, tried: Iterable[Rule]) -> list[tuple[int, int, Rule]]:
     found = [(m.start(), m.end(), rule) for rule in tried for m in rule.pattern.finditer(text)]
     found.sort(key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].label))
     kept: list[tuple[int, int, Rule]] = []

@@ -2,10 +2,12 @@
 
 import hashlib
 import re
+from re import _constants as C
+from re import _parser
 
 from loomcorpus.llm import license_scan as L
 from loomcorpus.llm import secret_scan as S
-from loomcorpus.llm.license_rules import rules
+from loomcorpus.llm.license_rules import _GRANT, rules
 
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -85,6 +87,46 @@ def test_hundreds_of_rules_with_keywords_that_their_matches_hold():
     assert len(every) >= 300 and [r.priority for r in every] == sorted((r.priority for r in every), reverse=True)
 
 
+def alternatives(tree):
+    """Texts of every alternative of a parsed regex; what may repeat often is one word."""
+    out = [""]
+    for op, a in tree:
+        new = {
+            C.LITERAL: lambda: [chr(a)],
+            C.IN: lambda: [chr(x) for _, x in a],
+            C.BRANCH: lambda: [s for t in a[1] for s in alternatives(t)],
+            C.SUBPATTERN: lambda: alternatives(a[3]),
+            C.MAX_REPEAT: lambda: ["", *alternatives(a[2])],
+            C.MIN_REPEAT: lambda: ["someone"],
+            C.ASSERT_NOT: lambda: [""],
+        }[op]()
+        out = [o + n for o in out for n in new]
+    return out
+
+
+def test_the_keyword_gate_loses_no_alternative_of_any_rule():
+    every, n = rules(), 0
+    for rule in every:
+        grant = _GRANT in rule.pattern.pattern
+        name = rule.pattern.pattern.replace(_GRANT, "")
+        for text in alternatives(_parser.parse(name)):
+            text = "licensed under " * grant + text.strip()
+            assert any(r is rule for _, _, r in L._kept(text, [rule])), (rule.label, text)
+            got = L.detect(L.words_of(text.encode()))
+            assert set(got) == set(L._kept(text, every)), (rule.label, text)
+            n += 1
+    assert n > 2000
+
+
+def test_names_without_the_usual_keyword():
+    assert labels("licensed under the GPLv3") == ["gpl"]
+    assert labels("Creative Commons Attribution-ShareAlike 4.0") == ["cc-by-sa-4.0"]
+    assert labels("the FreeBSD license") == ["bsd-2-clause"] and labels("0BSD") == ["bsd-zero"]
+    assert labels("GNU Library General Public License version 2") == ["lgpl-2.0"]
+    assert labels("General Public License version 3") == ["gpl-3.0"] and labels("CreativeML OpenRAIL-M") == ["openrail"]
+    assert labels("the\u00a0MIT License") == ["mit"]  # a space beyond ASCII
+
+
 def test_license_edges(make):
     docs = make(None, "", (None, "MIT license"), (3, "mit License"), (3, "mit License")).selectExpr("*", "1 AS labels", "2 AS n_words")
     rows = L.scan_licenses(docs).collect()
