@@ -1,6 +1,6 @@
 """A corpus pipeline of five stages over ``documents``.
 
-Quality rules drop documents, line dedup cuts repeated chunks of lines, the n-gram join keeps one
+Quality rules drop documents, line dedup cuts repeated passages of lines, the n-gram join keeps one
 document of each group of near copies, decontamination drops documents with benchmark passages, and
 packing deals what is left into sequences.
 """
@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup_lines(docs).select(*docs.columns)
+    return dedup_lines(docs, whole=True).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

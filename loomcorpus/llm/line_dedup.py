@@ -4,6 +4,12 @@ A rolling hash over the hashes of neighbouring lines decides where a chunk ends,
 passage don't depend on what stands before it: after an insertion the boundaries fall into step
 again. A chunk that occurs more than once in the corpus is compared byte by byte with the first
 occurrence, by (doc_id, place), and removed from everywhere else.
+
+Passages are what chunks leave of a repeat: its edges, and runs in which no chunk lies. Two lines
+with words that follow one another, over empty lines if need be, are a pair. Where every pair of a
+run of lines occurred before, by (doc_id, place), the run goes if it has over LONG_LINE words or
+meets a chunk that goes. Pairs are told apart by 128-bit hashes. Of every line with words, the first
+occurrence stays.
 """
 
 from __future__ import annotations
@@ -11,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -91,6 +98,66 @@ def chunk_table(docs: DataFrame) -> DataFrame:
     )
 
 
+def _pairs(lines: list[bytes]) -> tuple[list[int], list[bytes]]:
+    """The lines that have words, and the digests of each and the next."""
+    worded = [i for i, x in enumerate(lines) if x and not x.isspace()]
+    return worded, [xxhash.xxh3_128_digest(lines[a] + b"\n" + lines[b]) for a, b in zip(worded, worded[1:])]
+
+
+def pair_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, pair, hash, more) of every pair; hash and more are the halves of its digest."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            of, place, digests = [], [], []
+            for i, t in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
+                found = _pairs(t.split(b"\n"))[1] if t else []
+                of += [i] * len(found)
+                place += range(len(found))
+                digests += found
+            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").take(pa.array(of, pa.int64())), pa.array(place, pa.int32()),
+                 pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1]))],
+                ["doc_id", "pair", "hash", "more"],
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, pair int, hash long, more long")
+
+
+def repeated_pairs(docs: DataFrame) -> DataFrame:
+    """(doc_id, pair, hash) of every pair that occurred before."""
+    table = pair_table(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "pair")
+    first = materialize(
+        table.groupBy("hash", "more")
+        .agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
+        .filter("n > 1")
+        .select(F.col("hash").alias("_h"), F.col("more").alias("_m"), "first"),
+        "line-pairs",
+    )
+    same = (F.col("hash") == F.col("_h")) & (F.col("more") == F.col("_m"))
+    return table.join(first, same).filter(order != F.col("first")).select("doc_id", "pair", "hash")
+
+
+def passages(lines: list[bytes], gone: set[int], repeated: set[tuple[int, int]]) -> set[int]:
+    """The lines of ``gone`` and those of the repeated passages. ``repeated`` has (pair, hash)."""
+    worded, digests = _pairs(lines)
+    hit = [(k, int.from_bytes(d[:8], "little", signed=True)) in repeated for k, d in enumerate(digests)]
+    out = set(gone)
+    start = None
+    for k, on in enumerate([*hit, False]):
+        if on and start is None:
+            start = k
+        elif not on and start is not None:
+            run = range(worded[start], worded[k] + 1)
+            if not gone.isdisjoint(run) or sum(len(lines[i].split()) for i in run) > LONG_LINE:
+                out.update(run)
+            start = None
+    return out
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, places): the chunks of each document that go, sorted.
 
@@ -114,8 +181,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated chunks removed from ``text``, and n_lines, n_removed_lines.
+def dedup_lines(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """``docs`` with repeated chunks removed from ``text``, and n_lines, n_removed_lines; if
+    ``whole``, with the repeated passages removed too.
 
     Every row stays. A null text stays null; a document wholly repeated is left with an empty text.
     Rows that share a doc_id are one document: the places found in any of them go from each of
@@ -123,7 +191,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     are named like the added ones are replaced.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
-    gone = materialize(repeats(docs), "line-repeats").withColumnsRenamed({"doc_id": "_id", "places": "_places"})
+    gone = repeats(docs).select("doc_id", "places", F.lit(None).cast("array<struct<pair:int,hash:bigint>>").alias("pairs"))
+    if whole:
+        found = repeated_pairs(docs).groupBy("doc_id").agg(F.collect_set(F.struct("pair", "hash")).alias("pairs"))
+        gone = gone.unionByName(found.withColumn("places", F.lit(None).cast("array<int>")))
+        gone = gone.groupBy("doc_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("places", "pairs")])
+    gone = materialize(gone, "line-repeats")
+    gone = gone.withColumnsRenamed({"doc_id": "_id", "places": "_places", "pairs": "_pairs"})
     joined = docs.select(*own).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
     kept = joined.schema
 
@@ -131,13 +205,17 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         at = own.index("text")
         for b in it:
             texts, total, removed = [], [], []
-            for t, places in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("_places").to_pylist()):
+            columns = (b.column(c) for c in ("_places", "_pairs"))
+            for t, places, pairs in zip(b.column("text").cast(pa.binary()).to_pylist(), *(c.to_pylist() for c in columns)):
                 lines = t.split(b"\n") if t else []
                 total.append(len(lines))
                 left = 0
-                if places:
-                    drop = set(places)
-                    stay = [x for k, (s, e) in enumerate(chunks(lines)) if k not in drop for x in lines[s:e]]
+                if places or pairs:
+                    drop = set(places or [])
+                    out = {i for k, (s, e) in enumerate(chunks(lines)) if k in drop for i in range(s, e)} if drop else set()
+                    if pairs:
+                        out = passages(lines, out, {(x["pair"], x["hash"]) for x in pairs})
+                    stay = [x for i, x in enumerate(lines) if i not in out]
                     left = len(lines) - len(stay)
                     t = b"\n".join(stay)
                 texts.append(t)
@@ -156,4 +234,4 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 def op1_line_chunks(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs)
+    return dedup_lines(docs, whole=True)

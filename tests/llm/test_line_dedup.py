@@ -65,3 +65,58 @@ def test_nulls_empties_clashes_and_repeats(make, spark):
     assert got[(0, None)] == 1 and got[(1, "")] == 1 and got[(7, "p\nq\nr\ns")] == 1
     assert got[(None, "")] == 1 and got[(8, "")] == 2
     assert L.dedup_lines(docs.limit(0)).count() == 0
+
+
+def brute_passages(docs):
+    """Chunks as above; then runs of lines whose pairs occurred before, found in a dictionary."""
+    chunked = {}
+    first, seen = {}, set()
+    for i, t in sorted(docs):
+        lines = t.encode().split(b"\n")
+        for s, e in L.chunks(lines):
+            if L.removable(lines, s, e) and first.setdefault(b"\n".join(lines[s:e]), (i, s)) != (i, s):
+                chunked.setdefault(i, set()).update(range(s, e))
+    out = {}
+    for i, t in sorted(docs):
+        lines = t.encode().split(b"\n")
+        worded = [k for k, x in enumerate(lines) if x.split()]
+        old = []
+        for a, b in zip(worded, worded[1:]):
+            old.append((lines[a], lines[b]) in seen)
+            seen.add((lines[a], lines[b]))
+        gone = set(chunked.get(i, ()))
+        k = 0
+        while k < len(old):
+            end = k
+            while end < len(old) and old[end]:
+                end += 1
+            if end > k:
+                run = range(worded[k], worded[end] + 1)
+                if set(run) & chunked.get(i, set()) or sum(len(lines[x].split()) for x in run) > 50:
+                    gone |= set(run)
+            k = end + 1
+        out[i] = b"\n".join(x for k, x in enumerate(lines) if k not in gone).decode()
+    return out
+
+
+def test_whole_passages_go(make):
+    """Shared runs of 4 lines and 52 words in fresh surroundings, of which chunks alone leave most."""
+    docs = []
+    for k in range(60):
+        run = [" ".join(f"r{k}w{i}x{j}" for j in range(13)) for i in range(4)]
+        for copy in range(2):
+            fresh = [f"{side} {k} {copy} {i}" for side in ("before", "after") for i in range(3)]
+            docs.append((copy * 100 + k, "\n".join(fresh[:3] + run[:2] + [""] * copy + run[2:] + fresh[3:])))
+    got = {r["doc_id"]: r["text"] for r in L.dedup_lines(make(*docs), whole=True).collect()}
+    for i, t in docs:
+        assert got[i] == (t if i < 100 else "\n".join(x for x in t.split("\n") if x.startswith(("before", "after"))))
+    chunked = L.dedup_lines(make(*docs)).filter("doc_id >= 100").collect()
+    assert sum("r%dw0x0" % (r["doc_id"] - 100) in r["text"] for r in chunked) > 20
+
+
+def test_passages_equal_brute_force_and_keep_a_first_of_every_line(small):
+    docs = [(r["doc_id"], r["text"]) for r in small.collect() if r["text"]]
+    got = {r["doc_id"]: r["text"] for r in L.dedup_lines(small.filter("text <> ''"), whole=True).collect()}
+    assert got == brute_passages(docs)
+    lines = lambda texts: {x for t in texts for x in t.split("\n") if x.encode().split()}
+    assert lines(got.values()) == lines(t for _, t in docs)
