@@ -208,6 +208,18 @@ def grouped(stats: DataFrame, table: DataFrame) -> DataFrame:
     return out.drop("_lang", "_source")
 
 
+def fitted_on(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """The rows that each group is fitted on: a pair's own, all rows of a language for its small
+    pairs, all rows for what is left. A row counts in its pair's group, its language's and that of
+    all, as far as some pair is judged by them."""
+    lang, source = F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))
+    levels = F.array(
+        F.concat_ws("\x1f", F.lit("2"), lang, source), F.concat_ws("\x1f", F.lit("1"), lang), F.lit("0")
+    )
+    out = rows.drop("g").withColumn("g", F.explode(levels))
+    return out.join(table.select("g").distinct(), "g", "left_semi")
+
+
 def fit(rows: DataFrame) -> DataFrame:
     """Centre and scatter of each group ``g`` of ``rows`` (feature columns), after the
     concentration steps and one reweighting step."""
@@ -257,7 +269,7 @@ def quality_filter(docs: DataFrame) -> DataFrame:
         "quality-vectors",
     )
     table = materialize(groups(narrow), "quality-groups")
-    model = materialize(fit(grouped(narrow, table).filter(~F.col("base_failed"))), "quality-model")
+    model = materialize(fit(fitted_on(narrow.filter(~F.col("base_failed")), table)), "quality-model")
     wide = docs.select(F.struct(*own).alias("_row"), "text", "lang", "source")
     judged = judge(grouped(statistics(wide), table), model)
     return judged.filter("kept").select("_row.*")
@@ -266,9 +278,9 @@ def quality_filter(docs: DataFrame) -> DataFrame:
 def op6_robust_outliers(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     rows = materialize(statistics(docs).drop("text"), "quality-statistics")
-    rows = grouped(rows, materialize(groups(rows), "quality-groups"))
-    model = materialize(fit(rows.filter(~F.col("base_failed"))), "quality-model")
-    return judge(rows, model).select(
+    table = materialize(groups(rows), "quality-groups")
+    model = materialize(fit(fitted_on(rows.filter(~F.col("base_failed")), table)), "quality-model")
+    return judge(grouped(rows, table), model).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.round("d2", 6).alias("distance"),
     )

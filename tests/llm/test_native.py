@@ -70,6 +70,21 @@ def test_estimates_resist_a_quarter_of_outliers(spark):
     assert all(abs(m[f"m{i}"] - 100) < 5 for i in range(5))
 
 
+def test_rows_of_small_pairs_are_judged_by_all_of_their_language(spark):
+    """A hot source beside rare ones: junk of a source of its own is no centre."""
+    rng = np.random.default_rng(3)
+    rows = [("en", "hot", *map(int, r)) for r in rng.normal(1000, 60, (400, 5))]
+    rows += [("en", "rare", *[1000 + k] * 5) for k in range(5)] + [("en", "junk", *[9000 + k] * 5) for k in range(5)]
+    rows += [("fr", "lone", *[9000] * 5), ("de", None, *[1000] * 5)]  # their languages are too small: judged by all
+    df = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{f} long" for f in Q.FEATURES))
+    df = df.selectExpr("*", "false AS base_failed")
+    table = Q.groups(df)
+    model = Q.fit(Q.fitted_on(df, table))
+    judged = Q.judge(Q.grouped(df, table), model).filter("source IS NULL OR source <> 'hot'").collect()
+    kept = {(r["source"] or "none", r["kept"]) for r in judged}
+    assert kept == {("rare", True), ("junk", False), ("lone", False), ("none", True)}
+
+
 def test_filter_edges(make, spark):
     docs = make(None, "", *["some words of a plain text that goes on for a while with more than twenty words in it so it is kept"] * 3, lang=None, source=None)
     docs = docs.selectExpr("*", "1 AS g", "2 AS kept", "3 AS n_words")
