@@ -197,8 +197,8 @@ def octave(c: np.ndarray) -> np.ndarray:
 
 
 def _grid(c: np.ndarray) -> np.ndarray:
-    """Counts by halves of an octave, -1 for none: only weights are learned from these."""
-    return np.where(c > 0, np.rint(2 * np.log2(np.maximum(c, 1))), -1).astype(np.int64)
+    """Counts by eighths of an octave, -1 for none: only weights are learned from these."""
+    return np.where(c > 0, np.rint(8 * np.log2(np.maximum(c, 1))), -1).astype(np.int64)
 
 
 _MET = "block long, ids binary, tokens binary, before int, c1 binary, c2 binary, bucket int, q2 int, qu int, q1 int, weight long, v long, n long"
@@ -240,8 +240,8 @@ def _meet(parts: int):
             r2[asked2] -= h2
             u, w, p = before[held], tokens[held], pair[held]
             rows = np.stack([octave(r1[u]), _grid(r2[p]), _grid(r1[u]), _grid(r1[w])], 1) + 1
-            codes, weight = np.unique(rows @ np.array([1 << 24, 1 << 16, 1 << 8, 1]), return_counts=True)
-            bucket, q2, qu, q1 = ((codes >> s & 255) - 1 for s in (24, 16, 8, 0))
+            codes, weight = np.unique(rows @ np.array([1 << 30, 1 << 20, 1 << 10, 1]), return_counts=True)
+            bucket, q2, qu, q1 = ((codes >> s & 1023) - 1 for s in (30, 20, 10, 0))
             out.append(frame(len(codes), block=-2, bucket=bucket, q2=q2, qu=qu, q1=q1, weight=weight))
         return pd.concat(out * len(sequences), ignore_index=True)
 
@@ -250,8 +250,8 @@ def _meet(parts: int):
 
 def learn(rows: np.ndarray, n: float, v: int) -> np.ndarray:
     """Weights (bigram, unigram, uniform) per bucket from rows (bucket, pair, context and word
-    count by halves of an octave, weight), by EM; buckets without rows share the weights of all."""
-    known = lambda q: np.where(q >= 0, 2.0 ** (q / 2), 0.0)
+    count by eighths of an octave, weight), by EM; buckets without rows share the weights of all."""
+    known = lambda q: np.where(q >= 0, 2.0 ** (q / 8), 0.0)
     bucket, weight = rows[:, 0].astype(int), rows[:, 4].astype(float)
     context = known(rows[:, 2])
     p = np.stack([
@@ -320,7 +320,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     met = materialize(both.groupBy("block").applyInPandas(_meet(parts), _MET), "lm-blocks")
     total = met.filter("block = -1").agg(F.sum("n"), F.sum("v")).first()
     n, v = int(total[0] or 0), int(total[1] or 0)
-    # at most BUCKETS * 90 * 90 * 90 rows by construction, some thousands in practice
+    # at most BUCKETS * 350 * 350 * 350 rows by construction, some thousands in practice
     grid = met.filter("block = -2").groupBy("bucket", "q2", "qu", "q1").agg(F.sum("weight"))
     rows = np.array([tuple(r) for r in grid.collect()], np.float64).reshape(-1, 5)
     kept = n * max(0.0, 1 - rows[:, 4].sum() / max(n, 1))

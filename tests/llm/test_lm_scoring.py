@@ -53,6 +53,11 @@ def test_em_finds_weights():
     assert w[0] > 0.8
 
 
+def test_the_grid_keeps_counts_within_a_twentieth():
+    c = np.unique(np.logspace(0, 12, 5000).astype(np.int64))
+    assert np.all(np.abs(2.0 ** (M._grid(c) / 8) / c - 1) < 0.05)
+
+
 def test_planes_round_trip():
     for kind in (np.uint32, np.int64, np.uint64, np.int32):
         a = np.arange(1000, dtype=kind) ** 2
