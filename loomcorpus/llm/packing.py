@@ -5,19 +5,22 @@ What decides a packing is how many pieces there are of each length, and there ar
 ``capacity`` rows, however large the corpus), and the tasks look their pieces' places up by length
 and rank among pieces of that length.
 
-Packing the counts: take the largest length left, complete its bin, and repeat that filling as
-often as the counts allow. Fillings are enumerated largest piece first; one is dominated, and left
-out, if a single longer piece could take the place of one of its pieces. Best-fit fillings are the
-incumbent; branch and bound tries the runner-up fillings at each step, and a branch ends when its
-bins plus the bound on what is left (total length, and pieces over half the capacity) reach the
-incumbent.
+Packing the counts is a depth-first branch and bound. A step takes the largest length left and
+enumerates the undominated fillings of its bin, the fullest first; a filling is used as often as the
+counts allow, or once, so every packing is within reach. A filling is dominated if a single longer
+piece could take the place of some of its pieces in the room there is. A branch ends when the room it
+has wasted is more than any better packing may waste, or when its bins and the bound on what is left
+reach the incumbent, which best fit by decreasing length gives first. The search ends when the bound
+is reached, nothing is left to try, or its nodes are spent; then the gap to the bound is reported.
 """
 
 from __future__ import annotations
 
+import logging
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,117 +30,187 @@ from pyspark.sql import functions as F
 from .expressions import gapless
 from .scratch import materialize
 from .tokens import encoder
+from .words import slices
 
-#: Fillings looked at for one bin, and bins completed in all, before the search settles.
-FILLINGS, NODES, WIDTH = 400, 20_000, 3
+_log = logging.getLogger(__name__)
+
+#: Fillings enumerated for one bin, and bins completed in all, before the search settles.
+FILLINGS, NODES = 400, 3_000
+#: Bytes of text whose pieces are looked up at once, about.
+SLICE = 8 << 20
+
+Bins = list[tuple[tuple[int, ...], int]]
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """No packing has fewer bins: pieces over half the capacity need one each, and for any limit
     k, pieces over capacity - k share theirs with none of k or more."""
-    total = sum(n * k for n, k in counts.items())
-    best = -(-total // capacity)
-    for k in sorted({0, *(n for n in counts if n <= capacity // 2)}):
-        alone = sum(c for n, c in counts.items() if n > capacity - k)
-        half = sum(c for n, c in counts.items() if capacity // 2 < n <= capacity - k)
-        room = half * capacity - sum(n * c for n, c in counts.items() if capacity // 2 < n <= capacity - k)
-        small = sum(n * c for n, c in counts.items() if k <= n <= capacity // 2)
-        best = max(best, alone + half + max(0, -(-(small - room) // capacity)))
-    return best
-
-
-def fillings(counts: dict[int, int], lengths: list[int], room: int, limit: int = FILLINGS, width: int = WIDTH) -> list[tuple[int, ...]]:
-    """Up to ``width`` undominated fillings of ``room``, the fullest first and, among those as
-    full, the ones of fewer and longer pieces. ``lengths`` is ascending."""
-    found: list[tuple[int, tuple[int, ...]]] = []
+    number = np.zeros(capacity + 2, np.int64)
+    for n, c in counts.items():
+        number[n + 1] = c
+    below = np.cumsum(number)  # pieces shorter than n
+    length = np.cumsum(number * np.arange(-1, capacity + 1))
+    k = np.arange(capacity // 2 + 1)
+    half = capacity // 2 + 1  # the shortest length over half the capacity
+    alone = below[capacity + 1] - below[capacity - k + 1]
+    paired = below[capacity - k + 1] - below[half]
+    room = paired * capacity - (length[capacity - k + 1] - length[half])
+    small = length[half] - length[k]
+    return int(np.max(alone + paired + np.maximum(0, -((room - small) // capacity)), initial=0))
+
+
+def best_fit(counts: dict[int, int], capacity: int) -> Bins:
+    """Best fit by decreasing length: a piece goes to the fullest bin that has room for it. Equal
+    bins are kept as one entry with their number."""
+    open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+    rooms: list[int] = []
+
+    def put(room: int, filling: tuple[int, ...], times: int) -> None:
+        if room not in open_:
+            open_[room] = []
+            insort(rooms, room)
+        open_[room].append((filling, times))
+
+    for n in sorted(counts, reverse=True):
+        left = counts[n]
+        while left:
+            at = bisect_left(rooms, n)
+            room = rooms[at] if at < len(rooms) else capacity
+            filling, times = open_[room].pop() if at < len(rooms) else ((), left)
+            if at < len(rooms) and not open_[room]:
+                del open_[room], rooms[at]
+            each = room // n
+            full = min(times, left // each)
+            rest = left - full * each if full < times else 0
+            if full:
+                put(room - each * n, filling + (n,) * each, full)
+            if rest:
+                put(room - rest * n, filling + (n,) * rest, 1)
+            over = times - full - (rest > 0)
+            if over and filling:
+                put(room, filling, over)
+            left -= full * each + rest
+    return [x for some in open_.values() for x in some]
+
+
+def dominated(pieces: tuple[int, ...], left: int, counts: dict[int, int], lengths: list[int]) -> bool:
+    """Whether one unused piece could take the place of some shorter ones, or of none, in the room
+    they and ``left`` give. ``lengths`` is ascending."""
+    sums, order, at = 1, sorted(pieces), 0
+    for x in lengths:
+        while at < len(order) and order[at] < x:
+            sums |= sums << order[at]
+            at += 1
+        if counts[x] > order.count(x) and sums >> max(0, x - left) & ((1 << min(left, x) + 1) - 1):
+            return True
+    return False
+
+
+def fillings(counts: dict[int, int], lengths: list[int], room: int, limit: int = FILLINGS) -> Iterator[tuple[int, tuple[int, ...]] | None]:
+    """(room left, pieces) of the undominated fillings of ``room``, the fullest first; at last None
+    if ``limit`` ended the enumeration. ``lengths`` is ascending, ``counts`` what may be used."""
+    held: list[tuple[int, tuple[int, ...]]] = []
+    stack: list[tuple[int, int, tuple[int, ...]]] = [(room, len(lengths), ())]
     looked = 0
-    used: dict[int, int] = {}
-
-    def descend(left: int, most: int, chosen: tuple[int, ...]) -> bool:
-        nonlocal looked
-        at = bisect_right(lengths, min(left, most)) - 1
-        placed = False
-        while at >= 0 and looked < limit:
-            n = lengths[at]
-            if counts[n] - used.get(n, 0) > 0:
-                placed = True
-                used[n] = used.get(n, 0) + 1
-                done = descend(left - n, n, (*chosen, n))
-                used[n] -= 1
-                if done:
-                    return True
-            at -= 1
-        if not placed:
+    while stack and looked < limit:
+        left, at, pieces = stack.pop()
+        at = min(at, bisect_right(lengths, left))
+        if at == 0:
             looked += 1
-            found.append((left, chosen))
-            return left == 0 and sum(1 for x in found if x[0] == 0) >= width
-        return False
-
-    descend(room, room, ())
-    found = sorted(set(found), key=lambda x: (x[0], len(x[1]), [-n for n in x[1]]))
-    kept: list[tuple[int, ...]] = []
-    for left, pieces in found:
-        # dominated: a piece could give way to one longer by no more than the room left
-        longer = any(
-            (i := bisect_right(lengths, n)) < len(lengths) and lengths[i] <= n + left
-            and counts[lengths[i]] > pieces.count(lengths[i])
-            for n in set(pieces)
-        )
-        if not longer:
-            kept.append(pieces)
-        if len(kept) == width:
-            break
-    return kept or [found[0][1] if found else ()]
-
-
-def _complete(counts: dict[int, int], capacity: int, turns: dict[int, int], most: int) -> list[tuple[tuple[int, ...], int]] | None:
-    """Bins as (pieces, times), taking at step i the filling numbered ``turns[i]``; None as soon as
-    the bound says that ``most`` bins don't suffice."""
-    left = dict(counts)
-    lengths = sorted(left)
-    total = sum(n * c for n, c in left.items())
-    bins: list[tuple[tuple[int, ...], int]] = []
-    made = step = 0
-    while lengths:
-        if made + -(-total // capacity) > most:
-            return None
+            if left == 0 and not dominated(pieces, 0, counts, lengths):
+                yield 0, pieces
+            elif left:
+                held.append((left, pieces))
+            continue
+        n = lengths[at - 1]
+        stack += [(left - k * n, at - 1, pieces + (n,) * k) for k in range(min(counts[n], left // n) + 1)]
+    for left, pieces in sorted(held, key=lambda x: (x[0], len(x[1]))):
+        if not dominated(pieces, left, counts, lengths):
+            yield left, pieces
+    if stack:
+        yield None
+
+
+@dataclass
+class Packing:
+    """Bins as (pieces, times); no packing has fewer than ``bound``; ``proved`` if none has fewer
+    than this one."""
+
+    bins: Bins
+    bound: int
+    proved: bool
+
+    @property
+    def made(self) -> int:
+        return sum(times for _, times in self.bins)
+
+    @property
+    def gap(self) -> int:
+        return 0 if self.proved else self.made - self.bound
+
+
+def search(counts: dict[int, int], capacity: int, nodes: int = NODES) -> Packing:
+    """The best packing of a count of pieces by length that ``nodes`` bins completed can find. Each
+    length must be 1 to ``capacity``. An empty count gives no bins."""
+    counts = {n: c for n, c in counts.items() if c > 0}
+    if any(not 1 <= n <= capacity for n in counts):
+        raise ValueError("lengths must be 1 to the capacity")
+    found = Packing(best_fit(counts, capacity), lower_bound(counts, capacity), False)
+    total, made_best = sum(n * c for n, c in counts.items()), found.made
+    whole = True
+    path: Bins = []
+
+    def options(left: dict[int, int], wasted: int) -> Iterator[tuple[tuple[int, ...], int, int]]:
+        """(pieces, times, room wasted by now) of the next bin."""
+        nonlocal whole
+        lengths = sorted(left)
         top = lengths[-1]
-        left[top] -= 1
-        options = fillings(left, lengths, capacity - top, width=WIDTH if step in turns else 1)
-        left[top] += 1
-        pieces = (top, *options[min(turns.get(step, 0), len(options) - 1)])
-        need = {n: pieces.count(n) for n in pieces}
-        times = min(left[n] // k for n, k in need.items())
-        for n, k in need.items():
-            left[n] -= k * times
-            if not left[n]:
-                lengths.remove(n)
-        total -= times * sum(pieces)
-        bins.append((pieces, times))
+        rest = {n: c - (n == top) for n, c in left.items() if c > (n == top)}
+        usable = lengths if top in rest else lengths[:-1]
+        for option in fillings(rest, usable, capacity - top):
+            if option is None:
+                whole = False
+                return
+            waste, others = option
+            if wasted + waste > (made_best - 1) * capacity - total:
+                continue  # a better packing has no room for so much waste
+            pieces = (top, *others)
+            most = min(left[n] // pieces.count(n) for n in set(pieces))
+            for times in dict.fromkeys((most, 1)):
+                yield pieces, times, wasted + times * waste
+
+    stack = [(counts, 0, 0, options(counts, 0))] if counts else []
+    while stack and made_best > found.bound and nodes > 0:
+        left, made, wasted, more = stack[-1]
+        del path[len(stack) - 1 :]
+        step = next(more, None)
+        if step is None:
+            stack.pop()
+            continue
+        nodes -= 1
+        pieces, times, wasted = step
+        after = dict(left)
+        for n in pieces:
+            after[n] -= times
+        after = {n: c for n, c in after.items() if c}
         made += times
-        step += 1
-    return bins
+        if wasted > (made_best - 1) * capacity - total or made + lower_bound(after, capacity) >= made_best:
+            continue
+        path.append((pieces, times))
+        if after:
+            stack.append((after, made, wasted, options(after, wasted)))
+        else:
+            found.bins, made_best = list(path), made
+    found.proved = made_best == found.bound or (whole and not stack)
+    return found
 
 
-def pack_counts(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
-    """Bins as (pieces, times) for a count of pieces by length. Each length must be 1 to
-    ``capacity``. An empty count gives no bins."""
-    counts = {n: c for n, c in counts.items() if c > 0}
-    if any(not 1 <= n <= capacity for n in counts):
-        raise ValueError("lengths must be 1 to the capacity")
-    best = _complete(counts, capacity, {}, sum(counts.values())) or []
-    size, bound = sum(t for _, t in best), lower_bound(counts, capacity)
-    spent, step = len(best), 0
-    while size > bound and spent < nodes and step < len(best):
-        for turn in range(1, WIDTH):
-            other = _complete(counts, capacity, {step: turn}, size - 1)
-            spent += max(1, len(best) - step)
-            if other is not None and sum(t for _, t in other) < size:
-                best, size = other, sum(t for _, t in other)
-                step = -1
-                break
-        step += 1
-    return best
+def pack_counts(counts: dict[int, int], capacity: int, nodes: int = NODES) -> Bins:
+    """The bins of ``search``; a gap that it leaves is logged."""
+    found = search(counts, capacity, nodes)
+    if found.gap:
+        _log.info("packed into %d bins; %d is the least that is possible", found.made, found.bound)
+    return found.bins
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -156,20 +229,21 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int) -> DataFram
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for b in it:
+        for part in (part for b in it for part in slices(b, size=SLICE)):
             of, piece, start, length, crc = [], [], [], [], []
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                for i, ids in enumerate(enc.encode(part.column("text").to_pylist())):
-                    ids += tail
-                    for k, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
-                        of.append(at + i)
-                        piece.append(k)
-                        start.append(s)
-                        length.append(n)
-                        crc.append(zlib.crc32(ids[4 * s : 4 * (s + n)]))
+            ids, begins, ends = enc.encode_column(part.column("text"))
+            body = memoryview(ids.astype("<u4", copy=False)).cast("B")
+            for i, (first, last) in enumerate(zip(begins.tolist(), ends.tolist())):
+                n = last - first + 1
+                for k, (s, m) in enumerate(cut(n, capacity)):
+                    own = zlib.crc32(body[4 * (first + s) : 4 * min(first + s + m, last)])
+                    of.append(i)
+                    piece.append(k)
+                    start.append(s)
+                    length.append(m)
+                    crc.append(zlib.crc32(tail, own) if s + m == n else own)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array(of, pa.int64())), pa.array(piece, pa.int32()),
+                [part.column("doc_id").take(pa.array(of, pa.int64())), pa.array(piece, pa.int32()),
                  *[pa.array(c, pa.int64()) for c in (start, length, crc)]],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )

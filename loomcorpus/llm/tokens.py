@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import sys
-from array import array
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Entries of one worker's cache; it is emptied when full.
 CACHE = 1_200_000
 #: Marks that end a word and form one token run of their own.
@@ -19,13 +21,6 @@ def _encoder(path: str):
     return Tokenizer.from_file(path)
 
 
-def _bytes(ids: list[int]) -> bytes:
-    a = array("I", ids)
-    if sys.byteorder == "big":
-        a.byteswap()
-    return a.tobytes()
-
-
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
@@ -39,50 +34,74 @@ class Encoder:
     def __init__(self, path: str):
         self.path = path
         self.pieces: dict[str, bytes | None] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+        self.line = len(self._ids(["\n"])[0])
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [_bytes(e.ids) for e in _encoder(self.path).encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in _encoder(self.path).encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
         """Put the ids of new pieces into the cache."""
-        made: list[tuple[str, list[str]]] = []
+        whole, head, tail = self.pieces, [], []
         for p in new:
-            after_line = p[:1] == "\n"
-            word = p[1:] if after_line else p
+            word = p[1:] if p[:1] == "\n" else p
             if not word or word != word.strip() or "<|" in word:
-                self.pieces[p] = None
+                whole[p] = None
                 continue
             letters = word.rstrip(_MARKS)
-            head = ["\n", letters] if after_line else [" " + letters]
-            if letters.isalpha():
-                made.append((p, [*head, word[len(letters) :]]))
-            else:
-                made.append((p, ["\n", word] if after_line else [" " + word]))
+            if len(letters) == len(word) or not letters.isalpha():
+                letters = word
+            head.append(p[:1] + letters if p is not word else " " + letters)
+            tail.append(word[len(letters) :])
         parts = self.parts
-        missing = list({x for _, xs in [("", ["\n"]), *made] for x in xs if x and x not in parts})
+        missing = list({x for x in (*head, *tail) if x not in parts})
+        # parts are encoded between line ends, which part texts and have one id of their own
         for at in range(0, len(missing), 20_000):
             some = missing[at : at + 20_000]
-            parts.update(zip(some, self._ids(some)))
-        parts[""] = b""
-        self.pieces.update((p, b"".join([parts[x] for x in xs])) for p, xs in made)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; a null one has none."""
+            ids = self._ids(["\n".join(["", *(x.lstrip("\n") for x in some), ""])])[0]
+            line = ids[:1].tobytes()
+            ends = np.flatnonzero(ids == ids[0]) * 4
+            body = ids.tobytes()
+            parts.update((x, line + body[a + 4 : z] if x[0] == "\n" else body[a + 4 : z]) for x, a, z in zip(some, ends.tolist(), ends[1:].tolist()))
+        whole.update(zip([p for p in new if p not in whole], [parts[x] + parts[y] for x, y in zip(head, tail)]))
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of a column of texts in one array, and where each text's start and end there; a
+        null text has none."""
         if len(self.pieces) > CACHE or len(self.parts) > CACHE:
             self.pieces.clear()
-            self.parts.clear()
-        pieces = self.pieces
+            self.parts = {"": b""}
+        texts = pc.fill_null(column.cast(pa.string()), "")
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         # the first piece of a text follows nothing, so it is made one that follows a line end
-        split = [("\n" + t.replace("\n", " \n")).split(" ") if t else [] for t in texts]
-        self._learn([p for p in set().union(*split) if p not in pieces])
-        out = []
-        for text, own in zip(texts, split):
-            try:
-                out.append(b"".join(map(pieces.__getitem__, own))[len(self.parts["\n"]) if own else 0 :])
-            except TypeError:
-                out.append(self._ids([text])[0])
-        return out
+        lines = pc.binary_join_element_wise(pa.scalar("\n"), pc.replace_substring(texts, "\n", " \n"), "")
+        split = pc.split_pattern(lines, " ")
+        coded = split.flatten().dictionary_encode()
+        of, codes = split.offsets.to_numpy(), coded.indices.to_numpy()
+        names = coded.dictionary.to_pylist()
+        pieces = self.pieces
+        self._learn([p for p in names if p not in pieces])
+        own = [pieces[p] for p in names]
+        pool = np.frombuffer(b"".join(x for x in own if x), "<u4")
+        sizes = np.array([len(x) // 4 if x else 0 for x in own])
+        n = sizes[codes]
+        past = np.concatenate([[0], np.cumsum(n)])
+        ids = pool[np.repeat((np.cumsum(sizes) - sizes)[codes] - past[:-1], n) + np.arange(past[-1])]
+        start, end = past[of[:-1]] + self.line, past[of[1:]]
+        unlike = np.array([x is None for x in own])[codes]
+        whole = np.flatnonzero(np.add.reduceat(unlike, of[:-1], dtype=np.int64))
+        if len(whole):
+            extra = self._ids(texts.take(pa.array(whole)).to_pylist())
+            end[whole] = len(ids) + np.cumsum([len(x) for x in extra])
+            start[whole] = end[whole] - [len(x) for x in extra]
+            ids = np.concatenate([ids, *extra])
+        return ids, start, end
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as bytes."""
+        ids, start, end = self.encode_column(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(start, end)]
 
 
 @lru_cache(2)

@@ -67,24 +67,56 @@ def exact(lengths, capacity):
     return best
 
 
-def test_close_to_the_fewest_bins():
+def packed(bins):
+    used = {}
+    for filling, times in bins:
+        for n in filling:
+            used[n] = used.get(n, 0) + times
+    return used
+
+
+def test_the_fewest_bins():
     rng = random.Random(5)
-    over = 0
-    for _ in range(60):
-        lengths = [rng.randint(1, 20) for _ in range(rng.randint(1, 11))]
+    proved = improved = 0
+    for _ in range(150):
+        capacity = rng.choice([10, 20, 30])
+        lengths = [rng.randint(2, capacity) for _ in range(rng.randint(1, 11))]
+        counts = {n: lengths.count(n) for n in lengths}
+        found = P.search(counts, capacity)
+        assert packed(found.bins) == packed(P.best_fit(counts, capacity)) == counts
+        assert all(sum(filling) <= capacity and times > 0 for filling, times in found.bins)
+        best = exact(lengths, capacity)
+        assert found.bound <= best == found.made and found.gap == 0
+        proved += found.proved
+    assert proved == 150
+
+
+def test_branching_beats_best_fit_and_reports_its_gap():
+    rng = random.Random(9)
+    better = 0
+    for _ in range(400):
+        lengths = [rng.randint(15, 60) for _ in range(12)]
         counts = {n: lengths.count(n) for n in lengths}
-        bins = P.pack_counts(counts, 20)
-        used = {}
-        for filling, times in bins:
-            assert sum(filling) <= 20 and times > 0
-            for n in filling:
-                used[n] = used.get(n, 0) + times
-        assert used == counts
-        best = exact(lengths, 20)
-        made = sum(t for _, t in bins)
-        assert P.lower_bound(counts, 20) <= best <= made
-        over += made - best
-    assert over <= 2
+        plain, found = sum(t for _, t in P.best_fit(counts, 100)), P.search(counts, 100)
+        better += found.made < plain
+        stopped = P.search(counts, 100, nodes=0)
+        assert stopped.made == plain and stopped.gap in (0, plain - stopped.bound)
+    assert better > 0
+
+
+def test_dominated_fillings():
+    counts = {8: 1, 5: 1, 3: 2, 2: 1}
+    lengths = sorted(counts)
+    assert P.dominated((5, 3), 0, counts, lengths)  # 8 in place of both
+    assert P.dominated((3,), 2, counts, lengths)  # 5 in place of 3, or 2 beside it
+    assert not P.dominated((8,), 1, counts, lengths)
+    assert list(P.fillings(counts, lengths, 8))[0] == (0, (8,))
+
+
+@pytest.mark.parametrize("counts", [{1: 5000}, {1: 1000}, {1: 700, 2: 5000, 500: 3, 1024: 2}, {1024: 10**9, 1: 10**9}])
+def test_many_small_pieces(counts):
+    found = P.search(counts, 1024)
+    assert packed(found.bins) == counts and found.made == found.bound
 
 
 def test_large_counts_reach_the_bound():
@@ -104,3 +136,9 @@ def test_nulls_empties_long_repeats_and_clashes(make):
     assert P.pack_counts({}, 8) == []
     with pytest.raises(ValueError):
         P.pack_counts({9: 1}, 8)
+
+
+def test_a_table_of_null_texts(spark):
+    docs = spark.range(1200).selectExpr("id AS doc_id", "CAST(NULL AS STRING) AS text", "1 AS _row", "2 AS _rank", "3 AS part")
+    rows = P.pack(docs, P.tokenizer_path()).collect()
+    assert len(rows) == 1200 and len({r["sequence_id"] for r in rows}) == 2 and {r["length"] for r in rows} == {1}
