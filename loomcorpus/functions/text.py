@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Iterable, Mapping
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,17 @@ def bound(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+@F.pandas_udf(T.StringType())
+def _unescaped(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else html.unescape(t))
+
+
+def unescape(text: Column) -> Column:
+    """Named and numbered signs as characters; Spark has no function for all of them, so texts with
+    an ampersand go to Python."""
+    return F.when(text.contains("&"), _unescaped(text)).otherwise(text)
+
+
 def lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 

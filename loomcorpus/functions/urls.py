@@ -122,10 +122,11 @@ def is_allowed_url(url: Column, allowed: Mapping[str, Iterable[str]], blocked: I
 
 
 def source_type(url: Column, hosts: Mapping[str, str], default: str) -> Column:
-    """The type of the longest listed host suffix."""
+    """The type of the longest listed host that the URL's is, or lies under: a suffix that begins at
+    a dot."""
     out = F.lit(default)
-    for suffix, kind in sorted(hosts.items(), key=lambda x: len(x[0])):
-        out = F.when(host(url).endswith(suffix), F.lit(kind)).otherwise(out)
+    for name, kind in sorted(hosts.items(), key=lambda x: len(x[0])):
+        out = F.when((host(url) == name) | host(url).endswith(f".{name}"), F.lit(kind)).otherwise(out)
     return out
 
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import context_flags
+from ..functions.urls import stable_id
+
 _ENDS = re.compile(r"(?<=[。！？!?；;.])\s*")
 _SOFT = "。！？；，.,;"
 _WHOLE = ("#", "- ", "* ", "• ")
@@ -96,27 +99,83 @@ def chunk_documents(docs: DataFrame, key: str, text: str, **sizes: int) -> DataF
     return docs.select(key, text).mapInPandas(run, f"{key} {kind}, position int, chunk string")
 
 
+def build_chunks(docs: DataFrame, key: str, text: str, tier: Column, status: str, catalog: Mapping[str, Sequence[str]], **sizes: int) -> DataFrame:
+    """(chunk_id, key, position, chunk, tier, and an array for each of ``catalog``) of the accepted
+    documents: a stable id from the document and place, and the catalog's terms that a chunk has."""
+    accepted = docs.filter(F.col(status) == "accepted")
+    made = chunk_documents(accepted, key, text, **sizes).join(accepted.select(F.col(key).alias("_k"), tier.alias("tier")), F.col(key) == F.col("_k")).drop("_k")
+    name = stable_id("chunk", F.concat_ws(":", F.col(key).cast("string"), F.col("position").cast("string"), F.md5("chunk")))
+    return made.select(name.alias("chunk_id"), key, "position", "chunk", "tier", *[context_flags(F.col("chunk"), terms).alias(c) for c, terms in catalog.items()])
+
+
 def split_long_units(text: Column, most: int) -> Column:
     """Hard pieces of one long unit, as a column: up to ``most`` characters, cut after a soft mark
     past the middle where there is one."""
     soft = rf"[{re.escape(_SOFT)}]"
     pattern = rf"(?s)(?:.{{1,{most}}}\z|.{{{most // 2},{most - 1}}}{soft}|.{{{most}}})"
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def fold_rows(df: DataFrame, key: str, order: str, size: Column, limit: int) -> DataFrame:
-    """``df`` with ``group``: rows of a key in order, a new group once a group's size has reached
-    ``limit``. The fold runs over an array of sizes, in the JVM."""
-    listed = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order), size.alias("size")))).alias("_r"))
-    start = F.struct(F.lit(0).alias("group"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<int>").alias("out"))
+def _listed(df: DataFrame, key: str, order: str, size: Column) -> DataFrame:
+    """Each key's (order, size) pairs in order: numbers only, the rows themselves don't move."""
+    return df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), size.cast("long").alias("size")))).alias("_r"))
 
-    def step(a: Column, r: Column) -> Column:
-        full = a["sum"] >= limit
-        group = F.when(full, a["group"] + 1).otherwise(a["group"])
-        total = F.when(full, F.lit(0).cast("long")).otherwise(a["sum"]) + r["size"].cast("long")
-        return F.struct(group.alias("group"), total.alias("sum"), F.array_append(a["out"], group).alias("out"))
 
-    folded = listed.select(key, F.arrays_zip(F.col("_r"), F.aggregate("_r", start, step, lambda a: a["out"]).alias("g")).alias("_z"))
-    flat = folded.select(F.col(key).alias("_k"), F.explode("_z").alias("_x"))
-    flat = flat.select("_k", F.col("_x")["_r"][order].alias("_o"), F.col("_x")["g"].alias("group"))
-    return df.join(flat, (F.col(key) == F.col("_k")) & (F.col(order) == F.col("_o"))).drop("_k", "_o")
+def _groups(df: DataFrame, key: str, order: str, size: Column, cut) -> DataFrame:
+    """(key, group, first, last) by ``cut``, which makes (start, end) of a list of sizes."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = []
+            for k, pairs in zip(pdf[key], pdf["_r"]):
+                at = [x["at"] for x in pairs]
+                rows += [(k, g, at[s], at[e - 1]) for g, (s, e) in enumerate(cut([x["size"] for x in pairs]))]
+            yield pd.DataFrame(rows, columns=[key, "group", "first", "last"])
+
+    kind, place = df.schema[key].dataType.simpleString(), df.schema[order].dataType.simpleString()
+    return _listed(df, key, order, size).mapInPandas(run, f"{key} {kind}, group int, first {place}, last {place}")
+
+
+def flushed(sizes: list[int], limit: int) -> list[tuple[int, int]]:
+    """(start, end) of groups that end once their size has reached ``limit``."""
+    out, start, total = [], 0, 0
+    for i, n in enumerate(sizes):
+        total += n
+        if total >= limit:
+            out.append((start, i + 1))
+            start, total = i + 1, 0
+    return [*out, (start, len(sizes))] if start < len(sizes) else out
+
+
+def windowed(sizes: list[int], whole: int, least: int, most: int, overlap: int) -> list[tuple[int, int]]:
+    """(start, end) of groups of ``least`` to ``most``, each starting ``overlap`` rows before the end
+    of the one before; everything is one group where it is under ``whole``. A row is never parted, so
+    a group goes over ``most`` by one that is too large, or to reach ``least``."""
+    if sum(sizes) < whole:
+        return [(0, len(sizes))] if sizes else []
+    out, start = [], 0
+    while True:
+        end, total = start, 0
+        while end < len(sizes) and total < most and not (end > start and total >= least and total + sizes[end] > most):
+            total += sizes[end]
+            end += 1
+        out.append((start, end))
+        if end == len(sizes):
+            return out
+        start = max(start + 1, end - overlap)
+
+
+def chunk_turns(turns: DataFrame, key: str, order: str, size: Column, whole: int = 1200, least: int = 600, most: int = 1000, overlap: int = 3) -> DataFrame:
+    """(key, group, first, last): the turns of each chunk, parted between turns only."""
+    return _groups(turns, key, order, size, lambda sizes: windowed(sizes, whole, least, most, overlap))
+
+
+def chunk_cues(cues: DataFrame, key: str, order: str, size: Column, limit: int = 450) -> DataFrame:
+    """(key, group, first, last): the cues of each chunk, closed once it has ``limit`` characters."""
+    return _groups(cues, key, order, size, lambda sizes: flushed(sizes, limit))
+
+
+def with_rows(groups: DataFrame, rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Each group's rows: those of its key from ``first`` to ``last``."""
+    named = groups.select(F.col(key).alias("_k"), "group", F.col("first").alias("_f"), F.col("last").alias("_l"))
+    return rows.join(named, (F.col(key) == F.col("_k")) & F.col(order).between(F.col("_f"), F.col("_l"))).drop("_k", "_f", "_l")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bound, sentences, term_present
+from ..functions.text import short as cell
+from ..sources.shared import place
 
 
 def dictionary_match(docs: DataFrame, key: str, text: str, terms: Iterable[str]) -> DataFrame:
@@ -47,6 +51,59 @@ def rule_relations(pairs: DataFrame, rules: Sequence[tuple[str, str, float]]) ->
     return pairs.withColumn("_r", out).filter("_r IS NOT NULL").select("*", "_r.relation", "_r.confidence").drop("_r")
 
 
+@dataclass(frozen=True)
+class RelationRule:
+    """A relation that a sentence states of two names: ``pattern`` with {s} and {t} for them, and
+    ``also``, which the sentence must match too. Of a ``family``'s rules only the first that holds
+    counts. ``flipped`` rules state the relation of the second name to the first."""
+
+    relation: str
+    pattern: str
+    confidence: float
+    source_kind: str | None = None
+    target_kind: str | None = None
+    also: str | None = None
+    family: str | None = None
+    flipped: bool = False
+
+
+def typed_relations(pairs: DataFrame, kinds: Mapping[str, str], rules: Sequence[RelationRule], key: str) -> DataFrame:
+    """(key, source, relation, target, confidence, evidence) of every rule that holds for a pair of
+    names in a sentence, ``kinds`` saying what each name is. What one text states twice is one row,
+    with its first sentence."""
+    quoted = {"{s}": F.concat(F.lit(r"\Q"), "source", F.lit(r"\E")), "{t}": F.concat(F.lit(r"\Q"), "target", F.lit(r"\E"))}
+    table = F.create_map(*[F.lit(x) for item in kinds.items() for x in item])
+    hits, taken = [], {}
+    for i, rule in enumerate(rules):
+        pattern = F.concat(*[quoted.get(x, F.lit(x)) for x in re.split(r"(\{[st]\})", rule.pattern) if x])
+        holds = F.regexp_like("evidence", pattern)
+        for column, kind in (("source", rule.source_kind), ("target", rule.target_kind)):
+            if kind:
+                holds = (table[F.col(column)] == kind) & holds
+        if rule.also:
+            holds = holds & F.col("evidence").rlike(rule.also)
+        if rule.family:
+            mine = holds
+            holds = mine & ~taken.get(rule.family, F.lit(False))
+            taken[rule.family] = taken.get(rule.family, F.lit(False)) | mine
+        ends = ("target", "source") if rule.flipped else ("source", "target")
+        row = F.struct(F.col(ends[0]).alias("source"), F.lit(rule.relation).alias("relation"), F.col(ends[1]).alias("target"), F.lit(rule.confidence).alias("confidence"))
+        hits.append(F.when(F.coalesce(holds, F.lit(False)), row))
+    each = pairs.select(key, "sentence", "evidence", F.explode(F.array_compact(F.array(*hits))).alias("_r")).select(key, "sentence", "evidence", "_r.*")
+    first = F.min_by(F.struct("confidence", "evidence"), F.struct("sentence", -F.col("confidence")))
+    return each.groupBy(key, "source", "relation", "target").agg(first.alias("_f")).select(key, "source", "relation", "target", "_f.confidence", "_f.evidence")
+
+
+def named_aliases(docs: DataFrame, key: str, text: str, names: Sequence[str], cue: str, aliases: Sequence[str], confidence: float) -> DataFrame:
+    """(key, source, relation, target, confidence) where a name is followed by a cue and another name
+    that the catalog doesn't list."""
+    each = docs.select(key, F.explode(sentences(F.col(text), 2)).alias("_s"))
+    ends = "|".join(rf"\Q{a}\E" for a in sorted(aliases, key=lambda a: (-len(a), a)))
+    found = F.array(*[F.struct(F.lit(n).alias("source"), F.regexp_extract("_s", rf"\Q{n}\E(?:{cue})({ends})", 1).alias("target")) for n in names])
+    out = each.select(key, F.explode(F.filter(found, lambda x: x["target"] != "")).alias("_x"))
+    return out.select(key, "_x.source", F.lit("ALIAS_OF").alias("relation"), "_x.target", F.lit(confidence).alias("confidence")).distinct()
+
+
 def conflicts(relations: DataFrame) -> DataFrame:
     """Pairs that more than one relation is claimed for."""
     g = relations.groupBy("source", "target").agg(F.array_join(F.array_sort(F.collect_set("relation")), ",").alias("relations"), F.count_distinct("relation").alias("n"))
@@ -70,16 +127,25 @@ def shingle_signature(text: Column, n: int = 5, size: int = 64) -> Column:
 
 def near_duplicates(signatures: DataFrame, key: str, least: float = 0.5) -> DataFrame:
     """Pairs of keys whose signatures overlap by so much of the smaller one. Equal signatures are
-    one group, named by its smallest key, and members are tied to it; pairs are counted between
-    groups only, so copies are never expanded."""
+    one group, named by its smallest key, and members are tied to it; groups are compared only where
+    one of the smaller one's rarest hashes, as many as it must have one of, is in the other. So
+    neither copies nor common hashes are expanded into pairs."""
+    at = place(signatures.sparkSession, "signatures")  # they take long to make and are read often
+    signatures.select(key, "signature").write.parquet(at)
+    signatures = signatures.sparkSession.read.parquet(at)
     grouped = signatures.groupBy("signature").agg(F.min(key).alias("_g"))
     member = signatures.join(grouped, "signature")
     ties = member.filter(F.col(key) != F.col("_g")).select(F.col("_g").alias("a"), F.col(key).alias("b"), F.lit(1.0).alias("similarity"))
     each = grouped.select("_g", F.size("signature").alias("n"), F.explode("signature").alias("h"))
+    often = each.groupBy("h").agg(F.count(F.lit(1)).alias("_c"))
+    nth = F.row_number().over(Window.partitionBy("_g").orderBy("_c", "h"))
+    rarest = each.join(often, "h").withColumn("_nth", nth).filter(F.col("_nth") <= F.col("n") - F.ceil(least * F.col("n")) + 1)
     other = each.select(F.col("_g").alias("_b"), F.col("n").alias("m"), "h")
-    both = each.join(other, "h").filter("_g < _b").groupBy("_g", "_b", "n", "m").agg(F.count(F.lit(1)).alias("c"))
-    share = F.col("c") / F.least("n", "m")
-    pairs = both.filter(share >= least).select(F.col("_g").alias("a"), F.col("_b").alias("b"), F.round(share, 4).alias("similarity"))
+    met = rarest.join(other, "h").filter("_g <> _b AND n <= m").select(F.least("_g", "_b").alias("a"), F.greatest("_g", "_b").alias("b")).distinct()
+    sides = [grouped.select(F.col("_g").alias(f"_{x}"), F.col("signature").alias(f"_s{x}")) for x in "ab"]
+    both = met.join(sides[0], F.col("a") == F.col("_a")).join(sides[1], F.col("b") == F.col("_b"))
+    share = F.size(F.array_intersect("_sa", "_sb")) / F.least(F.size("_sa"), F.size("_sb"))
+    pairs = both.withColumn("_share", share).filter(F.col("_share") >= least).select("a", "b", F.round("_share", 4).alias("similarity"))
     return ties.unionByName(pairs)
 
 
@@ -93,21 +159,46 @@ def evidence_kind(title: Column, text: Column, topic: str, marker: str, least: i
     return F.when(count == 0, F.when(title.contains(topic), "direct")).when(direct, "direct").when((F.size(segments) >= 2) | (chars >= least), "substantial").otherwise("mention_only")
 
 
-def coverage(evidence: DataFrame, layer: str, official: Column) -> DataFrame:
-    """Counts per topic and layer, and over all layers (layer null), in one pass."""
-    g = evidence.withColumn("_o", official).groupingSets([["topic", layer], ["topic"]], "topic", layer)
+def coverage(evidence: DataFrame, layer: str, official: Column, title: Column, url: Column) -> DataFrame:
+    """Per topic and layer, and over all layers (layer null), in one pass: how much evidence of each
+    kind, documents, official ones, whether a document is dedicated to the topic, by its title, and
+    the first addresses in order."""
+    g = evidence.withColumns({"_o": official, "_t": title.contains(F.col("topic")), "_u": url}).groupingSets([["topic", layer], ["topic"]], "topic", layer)
     return g.agg(
         F.count_if(F.col("kind") == "direct").alias("direct"), F.count_if(F.col("kind") == "substantial").alias("substantial"),
         F.count_if(F.col("kind") == "mention_only").alias("mentions"), F.count_distinct("doc_id").alias("documents"),
         F.count_distinct(F.when(F.col("_o"), F.col("doc_id"))).alias("official_documents"),
+        F.coalesce(F.bool_or(F.col("_t")), F.lit(False)).alias("dedicated"), F.count_distinct("_u").alias("urls"), F.min("_u").alias("first_url"),
     )
 
 
+def confirmed(topics: Sequence[str], entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """(topic, confirmed_entities, confirmed_relations): confirmed rows of ``entities`` (name) and
+    ``relations`` (source, target) that name the topic."""
+    held = entities.sparkSession.createDataFrame([(t,) for t in topics], "topic string")
+    flag = lambda c: F.array(*[F.when(c.contains(t), F.lit(t)) for t in topics])
+    of = lambda df, *columns: df.select(F.explode(F.array_distinct(F.array_compact(F.concat(*[flag(F.col(c)) for c in columns])))).alias("topic"))
+    count = lambda df, name: df.groupBy("topic").agg(F.count(F.lit(1)).alias(name))
+    out = held.join(count(of(entities, "name"), "confirmed_entities"), "topic", "left")
+    return out.join(count(of(relations, "source", "target"), "confirmed_relations"), "topic", "left").na.fill(0)
+
+
 def coverage_status(direct: Column, substantial: Column, documents: Column, official: Column, dedicated: Column, confirmed: Column) -> Column:
     """missing, thin, usable or strong."""
-    strong = (direct >= 5) & (documents >= 3) & (official >= 1) & (confirmed >= 1)
-    usable = ((direct >= 2) & (documents >= 2)) | ((direct >= 3) & dedicated)
-    return F.when(direct + substantial == 0, "missing").when(strong, "strong").when(usable, "usable").otherwise("thin")
+    strong = (official >= 3) & (direct >= 5) & (confirmed >= 1)
+    usable = ((direct >= 2) & (documents >= 2)) | (dedicated & (direct >= 3))
+    return F.when(strong, "strong").when(usable, "usable").when(direct + substantial == 0, "missing").otherwise("thin")
+
+
+def review_rows(found: DataFrame, docs: DataFrame, key: str, text: str, source: str, sources: int = 3, short: int = 120) -> DataFrame:
+    """Per term of ``found`` (key, term, n): documents, mentions, the first few sources and the first
+    sentence that has it, cut for a table's cell."""
+    rows = found.join(docs.select(key, source, text), key)
+    sentence = F.get(F.filter(sentences(F.col(text), 2), lambda s: F.contains(s, F.col("term"))), 0)
+    g = rows.withColumn("_s", sentence).groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("mentions"), F.min_by("_s", key).alias("_s"))
+    firsts = rows.groupBy("term", source).agg(F.min(key).alias("_k"))
+    few = firsts.groupBy("term").agg(F.array_join(F.slice(F.array_sort(F.collect_list(F.struct("_k", source)))[source], 1, sources), ",").alias("sources"))
+    return g.join(few, "term").select("term", "documents", "mentions", "sources", cell(F.col("_s"), short).alias("snippet"))
 
 
 def longest_prefix(urls: DataFrame, key: str, host: Column, path: Column, sources: Mapping[str, Sequence[tuple[str, str]]]) -> DataFrame:

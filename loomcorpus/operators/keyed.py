@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def validated(df: DataFrame, rules: Sequence[tuple[Column, str]]) -> DataFrame:
@@ -47,7 +48,8 @@ def first_seen(df: DataFrame, value: str, order: str) -> DataFrame:
     """``df`` with ``is_duplicate`` and ``duplicate_of``, the first row's ``order`` value. One
     partial aggregate and a join, so a very common value is no task of its own."""
     firsts = df.groupBy(value).agg(F.min(order).alias("_first"))
-    out = df.join(firsts, value)
+    named = firsts.select(F.col(value).alias("_value"), "_first")
+    out = df.join(named, F.col(value).eqNullSafe(F.col("_value"))).drop("_value")
     later = F.col(order) != F.col("_first")
     return out.withColumns({"is_duplicate": later, "duplicate_of": F.when(later, F.col("_first"))}).drop("_first")
 
@@ -69,11 +71,51 @@ def quota(df: DataFrame, group: str, quotas: DataFrame, order: Sequence[Column],
     return out.orderBy("priority", "rank", *order).limit(cap) if cap is not None else out
 
 
-def reserve_then_fill(df: DataFrame, group: str, key: str, reserve: int, total: int, order: Sequence[Column]) -> DataFrame:
-    """The best ``reserve`` of each group, then the best of the rest up to ``total``."""
-    first = df.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    taken = F.col("_n") <= reserve
-    return first.withColumn("reserved", taken).orderBy(F.col("reserved").desc(), *order).limit(total).drop("_n")
+def reserve_then_fill(df: DataFrame, group: str, targets: DataFrame, extra: int, total: int, within: Sequence[Column], over: Sequence[Column]) -> DataFrame:
+    """Each group's target and ``extra`` more, by the order ``within`` a group and the priority of
+    groups, then the best of all the rest by the order ``over`` them, ``total`` in all. ``targets``
+    has group, target and priority; a group without one has nothing reserved."""
+    t = targets.select(F.col(group).alias("_g"), "target", "priority")
+    ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*within))).join(t, F.col(group) == F.col("_g"), "left")
+    reserved = F.coalesce(F.col("_n") <= F.col("target") + extra, F.lit(False))
+    place = [F.col("reserved").desc(), F.when(F.col("reserved"), F.col("priority")), F.when(F.col("reserved"), F.col("_n")), *over]
+    return ranked.withColumn("reserved", reserved).orderBy(*place).limit(total).drop("_g", "_n", "target", "priority")
+
+
+def stratified_sample(df: DataFrame, stratum: str, key: str, score: str, flags: str, quotas: Mapping[str, int], least: Mapping[str, int]) -> DataFrame:
+    """(stratum, key): each stratum's ``quotas`` rows of the highest score, then swaps until
+    enough of the sample have each flag of ``least``, in their order. A swap puts the best row with
+    the flag in the place of its stratum's worst without it, where that costs least score.
+
+    A stratum's quota and, for each flag, as many of its best rows with the flag as the whole sample
+    is large are all that can be chosen, so no more than those come to the driver.
+    """
+    size = sum(quotas.values())
+    order = [F.col(score).desc(), F.col(key)]
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(stratum, *keys).orderBy(*order))
+    held = df.filter(F.col(stratum).isin(list(quotas))).withColumn("_n", rank())
+    held = held.withColumns({f"_{f}": rank(F.col(flags)[f]) for f in least})
+    useful = F.col("_n") <= F.create_map(*[F.lit(x) for item in quotas.items() for x in item])[F.col(stratum)]
+    for f in least:
+        useful = useful | (F.col(flags)[f] & (F.col(f"_{f}") <= size))
+    rows = held.filter(useful).select(stratum, key, score, flags).collect()
+    rows.sort(key=lambda r: (-r[score], r[key]))
+    chosen = [r for s, n in quotas.items() for r in [x for x in rows if x[stratum] == s][:n]]
+    for flag, enough in least.items():
+        while sum(r[flags][flag] for r in chosen) < enough:
+            swaps = []
+            for s in quotas:
+                better = next((r for r in rows if r[stratum] == s and r[flags][flag] and r not in chosen), None)
+                worse = [r for r in chosen if r[stratum] == s and not r[flags][flag]]
+                if better and worse:
+                    victim = min(worse, key=lambda r: r[score])
+                    swaps.append((better[score] - victim[score], victim, better))
+            if not swaps:
+                break
+            _, victim, better = max(swaps, key=lambda x: x[0])
+            chosen[chosen.index(victim)] = better
+    kinds = T.StructType([df.schema[stratum], df.schema[key]])
+    return df.sparkSession.createDataFrame([(r[stratum], r[key]) for r in chosen], kinds)
 
 
 def cap_per_key(df: DataFrame, key: str, most: int, order: Sequence[Column]) -> DataFrame:

@@ -1,21 +1,29 @@
 """Retrieval for batches of queries: BM25, hashed and dense vectors, fusion, packing, measures.
 
-Every ranking is a table (query_id, chunk_id, score, rank). Statistics of the corpus are tables
-made once for all queries. Only the queries' own terms and buckets are kept of the postings, so the
-corpus is read once and shuffled by what queries ask for.
+Every ranking is a table (query_id, chunk_id, score, rank). Queries are taken in blocks of at most
+QUERY_BLOCK, which bounds what tasks are sent. A task scores its batches of chunks against a block as
+a sparse product and keeps the best of each query, so what is shuffled is a few rows per query and
+batch and never a row per query and chunk.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
+from hashlib import sha256
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-#: Queries that one pass multiplies dense vectors with.
-QUERY_BLOCK = 1024
+#: Queries that one pass scores, and chunks that are scored at once.
+QUERY_BLOCK, BATCH = 1024, 512
+_BEST = "query_id long, chunk_id long, score double"
 
 
 def ranked(scores: DataFrame, k: int) -> DataFrame:
@@ -38,28 +46,149 @@ def corpus_size(chunks: DataFrame, terms: Column) -> DataFrame:
 
 
 def term_stats(table: DataFrame) -> DataFrame:
-    """(term, df) of a postings table."""
-    return table.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """(term, df, tf) of a postings table: in how many chunks a term is, and how often in all."""
+    return table.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+
+
+@dataclass(frozen=True)
+class Postings:
+    """The entries of a block's queries by column: of column c those from starts[c] to starts[c + 1]."""
+
+    query: np.ndarray
+    weight: np.ndarray
+    starts: np.ndarray
+
+    @classmethod
+    def of(cls, query: np.ndarray, column: np.ndarray, weight: np.ndarray, columns: int) -> Postings:
+        order = np.argsort(column, kind="stable")
+        return cls(query[order], weight[order], np.searchsorted(column[order], np.arange(columns + 1)))
+
+    def times(self, row: np.ndarray, column: np.ndarray, value: np.ndarray, queries: int, rows: int) -> np.ndarray:
+        """The product with sparse rows, as queries by rows."""
+        first = self.starts[column]
+        n = self.starts[column + 1] - first
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        flat = self.query[at] * rows + np.repeat(row, n)
+        return np.bincount(flat, weights=self.weight[at] * np.repeat(value, n), minlength=queries * rows).reshape(queries, rows)
+
+
+@dataclass(frozen=True)
+class Tokens:
+    """The tokens of a batch of rows: their row and number in ``names``, and each row's length."""
+
+    row: np.ndarray
+    code: np.ndarray
+    names: pa.Array
+    length: np.ndarray
+
+    @classmethod
+    def of(cls, lists: pa.Array) -> Tokens:
+        length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        return cls(np.repeat(np.arange(len(lists)), length), coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, length)
+
+    def counts(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, number, how often) of the tokens by the numbers of their names; negative ones are
+        left out."""
+        number = numbers[self.code]
+        width = int(numbers.max(initial=0)) + 1
+        pairs, n = np.unique((self.row * width + number)[number >= 0], return_counts=True)
+        return pairs // width, pairs % width, n
+
+    def numbers(self, vocabulary: pa.Array) -> np.ndarray:
+        return pc.fill_null(pc.index_in(self.names, value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+@dataclass(frozen=True)
+class Asked:
+    """A block of queries: ids, the vocabulary of their terms, and (query, term, how often)."""
+
+    ids: np.ndarray
+    vocabulary: pa.Array
+    query: np.ndarray
+    term: np.ndarray
+    n: np.ndarray
+
+    @classmethod
+    def of(cls, rows: Sequence) -> Asked:
+        tokens = Tokens.of(pa.array([r["terms"] or [] for r in rows], pa.list_(pa.string())))
+        query, term, n = tokens.counts(np.arange(len(tokens.names)))
+        return cls(np.array([r["query_id"] for r in rows], np.int64), tokens.names, query, term, n)
+
+
+def blocks_of(queries: DataFrame, terms: Callable[[Column], Column]) -> Iterator[Asked]:
+    rows = queries.select("query_id", terms(F.col("text")).alias("terms")).toLocalIterator()
+    return (Asked.of(block) for block in batched(rows, QUERY_BLOCK))
+
+
+def best_of(ids: np.ndarray, names: np.ndarray, score: np.ndarray, k: int) -> pa.RecordBatch:
+    """The ``k`` best positive scores of each query in a matrix of queries by chunks, by id if equal."""
+    score = np.round(score, 10)
+    k = min(k, score.shape[1])
+    least = np.partition(score, -k, axis=1)[:, -k] if k else np.zeros(len(ids))
+    query, chunk = np.nonzero((score >= least[:, None]) & (score > 0))
+    order = np.lexsort((names[chunk], -score[query, chunk], query))
+    query, chunk = query[order], chunk[order]
+    nth = np.arange(len(query)) - np.searchsorted(query, query)
+    query, chunk = query[nth < k], chunk[nth < k]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids[query], pa.int64()), pa.array(names[chunk], pa.int64()), pa.array(score[query, chunk], pa.float64())],
+        ["query_id", "chunk_id", "score"],
+    )
+
+
+def scored(chunks: DataFrame, terms: Callable[[Column], Column], ids: np.ndarray, k: int, score: Callable[[Tokens], np.ndarray]) -> DataFrame:
+    """The best chunks of a block of queries, ``score`` giving queries by chunks of a batch."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for at in range(0, b.num_rows, BATCH):
+                part = b.slice(at, BATCH)
+                yield best_of(ids, part.column("chunk_id").to_numpy(zero_copy_only=False), score(Tokens.of(part.column("_t"))), k)
+
+    return chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), terms(F.col("text")).alias("_t")).mapInArrow(run, _BEST)
+
+
+def _union(parts: list[DataFrame], queries: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts) if parts else queries.sparkSession.createDataFrame([], _BEST)
+
+
+def frequencies(chunks: DataFrame, terms: Callable[[Column], Column], vocabulary: pa.Array) -> tuple[np.ndarray, int, int]:
+    """In how many chunks each term of a block's vocabulary is, how many chunks and tokens there
+    are. Tasks send sums; no more rows come back than the vocabulary has terms, and two."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, chunks, length = np.zeros(len(vocabulary), np.int64), 0, 0
+        for b in it:
+            tokens = Tokens.of(b.column("_t"))
+            df += np.bincount(tokens.counts(tokens.numbers(vocabulary))[1], minlength=len(vocabulary))
+            chunks += b.num_rows
+            length += int(tokens.length.sum())
+        met = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([*met, -1, -2], pa.int64()), pa.array([*df[met], chunks, length], pa.int64())], ["term", "n"])
+
+    each = chunks.select(terms(F.col("text")).alias("_t")).mapInArrow(run, "term long, n long")
+    sums = {r["term"]: r["n"] for r in each.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    return np.array([sums.get(i, 0) for i in range(len(vocabulary))], np.int64), sums.get(-1, 0), sums.get(-2, 0)
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, terms, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """``queries`` (query_id, text) against ``chunks`` (chunk_id, text); ``terms`` makes tokens of
-    a text column. A term that a query repeats counts as often."""
-    asked = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term"))
-    asked = asked.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    wanted = asked.select("term").distinct()
-    held = chunks.select("chunk_id", terms(F.col("text")).alias("_t")).withColumn("length", F.size("_t"))
-    size = held.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
-    each = held.select("chunk_id", "length", F.explode("_t").alias("term")).join(wanted, "term", "left_semi")
-    tf = each.groupBy("chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = asked.join(df, "term").crossJoin(F.broadcast(size)).select(
-        "query_id", "term", (F.col("qtf") * idf).alias("weight"), F.greatest(F.lit(1.0), "mean").alias("mean")
-    )
-    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scores = tf.join(weighed, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
-    return ranked(scores, k)
+    """``queries`` (query_id, text) against ``chunks`` (chunk_id, text), whose ids are whole numbers;
+    ``terms`` makes tokens of a text column. A term that a query repeats counts as often."""
+    parts = []
+    for asked in blocks_of(queries, terms):
+        df, n, length = frequencies(chunks, terms, asked.vocabulary)
+        mean = max(1.0, length / max(n, 1))
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        held = Postings.of(asked.query, asked.term, asked.n * idf[asked.term], len(df))
+
+        def score(t: Tokens, asked=asked, held=held, mean=mean) -> np.ndarray:
+            row, term, tf = t.counts(t.numbers(asked.vocabulary))
+            gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * t.length[row] / mean))
+            return held.times(row, term, gain, len(asked.ids), len(t.length))
+
+        parts.append(scored(chunks, terms, asked.ids, k, score))
+    return ranked(_union(parts, queries), k)
 
 
 def bucket(term: Column, dimensions: int) -> Column:
@@ -74,15 +203,35 @@ def hashed_vectors(rows: DataFrame, key: str, terms: Column, dimensions: int = 2
     return each.join(norm, key).select(key, "bucket", (F.col("count") / F.col("_n")).alias("weight"))
 
 
+def buckets_of(names: pa.Array, dimensions: int) -> np.ndarray:
+    """``bucket`` of each name."""
+    return np.array([int.from_bytes(sha256(x.encode()).digest()[:4], "big") % dimensions for x in names.to_pylist()], np.int64)
+
+
+def unit_counts(row: np.ndarray, n: np.ndarray, rows: int) -> np.ndarray:
+    return n / np.sqrt(np.bincount(row, weights=n * n, minlength=rows))[row]
+
+
 def hashed_rank(queries: DataFrame, chunks: DataFrame, terms, k: int, dimensions: int = 2048) -> DataFrame:
     """Cosine of hashed vectors, for pairs that share a term and not a bucket only."""
-    q = hashed_vectors(queries, "query_id", terms(F.col("text")), dimensions).withColumnRenamed("weight", "_q")
-    c = hashed_vectors(chunks, "chunk_id", terms(F.col("text")), dimensions).withColumnRenamed("weight", "_c")
-    scores = q.join(c, "bucket").groupBy("query_id", "chunk_id").agg(F.sum(F.col("_q") * F.col("_c")).alias("score"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    said = chunks.select("chunk_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    share = asked.join(said, "term").select("query_id", "chunk_id").distinct()
-    return ranked(scores.join(share, ["query_id", "chunk_id"], "left_semi"), k)
+    parts = []
+    for asked in blocks_of(queries, terms):
+        width = len(asked.vocabulary)
+        pairs = asked.query * dimensions + buckets_of(asked.vocabulary, dimensions)[asked.term]
+        pairs, of = np.unique(pairs, return_inverse=True)
+        query, n = pairs // dimensions, np.bincount(of, weights=asked.n)
+        held = Postings.of(query, pairs % dimensions, unit_counts(query, n, len(asked.ids)), dimensions)
+        said = Postings.of(asked.query, asked.term, np.ones(len(asked.term)), width)
+
+        def score(t: Tokens, asked=asked, held=held, said=said) -> np.ndarray:
+            row, bucket, n = t.counts(buckets_of(t.names, dimensions))
+            size = len(asked.ids), len(t.length)
+            cosine = held.times(row, bucket, unit_counts(row, n.astype(float), size[1]), *size)
+            row, term, n = t.counts(t.numbers(asked.vocabulary))
+            return np.where(said.times(row, term, n, *size) > 0, cosine, 0.0)
+
+        parts.append(scored(chunks, terms, asked.ids, k, score))
+    return ranked(_union(parts, queries), k)
 
 
 def unit_vector(v: Column) -> Column:
@@ -93,41 +242,23 @@ def unit_vector(v: Column) -> Column:
 
 
 def dense_rank(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Cosine of ``queries`` (query_id, vector) and ``vectors`` (chunk_id, vector) of one size.
-
-    Queries are taken in blocks of QUERY_BLOCK, whose matrix is multiplied with each batch of
-    vectors in the tasks; a task keeps its ``k`` best, and those are ranked together.
-    """
-    total = queries.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    out = None
-    for i in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).select("query_id", unit_vector(F.col("vector")).alias("v"))
-        rows = part.filter("v is not null").collect()
-        ids = np.array([r[0] for r in rows], np.int64)
-        matrix = np.array([r[1] for r in rows], np.float64)
-        if len(rows) == 0:
-            continue
+    """Cosine of ``queries`` (query_id, vector) and ``vectors`` (chunk_id, vector) of one size, whose
+    ids are whole numbers."""
+    held = vectors.select(F.col("chunk_id").cast("long").alias("chunk_id"), unit_vector(F.col("vector")).alias("v")).filter("v is not null")
+    asked = queries.select("query_id", unit_vector(F.col("vector")).alias("v")).filter("v is not null")
+    parts = []
+    for rows in batched(asked.toLocalIterator(), QUERY_BLOCK):
+        ids, matrix = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
 
         def run(it: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
             for b in it:
-                flat = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                names = b.column("chunk_id").to_numpy(zero_copy_only=False)
-                score = np.round(matrix @ flat.T, 10)
-                n = min(k, score.shape[1])
-                for q in range(0, len(ids)):
-                    order = np.lexsort((names, -score[q]))[:n]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, ids[q])), pa.array(names[order]), pa.array(score[q][order])],
-                        ["query_id", "chunk_id", "score"],
-                    )
-
-        held = vectors.select("chunk_id", unit_vector(F.col("vector")).alias("v")).filter("v is not null")
-        best = held.mapInArrow(run, "query_id long, chunk_id long, score double")
-        out = best if out is None else out.unionByName(best)
-    if out is None:
-        out = queries.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double")
-    return ranked(out, k)
+                for at in range(0, b.num_rows, BATCH):
+                    part = b.slice(at, BATCH)
+                    flat = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                    yield best_of(ids, part.column("chunk_id").to_numpy(zero_copy_only=False), matrix @ flat.T, k)
+
+        parts.append(held.mapInArrow(run, _BEST))
+    return ranked(_union(parts, queries), k)
 
 
 def rrf(rankings: Sequence[DataFrame], k: int, c: int = 60, preferred: Column | None = None, bonus: float = 0.002) -> DataFrame:
@@ -172,12 +303,45 @@ def stale(chunks: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def signature(rows: DataFrame, key: str, digest: str) -> DataFrame:
-    """One hash of a corpus that doesn't depend on order: hashes are hashed per prefix of the key's
-    hash, and the 4096 results in order."""
-    line = F.sha2(F.concat_ws(":", key, digest), 256)
-    parts = rows.select(line.alias("h")).groupBy(F.substring("h", 1, 3).alias("p"))
-    lists = parts.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("x"))
-    return lists.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]), ""), 256).alias("signature"))
+    """One hash of a corpus that doesn't depend on order: the rows' hashes are hashed in order by
+    their first eight digits, those by the first six, and so on, so no group is larger than 256 or
+    what shares eight digits."""
+    level = rows.select(F.sha2(F.concat_ws(":", key, digest), 256).alias("h")).withColumn("p", F.substring("h", 1, 8))
+    for digits in (8, 6, 4, 2, 0):
+        in_order = F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda s: s["h"])
+        group = F.substring("p", 1, digits) if digits else F.lit("")
+        level = level.groupBy(group.alias("g")).agg(F.sha2(F.array_join(in_order, ""), 256).alias("h")).select(F.col("g").alias("p"), "h")
+    return level.select(F.col("h").alias("signature"))
+
+
+def passages_in(docs: DataFrame, key: str, text: str, passages: DataFrame) -> DataFrame:
+    """(passage_id, key) of the texts in which a passage (passage_id, passage) stands, read once for
+    a block of QUERY_BLOCK passages. An empty passage stands nowhere."""
+    kind, name = docs.schema[key].dataType.simpleString(), passages.schema["passage_id"].dataType.simpleString()
+    passages_type = passages.schema["passage_id"].dataType
+    parts = []
+    for rows in batched(passages.select("passage_id", "passage").filter("passage <> ''").toLocalIterator(), QUERY_BLOCK):
+        wanted: dict[str, list] = {}
+        for r in rows:
+            wanted.setdefault(r["passage"], []).append(r["passage_id"])
+
+        def run(it: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            machine = ahocorasick.Automaton()
+            for passage in wanted:
+                machine.add_word(passage, passage)
+            machine.make_automaton()
+            for b in it:
+                found = [(p, i) for i, t in enumerate(b.column(text).to_pylist()) if t for w in {w for _, w in machine.iter(t)} for p in wanted[w]]
+                ids = [p for p, _ in found]
+                rows_of = pa.array([i for _, i in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, to_arrow_type(passages_type)), b.column(key).take(rows_of)], ["passage_id", key])
+
+        parts.append(docs.select(key, text).mapInArrow(run, f"passage_id {name}, {key} {kind}"))
+    if not parts:
+        return docs.sparkSession.createDataFrame([], f"passage_id {name}, {key} {kind}")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def evaluate(ranking: DataFrame, gold: DataFrame, cases: DataFrame, ks: Iterable[int] = (1, 3, 5)) -> DataFrame:

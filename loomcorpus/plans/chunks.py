@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text, urls
 from ..operators import chunking
 from .registry import query, table
 
@@ -13,12 +12,12 @@ def chunks_of(spark, d):
     return chunking.chunk_documents(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("""SELECT doc_id, sum(length(x))::BIGINT AS chars, max(length(x)) <= 300 AS fits FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).{1,300}')) AS x FROM documents) GROUP BY doc_id""")
+@query(r"""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '(?s)(?:.{1,300}\z|.{150,299}[。！？；，.,;]|.{300})'), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)
+SELECT doc_id, i AS position, length(l[i])::INT AS chars, md5(l[i]) AS digest FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM p)""")
 def c1_split_long_units(spark, d):
-    """Hard pieces without loss: joined again they are the text."""
-    pieces = F.regexp_extract_all("text", F.lit(r"(?s)(?:.{1,300}\z|.{150,299}[。！？；，.,;]|.{300})"), F.lit(0))
-    each = table(spark, d, "documents").filter("text <> ''").select("doc_id", F.explode(pieces).alias("x"))
-    return each.groupBy("doc_id").agg(F.sum(F.length("x")).alias("chars"), (F.max(F.length("x")) <= 300).alias("fits"))
+    """Texts cut at 300 characters, after the last soft mark past the middle where there is one."""
+    each = table(spark, d, "documents").select("doc_id", F.posexplode(chunking.split_long_units(F.col("text"), 300)).alias("i", "x"))
+    return each.select("doc_id", (F.col("i") + 1).cast("long").alias("position"), F.length("x").alias("chars"), F.md5("x").alias("digest"))
 
 
 @query()
@@ -28,12 +27,14 @@ def c2_split_text(spark, d):
 
 @query()
 def c3_build_chunks(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source", "lang")
-    made = chunks_of(spark, d).join(docs, "doc_id")
-    key = urls.stable_id("chunk", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("position").cast("string"), "chunk"))
+    """Chunks of accepted documents, with ids, tier, names and the era and universe they speak of."""
+    docs = table(spark, d, "documents")
+    status = F.when(F.col("n_chars") < 20, "rejected").otherwise("accepted")
+    held = docs.select("doc_id", "text", "source", "lang", status.alias("status"))
+    catalog = {"names": ("tion", "keit", "que"), "era": ("was", "war"), "universe": ("the", "der", "la")}
     tier = F.when(F.col("source") == "src0", "A").otherwise("C")
-    names = F.array_join(text.context_flags(F.col("chunk"), ("tion", "keit", "que")), ",")
-    return made.select(key.alias("chunk_id"), "doc_id", "position", tier.alias("tier"), names.alias("entities"))
+    made = chunking.build_chunks(held, "doc_id", "text", tier, "status", catalog)
+    return made.select("chunk_id", "doc_id", "position", "tier", *[F.array_join(c, ",").alias(c) for c in catalog])
 
 
 @query("SELECT doc_id, 'web' AS origin FROM documents WHERE source <> 'src0' UNION ALL SELECT doc_id, 'manual' FROM documents WHERE source = 'src0'")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import any_of, stage
+from ..functions.rules import stage
+from ..functions.urls import stable_id
 from ..operators import chunking, dialogue
 from .registry import query, table
 
@@ -80,11 +81,19 @@ def f18_speaks_to(spark, d):
     return dialogue.adjacency(table(spark, d, "conversations"), "conv_id", "turn", "role")
 
 
-@query("""WITH c AS (SELECT conv_id, turn, substr(text, 1, 2) AS cue FROM conversations WHERE NOT regexp_matches(substr(text, 1, 2), '^[A-D]')),
-l AS (SELECT *, lag(cue) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM c) SELECT conv_id, turn, cue FROM l WHERE before IS NULL OR cue <> before""")
-def f19_drop_repeated_cues(spark, d):
-    cues = table(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 2).alias("cue"))
-    return dialogue.without_repeats(cues, "conv_id", "turn", "cue", "^[A-D]")
+_CLEAN = r"""l AS (SELECT conv_id, turn, list_filter(list_transform(string_split(replace(text, chr(13), chr(10)), chr(10)), lambda x: trim(regexp_replace(x, '[\t\f\v ]+', ' ', 'g'))), lambda x: x <> '') AS a FROM {cues}),
+cl AS (SELECT conv_id, turn, array_to_string(list_filter(a, lambda x, i: i = 1 OR x <> a[i - 1]), chr(10)) AS content FROM l)"""
+
+
+@query("WITH cues AS (SELECT conv_id, turn * 2 + i AS turn, CASE WHEN i = 1 AND turn % 2 = 0 THEN '[sound]' ELSE replace(text, 'the', '&lt;&amp;') END AS text FROM conversations, range(0, 2) r(i)), "
+       + _CLEAN.format(cues="(SELECT conv_id, turn, replace(text, '&lt;&amp;', '<&') AS text FROM cues)")
+       + ", k AS (SELECT *, lag(content) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM cl WHERE content <> '' AND NOT regexp_matches(content, '^\\[[a-z]+\\]$')) SELECT conv_id, turn, md5(content) AS digest FROM k WHERE before IS NULL OR content <> before")
+def f19_clean_cues(spark, d):
+    """Each turn as two cues, the second a sound or the same again, with signs by name."""
+    cue = F.when((F.col("i") == 1) & (F.col("turn") % 2 == 0), "[sound]").otherwise(F.replace("text", F.lit("the"), F.lit("&lt;&amp;")))
+    twice = table(spark, d, "conversations").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(1))))
+    cues = twice.select("conv_id", (F.col("turn") * 2 + F.col("i")).alias("turn"), cue.alias("content"))
+    return dialogue.cleaned_cues(cues, "conv_id", "turn", "content", r"^\[[a-z]+\]$").select("conv_id", "turn", F.md5("content").alias("digest"))
 
 
 @query(f"""WITH {_T}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM t)
@@ -132,56 +141,89 @@ def a29_daily_rollup(spark, d):
     return g.select("conv_id", F.array_join("r.text", "\n").alias("day_text"), "n")
 
 
-@query("""WITH l AS (SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS target FROM conversations WHERE role <> 'system'),
+#: A title names who speaks and of whom, as its first two words; "la" and "the" stand for oneself.
+ABOUT, ITSELF = r"^(\p{L}+) (\p{L}+)", "la"
+
+
+@query(r"""WITH l AS (SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS target FROM conversations WHERE role <> 'system'),
 st AS (SELECT conv_id, 'SPEAKS_TO' AS relation, role AS source, target FROM l WHERE target IS NOT NULL AND target <> role GROUP BY ALL),
 sp AS (SELECT DISTINCT conv_id, role FROM conversations WHERE role <> 'system'),
 aw AS (SELECT a.conv_id, 'APPEARS_WITH' AS relation, a.role AS source, b.role AS target FROM sp a JOIN sp b ON a.conv_id = b.conv_id AND a.role < b.role),
-sa AS (SELECT DISTINCT conv_id, 'SPEAKS_ABOUT' AS relation, role AS source, regexp_extract(text, '^([A-Z][a-z]+)', 1) AS target FROM conversations WHERE role <> 'system' AND turn = 0 AND regexp_matches(text, '^[A-Z][a-z]+')),
+ti AS (SELECT conv_id, split_part(arg_min(text, turn), chr(10), 1) AS title FROM conversations GROUP BY 1),
+sa AS (SELECT conv_id, 'SPEAKS_ABOUT' AS relation, regexp_extract(title, '^(\p{L}+) (\p{L}+)', 1) AS source, CASE regexp_extract(title, '^(\p{L}+) (\p{L}+)', 2) WHEN 'la' THEN regexp_extract(title, '^(\p{L}+) (\p{L}+)', 1) ELSE regexp_extract(title, '^(\p{L}+) (\p{L}+)', 2) END AS target
+  FROM ti WHERE regexp_matches(title, '^(\p{L}+) (\p{L}+)')),
 u AS (SELECT * FROM st UNION ALL SELECT * FROM aw UNION ALL SELECT * FROM sa)
 SELECT conv_id, relation, source, target, 'edge_' || substr(sha256(concat_ws('|', conv_id::VARCHAR, relation, source, target)), 1, 20) AS edge_id FROM u""")
 def c6_dialogue_edges(spark, d):
-    turns = table(spark, d, "conversations").filter("role <> 'system'")
-    to = dialogue.adjacency(turns, "conv_id", "turn", "role").select("conv_id", F.lit("SPEAKS_TO").alias("relation"), "source", "target")
-    who = turns.select("conv_id", "role").distinct()
-    other = who.select(F.col("conv_id").alias("_c"), F.col("role").alias("target"))
-    pairs = who.join(other, (F.col("conv_id") == F.col("_c")) & (F.col("role") < F.col("target")))
-    pairs = pairs.select("conv_id", F.lit("APPEARS_WITH").alias("relation"), F.col("role").alias("source"), "target")
-    topic = F.regexp_extract("text", "^([A-Z][a-z]+)", 1)
-    about = turns.filter("turn = 0").select("conv_id", F.lit("SPEAKS_ABOUT").alias("relation"), F.col("role").alias("source"), topic.alias("target"))
-    edges = to.unionByName(pairs).unionByName(about.filter("target <> ''").distinct())
-    digest = F.sha2(F.concat_ws("|", F.col("conv_id").cast("string"), "relation", "source", "target"), 256)
-    return edges.withColumn("edge_id", F.concat(F.lit("edge_"), F.substring(digest, 1, 20)))
-
-
-@query("""WITH c AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN role ELSE regexp_extract(text, '^([A-Z][a-z]+)', 1) END AS subject, regexp_extract(text, '(is|of) ([a-z]{4,})', 2) AS object,
-  CASE regexp_extract(text, '(is|of) ([a-z]{4,})', 1) WHEN 'is' THEN 'IS' WHEN 'of' THEN 'MEMBER_OF' END AS relation, text FROM conversations)
-SELECT conv_id, turn, subject, relation, object FROM c WHERE relation IS NOT NULL AND NOT contains(text, '?') AND lower(subject) <> object AND subject <> ''""")
+    """The first line of a conversation is its title."""
+    turns = table(spark, d, "conversations")
+    titles = turns.groupBy("conv_id").agg(F.substring_index(F.min_by("text", "turn"), "\n", 1).alias("title"))
+    edges = dialogue.evidence_edges(turns.filter("role <> 'system'"), titles, "conv_id", "turn", "role", ABOUT, ITSELF)
+    return edges.withColumn("edge_id", stable_id("edge", F.concat_ws("|", F.col("conv_id").cast("string"), "relation", "source", "target")))
+
+
+NAMES = ("the", "der", "des", "que", "la", "of", "and", "tion", "und", "le")
+PATTERNS = tuple(
+    dialogue.Assertion(*x)
+    for x in (
+        ("MEMBER_OF", r"(?: is| of) ", 0.82, r"(?: of)?"), ("MEMBER_OF", " to ", 0.78), ("ALIAS_OF", r"(?: en| et) ", 0.85), ("PARTICIPATED_IN", r" in(?: a| it)? ", 0.8),
+        ("CREATED_BY", r" (?:by|from) ", 0.82), ("LEADER_OF", r" (?:was|are) ", 0.82, r"(?: that| in)?"), ("FRIEND_OF", " with ", 0.78), ("TRUSTS", " de ", 0.76), ("KNOWS", " ", 0.72),
+    )
+)
+DOUBTS = ("?", " or ", " if ")
+
+
+def _assertions_sql() -> str:
+    either = "|".join(sorted(NAMES, key=lambda n: (-len(n), n)))
+    parts = []
+    for i, p in enumerate(PATTERNS):
+        whole = f"({either}|he)(?:{p.cue})({either}){p.after}".replace("'", "''")
+        parts.append(f"SELECT conv_id, turn, role, unnest(regexp_extract_all(text, '{whole}', 1)) AS source, '{p.relation}' AS relation, unnest(regexp_extract_all(text, '{whole}', 2)) AS target, {p.confidence}::DOUBLE AS confidence, {i} AS i FROM t")
+    return ("WITH t AS (SELECT * FROM conversations WHERE role <> '' AND NOT (contains(text, '?') OR contains(text, ' or ') OR contains(text, ' if '))), m AS (" + " UNION ALL ".join(parts)
+            + "), s AS (SELECT conv_id, turn, CASE WHEN source = 'he' THEN role ELSE source END AS source, relation, target, confidence FROM m) "
+            "SELECT conv_id, turn, source, relation, target, count(*) > 0 AS found FROM s WHERE source <> target GROUP BY ALL")
+
+
+@query(_assertions_sql().replace("relation, target, count(*) > 0 AS found", "relation, target, max(confidence) >= 0.7 AS sure"))
 def c7_assertions(spark, d):
-    pattern = r"(is|of) ([a-z]{4,})"
-    cue = F.regexp_extract("text", pattern, 1)
-    subject = F.when(F.col("role") == "user", F.col("role")).otherwise(F.regexp_extract("text", "^([A-Z][a-z]+)", 1))
-    df = table(spark, d, "conversations").filter(~any_of(F.col("text"), ("?",))).select(
-        "conv_id", "turn", subject.alias("subject"), F.when(cue == "is", "IS").when(cue == "of", "MEMBER_OF").alias("relation"),
-        F.regexp_extract("text", pattern, 2).alias("object"),
-    )
-    return df.filter("relation IS NOT NULL AND lower(subject) <> object AND subject <> ''")
+    """Nine patterns; "he" stands for the speaker."""
+    out = dialogue.assertions(table(spark, d, "conversations"), "conv_id", "turn", "role", "text", NAMES, "he", PATTERNS, DOUBTS)
+    return out.select("conv_id", "turn", "source", "relation", "target", (F.col("confidence") >= 0.7).alias("sure"))
+
+
+_SIZES = "n AS (SELECT conv_id, turn, length(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS total, sum(length(text)) OVER (PARTITION BY conv_id) AS chars, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS upto FROM conversations)"
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SIZES},
+e AS (SELECT s.conv_id, s.i AS s, min(x.i) + 1 AS e FROM n s JOIN n x ON s.conv_id = x.conv_id AND x.i >= s.i LEFT JOIN n y ON y.conv_id = x.conv_id AND y.i = x.i + 1
+  WHERE x.i = x.total - 1 OR x.upto - s.upto + s.size >= 1000 OR (x.upto - s.upto + s.size >= 600 AND y.upto - s.upto + s.size > 1000) GROUP BY s.conv_id, s.i, s.total),
+g AS (SELECT conv_id, 0 AS grp, 0::BIGINT AS s FROM n WHERE i = 0 UNION ALL SELECT g.conv_id, grp + 1, greatest(g.s + 1, e.e - 3) FROM g JOIN e ON e.conv_id = g.conv_id AND e.s = g.s JOIN n ON n.conv_id = g.conv_id AND n.i = 0 WHERE e.e < n.total AND n.chars >= 1200),
+b AS (SELECT g.conv_id, grp, g.s, CASE WHEN n.chars < 1200 THEN n.total ELSE e.e END AS e FROM g JOIN e ON e.conv_id = g.conv_id AND e.s = g.s JOIN n ON n.conv_id = g.conv_id AND n.i = 0)
+SELECT b.conv_id, grp AS "group", min(turn) AS first, max(turn) AS last, sum(size)::BIGINT AS chars FROM b JOIN n ON n.conv_id = b.conv_id AND n.i >= b.s AND n.i < b.e GROUP BY b.conv_id, grp""")
 def c4_chunk_turns(spark, d):
-    """Groups of turns of at least 600 characters, split between turns only."""
-    folded = chunking.fold_rows(table(spark, d, "conversations"), "conv_id", "turn", F.length("text"), 600)
-    return folded.groupBy("conv_id", "group").agg(F.min("turn").alias("first"), F.max("turn").alias("last"), F.sum(F.length("text")).alias("chars"))
+    """Groups of 600 to 1000 characters with three turns in common, whole where under 1200."""
+    turns = table(spark, d, "conversations")
+    held = chunking.with_rows(chunking.chunk_turns(turns, "conv_id", "turn", F.length("text")), turns, "conv_id", "turn")
+    return held.groupBy("conv_id", "group").agg(F.min("turn").alias("first"), F.max("turn").alias("last"), F.sum(F.length("text")).alias("chars"))
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE role <> 'system'),
+f AS (SELECT conv_id, turn, text, i, 0 AS grp, length(text) AS sum FROM n WHERE i = 1 UNION ALL SELECT n.conv_id, n.turn, n.text, n.i, CASE WHEN f.sum >= 450 THEN grp + 1 ELSE grp END, CASE WHEN f.sum >= 450 THEN 0 ELSE f.sum END + length(n.text) FROM f JOIN n ON n.conv_id = f.conv_id AND n.i = f.i + 1)
+SELECT conv_id, grp AS "group", min(turn) * 5.0::DOUBLE AS start_seconds, max(turn) * 5.0::DOUBLE + 5 AS end_seconds, sum(length(text))::BIGINT AS chars, 'https://video.example/' || conv_id || '?t=' || (min(turn) * 5)::INT AS link, md5(string_agg(text, chr(10) ORDER BY turn)) AS digest
+FROM f WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING count(*) > 1) GROUP BY conv_id, grp""")
 def c5_chunk_cues(spark, d):
-    """Turns as cues of five seconds each, flushed from 450 characters on."""
-    cues = table(spark, d, "conversations").filter("role <> 'system'")
-    folded = chunking.fold_rows(cues, "conv_id", "turn", F.length("text"), 450)
-    return folded.groupBy("conv_id", "group").agg(
-        (F.min("turn") * 5.0).alias("start_seconds"), (F.max("turn") * 5.0 + 5).alias("end_seconds"), F.sum(F.length("text")).alias("chars")
-    )
+    """Turns as cues of five seconds each, flushed from 450 characters on, with a link to the first
+    second. Conversations of one turn are of a tier that yields none."""
+    turns = table(spark, d, "conversations")
+    official = turns.groupBy("conv_id").agg((F.count(F.lit(1)) > 1).alias("good")).filter("good").select("conv_id")
+    cues = turns.filter("role <> 'system'").join(official, "conv_id", "left_semi")
+    held = chunking.with_rows(chunking.chunk_cues(cues, "conv_id", "turn", F.length("text")), cues, "conv_id", "turn")
+    text = F.array_join(F.sort_array(F.collect_list(F.struct("turn", "text")))["text"], "\n")
+    start = F.min("turn") * 5
+    return held.groupBy("conv_id", "group").agg(
+        (start * 1.0).alias("start_seconds"), (F.max("turn") * 5.0 + 5).alias("end_seconds"), F.sum(F.length("text")).alias("chars"),
+        F.concat(F.lit("https://video.example/"), F.first("conv_id").cast("string"), F.lit("?t="), start.cast("string")).alias("link"), F.md5(text).alias("digest"),
+    )
 
 
 @query("""WITH u AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE role = 'user'),

@@ -25,9 +25,9 @@ def s3_validated_scan(spark, d):
     return keyed.validated(docs_of(spark, d), checks).select("doc_id", F.array_join("violations", ",").alias("violations"))
 
 
-@query("""SELECT d.doc_id, d.doc_id <> f.first AS is_duplicate, CASE WHEN d.doc_id <> f.first THEN f.first END AS duplicate_of FROM documents d JOIN (SELECT md5(text) AS h, min(doc_id) AS first FROM documents GROUP BY 1) f ON md5(d.text) = f.h""")
+@query("""SELECT d.doc_id, d.doc_id <> f.first AS is_duplicate, CASE WHEN d.doc_id <> f.first THEN f.first END AS duplicate_of FROM documents d JOIN (SELECT sha256(text) AS h, min(doc_id) AS first FROM documents GROUP BY 1) f ON sha256(d.text) = f.h""")
 def f1_first_seen_dedup(spark, d):
-    df = docs_of(spark, d).select("doc_id", F.xxhash64("text", F.md5("text")).alias("h"))
+    df = docs_of(spark, d).select("doc_id", F.sha2("text", 256).alias("h"))
     return keyed.first_seen(df, "h", "doc_id").select("doc_id", "is_duplicate", "duplicate_of")
 
 
@@ -63,10 +63,24 @@ def f6_predicate_quota(spark, d):
 
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n <= 6")
 def f7_stratified_sample(spark, d):
+    """The first step: each language's quota of the longest."""
     out = keyed.cap_per_key(docs_of(spark, d), "lang", 6, [F.col("n_chars").desc(), F.col("doc_id")])
     return out.filter("NOT over_cap").select("doc_id")
 
 
+FLAGS = {"table": ("|", 6), "official": (None, 4), "long": (None, 1)}
+
+
+@query()
+def f7_swapped_sample(spark, d):
+    """Both steps: swaps within a language until enough have a bar, are official and are long."""
+    df = docs_of(spark, d).select(
+        "doc_id", "lang", F.col("n_chars").alias("score"),
+        F.struct(F.col("text").contains("|").alias("table"), (F.col("source") == "src0").alias("official"), (F.col("n_chars") > 3000).alias("long")).alias("flags"),
+    )
+    return keyed.stratified_sample(df, "lang", "doc_id", "score", "flags", {"en": 4, "de": 3, "fr": 3, "es": 2}, {k: n for k, (_, n) in FLAGS.items()})
+
+
 @query("""WITH a AS (SELECT conv_id, min(turn) FILTER (contains(text, 'tion')) AS anchor FROM conversations GROUP BY 1) SELECT conv_id, turn FROM conversations JOIN a USING (conv_id) WHERE turn BETWEEN anchor - 2 AND anchor + 2""")
 def f8_sample_turns(spark, d):
     t = table(spark, d, "conversations")
@@ -157,10 +171,57 @@ _REL = _PAIRS + r""", r AS (SELECT doc_id, x, source, target, CASE WHEN regexp_m
 RULES = (("MEMBER_OF", "[a-z]* of [a-z]*", 0.9), ("KNOWS", "[a-z]* [a-z]{1,12} [a-z]*", 0.6))
 
 
-@query(f"WITH {_REL} SELECT relation, source, target, count(*) AS n, count(DISTINCT doc_id) AS documents FROM r WHERE relation IS NOT NULL GROUP BY ALL")
+NAME_KINDS = {"tion": "character", "that": "character", "ther": "faction", "keit": "event"}
+_NEAR = "{s}.{0,40}{t}|{t}.{0,40}{s}"
+TYPED = tuple(
+    graph.RelationRule(*x)
+    for x in (
+        ("MEMBER_OF", "{s}.{0,24}(?: of | is ).{0,20}{t}|{t}.{0,30}(?: by | with ).{0,30}{s}", 0.82, None, "faction"),
+        ("HOLDS_ROLE_IN", "{s}.{0,20} as .{0,20}{t}", 0.76, "character", "faction"),
+        ("CREATED_BY", "{s}.{0,20} from .{0,20}{t}", 0.8, "character", "faction", None, None, True),
+        ("ALLY_OF", _NEAR, 0.72, "character", "character", "and|with", "bond"),
+        ("ENEMY_OF", _NEAR, 0.72, "character", "character", "was|not", "bond"),
+        ("KNOWS", _NEAR, 0.68, "character", "character", "to|in", "bond"),
+        ("SIBLING_OF", "{s}.{0,12} is {t}", 0.82, "character", "character"),
+        ("COMPANION_OF", "{s}.{0,12} of {t}", 0.78, "character", "character"),
+        ("LEADS", "{s}.{0,12} to {t}", 0.8, "character", "character"),
+        ("ALIAS_OF", "{s}.{0,12} a {t}", 0.84, "character", "character"),
+        ("PARTICIPATED_IN", "{s}.{0,30}(?: in | und ).{0,30}{t}", 0.76, "character", "event"),
+        ("RELATED_TO", "{s}.{0,30}(?: it | der ).{0,30}{t}|{t}.{0,30}(?: it | der ).{0,30}{s}", 0.65),
+    )
+)
+
+
+def _typed_sql() -> str:
+    kind = lambda c: f"CASE {c} " + " ".join(f"WHEN '{n}' THEN '{k}'" for n, k in NAME_KINDS.items()) + " END"
+    parts, taken = [], {}
+    for rule in TYPED:
+        pattern = "'" + rule.pattern.replace("{s}", "' || source || '").replace("{t}", "' || target || '") + "'"
+        holds = [f"regexp_matches(x, {pattern})"]
+        holds += [f"{kind(c)} = '{k}'" for c, k in (("source", rule.source_kind), ("target", rule.target_kind)) if k]
+        holds += [f"regexp_matches(x, '{rule.also}')"] if rule.also else []
+        mine = "(" + " AND ".join(holds) + ")"
+        before = taken.setdefault(rule.family, []) if rule.family else []
+        where = " AND ".join([mine, *[f"NOT {x}" for x in before]])
+        if rule.family:
+            before.append(mine)
+        ends = "target AS source, source AS target" if rule.flipped else "source, target"
+        parts.append(f"SELECT doc_id, {ends}, '{rule.relation}' AS relation, {rule.confidence}::DOUBLE AS confidence FROM p WHERE {where}")
+    return f"WITH {_PAIRS}, y AS (" + " UNION ALL ".join(parts) + ") SELECT doc_id, source, relation, target, max(confidence) AS confidence, 'rel_' || substr(sha256(concat_ws('|', doc_id::VARCHAR, source, relation, target)), 1, 20) AS relation_id FROM y GROUP BY ALL"
+
+
+@query(_typed_sql())
 def c8_rule_relations(spark, d):
-    g = graph.rule_relations(pairs_of(spark, d), RULES).groupBy("relation", "source", "target")
-    return g.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("documents"))
+    """Twelve typed rules with most gaps; of the three bonds between characters the first that holds."""
+    out = graph.typed_relations(pairs_of(spark, d), NAME_KINDS, TYPED, "doc_id")
+    key = urls.stable_id("rel", F.concat_ws("|", F.col("doc_id").cast("string"), "source", "relation", "target"))
+    return out.select("doc_id", "source", "relation", "target", "confidence", key.alias("relation_id"))
+
+
+@query(r"""WITH s AS (SELECT doc_id, trim(unnest(regexp_extract_all(text, '[^。！？!?；;.\n]*[。！？!?；;.]|[^。！？!?；;.\n]+'))) AS x FROM documents), n AS (SELECT unnest(['tion', 'keit', 'ther', 'that']) AS source)
+SELECT DISTINCT doc_id, source, 'ALIAS_OF' AS relation, regexp_extract(x, source || '(?:.{0,12} (?:for|und) )(ention|the|der)', 1) AS target, 0.84::DOUBLE AS confidence FROM s, n WHERE length(x) >= 2 AND regexp_matches(x, source || '(?:.{0,12} (?:for|und) )(ention|the|der)')""")
+def c8_named_aliases(spark, d):
+    return graph.named_aliases(docs_of(spark, d), "doc_id", "text", NAMES, r".{0,12} (?:for|und) ", ("ention", "the", "der"), 0.84)
 
 
 @query(f"WITH {_REL} SELECT source, target, string_agg(DISTINCT relation, ',' ORDER BY relation) AS relations, count(DISTINCT relation) AS n FROM r WHERE relation IS NOT NULL GROUP BY ALL HAVING count(DISTINCT relation) > 1")
@@ -207,36 +268,56 @@ def p14_evidence_kind(spark, d):
     return evidence_of(spark, d).select("doc_id", "topic", "kind")
 
 
-_COVER = f"""WITH {_EVIDENCE}, c AS (SELECT topic, CASE WHEN source = 'src0' THEN 'official' ELSE 'other' END AS layer, * EXCLUDE (topic) FROM ev),
+EV_TOPICS = ("ention", "keit", "que")
+_COVER = f"""WITH {_EVIDENCE}, tt AS (SELECT doc_id, split_part(text, chr(10), 1) AS title FROM documents), c AS (SELECT topic, CASE WHEN source = 'src0' THEN 'official' ELSE 'other' END AS layer, title, * EXCLUDE (topic) FROM ev JOIN tt USING (doc_id)),
 cov AS (SELECT topic, layer, count_if(kind = 'direct') AS direct, count_if(kind = 'substantial') AS substantial, count_if(kind = 'mention_only') AS mentions, count(DISTINCT doc_id) AS documents,
-  count(DISTINCT CASE WHEN source = 'src0' THEN doc_id END) AS official_documents FROM c GROUP BY GROUPING SETS ((topic, layer), (topic)))"""
+  count(DISTINCT CASE WHEN source = 'src0' THEN doc_id END) AS official_documents, coalesce(bool_or(contains(title, topic)), false) AS dedicated, count(DISTINCT source || '/' || lang) AS urls, min(source || '/' || lang) AS first_url FROM c GROUP BY GROUPING SETS ((topic, layer), (topic))),
+en AS (SELECT topic, count(*) AS confirmed_entities FROM (SELECT unnest(['ention', 'keit', 'que']) AS topic) JOIN (SELECT item_id, text FROM benchmark) ON contains(text, topic) GROUP BY 1),
+rl AS (SELECT topic, count(*) AS confirmed_relations FROM (SELECT unnest(['ention', 'keit', 'que']) AS topic) JOIN (SELECT conv_id, role, text FROM conversations WHERE role = 'system' OR turn = 1) ON contains(role, topic) OR contains(text, topic) GROUP BY 1),
+cf AS (SELECT topic, coalesce(confirmed_entities, 0) AS confirmed_entities, coalesce(confirmed_relations, 0) AS confirmed_relations FROM (SELECT unnest(['ention', 'keit', 'que']) AS topic) LEFT JOIN en USING (topic) LEFT JOIN rl USING (topic)),
+mx AS (SELECT * FROM cov LEFT JOIN cf USING (topic))"""
 
 
 def coverage_of(spark, d):
+    """Benchmark items are the confirmed entities, first replies the confirmed relations."""
     layer = F.when(F.col("source") == "src0", "official").otherwise("other")
-    return graph.coverage(evidence_of(spark, d).withColumn("layer", layer), "layer", F.col("source") == "src0")
+    titles = docs_of(spark, d).select("doc_id", F.substring_index("text", "\n", 1).alias("title"))
+    evidence = evidence_of(spark, d).withColumn("layer", layer).join(titles, "doc_id")
+    made = graph.coverage(evidence, "layer", F.col("source") == "src0", F.col("title"), F.concat_ws("/", "source", "lang"))
+    entities = table(spark, d, "benchmark").select(F.col("text").alias("name"))
+    relations = table(spark, d, "conversations").filter("role = 'system' OR turn = 1").select(F.col("role").alias("source"), F.col("text").alias("target"))
+    return made.join(graph.confirmed(EV_TOPICS, entities, relations), "topic", "left")
+
 
+def _status_of():
+    c = F.col
+    return graph.coverage_status(c("direct"), c("substantial"), c("documents"), c("official_documents"), c("dedicated"), c("confirmed_entities") + c("confirmed_relations"))
 
-@query(_COVER + " SELECT topic, coalesce(layer, 'all') AS layer, direct, substantial, mentions, documents, official_documents FROM cov")
+
+@query(_COVER + " SELECT topic, coalesce(layer, 'all') AS layer, direct, substantial, mentions, documents, official_documents, dedicated, urls, first_url, confirmed_entities, confirmed_relations FROM mx")
 def a9_coverage_matrix(spark, d):
     return coverage_of(spark, d).withColumn("layer", F.coalesce("layer", F.lit("all")))
 
 
-_STATUS = """CASE WHEN direct + substantial = 0 THEN 'missing' WHEN direct >= 5 AND documents >= 3 AND official_documents >= 1 THEN 'strong' WHEN direct >= 2 AND documents >= 2 THEN 'usable' ELSE 'thin' END"""
+_STATUS = """CASE WHEN official_documents >= 3 AND direct >= 5 AND confirmed_entities + confirmed_relations >= 1 THEN 'strong' WHEN (direct >= 2 AND documents >= 2) OR (dedicated AND direct >= 3) THEN 'usable' WHEN direct + substantial = 0 THEN 'missing' ELSE 'thin' END"""
+_NEEDS = """concat_ws(';', CASE WHEN direct = 0 THEN 'direct evidence' END, CASE WHEN direct < 2 OR documents < 2 THEN 'two direct chunks of two documents' END, CASE WHEN NOT dedicated AND direct < 3 THEN 'a page of its own' END,
+  CASE WHEN substantial = 0 THEN 'whole passages elsewhere' END, CASE WHEN official_documents = 0 THEN 'an official document' END, CASE WHEN confirmed_entities + confirmed_relations = 0 THEN 'confirmation' END)"""
 
 
-@query(_COVER + f" SELECT topic, {_STATUS} AS status, concat_ws(';', CASE WHEN official_documents = 0 THEN 'no official document' END, CASE WHEN direct < 5 THEN 'more direct evidence' END) AS missing FROM cov WHERE layer IS NULL")
+@query(_COVER + f" SELECT topic, coalesce(layer, 'all') AS layer, {_STATUS} AS status, {_NEEDS} AS missing FROM mx")
 def a10_coverage_status(spark, d):
-    c = coverage_of(spark, d).filter("layer IS NULL")
-    status = graph.coverage_status(F.col("direct"), F.col("substantial"), F.col("documents"), F.col("official_documents"), F.lit(False), F.lit(1))
-    need = rules.reasons([(F.col("official_documents") == 0, "no official document"), (F.col("direct") < 5, "more direct evidence")])
-    return c.select("topic", status.alias("status"), F.array_join(need, ";").alias("missing"))
+    needs = [
+        (F.col("direct") == 0, "direct evidence"), ((F.col("direct") < 2) | (F.col("documents") < 2), "two direct chunks of two documents"),
+        (~F.col("dedicated") & (F.col("direct") < 3), "a page of its own"), (F.col("substantial") == 0, "whole passages elsewhere"),
+        (F.col("official_documents") == 0, "an official document"), (F.col("confirmed_entities") + F.col("confirmed_relations") == 0, "confirmation"),
+    ]
+    c = coverage_of(spark, d)
+    return c.select("topic", F.coalesce("layer", F.lit("all")).alias("layer"), _status_of().alias("status"), F.array_join(rules.reasons(needs), ";").alias("missing"))
 
 
-@query(_COVER + f" SELECT count_if({_STATUS} = 'strong') AS strong, count_if({_STATUS} = 'usable') AS usable, count_if({_STATUS} IN ('thin', 'missing')) AS weak, bool_and(documents > 0) AS all_seen FROM cov WHERE layer IS NULL")
+@query(_COVER + f" SELECT count_if({_STATUS} = 'strong') AS strong, count_if({_STATUS} = 'usable') AS usable, count_if({_STATUS} IN ('thin', 'missing')) AS weak, bool_and(documents > 0) AS all_seen FROM mx WHERE layer IS NULL")
 def a11_coverage_targets(spark, d):
-    status = graph.coverage_status(F.col("direct"), F.col("substantial"), F.col("documents"), F.col("official_documents"), F.lit(False), F.lit(1))
-    c = coverage_of(spark, d).filter("layer IS NULL").withColumn("status", status)
+    c = coverage_of(spark, d).filter("layer IS NULL").withColumn("status", _status_of())
     return c.agg(
         F.count_if(F.col("status") == "strong").alias("strong"), F.count_if(F.col("status") == "usable").alias("usable"),
         F.count_if(F.col("status").isin("thin", "missing")).alias("weak"), F.every(F.col("documents") > 0).alias("all_seen"),
@@ -263,31 +344,6 @@ def c17_metadata_topics(spark, d):
     return docs_of(spark, d).select("doc_id", F.array_join(text.context_flags(F.concat_ws(" ", "source", "text"), TOPICS), ",").alias("topics"))
 
 
-@query(f"WITH {_MATCH} SELECT DISTINCT term, lang FROM m WHERE source = 'src0'")
-def j10_topic_matches(spark, d):
-    m = graph.dictionary_match(docs_of(spark, d).filter("source = 'src0'"), "doc_id", "text", TOPICS)
-    return m.join(docs_of(spark, d).select("doc_id", "lang"), "doc_id").select("term", "lang").distinct()
-
-
-@query("""SELECT doc_id, arg_max(item, score * 1000 - item) AS item_id, max(score) AS score FROM (SELECT doc_id, item_id AS item, len(list_intersect(list_distinct(regexp_extract_all(lower(substr(d.text, 1, 300)), '[a-z0-9_]+')), list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9_]+')))) AS score FROM documents d, benchmark b) WHERE score >= 5 GROUP BY doc_id""")
-def j11_best_hint(spark, d):
-    """The benchmark item that shares most words with a document's opening, by a join on words."""
-    opening = docs_of(spark, d).select("doc_id", F.explode(F.array_distinct(text.tokenize(F.substring("text", 1, 300), "words"))).alias("w"))
-    items = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(text.tokenize(F.col("text"), "words"))).alias("w"))
-    scores = opening.join(items, "w").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("score")).filter("score >= 5")
-    best = scores.groupBy("doc_id").agg(F.max(F.struct("score", (-F.col("item_id")).alias("i"))).alias("b"))
-    return best.select("doc_id", (-F.col("b.i")).alias("item_id"), F.col("b.score").alias("score"))
-
-
-@query("""SELECT topic, count(doc_id) AS official, count(doc_id) < 3 AS gap, CASE WHEN count(doc_id) = 0 THEN 'collect' WHEN count(doc_id) < 3 THEN 'extend' ELSE 'keep' END AS next_step
-FROM (SELECT unnest(['ention', 'keit', 'que', 'zzz']) AS topic) LEFT JOIN documents ON contains(text, topic) AND source = 'src0' GROUP BY topic""")
-def j17_gap_report(spark, d):
-    topics = spark.createDataFrame([(t,) for t in ("ention", "keit", "que", "zzz")], "topic string")
-    found = graph.dictionary_match(docs_of(spark, d).filter("source = 'src0'"), "doc_id", "text", ("ention", "keit", "que", "zzz")).withColumnRenamed("term", "topic")
-    n = F.count("doc_id")
-    return topics.join(found, "topic", "left").groupBy("topic").agg(n.alias("official"), (n < 3).alias("gap"), F.when(n == 0, "collect").when(n < 3, "extend").otherwise("keep").alias("next_step"))
-
-
 @query("""SELECT doc_id, corpus, tier FROM (SELECT doc_id, 'official' AS corpus, 'A' AS tier FROM documents WHERE source = 'src0' AND text <> '' UNION ALL SELECT doc_id, 'dialogue', 'B' FROM documents WHERE source IN ('src1', 'src2') AND lang = 'en' UNION ALL SELECT doc_id, 'navigation', 'C' FROM documents WHERE source = 'src3' AND n_chars > 100)""")
 def o1_unify_corpora(spark, d):
     df = docs_of(spark, d)
@@ -344,11 +400,13 @@ def j3_coalesce_sources(spark, d):
     return pages.join(raw, "page_id", "left").join(audit, "page_id", "left").select("page_id", F.coalesce("r", "a", F.lit("inspect")).alias("origin"))
 
 
-@query("SELECT page_id FROM pages WHERE page_id % 5 IN (SELECT doc_id FROM documents WHERE doc_id < 3)")
+@query(f"""WITH {_NORMAL} SELECT page_id FROM u WHERE regexp_extract(path, '^/([a-z]+)/', 1) IN (SELECT lang FROM documents WHERE source = 'src0' GROUP BY lang HAVING count(*) > 10)""")
 def j12_left_semi(spark, d):
-    chosen = docs_of(spark, d).filter("doc_id < 3").select(F.col("doc_id").alias("k"))
-    pages = table(spark, d, "pages")
-    return pages.join(chosen, F.col("page_id") % 5 == F.col("k"), "left_semi").select("page_id")
+    """Pages in a language that has over ten official documents."""
+    counts = docs_of(spark, d).filter("source = 'src0'").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    chosen = counts.filter("n > 10").select("lang")
+    pages = table(spark, d, "pages").select("page_id", F.regexp_extract(urls.path(F.col("url")), "^/([a-z]+)/", 1).alias("lang"))
+    return pages.join(chosen, "lang", "left_semi").select("page_id")
 
 
 @query(f"""WITH {_NORMAL} SELECT DISTINCT host FROM u WHERE host NOT IN (SELECT host FROM u WHERE page_id % 4 = 0)""")
@@ -367,21 +425,6 @@ def j18_frontier_plan(spark, d):
     return out.select("host", F.when(F.col("bad"), "blocked").when(F.col("over_cap"), "over cap").otherwise("accepted").alias("decision"))
 
 
-@query(f"""WITH {_NORMAL} SELECT host, count(*) AS pages, count_if(page_id % 4 = 0) AS existing, count_if(page_id % 4 <> 0) AS fresh FROM u GROUP BY host""")
-def a31_discovery_report(spark, d):
-    p = table(spark, d, "pages")
-    return p.groupBy(urls.host(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("page_id") % 4 == 0).alias("existing"), F.count_if(F.col("page_id") % 4 != 0).alias("fresh"))
-
-
-@query(f"""WITH {_NORMAL}, r AS (SELECT page_id, host <> lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS host_fixed, contains(url, '#') OR contains(url, '?') AS tail_cut, regexp_matches(path, '.+/$') AS slash_cut FROM u)
-SELECT count_if(host_fixed) AS host_fixed, count_if(tail_cut) AS tail_cut, count_if(slash_cut) AS slash_cut, count_if(host_fixed OR tail_cut OR slash_cut) AS changed FROM r""")
-def a27_metadata_repair(spark, d):
-    u = F.col("url")
-    flags = [(urls.host(u) != F.lower(F.regexp_extract(u, r"^[a-z]+://([^/?#]+)", 1))).alias("a"), (u.contains("#") | u.contains("?")).alias("b"), urls.path(u).rlike(".+/$").alias("c")]
-    r = table(spark, d, "pages").select(*flags)
-    return r.agg(F.count_if("a").alias("host_fixed"), F.count_if("b").alias("tail_cut"), F.count_if("c").alias("slash_cut"), F.count_if(F.col("a") | F.col("b") | F.col("c")).alias("changed"))
-
-
 @query(r"""SELECT page_id, replace(replace(replace(replace(replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&') AS title,
   len(list_distinct(regexp_extract_all(html, '<a href="([^"]+)"', 1)))::INT AS n_links FROM pages""")
 def s14_html_extract(spark, d):
@@ -389,58 +432,18 @@ def s14_html_extract(spark, d):
     return out.select("page_id", "title", F.size("links").alias("n_links"))
 
 
-@query(r"""SELECT page_id, href FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a href="([^"]+)"', 1)) AS href FROM pages) WHERE contains(lower(href), 'th')""")
-def c15_link_records(spark, d):
-    links = extract_html(table(spark, d, "pages")).select("page_id", F.explode("links").alias("l")).select("page_id", F.col("l.href").alias("href"))
-    return links.filter(F.lower("href").contains("th")).distinct()
-
+@query(f"""WITH {_MATCH}, sn AS (SELECT m.*, list_filter(list_transform(regexp_extract_all(text, '[^。！？!?；;.\\n]*[。！？!?；;.]|[^。！？!?；;.\\n]+'), lambda x: trim(x)), lambda x: contains(x, term) AND length(x) >= 2)[1] AS sentence FROM m),
+so AS (SELECT term, string_agg(source, ',' ORDER BY k) AS sources FROM (SELECT term, source, row_number() OVER (PARTITION BY term ORDER BY min(doc_id)) AS k FROM m GROUP BY term, source) WHERE k <= 3 GROUP BY term)
+SELECT term, count(*) AS documents, sum(n)::BIGINT AS mentions, any_value(sources) AS sources, arg_min(CASE WHEN length(flat) > 120 THEN substr(flat, 1, 119) || '…' ELSE flat END, doc_id) AS snippet
+FROM (SELECT *, replace(trim(regexp_replace(sentence, '\\s+', ' ', 'g')), '|', '\\|') AS flat FROM sn) JOIN so USING (term) GROUP BY term""")
+def a30_entity_review(spark, d):
+    """One row per term for a person to decide on: counts, three sources, the first sentence, short."""
+    docs = docs_of(spark, d)
+    found = graph.dictionary_match(docs, "doc_id", "text", TOPICS)
+    return graph.review_rows(found, docs, "doc_id", "text", "source", sources=3, short=120)
 
-@query(r"""WITH l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a href="([^"]+)"', 1)) AS target FROM pages)
-SELECT page_id, relation, target FROM (SELECT page_id, 'LINKS_TO' AS relation, target FROM l UNION ALL SELECT page_id, 'PRECEDES', (lead(page_id) OVER (PARTITION BY lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) ORDER BY page_id))::VARCHAR FROM pages) WHERE target IS NOT NULL""")
-def c11_link_graph(spark, d):
-    pages = table(spark, d, "pages")
-    links = extract_html(pages).select("page_id", F.lit("LINKS_TO").alias("relation"), F.explode("links.href").alias("target"))
-    after = F.lead("page_id").over(Window.partitionBy("host").orderBy("page_id"))
-    order = pages.select("page_id", urls.host(F.col("url")).alias("host")).withColumn("target", after.cast("string")).filter("target IS NOT NULL")
-    return links.unionByName(order.select("page_id", F.lit("PRECEDES").alias("relation"), "target")).dropDuplicates()
 
-
-@query("""WITH f AS (SELECT url, min(page_id) AS first FROM pages GROUP BY url) SELECT page_id, first FROM pages JOIN f USING (url)""")
-def j15_first_navigation(spark, d):
-    pages = table(spark, d, "pages").select("page_id", "url")
-    first = graph.first_per_key(pages, ["url"], [F.col("page_id")]).select("url", F.col("page_id").alias("first"))
-    return pages.join(first, "url").select("page_id", "first")
-
-
-@query(r"""SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10))[2:4], lambda x: NOT regexp_matches(x, '[0-9]')), chr(10)) AS profile FROM documents WHERE len(string_split(text, chr(10))) > 1""")
-def c14_profile_blocks(spark, d):
-    lines = F.split("text", "\n")
-    block = F.filter(F.slice(lines, 2, 3), lambda x: ~x.rlike("[0-9]"))
-    return docs_of(spark, d).filter(F.size(lines) > 1).select("doc_id", F.array_join(block, "\n").alias("profile"))
-
-
-@query(f"""WITH {_MATCH} SELECT term, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (k <= 3) AS first_documents, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS k FROM m) GROUP BY term""")
-def a30_review_tables(spark, d):
-    m = graph.dictionary_match(docs_of(spark, d), "doc_id", "text", TOPICS)
-    k = m.withColumn("k", F.row_number().over(Window.partitionBy("term").orderBy("doc_id"))).filter("k <= 3")
-    firsts = k.groupBy("term").agg(F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("first_documents"))
-    return m.groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(firsts, "term")
-
-
-@query("""WITH t AS (SELECT p_partkey, lower(regexp_replace(p_name, '[^a-z]', '', 'g')) AS t, p_brand FROM part), s AS (SELECT p_partkey AS k, t, p_brand FROM t WHERE p_partkey < 50)
-SELECT t.p_partkey, min(s.k) AS original, CASE WHEN arg_min(s.p_brand, s.k) = t.p_brand THEN 0.95 ELSE 0.9 END::DOUBLE AS similarity FROM t JOIN s ON t.t = s.t AND t.p_partkey > s.k GROUP BY t.p_partkey, t.p_brand""")
-def j7_title_duplicates(spark, d):
-    title = text.normalized_title(F.regexp_replace("p_name", "[^a-z]", ""))
-    t = table(spark, d, "part").select("p_partkey", title.alias("t"), "p_brand")
-    s = t.filter("p_partkey < 50").select(F.col("p_partkey").alias("k"), F.col("t").alias("u"), F.col("p_brand").alias("b"))
-    first = t.join(s, (F.col("t") == F.col("u")) & (F.col("p_partkey") > F.col("k"))).groupBy("p_partkey", "p_brand").agg(F.min(F.struct("k", "b")).alias("m"))
-    return first.select("p_partkey", F.col("m.k").alias("original"), F.when(F.col("m.b") == F.col("p_brand"), 0.95).otherwise(0.9).alias("similarity"))
-
-
-@query("""SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'kept' ELSE 'reset' END AS review FROM benchmark""")
-def j9_carry_forward_review(spark, d):
-    """Reviews stay where the five documents they were made for are the same."""
-    b = table(spark, d, "benchmark").select("item_id", F.array(F.col("item_id"), F.col("item_id") + 1).alias("now"))
-    old = b.select(F.col("item_id").alias("_i"), F.array(F.col("item_id"), F.when(F.col("item_id") % 3 == 0, F.col("item_id") + 1).otherwise(0)).alias("then"))
-    out = b.join(old, F.col("item_id") == F.col("_i"), "left")
-    return out.select("item_id", F.when(F.col("now").eqNullSafe(F.col("then")), "kept").otherwise("reset").alias("review"))
+@query(_typed_sql().replace("SELECT doc_id, source, relation, target, max(confidence) AS confidence, 'rel_' || substr(sha256(concat_ws('|', doc_id::VARCHAR, source, relation, target)), 1, 20) AS relation_id FROM y GROUP BY ALL", "SELECT source, relation, target, max(confidence) AS confidence, count(DISTINCT doc_id) AS documents, min(doc_id) AS first, 'pending' AS review FROM y GROUP BY ALL"))
+def a30_relation_review(spark, d):
+    out = graph.typed_relations(pairs_of(spark, d), NAME_KINDS, TYPED, "doc_id").groupBy("source", "relation", "target")
+    return out.agg(F.max("confidence").alias("confidence"), F.count_distinct("doc_id").alias("documents"), F.min("doc_id").alias("first"), F.lit("pending").alias("review"))

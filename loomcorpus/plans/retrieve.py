@@ -102,7 +102,7 @@ def r6_rrf(spark, d):
 
 
 _RERANK = _FUSED.rstrip() + r""",
-rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY len(list_intersect(regexp_extract_all(lower(text[1:80]), '[a-z0-9_]+'), (SELECT regexp_extract_all(lower(b.text), '[a-z0-9_]+') FROM benchmark b WHERE b.item_id = query_id))) DESC, score DESC, chunk_id) AS place
+rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY len(list_intersect(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z0-9_]+'), (SELECT regexp_extract_all(lower(b.text), '[a-z0-9_]+') FROM benchmark b WHERE b.item_id = query_id))) DESC, score DESC, chunk_id) AS place
   FROM fused WHERE rank <= 50)
 """
 
@@ -111,7 +111,7 @@ rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY len(list_inte
 def r7_metadata_rerank(spark, d):
     base = hybrid(spark, d).filter("rank <= 50")
     asked = queries_of(spark, d).select("query_id", F.array_distinct(words(F.col("text"))).alias("_q"))
-    overlap = F.size(F.array_intersect("_q", words(F.substring("text", 1, 80))))
+    overlap = F.size(F.array_intersect("_q", words(F.substring_index("text", "\n", 1))))
     return _shown(r.rerank(base.join(asked, "query_id"), [overlap.desc()]).filter("rank <= 5"))
 
 
@@ -134,27 +134,6 @@ def f21_pack_context(spark, d):
     return out.select("query_id", "chunk_id", F.col("position").cast("long").alias("position"), F.col("used").cast("long").alias("used"))
 
 
-@query(_DIVERSE + """SELECT query_id, count(*) AS n, string_agg(chunk_id::VARCHAR, ',' ORDER BY position) AS chunks, string_agg('[' || source || '/' || chunk_id || ']', ' ' ORDER BY position) AS citations,
-  max(used)::BIGINT AS used FROM pk WHERE used <= 1500 GROUP BY query_id""")
-def r8_retrieve(spark, d):
-    best = r.diversify(hybrid(spark, d).filter("rank <= 50"), "source", 5)
-    packed = r.pack_context(best, F.least(F.col("n_chars"), F.lit(480)), "position", 1500)
-    row = F.sort_array(F.collect_list(F.struct("position", F.col("chunk_id").cast("string").alias("c"), F.concat(F.lit("["), "source", F.lit("/"), F.col("chunk_id").cast("string"), F.lit("]")).alias("s"))))
-    g = packed.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), row.alias("r"), F.max("used").cast("long").alias("used"))
-    return g.select("query_id", "n", F.array_join("r.c", ",").alias("chunks"), F.array_join("r.s", " ").alias("citations"), "used")
-
-
-@query("""SELECT item_id AS query_id, CASE WHEN s.n > 0 THEN 'bm25' ELSE 'hybrid' END AS method, CASE WHEN s.n > 0 THEN 'index is stale' END AS reason
-FROM benchmark, (SELECT count(*) AS n FROM documents WHERE doc_id % 97 = 0) s""")
-def r9_degrade(spark, d):
-    chunks = chunks_of(spark, d).select("chunk_id", F.sha2("text", 256).alias("fingerprint"))
-    index = chunks.filter("chunk_id % 97 <> 0")
-    n = r.stale(chunks, index).agg(F.count(F.lit(1)).alias("n"))
-    bad = F.col("n") > 0
-    out = queries_of(spark, d).crossJoin(F.broadcast(n))
-    return out.select("query_id", F.when(bad, "bm25").otherwise("hybrid").alias("method"), F.when(bad, "index is stale").alias("reason"))
-
-
 @query(_BASE + """SELECT query_id, string_agg('[' || source || ']', ' ' ORDER BY first) AS citations FROM (
   SELECT query_id, source, min(rank) AS first FROM bmr JOIN documents ON doc_id = chunk_id WHERE rank <= 5 GROUP BY ALL) GROUP BY query_id""")
 def r10_citations(spark, d):
@@ -178,20 +157,34 @@ def j14_stale_rows(spark, d):
     return r.stale(chunks, index)
 
 
-@query(_BASE + "SELECT term, df FROM df")
+@query(_BASE + "SELECT term, df.df, sum(tf.tf)::BIGINT AS tf, n AS n_chunks, round(mean, 6) AS mean_length FROM df JOIN tf USING (term), s GROUP BY term, df.df, n, mean")
 def a20_term_stats(spark, d):
-    return r.term_stats(r.postings(chunks_of(spark, d), words(F.col("text"))))
+    """Each term's frequencies, with the corpus's size beside them, which is one row."""
+    chunks = chunks_of(spark, d)
+    size = r.corpus_size(chunks, words(F.col("text"))).first()
+    stats = r.term_stats(r.postings(chunks, words(F.col("text"))))
+    return stats.select("term", "df", "tf", F.lit(size["n_chunks"]).alias("n_chunks"), F.round(F.lit(size["mean_length"]), 6).alias("mean_length"))
+
+
+@query(_BASE + "SELECT chunk_id, len(t)::INT AS length FROM h")
+def a20_chunk_lengths(spark, d):
+    return chunks_of(spark, d).select("chunk_id", F.size(words(F.col("text"))).alias("length"))
+
 
+def _signature_sql():
+    levels = ["h8 AS (SELECT substr(h, 1, 8) AS p, sha256(string_agg(h, '' ORDER BY h)) AS x FROM h GROUP BY 1)"]
+    levels += [f"h{n} AS (SELECT substr(p, 1, {n}) AS p, sha256(string_agg(x, '' ORDER BY p)) AS x FROM h{n + 2} GROUP BY 1)" for n in (6, 4, 2, 0)]
+    return "WITH h AS (SELECT sha256(concat_ws(':', doc_id::VARCHAR, sha256(text))) AS h FROM documents), " + ", ".join(levels) + " SELECT x AS signature FROM h0"
 
-@query("""WITH h AS (SELECT sha256(concat_ws(':', doc_id::VARCHAR, sha256(text))) AS h FROM documents), p AS (SELECT substr(h, 1, 3) AS p, sha256(string_agg(h, '' ORDER BY h)) AS x FROM h GROUP BY 1)
-SELECT sha256(string_agg(x, '' ORDER BY p)) AS signature FROM p""")
+
+@query(_signature_sql())
 def a25_corpus_signature(spark, d):
     rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("k"), F.sha2("text", 256).alias("h"))
     return r.signature(rows, "k", "h")
 
 
 _GOLD = _BASE.rstrip() + r""",
-gold AS (SELECT b.item_id AS query_id, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40))),
+gold AS (SELECT b.item_id AS query_id, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
 ng AS (SELECT query_id, count(*) AS n_gold FROM gold GROUP BY 1),
 hit AS (SELECT query_id, rank, (gold.chunk_id IS NOT NULL)::INT AS rel FROM bmr LEFT JOIN gold USING (query_id, chunk_id) WHERE rank <= 5),
 pc AS (SELECT query_id, sum(CASE WHEN rank <= 1 THEN rel ELSE 0 END) AS h1, sum(CASE WHEN rank <= 3 THEN rel ELSE 0 END) AS h3, sum(rel) AS h5, min(CASE WHEN rel = 1 THEN rank END) AS first, sum(rel / log2(rank + 1)) AS dcg FROM hit GROUP BY 1),
@@ -203,11 +196,10 @@ ev AS (SELECT item_id AS query_id, coalesce(n_gold, 0) AS n_gold, CASE WHEN n_go
 
 
 def gold_of(spark, d):
-    """Documents that hold an item's first 40 characters. The benchmark is a fixed, small list;
-    Spark broadcasts it or not by its size."""
-    items = queries_of(spark, d).select("query_id", F.substring("text", 1, 40).alias("run"))
+    """Documents in which an item's text stands as a whole."""
+    items = queries_of(spark, d).select(F.col("query_id").alias("passage_id"), F.col("text").alias("passage"))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return docs.join(items, F.col("text").contains(F.col("run"))).select("query_id", "chunk_id")
+    return r.passages_in(docs, "chunk_id", "text", items).withColumnRenamed("passage_id", "query_id")
 
 
 @query(_GOLD + "SELECT * FROM ev")
@@ -216,47 +208,8 @@ def a22_retrieval_metrics(spark, d):
     return r.evaluate(ranking, gold_of(spark, d), queries_of(spark, d))
 
 
-@query(_GOLD + """SELECT 'bm25' AS run, round(avg(recall_5), 6) AS recall_5, round(avg(reciprocal_rank), 6) AS mrr, round(avg(ndcg_5), 6) AS ndcg_5, count_if(n_gold > 0) AS cases,
-  avg(recall_5) >= 0.85 AND avg(reciprocal_rank) >= 0.7 AS passed FROM ev""")
-def a23_quality_gate(spark, d):
-    ranking = r.bm25(queries_of(spark, d), chunks_of(spark, d), words, 5)
-    ev = r.evaluate(ranking, gold_of(spark, d), queries_of(spark, d))
-    return ev.agg(
-        F.lit("bm25").alias("run"), F.round(F.avg("recall_5"), 6).alias("recall_5"), F.round(F.avg("reciprocal_rank"), 6).alias("mrr"),
-        F.round(F.avg("ndcg_5"), 6).alias("ndcg_5"), F.count_if(F.col("n_gold") > 0).alias("cases"),
-        ((F.avg("recall_5") >= 0.85) & (F.avg("reciprocal_rank") >= 0.7)).alias("passed"),
-    )
-
-
-@query(_GOLD + """SELECT query_id, concat_ws(';', CASE WHEN n_gold > 0 AND recall_5 = 0 THEN 'gold missed' END, CASE WHEN n_gold > 0 AND recall_1 = 0 AND recall_5 > 0 THEN 'gold below rank 1' END,
-  CASE WHEN n_gold = 0 THEN 'should abstain' END) AS errors, CASE WHEN n_gold = 0 OR recall_5 = 0 THEN 'review' ELSE 'fine' END AS status FROM ev""")
-def a24_review_rows(spark, d):
-    ev = r.evaluate(r.bm25(queries_of(spark, d), chunks_of(spark, d), words, 5), gold_of(spark, d), queries_of(spark, d))
-    gold, missed = F.col("n_gold") > 0, F.col("recall_5") == 0
-    errors = F.array_compact(F.array(
-        F.when(gold & missed, "gold missed"), F.when(gold & (F.col("recall_1") == 0) & ~missed, "gold below rank 1"), F.when(~gold, "should abstain")
-    ))
-    return ev.select("query_id", F.array_join(errors, ";").alias("errors"), F.when(~gold | missed, "review").otherwise("fine").alias("status"))
-
-
-@query(_GOLD + "SELECT query_id, count(*) AS hits FROM hit WHERE rel = 1 GROUP BY query_id")
-def j8_gold_hits(spark, d):
-    ranking = r.bm25(queries_of(spark, d), chunks_of(spark, d), words, 5)
-    return ranking.join(gold_of(spark, d), ["query_id", "chunk_id"], "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
-
-
 @query("""SELECT length(text) // 100 AS category, count(*) AS n, count(DISTINCT item_id) <> count(*) AS duplicates FROM benchmark GROUP BY 1""")
 def a21_case_distribution(spark, d):
     kind = F.floor(F.length("text") / 100).cast("long")
     g = table(spark, d, "benchmark").groupBy(kind.alias("category"))
     return g.agg(F.count(F.lit(1)).alias("n"), (F.count_distinct("item_id") != F.count(F.lit(1))).alias("duplicates"))
-
-
-@query(_VECTORS + """, g2 AS (SELECT b.item_id AS query_id, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40))),
-runs AS (SELECT 'bm25' AS run, query_id, chunk_id FROM bmr WHERE rank <= 5 UNION ALL SELECT 'hashed', query_id, chunk_id FROM hvr WHERE rank <= 5)
-SELECT run, count(*) AS hits, count(DISTINCT query_id) AS cases FROM runs JOIN g2 USING (query_id, chunk_id) GROUP BY run""")
-def r13_compare_runs(spark, d):
-    q, c = queries_of(spark, d), chunks_of(spark, d)
-    runs = [x.select(F.lit(n).alias("run"), "query_id", "chunk_id") for n, x in (("bm25", r.bm25(q, c, words, 5)), ("hashed", r.hashed_rank(q, c, words, 5)))]
-    hits = runs[0].unionByName(runs[1]).join(gold_of(spark, d), ["query_id", "chunk_id"])
-    return hits.groupBy("run").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("query_id").alias("cases"))

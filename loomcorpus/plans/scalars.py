@@ -54,8 +54,8 @@ def u4_is_allowed_url(spark, d):
     return table(spark, d, "pages").select("page_id", allowed.alias("allowed"))
 
 
-@query(_NORMAL + """SELECT page_id, CASE WHEN host = 'blog.thernd.example.net' THEN 'blog' WHEN suffix(host, 'example.com') THEN 'trade'
-  WHEN suffix(host, 'example.org') THEN 'club' ELSE 'other' END AS kind FROM u""")
+@query(_NORMAL + """SELECT page_id, CASE WHEN host = 'blog.thernd.example.net' THEN 'blog' WHEN host = 'example.com' OR suffix(host, '.example.com') THEN 'trade'
+  WHEN host = 'example.org' OR suffix(host, '.example.org') THEN 'club' ELSE 'other' END AS kind FROM u""")
 def u5_source_type(spark, d):
     return table(spark, d, "pages").select("page_id", urls.source_type(F.col("url"), HOSTS, "other").alias("kind"))
 

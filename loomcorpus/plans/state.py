@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rules import stage
 from ..operators import dialogue, keyed
 from .registry import query, table
 
@@ -69,13 +72,15 @@ def a16_score_averages(spark, d):
     )
 
 
-@query("""SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'conversations', count(*) FROM conversations UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'labels', count(*) FROM labels UNION ALL SELECT 'pages', count(*) FROM pages""")
+@query("""WITH n AS (SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'conversations', count(*) FROM conversations UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'labels', count(*) FROM labels UNION ALL SELECT 'pages', count(*) FROM pages)
+SELECT *, CASE WHEN s >= 100000 THEN 'close' WHEN s >= 1000 THEN 'known' ELSE 'new' END AS stage FROM n, (SELECT count_if(event_type = 'signup') AS pending, floor(sum(value))::BIGINT AS s, max(ts)::VARCHAR AS last FROM events)""".replace("SELECT *, CASE", "SELECT name, n, pending, s AS score, CASE").replace(", max(ts)::VARCHAR AS last", ""))
 def a17_db_stats(spark, d):
-    out = None
-    for name in ("documents", "conversations", "events", "labels", "pages"):
-        one = table(spark, d, name).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Rows of each table, and beside them the state: what is pending, the score and its stage."""
+    names = ("documents", "conversations", "events", "labels", "pages")
+    counts = reduce(DataFrame.unionByName, [table(spark, d, name).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name in names])
+    state = table(spark, d, "events").agg(F.count_if(F.col("event_type") == "signup").alias("pending"), F.floor(F.sum("value")).alias("score")).first()
+    level = stage(F.lit(state["score"]), ((0, "new"), (1000, "known"), (100_000, "close")))
+    return counts.select("name", "n", F.lit(state["pending"]).alias("pending"), F.lit(state["score"]).alias("score"), level.alias("stage"))
 
 
 _LOG = """WITH l AS (SELECT user_id, event_type, event_id AS seq, (value::INT % 5 + 1) AS importance, event_id % 7 AS source, event_type = 'error' AND event_id % 4 = 0 AS deleted, event_id % 3 = 0 AS confirmed, event_id % 100 AS memory FROM events),
@@ -111,12 +116,17 @@ def a19_deleted_exclusions(spark, d):
     return stored.select("user_id", F.explode(F.from_json("ids", "array<bigint>")).alias("message")).distinct()
 
 
-@query("""SELECT user_id, string_agg('[' || event_type || '] ' || c || ' entries', chr(10) ORDER BY event_type) AS digest FROM (SELECT user_id, event_type, count(*) AS c FROM events GROUP BY ALL) GROUP BY user_id""")
+@query("""WITH m AS (SELECT user_id, event_type, props, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS k FROM events WHERE event_type <> 'error'),
+b AS (SELECT user_id, event_type, string_agg('- ' || props, chr(10) ORDER BY event_id) AS body FROM m WHERE k <= 30 GROUP BY user_id, event_type),
+s AS (SELECT user_id, event_type, '[' || CASE event_type WHEN 'purchase' THEN 'Bought' WHEN 'signup' THEN 'Joined' WHEN 'view' THEN 'Seen' ELSE 'Clicked' END || ']' || chr(10) || body AS t FROM b),
+o AS (SELECT unnest(['signup', 'purchase', 'view', 'click']) AS event_type, unnest([1, 2, 3, 4]) AS place)
+SELECT u.user_id, coalesce(d.digest, '(nothing yet)') AS digest FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN (SELECT user_id, string_agg(t, chr(10) || chr(10) ORDER BY place) AS digest FROM s JOIN o USING (event_type) GROUP BY 1) d USING (user_id)""")
 def a28_memory_digest(spark, d):
-    each = table(spark, d, "events").groupBy("user_id", "event_type").count()
-    line = F.concat(F.lit("["), "event_type", F.lit("] "), F.col("count").cast("string"), F.lit(" entries"))
-    row = F.sort_array(F.collect_list(F.struct("event_type", line.alias("t"))))
-    return each.groupBy("user_id").agg(F.array_join(row["t"], "\n").alias("digest"))
+    """Each user's memories as sections in a fixed order, the last thirty of a kind as lines."""
+    events = table(spark, d, "events")
+    titles = {"signup": "Joined", "purchase": "Bought", "view": "Seen", "click": "Clicked"}
+    kept = events.filter("event_type <> 'error'").select("user_id", F.col("event_type").alias("kind"), F.col("event_id").alias("at"), F.col("props").alias("content"))
+    return dialogue.digests(events.select("user_id").distinct(), kept, "user_id", titles, 30, "(nothing yet)")
 
 
 @query("""SELECT r.id AS event_id, CASE WHEN e.event_id IS NULL THEN 'not_found' WHEN e.event_type = 'error' THEN 'already_deleted' ELSE 'deleted' END AS outcome
@@ -148,11 +158,13 @@ def f4_quota_topn(spark, d):
     return keyed.quota(table(spark, d, "orders"), "o_orderstatus", quotas, order, 18).select("o_orderkey", "o_orderstatus", "rank")
 
 
-@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) <= 4 AS reserved FROM orders),
-n AS (SELECT *, row_number() OVER (ORDER BY reserved DESC, o_totalprice DESC, o_orderkey) AS n FROM r) SELECT o_orderkey, reserved FROM n WHERE n <= 40""")
+@query("""WITH t AS (SELECT unnest(['1-URGENT', '2-HIGH', '5-LOW']) AS g, unnest([4, 2, 1]) AS target, unnest([2, 1, 3]) AS pr),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders), x AS (SELECT o_orderkey, o_totalprice, coalesce(k <= target + 10, false) AS reserved, pr, k FROM r LEFT JOIN t ON g = o_orderpriority),
+n AS (SELECT *, row_number() OVER (ORDER BY reserved DESC, CASE WHEN reserved THEN pr END, CASE WHEN reserved THEN k END, o_totalprice DESC, o_orderkey) AS n FROM x) SELECT o_orderkey, reserved FROM n WHERE n <= 60""")
 def f5_reserve_then_fill(spark, d):
     order = [F.col("o_totalprice").desc(), F.col("o_orderkey")]
-    return keyed.reserve_then_fill(table(spark, d, "orders"), "o_orderpriority", "o_orderkey", 4, 40, order).select("o_orderkey", "reserved")
+    targets = spark.createDataFrame([("1-URGENT", 4, 2), ("2-HIGH", 2, 1), ("5-LOW", 1, 3)], "o_orderpriority string, target int, priority int")
+    return keyed.reserve_then_fill(table(spark, d, "orders"), "o_orderpriority", targets, 10, 60, order, order).select("o_orderkey", "reserved")
 
 
 @query("""WITH c AS (SELECT o_orderpriority AS g, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1), t AS (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '9-NONE']) AS g, unnest([10, 100000, 50, 7]) AS target)
@@ -204,12 +216,20 @@ def c18_profile_candidates(spark, d):
     return consented.select("c_custkey", F.explode(made).alias("m")).select("c_custkey", "m.kind", "m.content")
 
 
-@query("""SELECT event_type, count_if(value > 10) AS open, count_if(value <= 10) AS closed, count(DISTINCT user_id) AS users, coalesce(sum(CASE WHEN event_id % 5 = 0 THEN 1 END), 0)::BIGINT AS pending FROM events GROUP BY event_type""")
+@query("""WITH v AS (SELECT user_id, arg_max(event_type, event_id) AS access, bool_or(event_type = 'view') AS has_subtitles FROM events GROUP BY 1), c AS (SELECT user_id, count(*) AS pending FROM events WHERE event_type = 'click' GROUP BY 1)
+SELECT access, count(*) AS videos, count_if(has_subtitles) AS with_subtitles, count_if(pending IS NULL) AS without_chunks, sum(coalesce(pending, 0))::BIGINT AS pending_chunks FROM v LEFT JOIN c USING (user_id) GROUP BY access""")
 def a33_media_audit(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(
-        F.count_if(F.col("value") > 10).alias("open"), F.count_if(F.col("value") <= 10).alias("closed"), F.count_distinct("user_id").alias("users"),
-        F.coalesce(F.sum(F.when(F.col("event_id") % 5 == 0, 1)), F.lit(0)).alias("pending"),
-    )
+    """Users stand for videos: the last event is the access status, clicks are pending chunks."""
+    e = table(spark, d, "events")
+    videos = e.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("access"), F.bool_or(F.col("event_type") == "view").alias("has_subtitles"))
+    chunks = e.filter("event_type = 'click'").select("user_id")
+    return dialogue.media_audit(videos, chunks, "user_id")
+
+
+@query("""WITH v AS (SELECT DISTINCT user_id FROM events), c AS (SELECT user_id, count(*) AS pending FROM events WHERE event_type = 'click' GROUP BY 1) SELECT user_id, coalesce(pending, 0) AS pending FROM v LEFT JOIN c USING (user_id)""")
+def a33_pending_chunks(spark, d):
+    e = table(spark, d, "events")
+    return dialogue.pending_chunks(e.select("user_id").distinct(), e.filter("event_type = 'click'").select("user_id"), "user_id")
 
 
 @query("""SELECT user_id % 3 AS location, count_if(event_type = 'signup') AS pending, count_if(event_type = 'purchase') AS accepted, count_if(event_type NOT IN ('signup', 'purchase')) AS misplaced FROM events GROUP BY 1""")
@@ -219,14 +239,20 @@ def a34_inbox_review(spark, d):
     return df.groupBy("location").pivot("status", ["pending", "accepted", "misplaced"]).count().na.fill(0)
 
 
-@query("""SELECT count(*) AS reviewed, count_if(quality = 1) AS matches, count_if(toxic = 1) AS critical, count(*) >= 20 AND count_if(quality = 1) * 1.0 / count(*) >= 0.8 AND count_if(toxic = 1) = 0 AS ready,
-  CASE WHEN count(*) < 20 THEN 'too few reviewed' WHEN count_if(toxic = 1) > 0 THEN 'critical mismatch' WHEN count_if(quality = 1) * 1.0 / count(*) < 0.8 THEN 'too few matches' ELSE 'ready' END AS reason FROM labels""")
+@query("""WITH r AS (SELECT count(*) AS reviewed, count_if(quality = 1) AS matches, count_if(toxic = 1) AS critical FROM labels), b AS (SELECT count_if(contains(text, 'bulk accepted')) AS bulk, count_if(source = 'src3') AS main_documents, count(*) AS chunks, bool_and(source <> '') AS all_have_source, count_if(contains(lower(source || chr(10) || text), 'fixture')) AS fixtures FROM documents),
+c AS (SELECT *, reviewed >= 10 AS enough_reviewed, matches >= 8 AS enough_matches, critical = 0 AS no_critical, main_documents >= 8 AS enough_documents, chunks >= 120 AS enough_chunks, fixtures = 0 AS no_fixtures, bulk = 0 AS compared_singly FROM r, b)
+SELECT reviewed, matches, critical, main_documents, chunks, fixtures, bulk, concat_ws(';', CASE WHEN NOT enough_reviewed THEN 'enough_reviewed' END, CASE WHEN NOT enough_matches THEN 'enough_matches' END, CASE WHEN NOT no_critical THEN 'no_critical' END, CASE WHEN NOT enough_documents THEN 'enough_documents' END,
+  CASE WHEN NOT enough_chunks THEN 'enough_chunks' END, CASE WHEN NOT all_have_source THEN 'all_have_source' END, CASE WHEN NOT no_fixtures THEN 'no_fixtures' END, CASE WHEN NOT compared_singly THEN 'compared_singly' END) AS unmet,
+  enough_reviewed AND enough_matches AND no_critical AND enough_documents AND enough_chunks AND all_have_source AND no_fixtures AND compared_singly AS ready,
+  CASE WHEN NOT compared_singly THEN 'accepted in bulk, not compared one by one' WHEN enough_reviewed AND enough_matches AND no_critical AND enough_documents AND enough_chunks AND all_have_source AND no_fixtures THEN 'all conditions are met' ELSE 'review or data are not complete' END AS reason FROM c""")
 def a13_readiness_gate(spark, d):
-    n, good, bad = F.count(F.lit(1)), F.count_if(F.col("quality") == 1), F.count_if(F.col("toxic") == 1)
-    g = table(spark, d, "labels").agg(n.alias("reviewed"), good.alias("matches"), bad.alias("critical"))
-    share = F.col("matches") / F.col("reviewed")
-    reason = F.when(F.col("reviewed") < 20, "too few reviewed").when(F.col("critical") > 0, "critical mismatch").when(share < 0.8, "too few matches").otherwise("ready")
-    return g.withColumn("reason", reason).withColumn("ready", F.col("reason") == "ready").select("reviewed", "matches", "critical", "ready", "reason")
+    labels, docs = table(spark, d, "labels"), table(spark, d, "documents")
+    reviews = labels.agg(F.count(F.lit(1)).alias("reviewed"), F.count_if(F.col("quality") == 1).alias("matches"), F.count_if(F.col("toxic") == 1).alias("critical"))
+    data = docs.agg(
+        F.count_if(F.col("text").contains("bulk accepted")).alias("bulk"), F.count_if(F.col("source") == "src3").alias("main_documents"), F.count(F.lit(1)).alias("chunks"),
+        F.every(F.col("source") != "").alias("all_have_source"), F.count_if(F.lower(F.concat("source", F.lit("\n"), "text")).contains("fixture")).alias("fixtures"),
+    )
+    return dialogue.readiness(reviews, data, reviewed=10, matches=8, documents=8, chunks=120)
 
 
 @query("""WITH b AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'thin' WHEN quality = 1 THEN 'usable' ELSE 'missing' END AS old, CASE WHEN quality = 1 THEN 'usable' ELSE 'missing' END AS new FROM labels)

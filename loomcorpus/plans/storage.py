@@ -54,12 +54,14 @@ def s10_dense_index(spark, d):
     return files.load_index(spark, at, "given", 64).select("vec_id", F.size("v").alias("size"))
 
 
-@query("SELECT doc_id, concat('lang: ', lang, chr(10), 'source: ', source) AS head FROM documents WHERE doc_id % 50 = 0")
+@query("SELECT doc_id, concat('id: ', doc_id, chr(10), 'lang: ', lang, chr(10), 'source: ', source) AS head, md5(text) AS digest FROM documents")
 def s12_export_text(spark, d):
+    """Every document rendered, and read back with its head and body."""
     at = place(spark, "export")
-    files.export_text(table(spark, d, "documents").filter("doc_id % 50 = 0"), at, "doc_id", ["lang", "source"], "text")
-    back = spark.read.text(at, wholetext=True)
-    return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring_index("value", "\n\n", 1).alias("head"))
+    docs = table(spark, d, "documents")
+    files.export_text(docs.withColumn("id", F.col("doc_id")), at, ["id", "lang", "source"], "text")
+    back = files.read_exported(spark, at)
+    return back.select(F.regexp_extract("head", r"^id: (\d+)", 1).cast("long").alias("doc_id"), "head", F.md5("body").alias("digest"))
 
 
 @query("SELECT conv_id, turn AS position, (turn * 5)::DOUBLE AS start_seconds, turn * 5 + 4.5::DOUBLE AS end_seconds FROM conversations")
@@ -75,6 +77,28 @@ def s13_subtitle_scan(spark, d):
     return cues.select(F.regexp_extract("file", r"conv_id=(\d+)", 1).cast("long").alias("conv_id"), F.col("position").cast("long").alias("position"), "start_seconds", "end_seconds")
 
 
+@query("SELECT conv_id, turn AS position, (turn * 5)::DOUBLE AS start_seconds, (turn * 5 + 4.5)::DOUBLE AS end_seconds, trim(text) AS content FROM conversations WHERE trim(text) <> ''")
+def s13_subtitle_json(spark, d):
+    """Conversations as JSON subtitles: a list, or an object with a body, by turns one or the other."""
+    at = place(spark, "subtitles")
+    first = F.struct((F.col("turn") * 5).alias("from"), (F.col("turn") * 5 + 4.5).alias("to"), F.col("text").alias("content"))
+    other = F.struct((F.col("turn") * 5).alias("start"), (F.col("turn") * 5 + 4.5).alias("end"), F.col("text").alias("text"))
+    g = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", first.alias("a"), other.alias("b")))).alias("r"))
+    body = F.when(F.col("conv_id") % 2 == 0, F.to_json(F.struct(F.col("r.a").alias("body")))).otherwise(F.to_json("r.b"))
+    g.select("conv_id", body.alias("value")).write.partitionBy("conv_id").text(at)
+    cues = files.json_cues(spark, at)
+    return cues.select(F.regexp_extract("file", r"conv_id=(\d+)", 1).cast("long").alias("conv_id"), F.col("position").cast("long").alias("position"), "start_seconds", "end_seconds", "content")
+
+
+@query(r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS a FROM documents)
+SELECT doc_id, len(list_filter(a, lambda x, i: i = 1 OR x <> a[i - 1])) AS cues, md5(array_to_string(list_filter(a, lambda x, i: i = 1 OR x <> a[i - 1]), chr(10))) AS digest FROM l WHERE len(a) > 0""")
+def s13_subtitle_plain(spark, d):
+    """Documents as plain subtitles: a cue for each line that isn't that before it again."""
+    cues = files.plain_cues(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    g = cues.groupBy("doc_id").agg(F.count(F.lit(1)).alias("cues"), F.sort_array(F.collect_list(F.struct("position", "content"))).alias("r"))
+    return g.select("doc_id", "cues", F.md5(F.array_join("r.content", "\n")).alias("digest"))
+
+
 @query(r"""SELECT page_id, 'heading' AS kind, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h[123]>[^<]*[^<\s][^<]*</h[123]>')) FROM pages) GROUP BY page_id
 UNION ALL SELECT page_id, 'link', count(*) FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a href="([^"]+)"', 1)) FROM pages) GROUP BY page_id
 UNION ALL SELECT page_id, 'notice', count(*) FROM (SELECT page_id, unnest(regexp_extract_all(html, '<div class="ad">[^<]*[^<\s][^<]*</div>')) FROM pages) GROUP BY page_id""")

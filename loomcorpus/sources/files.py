@@ -56,6 +56,30 @@ def subtitle_scan(spark: SparkSession, path: str) -> DataFrame:
     return cues.select("file", "position", clock_seconds(at(1)).alias("start_seconds"), clock_seconds(at(2)).alias("end_seconds"), strip(at(3)).alias("content"))
 
 
+def json_cues(spark: SparkSession, path: str) -> DataFrame:
+    """(file, position, start_seconds, end_seconds, content) of JSON subtitles: a list of objects, or
+    an object whose body is one, with from, to and content or start, end and text. Rows that are no
+    object or say nothing are left out; a file that is neither fails."""
+    kind = "from double, to double, start double, end double, content string, text string"
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.trim("value").alias("value"))
+    listed = F.from_json("value", f"array<struct<{kind.replace(' ', ':')}>>".replace(",:", ","))
+    held = F.from_json("value", f"struct<body:array<struct<{kind.replace(' ', ':')}>>>".replace(",:", ","))["body"]
+    rows = F.when(F.col("value").startswith("["), listed).otherwise(held)
+    checked = F.when(rows.isNull(), F.raise_error(F.concat(F.lit("no list of cues in "), "file"))).otherwise(rows)
+    each = files.select("file", F.posexplode(checked).alias("position", "_c")).filter("_c IS NOT NULL")
+    said = strip(F.coalesce(F.when(F.col("_c.content") != "", F.col("_c.content")), F.col("_c.text"), F.lit("")))
+    at = lambda *names: F.coalesce(*[F.col(f"_c.{n}") for n in names], F.lit(0.0))
+    return each.select("file", "position", at("from", "start").alias("start_seconds"), at("to", "end").alias("end_seconds"), said.alias("content")).filter("content <> ''")
+
+
+def plain_cues(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, position, start_seconds, end_seconds, content): a cue without times for each line with
+    something on it, but for direct repeats."""
+    full = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
+    each = texts.select(key, F.posexplode(F.element_at(F.transform(F.array(full), lambda a: F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1)))), 1)).alias("position", "content"))
+    return each.select(key, "position", F.lit(0.0).alias("start_seconds"), F.lit(0.0).alias("end_seconds"), "content")
+
+
 def segments_to_cues(records: DataFrame, key: str) -> DataFrame:
     """Reviewed segments (start, end, evidence, summary) as cue rows; the end defaults to the start
     and the content to the summary."""
@@ -87,10 +111,23 @@ def replace_partitions(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def export_text(chunks: DataFrame, path: str, key: str, header: list[str], text: str) -> None:
-    """One rendered text per chunk, with its provenance above it, in a folder per chunk."""
-    head = F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in header])
-    chunks.select(key, F.concat_ws("\n\n", head, text).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+#: What separates exported texts within a file: a sign that texts don't have.
+RECORD = "\x1e"
+
+
+def export_text(chunks: DataFrame, path: str, header: list[str], text: str) -> None:
+    """Every chunk rendered with its provenance above it, many to a file with RECORD between them: a
+    file for each would be more files than a store can list. A RECORD sign within a text goes."""
+    head = F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in header])
+    body = F.translate(F.coalesce(F.col(text), F.lit("")), RECORD, "")
+    chunks.select(F.concat(head, F.lit("\n\n"), body).alias("value")).write.mode("overwrite").option("lineSep", RECORD).text(path)
+
+
+def read_exported(spark: SparkSession, path: str) -> DataFrame:
+    """(head, body) of exported texts."""
+    rows = spark.read.option("lineSep", RECORD).text(path)
+    at = F.position(F.lit("\n\n"), F.col("value"))
+    return rows.select(F.substr("value", F.lit(1), at - 1).alias("head"), F.substr("value", at + 2).alias("body"))
 
 
 def embedded_json(html: Column, marker: str, schema: str) -> Column:

@@ -76,7 +76,7 @@ def test_chunks_keep_their_sizes():
 def test_folded_groups_split_between_turns(spark):
     rows = [(1, i, "x" * n) for i, n in enumerate((5, 6, 7, 20, 1))]
     df = spark.createDataFrame(rows, "k int, i int, t string")
-    got = {r["i"]: r["group"] for r in chunking.fold_rows(df, "k", "i", F.length("t"), 10).collect()}
+    got = {r["i"]: r["group"] for r in chunking.with_rows(chunking.chunk_cues(df, "k", "i", F.length("t"), 10), df, "k", "i").collect()}
     assert got == {0: 0, 1: 0, 2: 1, 3: 1, 4: 2}
 
 
