@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,16 +23,15 @@ def components(edges: DataFrame) -> DataFrame:
     while not pairs.isEmpty():
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         best = both.groupBy("a").agg(F.min("b").alias("low"))
-        step = materialize(
-            best.select(F.col("a").alias("old"), F.least("a", "low").alias("up")), "component-step"
-        )
+        near = materialize(best.select(F.col("a").alias("old"), F.least("a", "low").alias("up")), "component-step")
+        step = near
         for _ in range(2):  # follow two links further, so that chains shrink faster
             above = step.select(F.col("old").alias("_o"), F.col("up").alias("_u"))
             step = step.join(above, F.col("up") == F.col("_o"), "left").select(
                 "old", F.coalesce("_u", "up").alias("up")
             )
         step = materialize(step, "component-step")
-        members = materialize(
+        relabelled = materialize(
             members.join(step, F.col("label") == F.col("old"), "left").select(
                 "node", F.coalesce("up", "label").alias("label")
             ),
@@ -41,7 +40,9 @@ def components(edges: DataFrame) -> DataFrame:
         left = step.select(F.col("old").alias("a"), F.col("up").alias("x"))
         right = step.select(F.col("old").alias("b"), F.col("up").alias("y"))
         moved = pairs.join(left, "a").join(right, "b").filter("x <> y")
-        pairs = materialize(
+        redrawn = materialize(
             moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "component-edges"
         )
+        discard(near, step, members, pairs)
+        members, pairs = relabelled, redrawn
     return members.select("node", F.col("label").alias("root"))
