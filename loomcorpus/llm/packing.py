@@ -279,8 +279,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2) ->
     cut_up = materialize(pieces(docs, tokenizer, capacity, end), "packing-pieces")
     counts = {r["length"]: r["count"] for r in cut_up.groupBy("length").count().collect()}
     runs = places(pack_counts(counts, capacity))
-    buckets = max(1, -(-sum(counts.values()) // 2_000))
-    ranked = gapless(cut_up, ["length"], ["doc_id", "piece"], "_rank", buckets)
+    ranked = gapless(cut_up, ["length"], ["doc_id", "piece"], "_rank", 20_000)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:

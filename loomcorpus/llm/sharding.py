@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .expressions import buckets_for, gapless
+from .expressions import fresh, gapless
 
 
 @dataclass(frozen=True)
@@ -80,27 +80,29 @@ def assign(df: DataFrame, key: str, leaves: list[Leaf], out: str = "shard", seed
         ]
     )
     text = F.coalesce(F.col(key).cast("string"), F.lit("\x00null"))
-    df = df.withColumn("_region", _choose(text, F.element_at(tree, F.lit("/")), seed))
-    df = df.withColumn("_rack", _choose(text, F.element_at(tree, F.col("_region")), seed))
-    df = df.withColumn("_leaf", _choose(text, F.element_at(tree, F.col("_rack")), seed))
-    shard = F.regexp_extract("_leaf", r"(-?\d+)/?$", 1).cast("int")
-    return df.withColumn(out, shard).drop("_region", "_rack", "_leaf")
+    region, rack, leaf = fresh(df, "region", "rack", "leaf")
+    df = df.withColumn(region, _choose(text, F.element_at(tree, F.lit("/")), seed))
+    df = df.withColumn(rack, _choose(text, F.element_at(tree, F.col(region)), seed))
+    df = df.withColumn(leaf, _choose(text, F.element_at(tree, F.col(rack)), seed))
+    shard = F.regexp_extract(leaf, r"(-?\d+)/?$", 1).cast("int")
+    return df.withColumn(out, shard).drop(region, rack, leaf)
 
 
 def shard_rows(
-    df: DataFrame, key: str, leaves: list[Leaf], buckets: int, grown: list[Leaf] | None = None, seed: int = 0
+    df: DataFrame, key: str, leaves: list[Leaf], grown: list[Leaf] | None = None, seed: int = 0, rows: int = 20_000
 ) -> DataFrame:
     """All rows of ``df`` with ``shard``, ``slot`` (gapless from 0 in its shard) and, given a
     second tree, ``grown_shard``.
 
-    Rows with one key, null included, share a shard. Repeated rows get slots of their own. An empty
-    table gives an empty table. Columns of ``df`` named like an output are replaced.
+    Rows with one key, null included, share a shard, whose slots are numbered in parts of about
+    ``rows`` rows, however often a key is repeated. Repeated rows get slots of their own. An empty
+    table gives an empty table. Columns of ``df`` named like an output are replaced, any others kept.
     """
     df = df.drop("shard", "slot", "grown_shard")
     df = assign(df, key, leaves, "shard", seed)
     if grown is not None:
         df = assign(df, key, grown, "grown_shard", seed)
-    return gapless(df, ["shard"], [key], "slot", buckets)
+    return gapless(df, ["shard"], [key], "slot", rows)
 
 
 def op9_hash_tree_shards(spark, sf_dir: str) -> DataFrame:
@@ -112,5 +114,5 @@ def op9_hash_tree_shards(spark, sf_dir: str) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
     )
-    out = shard_rows(rows, "doc_id", topology(16), buckets_for(docs), grown=topology(17))
+    out = shard_rows(rows, "doc_id", topology(16), topology(17))
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

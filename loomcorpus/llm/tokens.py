@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries of one worker's cache; it is emptied when full.
-CACHE = 1_200_000
+CACHE = 400_000
 #: Marks that end a word and form one token run of their own.
 _MARKS = ".,;:!?|#*$%&"
 
