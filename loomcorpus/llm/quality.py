@@ -1,14 +1,19 @@
 """Quality rules: robust multivariate outliers of documents, per language and source.
 
-Native: DataFrame functions only. A document's statistics become a vector; each group's centre and
-scatter are minimum-covariance-determinant estimates, reached by concentration steps from a start
-at the medians and quartiles; a document goes when its squared Mahalanobis distance exceeds a
-chi-square quantile.
-
-The vectors are fixed-point integers, so every sum is exact and no verdict depends on the order in
-which tasks end. A concentration step keeps the nearest ``support`` share of a group; the cut
-between near and far is found from counts and sums by distance bucket (eighths of an octave), of
-which a group has a few hundred at most, so no group is ever sorted or gathered.
+Native: DataFrame functions only. A document's statistics become a vector; each pair of language and
+source has minimum-covariance-determinant estimates of centre and scatter; a document goes when its
+squared Mahalanobis distance from its pair's exceeds a chi-square quantile.
+
+Estimates are made for pairs, for languages and for all rows. A pair's is drawn to its language's,
+and that to the one of all rows, as if PRIOR_ROWS rows of the wider kind had been among its own: at
+every size, a large pair is judged by itself and a pair of a few rows nearly by its language.
+
+The determinant is brought down by concentration steps from two starts, the medians and quartiles
+and the plain mean and scatter, until no group's changes, and of all steps the least determinant
+counts. The vectors are fixed-point integers, so every sum is exact and no verdict depends on the
+order in which tasks end. A step keeps the nearest ``support`` share of a group; the cut between near
+and far is found from counts and sums by distance bucket (32 an octave), of which a group has some
+hundreds at most, so no group is ever sorted or gathered.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .expressions import WORD, let
-from .scratch import materialize
+from .scratch import discard, materialize
 
 FEATURES = ("x_symbols", "x_length", "x_repeats", "x_capitals", "x_lines")
 #: Spread that any group is granted, in feature units times 1000: a group that is all alike must
@@ -29,7 +34,9 @@ FEATURES = ("x_symbols", "x_length", "x_repeats", "x_capitals", "x_lines")
 FLOORS = {"x_symbols": 250, "x_length": 60, "x_repeats": 140, "x_capitals": 90, "x_lines": 150}
 #: Words added to each document's counts at the usual rates, which steadies short documents.
 PRIOR_WORDS, PRIOR_CHARS, PRIOR_CAPITALS = 50, 250, 8
-SUPPORT, QUANTILE, MIN_ROWS, STEPS, WINDOW = 0.75, 0.99999, 200, 3, 8
+SUPPORT, QUANTILE, WINDOW = 0.75, 0.99999, 8
+#: Rows of its language that a pair's estimates hold besides its own, and most concentration steps.
+PRIOR_ROWS, STEPS = 100, 12
 
 
 def _repeated(words: Column) -> Column:
@@ -130,8 +137,12 @@ def _consistency(share: float, d: int) -> float:
     return share / _chi_square_cdf(chi_square(share, d), d + 2)
 
 
-_PAIRS = list(combinations_with_replacement(range(len(FEATURES)), 2))
-_SUMS = ["n"] + [f"s{i}" for i in range(len(FEATURES))] + [f"p{i}_{j}" for i, j in _PAIRS]
+_D = len(FEATURES)
+_PAIRS = list(combinations_with_replacement(range(_D), 2))
+_SUMS = ["n"] + [f"s{i}" for i in range(_D)] + [f"p{i}_{j}" for i, j in _PAIRS]
+_CENTRE = [f"m{i}" for i in range(_D)]
+_SCATTER = [f"c{i}_{j}" for i, j in _PAIRS]
+_LEVELS = ("pair", "language", "all")
 
 
 def _sums() -> list[Column]:
@@ -143,25 +154,31 @@ def _sums() -> list[Column]:
     )
 
 
-def _factored(stats: DataFrame, factor: float) -> DataFrame:
-    """Group rows of sums to the model: centres m_i and the inverse scatter q_i_j."""
+def _floor(i: int, j: int) -> Column:
+    return F.lit(float(FLOORS[FEATURES[i]] ** 2 if i == j else 0))
+
+
+def _moments(sums: DataFrame, keys: list[str], factor: float) -> DataFrame:
+    """Sums to each group's number of rows, centre m_i and scatter c_i_j."""
     n = F.col("n").cast("double")
-    df = stats.select("g", *[(F.col(f"s{i}") / n).alias(f"m{i}") for i in range(len(FEATURES))], *[
-        (factor * (F.col(f"p{i}_{j}") / n - (F.col(f"s{i}") / n) * (F.col(f"s{j}") / n))
-         + F.lit(float(FLOORS[FEATURES[i]] ** 2 if i == j else 0))).alias(f"c{i}_{j}") for i, j in _PAIRS])
-    return _inverted(df)
+    mean = [F.col(f"s{i}") / n for i in range(_D)]
+    scatter = [
+        (factor * (F.col(f"p{i}_{j}") / n - mean[i] * mean[j]) + _floor(i, j)).alias(f"c{i}_{j}") for i, j in _PAIRS
+    ]
+    return sums.select(*keys, "n", *[m.alias(f"m{i}") for i, m in enumerate(mean)], *scatter)
 
 
-def _inverted(df: DataFrame) -> DataFrame:
-    """Invert the scatter c_i_j by sweeping each of its pivots in turn, over a flat array."""
-    d = len(FEATURES)
-    flat = F.array(*[F.col(f"c{min(i, j)}_{max(i, j)}") for i in range(d) for j in range(d)])
+def _inverted(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The scatter c_i_j inverted to q_i_j by sweeping each of its pivots in turn, over a flat
+    array, with the logarithm of its determinant, the pivots' product."""
+    flat = F.array(*[F.col(f"c{min(i, j)}_{max(i, j)}") for i in range(_D) for j in range(_D)])
 
-    def sweep(m: Column, k: Column) -> Column:
-        at = lambda i, j: F.get(m, (i * d + j).cast("int"))
+    def sweep(state: Column, k: Column) -> Column:
+        m = state["m"]
+        at = lambda i, j: F.get(m, (i * _D + j).cast("int"))
 
         def entry(v: Column, x: Column) -> Column:
-            i, j = F.floor(x / d), x % d
+            i, j = F.floor(x / _D), x % _D
             pivot = at(k, k)
             return (
                 F.when((i == k) & (j == k), -1.0 / pivot)
@@ -169,90 +186,125 @@ def _inverted(df: DataFrame) -> DataFrame:
                 .otherwise(v - at(i, k) * at(k, j) / pivot)
             )
 
-        return F.transform(m, entry)
+        return F.struct(F.transform(m, entry).alias("m"), (state["logdet"] + F.log(at(k, k))).alias("logdet"))
 
-    swept = F.aggregate(F.sequence(F.lit(0), F.lit(d - 1)), flat, sweep)
-    keep = [f"m{i}" for i in range(d)]
-    return df.select("g", *keep, swept.alias("_q")).select(
-        "g", *keep, *[(-F.col("_q")[i * d + j]).alias(f"q{i}_{j}") for i, j in _PAIRS]
-    )
+    start = F.struct(flat.alias("m"), F.lit(0.0).alias("logdet"))
+    swept = F.aggregate(F.sequence(F.lit(0), F.lit(_D - 1)), start, sweep)
+    inverse = [(-F.col("_q")["m"][i * _D + j]).alias(f"q{i}_{j}") for i, j in _PAIRS]
+    return df.select("*", swept.alias("_q")).select(*keys, *_CENTRE, *inverse, F.col("_q")["logdet"].alias("logdet"))
 
 
-def _distance(df: DataFrame, model: DataFrame) -> DataFrame:
+def _distance(df: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
     """``df`` with ``d2``, the squared distance from the group's centre. The table of groups is
     joined as Spark sees fit, which knows its size when it has been made."""
-    out = df.join(model.withColumnRenamed("g", "_g"), F.col("g") == F.col("_g"), "left").drop("_g")
+    named = model.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], *[c for c in model.columns if c[0] in "mq"])
+    same = [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)]
+    out = df.join(named, same, "left")
     x = [F.col(f) - F.col(f"m{i}") for i, f in enumerate(FEATURES)]
     terms = [F.lit(1.0 if i == j else 2.0) * F.col(f"q{i}_{j}") * x[i] * x[j] for i, j in _PAIRS]
-    return out.withColumn("d2", sum(terms, F.lit(0.0))).drop(*[c for c in model.columns if c != "g"])
-
-
-def groups(stats: DataFrame) -> DataFrame:
-    """(lang, source) to group: the pair itself, its language where the pair has under MIN_ROWS
-    rows, or all languages where that has too few as well."""
-    lang, source = F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))
-    pairs = stats.filter(~F.col("base_failed")).groupBy(lang.alias("_lang"), source.alias("_source")).count()
-    wide = pairs.groupBy(F.col("_lang").alias("_wide")).agg(F.sum("count").alias("_many"))
-    pairs = pairs.join(wide, F.col("_lang") == F.col("_wide"))
-    g = (
-        F.when(F.col("count") >= MIN_ROWS, F.concat_ws("\x1f", F.lit("2"), "_lang", "_source"))
-        .when(F.col("_many") >= MIN_ROWS, F.concat_ws("\x1f", F.lit("1"), "_lang"))
-        .otherwise(F.lit("0"))
-    )
-    return pairs.select("_lang", "_source", g.alias("g"))
+    return out.withColumn("d2", sum(terms, F.lit(0.0))).drop(*named.columns)
 
 
-def grouped(stats: DataFrame, table: DataFrame) -> DataFrame:
-    lang, source = F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))
-    out = stats.join(table, (lang == F.col("_lang")) & (source == F.col("_source")), "left")
-    return out.drop("_lang", "_source")
+def levels(rows: DataFrame) -> DataFrame:
+    """Each row of ``rows`` (lang, source, the features) in its three groups (level, lang, source)."""
+    each = [
+        F.struct(
+            F.lit(name).alias("level"),
+            (F.col("lang") if name != "all" else F.lit(None).cast("string")).alias("lang"),
+            (F.col("source") if name == "pair" else F.lit(None).cast("string")).alias("source"),
+        )
+        for name in _LEVELS
+    ]
+    return rows.select(F.explode(F.array(*each)).alias("_k"), *FEATURES).select("_k.*", *FEATURES)
 
 
-def fitted_on(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """The rows that each group is fitted on: a pair's own, all rows of a language for its small
-    pairs, all rows for what is left. A row counts in its pair's group, its language's and that of
-    all, as far as some pair is judged by them."""
-    lang, source = F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))
-    levels = F.array(
-        F.concat_ws("\x1f", F.lit("2"), lang, source), F.concat_ws("\x1f", F.lit("1"), lang), F.lit("0")
-    )
-    out = rows.drop("g").withColumn("g", F.explode(levels))
-    return out.join(table.select("g").distinct(), "g", "left_semi")
+_KEYS = ["level", "lang", "source"]
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Two models of each group: by medians and quartiles, and by the plain mean and scatter."""
+    quartiles = rows.groupBy(*_KEYS).agg(*[F.percentile(f, [0.25, 0.5, 0.75]).alias(f"q{i}") for i, f in enumerate(FEATURES)])
+    spread = lambda i: ((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349) ** 2 + _floor(i, i)
+    robust = quartiles.select(
+        *_KEYS, F.lit(0).alias("start"), *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(_D)],
+        *[(spread(i) if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i, j in _PAIRS],
+    )
+    plain = _moments(rows.groupBy(*_KEYS).agg(*_sums()), _KEYS, 1.0).withColumn("start", F.lit(1)).drop("n")
+    return _inverted(robust.unionByName(plain), [*_KEYS, "start"])
+
+
+def _concentrated(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """One step: the estimates of the SUPPORT share of each group that is nearest by ``model``."""
+    keys = [*_KEYS, "start"]
+    near = _distance(rows, model, keys)
+    near = near.withColumn("_b", F.floor(32 * F.log2(F.lit(1.0) + 16 * F.col("d2"))).cast("int"))
+    table = near.groupBy(*keys, "_b").agg(*_sums())
+    through = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    inside = table.withColumns(
+        {"_before": F.coalesce(F.sum("n").over(through), F.lit(0)), "_all": F.sum("n").over(Window.partitionBy(*keys))}
+    ).filter(F.col("_before") < SUPPORT * F.col("_all"))
+    sums = inside.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in _SUMS])
+    return _inverted(_moments(sums, keys, _consistency(SUPPORT, _D)), keys)
 
 
 def fit(rows: DataFrame) -> DataFrame:
-    """Centre and scatter of each group ``g`` of ``rows`` (feature columns), after the
-    concentration steps and one reweighting step."""
-    d = len(FEATURES)
-    rows = rows.select("g", *FEATURES)
-    quartiles = rows.groupBy("g").agg(
-        *[F.percentile(f, [0.25, 0.5, 0.75]).alias(f"q{i}") for i, f in enumerate(FEATURES)]
-    )
-    start = quartiles.select("g", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(d)], *[
-        (((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349) ** 2 + float(FLOORS[FEATURES[i]] ** 2)
-         if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i, j in _PAIRS])
-    model = materialize(_inverted(start), "quality-start")
+    """Rows, centre and scatter of each group (level, lang, source) of ``rows``, by the least
+    determinant that the concentration steps reach and one reweighting step."""
+    keys = [*_KEYS, "start"]
+    model = materialize(_starts(rows), "quality-start")
+    twice = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
+    steps = []
     for _ in range(STEPS):
-        near = _distance(rows, model).withColumn(
-            "_b", F.floor(8 * F.log2(F.lit(1.0) + 16 * F.col("d2"))).cast("int")
-        )
-        table = near.groupBy("g", "_b").agg(*_sums())
-        through = Window.partitionBy("g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        total = Window.partitionBy("g")
-        inside = table.withColumns(
-            {"_before": F.coalesce(F.sum("n").over(through), F.lit(0)), "_all": F.sum("n").over(total)}
-        ).filter(F.col("_before") < SUPPORT * F.col("_all"))
-        sums = inside.groupBy("g").agg(*[F.sum(c).alias(c) for c in _SUMS])
-        model = materialize(_factored(sums, _consistency(SUPPORT, d)), "quality-step")
-    good = _distance(rows, model).filter(F.col("d2") <= chi_square(0.975, d))
-    return _factored(good.groupBy("g").agg(*_sums()), _consistency(0.975, d))
+        after = materialize(_concentrated(twice, model), "quality-step")
+        if steps:  # the model before was a step too, so its determinant can be held against this one's
+            old = model.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("logdet").alias("_logdet"))
+            same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+            moved = after.join(old, same).filter(F.abs(F.col("logdet") - F.col("_logdet")) > 1e-9)
+            if moved.isEmpty():
+                break
+        steps.append(after)
+        model = after
+    every = steps[0]
+    for step in steps[1:]:
+        every = every.unionByName(step)
+    columns = [c for c in every.columns if c not in keys]
+    least = every.groupBy(*_KEYS).agg(F.min(F.struct("logdet", "start", *[c for c in columns if c != "logdet"])).alias("_m"))
+    model = materialize(least.select(*_KEYS, "_m.*"), "quality-least")
+    discard(*steps)
+    good = _distance(rows, model, _KEYS).filter(F.col("d2") <= chi_square(0.975, _D))
+    return _moments(good.groupBy(*_KEYS).agg(*_sums()), _KEYS, _consistency(0.975, _D))
+
+
+def pair_models(estimates: DataFrame) -> DataFrame:
+    """The model of each (lang, source): its own estimates drawn to its language's, and those to
+    the ones of all rows, in proportion to the rows they rest on."""
+    estimates = materialize(estimates, "quality-estimates")
+    values = [*_CENTRE, *_SCATTER]
+
+    def level(name: str) -> DataFrame:
+        return estimates.filter(F.col("level") == name)
+
+    def drawn(df: DataFrame, towards: dict[str, Column]) -> DataFrame:
+        mixed = [((F.col("n") * F.col(c) + PRIOR_ROWS * x) / (F.col("n") + PRIOR_ROWS)).alias(c) for c, x in towards.items()]
+        return df.select("lang", "source", "n", *mixed)
+
+    top = level("all").first()  # one row, or none of an empty table
+    languages = drawn(level("language"), {c: F.lit(top[c] if top else 0.0) for c in values})
+    wide = languages.select(F.col("lang").alias("_lang"), *[F.col(c).alias(f"_{c}") for c in values])
+    joined = level("pair").join(wide, F.col("lang").eqNullSafe(F.col("_lang")))
+    return _inverted(drawn(joined, {c: F.col(f"_{c}") for c in values}), ["lang", "source"])
+
+
+def fitted(rows: DataFrame) -> DataFrame:
+    """The pairs' models from ``rows`` (lang, source, base_failed and the features)."""
+    return materialize(pair_models(fit(levels(rows.filter(~F.col("base_failed"))))), "quality-model")
 
 
 def judge(rows: DataFrame, model: DataFrame) -> DataFrame:
     """``rows`` with ``d2`` and ``kept``: false where base_failed, else whether the distance is
-    within the quantile. Where no group could be fitted there is no verdict against a row."""
-    out = _distance(rows, model)
-    limit = F.lit(chi_square(QUANTILE, len(FEATURES)))
+    within the quantile. A pair all of whose rows fail has no model, and no other verdict."""
+    out = _distance(rows, model, ["lang", "source"])
+    limit = F.lit(chi_square(QUANTILE, _D))
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= limit, F.lit(True))
     return out.withColumn("kept", kept)
 
@@ -260,27 +312,23 @@ def judge(rows: DataFrame, model: DataFrame) -> DataFrame:
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns only.
 
-    A null or empty text fails the base rule; null languages and sources form a group of their own;
-    repeated rows are judged alike; an empty table stays empty.
+    A null or empty text fails the base rule; null languages and sources are values like others;
+    repeated rows, and rows at equal distances, are judged alike; an empty table stays empty. Texts
+    are read whole, and once: the rows are written with their statistics.
     """
-    own = docs.columns
-    narrow = materialize(
-        statistics(docs.select("text", "lang", "source")).select("lang", "source", "base_failed", *FEATURES),
-        "quality-vectors",
-    )
-    table = materialize(groups(narrow), "quality-groups")
-    model = materialize(fit(fitted_on(narrow.filter(~F.col("base_failed")), table)), "quality-model")
-    wide = docs.select(F.struct(*own).alias("_row"), "text", "lang", "source")
-    judged = judge(grouped(statistics(wide), table), model)
-    return judged.filter("kept").select("_row.*")
+    wide = docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang", "source")
+    held = statistics(wide).select("_row", "lang", "source", "base_failed", *FEATURES)
+    held = materialize(held, "quality-rows")
+    model = fitted(held.select("lang", "source", "base_failed", *FEATURES))
+    return judge(held, model).filter("kept").select("_row.*")
 
 
 def op6_robust_outliers(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` with its counts and the verdict; nulls, repeats and an empty
+    table as in ``quality_filter``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     rows = materialize(statistics(docs).drop("text"), "quality-statistics")
-    table = materialize(groups(rows), "quality-groups")
-    model = materialize(fit(fitted_on(rows.filter(~F.col("base_failed")), table)), "quality-model")
-    return judge(grouped(rows, table), model).select(
+    return judge(rows, fitted(rows)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.round("d2", 6).alias("distance"),
     )

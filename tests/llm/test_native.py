@@ -5,7 +5,7 @@ import pytest
 
 from loomcorpus.llm import quality as Q
 from loomcorpus.llm import sharding as S
-from loomcorpus.llm.words import words
+from loomcorpus.llm.scratch import materialize
 
 
 def facts(t):
@@ -55,36 +55,89 @@ def test_chi_square_and_inverse(spark):
 
     row = spark.range(1).select(F.lit("g").alias("g"), *[F.lit(0.0).alias(f"m{i}") for i in range(5)],
                                 *[F.lit(float(scatter[i, j])).alias(f"c{i}_{j}") for i, j in Q._PAIRS])
-    got = Q._inverted(row).first()
+    got = Q._inverted(row, ["g"]).first()
     inverse = np.linalg.inv(scatter)
     assert all(got[f"q{i}_{j}"] == pytest.approx(inverse[i, j], rel=1e-9, abs=1e-12) for i, j in Q._PAIRS)
+    assert got["logdet"] == pytest.approx(np.linalg.slogdet(scatter)[1])
+
+
+_VECTORS = "lang string, source string, " + ", ".join(f"{f} long" for f in Q.FEATURES)
 
 
 def test_estimates_resist_a_quarter_of_outliers(spark):
     """The fitted centre is that of the clean three quarters, as the plain mean is not."""
     rng = np.random.default_rng(2)
     good, bad = rng.normal(100, 20, (3000, 5)), rng.normal(4000, 20, (700, 5))
-    rows = [("g", *map(int, r)) for r in np.vstack([good, bad])]
-    df = spark.createDataFrame(rows, "g string, " + ", ".join(f"{f} long" for f in Q.FEATURES))
-    m = Q.fit(df).first()
-    assert all(abs(m[f"m{i}"] - 100) < 5 for i in range(5))
+    df = spark.createDataFrame([("en", "s", *map(int, r)) for r in np.vstack([good, bad])], _VECTORS)
+    for m in Q.fit(Q.levels(df)).collect():
+        assert all(abs(m[f"m{i}"] - 100) < 5 for i in range(5))
 
 
-def test_rows_of_small_pairs_are_judged_by_all_of_their_language(spark):
+def test_pairs_of_few_rows_lean_on_their_language(spark):
     """A hot source beside rare ones: junk of a source of its own is no centre."""
     rng = np.random.default_rng(3)
     rows = [("en", "hot", *map(int, r)) for r in rng.normal(1000, 60, (400, 5))]
     rows += [("en", "rare", *[1000 + k] * 5) for k in range(5)] + [("en", "junk", *[9000 + k] * 5) for k in range(5)]
-    rows += [("fr", "lone", *[9000] * 5), ("de", None, *[1000] * 5)]  # their languages are too small: judged by all
-    df = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{f} long" for f in Q.FEATURES))
-    df = df.selectExpr("*", "false AS base_failed")
-    table = Q.groups(df)
-    model = Q.fit(Q.fitted_on(df, table))
-    judged = Q.judge(Q.grouped(df, table), model).filter("source IS NULL OR source <> 'hot'").collect()
+    rows += [("fr", "lone", *[9000] * 5), ("de", None, *[1000] * 5)]  # languages of one row: all rows weigh more
+    df = spark.createDataFrame(rows, _VECTORS).selectExpr("*", "false AS base_failed")
+    judged = Q.judge(df, Q.fitted(df)).filter("source IS NULL OR source <> 'hot'").collect()
     kept = {(r["source"] or "none", r["kept"]) for r in judged}
     assert kept == {("rare", True), ("junk", False), ("lone", False), ("none", True)}
 
 
+def plain_fit(x):
+    """(rows, centre, scatter) of one group, by the rules of the module in plain numpy."""
+    floor = np.diag([float(Q.FLOORS[f] ** 2) for f in Q.FEATURES])
+    d = x.shape[1]
+    d2 = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+
+    def moments(part, factor):
+        m = part.mean(0)
+        return m, factor * ((part[:, :, None] * part[:, None, :]).mean(0) - np.outer(m, m)) + floor
+
+    q = np.percentile(x, [25, 50, 75], axis=0)
+    models = [(q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2) + floor), moments(x, 1.0)]
+    least = None
+    for _ in range(Q.STEPS):
+        after = []
+        for m, c in models:
+            bucket = np.floor(32 * np.log2(1 + 16 * d2(m, c)))
+            values, counts = np.unique(bucket, return_counts=True)
+            before = np.cumsum(counts) - counts
+            after.append(moments(x[np.isin(bucket, values[before < Q.SUPPORT * len(x)])], Q._consistency(Q.SUPPORT, d)))
+        same = all(np.allclose(a[1], b[1]) for a, b in zip(after, models))
+        models = after
+        for m, c in models:
+            if least is None or np.linalg.slogdet(c)[1] < np.linalg.slogdet(least[1])[1] - 1e-9:
+                least = (m, c)
+        if same:
+            break
+    good = x[d2(*least) <= Q.chi_square(0.975, d)]
+    return len(good), *moments(good, Q._consistency(0.975, d))
+
+
+@pytest.mark.parametrize("table", ["sf0.001", "sf0.1"])
+def test_verdicts_equal_plain_numpy(spark, table):
+    """On a table of small pairs, and on one with pairs of thousands of rows."""
+    docs = spark.read.parquet(f"/root/testdata/{table}/documents.parquet").select("doc_id", "text", "lang", "source")
+    rows = materialize(Q.statistics(docs).drop("text"), "test-statistics")
+    got = {r["doc_id"]: r["kept"] for r in Q.judge(rows, Q.fitted(rows)).collect()}
+    held = rows.toPandas()
+    good = held[~held["base_failed"]]
+    draw = lambda own, wide: [(own[0] * a + Q.PRIOR_ROWS * b) / (own[0] + Q.PRIOR_ROWS) for a, b in zip(own[1:], wide)]
+    top = plain_fit(good[list(Q.FEATURES)].to_numpy(float))
+    want = {i: False for i in held["doc_id"]}
+    for _, of_lang in good.groupby("lang", dropna=False):
+        lang = draw(plain_fit(of_lang[list(Q.FEATURES)].to_numpy(float)), top[1:])
+        for _, pair in of_lang.groupby("source", dropna=False):
+            x = pair[list(Q.FEATURES)].to_numpy(float)
+            m, c = draw(plain_fit(x), lang)
+            d2 = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            want |= dict(zip(pair["doc_id"], d2 <= Q.chi_square(Q.QUANTILE, len(Q.FEATURES))))
+    assert sum(got[i] != want[i] for i in want) <= len(want) // 2000, [i for i in want if got[i] != want[i]][:20]
+    assert 0 < sum(got.values()) < len(got)
+
+
 def test_filter_edges(make, spark):
     docs = make(None, "", *["some words of a plain text that goes on for a while with more than twenty words in it so it is kept"] * 3, lang=None, source=None)
     docs = docs.selectExpr("*", "1 AS g", "2 AS kept", "3 AS n_words")
@@ -118,12 +171,47 @@ def test_weights_move_rows_only_within_their_subtrees(spark):
     assert abs(share - 3 / 18) < 0.03
 
 
+def descent(key, leaves, spark):
+    """The shard of one key: each level's draws compared one by one."""
+    from pyspark.sql import functions as F
+
+    def draw(child, weight):
+        bits = (spark.range(1).select(F.xxhash64(F.lit(0), F.lit(child), F.lit(str(key)))).first()[0] & (1 << 64) - 1) >> 12
+        return -np.log((bits + 0.5) / (1 << 52)) / weight
+
+    at, path = list(leaves), "/"
+    for level in ("region", "rack", "shard"):
+        weights = {}
+        for x in at:
+            weights[str(getattr(x, level))] = weights.get(str(getattr(x, level)), 0.0) + x.weight
+        name = min(weights, key=lambda n: draw(f"{path}{n}" + ("/" if level != "shard" else ""), weights[n]))
+        at, path = [x for x in at if str(getattr(x, level)) == name], f"{path}{name}/"
+    return at[0].shard
+
+
+def test_shards_equal_a_descent_by_hand(spark):
+    leaves = [S.Leaf(x.region, x.rack, x.shard, 1.0 + x.shard % 3) for x in S.topology(16)]
+    got = {r["doc_id"]: r["shard"] for r in S.assign(spark.range(25).withColumnRenamed("id", "doc_id"), "doc_id", leaves).collect()}
+    assert got == {k: descent(k, leaves, spark) for k in range(25)}
+
+
 def test_sharding_edges(make):
-    docs = make(None, (None, "a"), (None, "b"), (7, "x"), (7, "x")).selectExpr("*", "1 AS shard", "2 AS slot", "'z' AS _part2")
-    rows = S.shard_rows(docs, "doc_id", S.topology(16), 3, S.topology(17)).collect()
+    clash = ["_row", "_part", "_nth", "_start", "_k0", "_k1", "part", "nth", "start", "k0", "region", "rack", "leaf"]
+    docs = make(None, (None, "a"), (None, "b"), (7, "x"), (7, "x")).selectExpr("*", "1 AS shard", "2 AS slot", *[f"9 AS {c}" for c in clash])
+    table = S.shard_rows(docs, "doc_id", S.topology(16), S.topology(17), rows=2)
+    rows = table.collect()
+    assert set(table.columns) == {*docs.columns, "grown_shard"} and all(r[c] == 9 for r in rows for c in clash)
     assert len(rows) == 5 and len({r["shard"] for r in rows if r["doc_id"] is None}) == 1
     assert len({(r["shard"], r["slot"]) for r in rows}) == 5
-    assert S.shard_rows(docs.limit(0), "doc_id", S.topology(16), 1).count() == 0
+    assert S.shard_rows(docs.limit(0), "doc_id", S.topology(16)).count() == 0
     with pytest.raises(ValueError):
         S.topology(3)
-    assert words(None) == []
+
+
+def test_a_hot_key_is_numbered_in_parts(spark):
+    docs = spark.range(5000).selectExpr("IF(id % 3 = 0, 7, id) AS doc_id")
+    rows = S.shard_rows(docs, "doc_id", S.topology(16), rows=100).collect()
+    slots = {}
+    for r in rows:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
