@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,8 +25,9 @@ from .scratch import materialize
 BASE = ("assign", "access", "hex")
 EXTRA = ("private_key", "jwt", "github", "slack", "google", "stripe", "url_login", "mixed")
 KINDS = BASE + EXTRA
-#: At most so many owners for a value to count as its owner's own.
-MAX_OWNERS = 2
+#: At most so many owners, and repositories, for a value to count as its owner's own: an owner may
+#: have it in several repositories, but what is in many is a copied example whoever owns them.
+MAX_OWNERS, MAX_REPOSITORIES = 2, 4
 #: Bits per character from which a value looks drawn at random.
 MIN_ENTROPY = 3.0
 
@@ -42,9 +44,9 @@ _MARKED = {
     "slack": ("xox", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}")),
     "google": ("AIza", re.compile(r"AIza[A-Za-z0-9_-]{35}")),
     "stripe": ("k_live_", re.compile(r"[sr]k_live_[A-Za-z0-9]{16,}")),
-    "url_login": ("://", re.compile(r"(?<=://)[^\s/:@]{1,64}:[^\s/:@]{4,64}(?=@)")),
+    "url_login": ("://", re.compile(r"(?<=://)[^\s/:@]+:[^\s/:@]{4,}(?=@)")),
 }
-_MIXED = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+_MIXED = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 _DIGIT = re.compile(r"[0-9]")
 
 _SPAN = pa.struct(
@@ -70,25 +72,36 @@ def find(text: str | None) -> list[tuple[str, int, int, str]]:
     if "AKIA" in text:
         found += [("access", m.start(), m.end(), m[0]) for m in _ACCESS.finditer(text) if len(m[0]) >= 20]
     found += [("hex", m.start(), m.end(), m[0]) for m in _HEX.finditer(text)]
-    taken = [(s, e) for _, s, e, _ in found]
-
-    def free(s: int, e: int) -> bool:
-        return all(e <= a or s >= b for a, b in taken)
-
+    # what is taken, as intervals that don't meet
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted((s, e) for _, s, e, _ in found):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     marks = [(k, pattern) for k, (word, pattern) in _MARKED.items() if word in text]
     if _DIGIT.search(text):
         marks.append(("mixed", _MIXED))
     for kind, pattern in marks:
         for m in pattern.finditer(text):
-            if free(m.start(), m.end()):
+            at = bisect_left(starts, m.end())  # of intervals that start before the match ends, the last ends last
+            if at == 0 or ends[at - 1] <= m.start():
                 found.append((kind, m.start(), m.end(), m[0]))
-                taken.append((m.start(), m.end()))
+                starts.insert(at, m.start())
+                ends.insert(at, m.end())
     return found
 
 
 def scan(docs: DataFrame, repository: str, owner: str) -> DataFrame:
     """One row per row of ``docs``: its doc_id, ``_row`` (unique), repository, owner and the spans
-    with the hash of their value. The table is written, as two later jobs read it."""
+    with the hash of their value. The table is written, as two later jobs read it.
+
+    Nulls and empty texts have no spans; a text of any length is read whole; repeated rows have
+    spans of their own; an empty table gives an empty one. Other columns of ``docs`` are ignored,
+    whatever their names.
+    """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -132,20 +145,23 @@ def ownership(scanned: DataFrame) -> DataFrame:
     )
 
 
-def owned_spans(scanned: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """One row per span that stays: ``_row``, doc_id, kind, start, end, hash, counts and ``live``."""
+def owned_spans(scanned: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+    """One row per span that stays: ``_row``, doc_id, kind, start, end, hash, counts and ``live``.
+    A value is live if it looks drawn at random and few owners and few repositories have it."""
     each = scanned.select("_row", "doc_id", F.explode("spans").alias("s")).select("_row", "doc_id", "s.*")
     joined = each.join(ownership(scanned), "hash")
-    live = F.col("random") & (F.col("n_owners") <= max_owners)
+    few = (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)
+    live = F.col("random") & few
     return joined.withColumn("live", live).filter(F.col("kind").isin(*BASE) | F.col("live"))
 
 
 def op7_owned_secrets(spark, sf_dir: str) -> DataFrame:
-    """The documents name a source only, so it is the owner, and its part in one language the
-    repository."""
+    """Every row of ``documents`` with its spans; nulls, repeats and an empty table as in ``scan``.
+    The documents name a source only, so it is the owner, and its part in one language the
+    repository; a null source or language counts as a name of its own."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    docs = docs.withColumn("_repository", F.concat_ws("/", "source", "lang"))
-    scanned = scan(docs, "_repository", "source")
+    name = F.concat_ws("/", *[F.coalesce(c, F.lit("\x00")) for c in ("source", "lang")])
+    scanned = scan(docs.select("doc_id", "text", "source", name.alias("repository")), "repository", "source")
     rank = F.element_at(F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))]), F.col("kind"))
     spans = owned_spans(scanned).select(
         "_row", "kind", "live",
