@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -117,6 +117,16 @@ def verbatim(candidates: DataFrame, docs: DataFrame, key: str, text: str) -> Dat
     return joined.filter(good).drop(text)
 
 
+def proposed(docs: DataFrame, key: str, text: str, propose: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(key, source, relation, target, confidence, evidence, review) that ``propose`` makes of the
+    documents, where the evidence stands in the document and names two different ends; one row for
+    each relation of a document, with its first evidence."""
+    made = propose(docs).filter((F.col("source") != "") & (F.col("target") != "") & (F.col("source") != F.col("target")))
+    good = verbatim(made, docs, key, text)
+    g = good.groupBy(key, "source", "relation", "target").agg(F.max("confidence").alias("confidence"), F.min("evidence").alias("evidence"))
+    return g.withColumn("review", F.lit("pending"))
+
+
 def shingle_signature(text: Column, n: int = 5, size: int = 64) -> Column:
     """The smallest hashes of a text's distinct character runs, white space left out."""
     packed = F.regexp_replace(text, r"(?U)\s+", "")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import answers, chunks, conversation, corpus, links, retrieve, scalars, state, storage, streams
+from . import answers, chunks, conversation, corpus, hooks, links, retrieve, scalars, state, storage, streams
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "answers", "chunks", "conversation", "corpus", "links", "retrieve", "scalars", "state", "storage", "streams"]
+__all__ = ["ORACLES", "QUERIES", "answers", "chunks", "conversation", "corpus", "hooks", "links", "retrieve", "scalars", "state", "storage", "streams"]

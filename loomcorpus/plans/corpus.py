@@ -400,11 +400,11 @@ def j3_coalesce_sources(spark, d):
     return pages.join(raw, "page_id", "left").join(audit, "page_id", "left").select("page_id", F.coalesce("r", "a", F.lit("inspect")).alias("origin"))
 
 
-@query(f"""WITH {_NORMAL} SELECT page_id FROM u WHERE regexp_extract(path, '^/([a-z]+)/', 1) IN (SELECT lang FROM documents WHERE source = 'src0' GROUP BY lang HAVING count(*) > 10)""")
+@query(f"""WITH {_NORMAL} SELECT page_id FROM u WHERE regexp_extract(path, '^/([a-z]+)/', 1) IN (SELECT lang FROM documents WHERE source = 'src0' GROUP BY lang HAVING count(*) > 2)""")
 def j12_left_semi(spark, d):
-    """Pages in a language that has over ten official documents."""
+    """Pages in a language that has over two official documents."""
     counts = docs_of(spark, d).filter("source = 'src0'").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    chosen = counts.filter("n > 10").select("lang")
+    chosen = counts.filter("n > 2").select("lang")
     pages = table(spark, d, "pages").select("page_id", F.regexp_extract(urls.path(F.col("url")), "^/([a-z]+)/", 1).alias("lang"))
     return pages.join(chosen, "lang", "left_semi").select("page_id")
 
