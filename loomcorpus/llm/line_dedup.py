@@ -3,11 +3,12 @@
 A rolling hash over the hashes of neighbouring lines decides where a chunk ends, so the chunks of a
 passage don't depend on what stands before it: after an insertion the boundaries fall into step
 again. A chunk that occurs more than once in the corpus is compared byte by byte with the first
-occurrence, by (doc_id, place), and removed from everywhere else.
+occurrence, by doc_id, row and place, and removed from everywhere else. The documents are written with a
+row number first, so that rows of one doc_id, and rows alike in all, are told apart.
 
 Passages are what chunks leave of a repeat: its edges, and runs in which no chunk lies. Two lines
 with words that follow one another, over empty lines if need be, are a pair. Where every pair of a
-run of lines occurred before, by (doc_id, place), the run goes if it has over LONG_LINE words or
+run of lines occurred before, in the same order, the run goes if it has over LONG_LINE words or
 meets a chunk that goes. Pairs are told apart by 128-bit hashes. Of every line with words, the first
 occurrence stays.
 """
@@ -24,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .expressions import fresh, numbered
 from .scratch import materialize
 
 #: Lines the rolling hash looks back on; one chunk end in DIVISOR lines; least and most lines of a
-#: chunk; words from which a line is a chunk of its own, as a passage pasted as one line is.
+#: chunk; the words that a passage has more than, as the contract counts passages: a line of more is
+#: a chunk of its own, as a passage pasted as one line is.
 ROLL, DIVISOR, LEAST, MOST, LONG_LINE = 2, 2, 2, 64, 50
 _MASK = (1 << 64) - 1
 _PRIME = 0x9E3779B185EBCA87
@@ -72,7 +75,8 @@ def removable(lines: list[bytes], start: int, end: int) -> bool:
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, hash, chunk) of every removable chunk; a null text has none."""
+    """(doc_id, row, place, hash, chunk) of every removable chunk of ``docs`` (doc_id, row, text); a
+    null text has none."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -86,15 +90,16 @@ def chunk_table(docs: DataFrame) -> DataFrame:
                         place.append(k)
                         hashes.append(xxhash.xxh64_intdigest(body) - (1 << 63))
                         text.append(body)
+            at = pa.array(of, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array(of, pa.int64())), pa.array(place, pa.int32()),
+                [b.column("doc_id").take(at), b.column("row").take(at), pa.array(place, pa.int32()),
                  pa.array(hashes, pa.int64()), pa.array(text, pa.binary())],
-                ["doc_id", "place", "hash", "chunk"],
+                ["doc_id", "row", "place", "hash", "chunk"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        batches, f"doc_id {kind}, place int, hash long, chunk binary"
+    return docs.select("doc_id", "row", "text").mapInArrow(
+        batches, f"doc_id {kind}, row long, place int, hash long, chunk binary"
     )
 
 
@@ -105,7 +110,8 @@ def _pairs(lines: list[bytes]) -> tuple[list[int], list[bytes]]:
 
 
 def pair_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, pair, hash, more) of every pair; hash and more are the halves of its digest."""
+    """(doc_id, row, pair, hash, more) of every pair of lines of ``docs`` (doc_id, row, text); hash
+    and more are the halves of its digest."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -116,38 +122,43 @@ def pair_table(docs: DataFrame) -> DataFrame:
                 place += range(len(found))
                 digests += found
             halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            at = pa.array(of, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array(of, pa.int64())), pa.array(place, pa.int32()),
+                [b.column("doc_id").take(at), b.column("row").take(at), pa.array(place, pa.int32()),
                  pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1]))],
-                ["doc_id", "pair", "hash", "more"],
+                ["doc_id", "row", "pair", "hash", "more"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, pair int, hash long, more long")
+    return docs.select("doc_id", "row", "text").mapInArrow(batches, f"doc_id {kind}, row long, pair int, hash long, more long")
+
+
+def _order(place: str):
+    """Where something stands in the corpus; a null doc_id is the last."""
+    return F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row", place)
 
 
 def repeated_pairs(docs: DataFrame) -> DataFrame:
-    """(doc_id, pair, hash) of every pair that occurred before."""
+    """(row, pair) of every pair that occurred before."""
     table = pair_table(docs)
-    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "pair")
     first = materialize(
         table.groupBy("hash", "more")
-        .agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min(_order("pair")).alias("first"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
         .select(F.col("hash").alias("_h"), F.col("more").alias("_m"), "first"),
         "line-pairs",
     )
     same = (F.col("hash") == F.col("_h")) & (F.col("more") == F.col("_m"))
-    return table.join(first, same).filter(order != F.col("first")).select("doc_id", "pair", "hash")
+    return table.join(first, same).filter(_order("pair") != F.col("first")).select("row", "pair")
 
 
-def passages(lines: list[bytes], gone: set[int], repeated: set[tuple[int, int]]) -> set[int]:
-    """The lines of ``gone`` and those of the repeated passages. ``repeated`` has (pair, hash)."""
-    worded, digests = _pairs(lines)
-    hit = [(k, int.from_bytes(d[:8], "little", signed=True)) in repeated for k, d in enumerate(digests)]
+def passages(lines: list[bytes], gone: set[int], repeated: set[int]) -> set[int]:
+    """The lines of ``gone`` and those of the repeated passages. ``repeated`` has numbers of pairs."""
+    worded = [i for i, x in enumerate(lines) if x and not x.isspace()]
     out = set(gone)
     start = None
-    for k, on in enumerate([*hit, False]):
+    for k in range(len(worded)):  # the last line starts no pair, so every run is closed
+        on = k in repeated
         if on and start is None:
             start = k
         elif not on and start is not None:
@@ -159,7 +170,7 @@ def passages(lines: list[bytes], gone: set[int], repeated: set[tuple[int, int]])
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, places): the chunks of each document that go, sorted.
+    """(row, place) of the chunks that go.
 
     Hashes are counted first, with partial sums before the shuffle; only chunks whose hash repeats
     move as bytes. Grouping those by hash and bytes is the byte comparison.
@@ -167,18 +178,16 @@ def repeats(docs: DataFrame) -> DataFrame:
     table = chunk_table(docs)
     twice = table.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
     candidates = materialize(table.join(twice, "hash"), "line-candidates")
-    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "place")
     # written, so that what follows is a plain join, which Spark can split at a hot chunk
     first = materialize(
         candidates.groupBy("hash", "chunk")
-        .agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min(_order("place")).alias("first"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
         .select(F.col("hash").alias("_h"), F.col("chunk").alias("_c"), "first"),
         "line-firsts",
     )
     same = (F.col("hash") == F.col("_h")) & (F.col("chunk") == F.col("_c"))
-    gone = candidates.join(first, same).filter(order != F.col("first")).select("doc_id", "place")
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    return candidates.join(first, same).filter(_order("place") != F.col("first")).select("row", "place")
 
 
 def dedup_lines(docs: DataFrame, whole: bool = False) -> DataFrame:
@@ -186,35 +195,38 @@ def dedup_lines(docs: DataFrame, whole: bool = False) -> DataFrame:
     ``whole``, with the repeated passages removed too.
 
     Every row stays. A null text stays null; a document wholly repeated is left with an empty text.
-    Rows that share a doc_id are one document: the places found in any of them go from each of
-    them, except where it is the first occurrence. A null doc_id counts as the last. Columns that
-    are named like the added ones are replaced.
+    Occurrences are ordered by doc_id, null being the last, then by row, then by place; of rows alike
+    in all, one is the first. Rows that share a doc_id are documents of their own. Texts of any length
+    are read whole; an empty table stays empty. Columns that are named like the added ones are
+    replaced, any others kept.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
-    gone = repeats(docs).select("doc_id", "places", F.lit(None).cast("array<struct<pair:int,hash:bigint>>").alias("pairs"))
+    held, row = numbered(docs.select(*own), "line-documents")
+    narrow = held.select("doc_id", F.col(row).alias("row"), "text")
+    none = lambda kind: F.lit(None).cast(kind)
+    gone = repeats(narrow).select("row", "place", none("int").alias("pair"))
     if whole:
-        found = repeated_pairs(docs).groupBy("doc_id").agg(F.collect_set(F.struct("pair", "hash")).alias("pairs"))
-        gone = gone.unionByName(found.withColumn("places", F.lit(None).cast("array<int>")))
-        gone = gone.groupBy("doc_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("places", "pairs")])
-    gone = materialize(gone, "line-repeats")
-    gone = gone.withColumnsRenamed({"doc_id": "_id", "places": "_places", "pairs": "_pairs"})
-    joined = docs.select(*own).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
-    kept = joined.schema
+        gone = gone.unionByName(repeated_pairs(narrow).select("row", none("int").alias("place"), "pair"))
+    key, places, pairs = fresh(held, "key", "places", "pairs")
+    gone = gone.groupBy(F.col("row").alias(key)).agg(F.collect_set("place").alias(places), F.collect_set("pair").alias(pairs))
+    # the same plan at every size: what goes is a share of all lines, so it outgrows a broadcast
+    gone = materialize(gone, "line-repeats").hint("shuffle_hash")
+    joined = held.join(gone, F.col(row) == F.col(key), "left").drop(row, key)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = own.index("text")
         for b in it:
             texts, total, removed = [], [], []
-            columns = (b.column(c) for c in ("_places", "_pairs"))
-            for t, places, pairs in zip(b.column("text").cast(pa.binary()).to_pylist(), *(c.to_pylist() for c in columns)):
+            columns = (b.column(c).to_pylist() for c in (places, pairs))
+            for t, drop, repeated in zip(b.column("text").cast(pa.binary()).to_pylist(), *columns):
                 lines = t.split(b"\n") if t else []
                 total.append(len(lines))
                 left = 0
-                if places or pairs:
-                    drop = set(places or [])
+                if drop or repeated:
+                    drop = set(drop)
                     out = {i for k, (s, e) in enumerate(chunks(lines)) if k in drop for i in range(s, e)} if drop else set()
-                    if pairs:
-                        out = passages(lines, out, {(x["pair"], x["hash"]) for x in pairs})
+                    if repeated:
+                        out = passages(lines, out, set(repeated))
                     stay = [x for i, x in enumerate(lines) if i not in out]
                     left = len(lines) - len(stay)
                     t = b"\n".join(stay)
@@ -227,7 +239,7 @@ def dedup_lines(docs: DataFrame, whole: bool = False) -> DataFrame:
                 [*own, "n_lines", "n_removed_lines"],
             )
 
-    fields = [f for f in kept.fields if f.name in own]
+    fields = [f for f in held.schema.fields if f.name in own]
     schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed_lines", T.LongType())])
     return joined.mapInArrow(batches, schema)
 

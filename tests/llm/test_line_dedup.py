@@ -67,6 +67,24 @@ def test_nulls_empties_clashes_and_repeats(make, spark):
     assert L.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_are_told_apart(make):
+    """Neither unique texts nor all copies are lost where ids are repeated or null."""
+    docs = make((1, "a b\nc d"), (5, "a b\nc d"), (5, "unique one\nunique two"), (None, "only\nhere"), (None, "a b\nc d"), (9, "e f\ng h"), (9, "e f\ng h"))
+    docs = docs.selectExpr("*", "1 AS _row", "2 AS row", "3 AS _id", "4 AS _places", "5 AS pairs", "6 AS key")
+    for whole in (False, True):
+        rows = L.dedup_lines(docs, whole=whole)
+        assert [c for c in rows.columns if c not in docs.columns] == ["n_lines", "n_removed_lines"]
+        assert {(r["_row"], r["row"], r["_id"], r["_places"], r["pairs"], r["key"]) for r in rows.collect()} == {(1, 2, 3, 4, 5, 6)}
+        got = Counter((r["doc_id"], r["text"]) for r in rows.collect())
+        assert got == Counter([(1, "a b\nc d"), (5, ""), (5, "unique one\nunique two"), (None, "only\nhere"), (None, ""), (9, "e f\ng h"), (9, "")])
+
+
+def test_very_long_texts(make):
+    long = "\n".join(f"line {i} of many" for i in range(60_000))
+    got = {r["doc_id"]: r["text"] for r in L.dedup_lines(make(long, "new\n" + long, "w " * 500_000), whole=True).collect()}
+    assert got[0] == long and len(got[1]) < 1000 and len(got[2]) == 1_000_000
+
+
 def brute_passages(docs):
     """Chunks as above; then runs of lines whose pairs occurred before, found in a dictionary."""
     chunked = {}
