@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .expressions import numbered
 from .scratch import materialize
 
 #: Records of a file, about; bytes of an offset range; files or groups under one node above.
@@ -32,16 +33,21 @@ def record(url: Column, body: Column, page: Column) -> Column:
 def archive(pages: DataFrame) -> DataFrame:
     """``pages`` (page_id, url, html) as records with their place: file, offset, length.
 
-    A page's file is drawn from its id, url and length, and a file holds about FILE_RECORDS records
-    at every size of the corpus; places within a file follow the order of ids. Repeated pages are
-    records of their own.
+    The pages are written with a row number, from which and its id a page's file is drawn, so pages
+    alike are dealt over many files; a file holds about FILE_RECORDS records at every size of the
+    corpus. Places within a file follow the order of ids. Repeated pages are records of their own.
     """
-    files = max(1, -(-pages.count() // FILE_RECORDS))
     rows = pages.select("page_id", "url", record(F.col("url"), F.col("html"), F.col("page_id")).alias("record"))
-    rows = rows.withColumn("length", F.octet_length("record").cast("long"))
-    rows = rows.withColumn("file", F.pmod(F.xxhash64("page_id", "url", "length"), F.lit(files)).cast("int"))
-    before = Window.partitionBy("file").orderBy("page_id", "url", "record").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
+    rows, row = numbered(rows.withColumn("length", F.octet_length("record").cast("long")), "warc-records")
+    files = max(1, -(-rows.count() // FILE_RECORDS))
+    file = F.pmod(F.xxhash64("page_id", row), F.lit(files)).cast("int")
+    # lengths alone are put in order; the records don't move
+    before = Window.partitionBy("file").orderBy("page_id", "_of").rowsBetween(Window.unboundedPreceding, -1)
+    places = rows.select("page_id", F.col(row).alias("_of"), "length", file.alias("file"))
+    places = places.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
+    # the same plan at every size: there is a place for every record, so they outgrow a broadcast
+    places = materialize(places.select("_of", "file", "offset"), "warc-places").hint("shuffle_hash")
+    return rows.join(places, F.col(row) == F.col("_of")).drop(row, "_of")
 
 
 def leaves(replica: DataFrame) -> DataFrame:
@@ -57,14 +63,15 @@ def _above(children: DataFrame, keys: dict[str, Column], order: list[str]) -> Da
 
 
 def tree(records: DataFrame, files: int) -> list[DataFrame]:
-    """Levels from ranges up to the root, each a table of (file, range, hash)."""
+    """Levels from ranges up to the root, each a written table of (file, range, hash)."""
     at, none = F.floor(F.col("offset") / RANGE_BYTES), F.lit(-1)
-    ranges = _above(records, {"file": F.col("file"), "range": at}, ["offset", "length", "page_id"])
-    level = _above(ranges, {"file": F.col("file"), "range": none}, ["range"])
-    levels = [ranges, level]
+    level = materialize(_above(records, {"file": F.col("file"), "range": at}, ["offset", "length", "page_id"]), "warc-level")
+    levels = [level]
+    level = materialize(_above(level, {"file": F.col("file"), "range": none}, ["range"]), "warc-level")
+    levels.append(level)
     width = files
     while width > 1:
-        level = _above(level, {"file": F.floor(F.col("file") / FAN), "range": none}, ["file"])
+        level = materialize(_above(level, {"file": F.floor(F.col("file") / FAN), "range": none}, ["file"]), "warc-level")
         levels.append(level)
         width = -(-width // FAN)
     return levels

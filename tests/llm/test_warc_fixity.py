@@ -45,3 +45,15 @@ def test_nulls_and_repeats(spark):
     assert held.count() == 4 and W.audit(held, held).count() == 0
     assert W.archive(pages).count() == 4
     assert W.audit(held, held.filter("page_id IS NOT NULL")).count() == 1
+
+
+def test_long_bodies_and_a_page_repeated_very_often(spark):
+    rows = [(1, "u", "same")] * 3000 + [(2, "v", "x" * 2_000_000), (3, "w", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    held = W.leaves(W.archive(pages))
+    sizes = [r["count"] for r in held.groupBy("file").count().collect()]
+    assert sum(sizes) == 3002 and max(sizes) < 2 * W.FILE_RECORDS
+    from pyspark.sql import functions as F
+
+    hurt = held.withColumn("hash", F.when(F.col("page_id") == 2, "0").otherwise(F.col("hash")))
+    assert [(r["page_id"], r["status"]) for r in W.audit(held, hurt).collect()] == [(2, "corrupt")]
