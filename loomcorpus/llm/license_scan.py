@@ -7,6 +7,7 @@ before is suppressed.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import groupby
@@ -62,9 +63,16 @@ def _kept(text: str, tried: Iterable[Rule]) -> list[tuple[int, int, Rule]]:
     found = [(m.start(), m.end(), rule) for rule in tried for m in rule.pattern.finditer(text)]
     found.sort(key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].label))
     kept: list[tuple[int, int, Rule]] = []
+    # of the kept intervals those in no other, whose starts and ends both ascend
+    starts: list[int] = []
+    ends: list[int] = []
     for start, end, rule in found:
-        if not any(a <= start and end <= b for a, b, _ in kept):
-            kept.append((start, end, rule))
+        at = bisect_right(starts, start)
+        if at and ends[at - 1] >= end:
+            continue
+        kept.append((start, end, rule))
+        low, high = bisect_left(starts, start), bisect_right(ends, end)
+        starts[low:high], ends[low:high] = [start], [end]
     return kept
 
 
@@ -72,8 +80,10 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): counts, base places, labels and score.
 
     The score is the chance that one detection at least is right, were their confidences
-    independent; 0 without any label. A null text is an empty one. Repeated rows give repeated
-    results; other columns are ignored.
+    independent; 0 without any label. A null text is an empty one; a text of any length is read
+    whole. Repeated rows give repeated results, an empty table an empty one; other columns are
+    ignored. Of matches of equal priority the longest goes first, of equally long ones the first in
+    the text, of rules that match alike the one whose label is first in the alphabet.
     """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -132,3 +132,82 @@ def test_license_edges(make):
     rows = L.scan_licenses(docs).collect()
     assert sorted(r["n_base"] for r in rows) == [0, 0, 1, 1, 1] and len(rows) == 5
     assert L.scan_licenses(docs.limit(0)).count() == 0
+
+
+def test_long_secrets_and_many_repositories(spark):
+    long = "".join(f"{i:x}G" for i in range(120))
+    login = "https://user:" + "p4" * 60 + "@host"
+    found = {k: v for k, _, _, v in S.find(f"see {long} and {login}")}
+    assert found["mixed"] == long and found["url_login"].endswith("p4") and len(found["url_login"]) == 125
+    rows = [(i, "see q7Rt92LmXz04KpVb81Nc", f"r{i}", "one owner") for i in range(S.MAX_REPOSITORIES + 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, repo string, owner string")
+    assert S.owned_spans(S.scan(docs, "repo", "owner")).count() == 0  # copied, though by one owner
+    few = S.owned_spans(S.scan(docs.limit(2), "repo", "owner")).collect()
+    assert len(few) == 2 and all(r["live"] for r in few)
+    assert S.owned_spans(S.scan(docs.limit(0), "repo", "owner")).count() == 0
+    twice = S.scan(docs.limit(1).unionByName(docs.limit(1)), "repo", "owner")
+    assert twice.count() == 2 and twice.select("_row").distinct().count() == 2
+
+
+def test_spans_of_a_text_don_t_meet_as_plain_comparison_finds(spark):
+    import random
+
+    rng = random.Random(8)
+    parts = ["token=", "a1b2c3d4e5f6a7b8c9d0e1f2", "AKIA" + "A1" * 9, "ghp_" + "x1" * 20, "https://u:pass1234@h ", " ", "q7Rt92LmXz04KpVb81Nc", "eyJabcdefgh.abcdefghi.abcdefghij", "\n"]
+    for _ in range(200):
+        text = "".join(rng.choice(parts) for _ in range(30))
+        found = S.find(text)
+        extra = [x for x in found if x[0] not in S.BASE]
+        assert sorted(x[:3] for x in found if x[0] in S.BASE) == sorted(base(text))
+        for i, (_, s, e, _) in enumerate(extra):
+            others = [x for x in found if x[0] in S.BASE] + extra[:i]
+            assert all(e <= a or s >= b for _, a, b, _ in others)
+    run = "f" * 30 + " "
+    assert len(S.find(run * 30_000)) == 30_000  # a text of very many spans takes seconds, not hours
+
+
+def test_containment_equals_comparing_every_pair():
+    import random
+
+    class Match:
+        def __init__(self, s, e):
+            self.s, self.e = s, e
+
+        def start(self):
+            return self.s
+
+        def end(self):
+            return self.e
+
+    class Pattern:
+        def __init__(self, spans):
+            self.spans = spans
+
+        def finditer(self, text):
+            return [Match(*x) for x in self.spans]
+
+    class Fake:
+        def __init__(self, n, priority, spans):
+            self.label, self.priority, self.pattern = f"l{n}", priority, Pattern(spans)
+
+    rng = random.Random(3)
+    for _ in range(300):
+        fakes = []
+        for n in range(5):
+            starts = [rng.randint(0, 30) for _ in range(6)]
+            fakes.append(Fake(n, rng.randint(0, 2), [(s, s + rng.randint(1, 12)) for s in starts]))
+        every = sorted(((s, e, f) for f in fakes for s, e in f.pattern.spans), key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].label))
+        want = []
+        for s, e, f in every:
+            if not any(a <= s and e <= b for a, b, _ in want):
+                want.append((s, e, f))
+        assert L._kept("", fakes) == want
+
+
+def test_license_scan_of_very_long_and_repetitive_texts(spark):
+    text = "MIT License and Apache License 2.0. " * 20_000
+    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "none " * 200_000), (4, "none")], "doc_id int, text string").selectExpr("*", "1 AS labels", "2 AS n_words")
+    rows = sorted((r["doc_id"], r["n_words"], r["n_base"], r["labels"]) for r in L.scan_licenses(docs).collect())
+    assert rows[0][2] == 40_000 and "mit" in rows[0][3] and "apache" in rows[0][3]
+    assert [x[:3] for x in rows[1:]] == [(2, 0, 0), (3, 0, 0), (4, 1, 0), (4, 200_000, 0)]
+    assert L.scan_licenses(docs.limit(0)).count() == 0
