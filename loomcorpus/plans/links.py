@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text, urls
 from ..functions.rules import any_of
 from ..operators import graph, links
+from ..sources import html
 from ..sources.html import extract_html
 from .registry import query, table
 
@@ -197,3 +198,38 @@ def a31_discovery_report(spark, d):
     )
     why = F.array_join(F.array_compact(F.array(*[F.when(F.col(k) > 0, F.concat(F.lit(f"{k}="), F.col(k).cast("string"))) for k in kinds])), ";")
     return g.select("host", "pages", "existing", "fresh", sum((F.col(k) for k in kinds), F.lit(0)).alias("failures"), why.alias("why"))
+
+
+def sectioned(spark, d):
+    return html.sections(table(spark, d, "pages")).join(table(spark, d, "pages").select("page_id", "url"), "page_id")
+
+
+_PLAIN = "replace(replace(replace(replace(replace(trim(regexp_replace({}, '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')"
+_NAMES = (
+    "lb AS (SELECT page_id, title, list_transform(range(1, len(hrefs) + 1), lambda i: coalesce(nullif(" + _PLAIN.format("labels[i]") + ", ''), hrefs[i])) AS names, hrefs FROM pg), "
+    "el AS (SELECT page_id, title, list_filter(names, lambda x, i: list_position(names, x) = i) AS names FROM lb)"
+)
+
+
+@query("WITH " + _READ + ", " + _NAMES + """ SELECT page_id, title, CASE WHEN contains(title, 'tion') THEN array_to_string(names, ',') ELSE '' END AS prerequisites, CASE WHEN contains(title, 'que') THEN array_to_string(names, ',') ELSE '' END AS followups FROM el""")
+def s16_navigation(spark, d):
+    """The pages' links stand before any heading, so in the section that the title names."""
+    out = html.navigation(sectioned(spark, d), "page_id", {"version": ("Version:",)}, ("tion",), ("que",))
+    return out.select("page_id", "title", F.array_join("prerequisites", ",").alias("prerequisites"), F.array_join("followups", ",").alias("followups"))
+
+
+@query("WITH " + _READ + """, e AS (SELECT DISTINCT page_id, unnest(hrefs) AS h FROM pg WHERE host IN ('www.ththhe.example.org', 'therea.example.net', 'ththin.example.net')) SELECT page_id, count(*) AS n FROM e WHERE starts_with(h, '/') GROUP BY page_id""")
+def s16_outbound(spark, d):
+    """Links to allowed hosts; those of these pages lead to their own."""
+    allowed = {h: ("/",) for h in ("www.ththhe.example.org", "therea.example.net", "ththin.example.net")}
+    return html.outbound(sectioned(spark, d), "page_id", "url", allowed).groupBy("page_id").agg(F.count_distinct("href").alias("n"))
+
+
+@query(r"""SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h[123]>([^<]*)</h[123]>', 1)) AS h FROM pages) WHERE contains(h, 'tion') OR contains(h, 'que') GROUP BY page_id""")
+def s16_headings(spark, d):
+    return html.keyword_headings(sectioned(spark, d), "page_id", ("tion", "que")).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""WITH n AS (SELECT page_id, unnest(regexp_extract_all(html, '<div class="ad">([^<]*)</div>', 1)) AS t FROM pages) SELECT page_id, md5(""" + _PLAIN.format("t") + """) AS digest FROM n WHERE trim(t) <> ''""")
+def s16_notices(spark, d):
+    return html.notices(sectioned(spark, d), "page_id").select("page_id", F.md5("notice").alias("digest"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.rules import any_of
+from ..functions.text import labelled_value
+from ..functions.urls import absolute, is_allowed_url
 
 _SKIPPED = {"script", "style", "nav", "footer", "noscript", "template"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -36,8 +41,9 @@ class _Page(HTMLParser):
         if tag == "link" and a.get("rel") == "canonical":
             self.canonical = a.get("href", "")
         if tag == "a" and a.get("href"):
-            self.link = a["href"]
-            self.links.setdefault(self.link, [])
+            # the first label of an address counts, not all of its links' labels together
+            known = "".join(self.links.setdefault(a["href"], [])).strip()
+            self.link = None if known else a["href"]
         if tag in _BLOCKS:
             self.text("\n")
         if tag not in _VOID:
@@ -111,11 +117,14 @@ class _Sections(_Page):
         super().__init__()
         self.noise, self.headings, self.notices = noise, [], []
         self.depth = 0
+        self.under: dict[str, int] = {}  # how many headings stand before each link
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         super().handle_starttag(tag, attrs)
         if tag in ("h1", "h2", "h3"):
             self.headings.append("")
+        if self.link is not None:
+            self.under.setdefault(self.link, len(self.headings))
         if tag not in _VOID and set(dict(attrs).get("class", "").split()) & set(self.noise) and not self.depth:
             self.depth = len(self.open)
             self.notices.append("")
@@ -150,3 +159,52 @@ def extract_sections(pages: DataFrame, noise: tuple[str, ...] = ("ad",), key: st
 
     kind = pages.schema[key].dataType.simpleString()
     return pages.select(key, html).mapInPandas(run, f"{key} {kind}, kind string, value string")
+
+
+def sections(pages: DataFrame, noise: tuple[str, ...] = ("ad",), key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, title, text, headings, links, notices) of every page, in one pass over it: links with
+    their label and section, the heading before them or, before any, the page's title; notices are
+    the texts of nodes of the noise classes, which the rest leaves out."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = []
+            for k, h in zip(pdf[key], pdf[html]):
+                page, plain = _Sections(noise), parse(h)
+                page.feed(h or "")
+                page.close()
+                heads = [" ".join(x.split()) for x in page.headings]
+                links = [x | {"section": heads[n - 1] if (n := page.under.get(x["href"], 0)) else plain["title"]} for x in plain["links"]]
+                rows.append((k, plain["title"], plain["text"], [x for x in heads if x], links, [" ".join(x.split()) for x in page.notices if x.strip()]))
+            yield pd.DataFrame(rows, columns=[key, "title", "text", "headings", "links", "notices"])
+
+    kind = pages.schema[key].dataType.simpleString()
+    return pages.select(key, html).mapInPandas(
+        run, f"{key} {kind}, title string, text string, headings array<string>, links array<struct<href:string,label:string,section:string>>, notices array<string>"
+    )
+
+
+def navigation(rows: DataFrame, key: str, labels: Mapping[str, Iterable[str]], before: Iterable[str], after: Iterable[str]) -> DataFrame:
+    """(key, title, a column for each of ``labels``, prerequisites, followups): labelled values of the
+    page's text, and the labels of links in sections that come before or after it."""
+
+    def named(words: Iterable[str]) -> Column:
+        return F.array_distinct(F.transform(F.filter("links", lambda x: any_of(x["section"], words)), lambda x: x["label"]))
+
+    values = [labelled_value(F.col("text"), names).alias(c) for c, names in labels.items()]
+    return rows.select(key, "title", *values, named(before).alias("prerequisites"), named(after).alias("followups"))
+
+
+def outbound(rows: DataFrame, key: str, url: str, allowed: Mapping[str, Iterable[str]]) -> DataFrame:
+    """(key, href, label) of the links, seen from the page's ``url``, that lead to allowed places."""
+    each = rows.select(key, url, F.explode("links").alias("_l")).select(key, absolute(F.col("_l.href"), F.col(url)).alias("href"), "_l.label")
+    return each.filter(is_allowed_url(F.col("href"), allowed)).distinct()
+
+
+def keyword_headings(rows: DataFrame, key: str, words: Iterable[str]) -> DataFrame:
+    """(key, heading) of the headings that hold one of the words."""
+    return rows.select(key, F.explode("headings").alias("heading")).filter(any_of(F.col("heading"), words))
+
+
+def notices(rows: DataFrame, key: str) -> DataFrame:
+    return rows.select(key, F.explode("notices").alias("notice"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomcorpus.operators import answers, chunking, dialogue, graph, keyed, links
 from loomcorpus.operators import retrieval as r
-from loomcorpus.sources import files
+from loomcorpus.sources import files, html
 
 
 def plain_units(text, most):
@@ -249,3 +249,16 @@ def test_exported_texts_come_back(spark, tmp_path):
     files.export_text(docs, f"file://{tmp_path}/out", ["id", "lang"], "text")
     got = sorted((x["head"], x["body"]) for x in files.read_exported(spark, f"file://{tmp_path}/out").collect())
     assert got == [("id: 1\nlang: x", "a\n\nbc"), ("id: 2\nlang: ", "")]
+
+
+def test_sections_of_a_page(spark):
+    page = ('<title>Start</title><a href="/a">first</a><h2>Read before</h2><a href="/b">Bee</a><a href="/b">again</a><div class="ad">Buy <b>now</b></div>'
+            '<h2>Read after</h2><a href="https://ok.org/c">Sea</a><a href="https://no.org/d"></a><article>Version: 1.2 and a long enough text</article>')
+    pages = spark.createDataFrame([(1, "https://ok.org/x", page), (2, "https://ok.org/y", None)], "page_id long, url string, html string")
+    rows = html.sections(pages).join(pages.select("page_id", "url"), "page_id")
+    first = html.navigation(rows, "page_id", {"version": ("Version",)}, ("before",), ("after",)).filter("page_id = 1").first()
+    assert (first["prerequisites"], first["followups"]) == (["Bee"], ["Sea", "https://no.org/d"]) and first["version"].startswith("1.2")
+    out = html.outbound(rows, "page_id", "url", {"ok.org": ("/",)}).collect()
+    assert sorted(x["href"] for x in out) == ["https://ok.org/a", "https://ok.org/b", "https://ok.org/c"]
+    assert [x["heading"] for x in html.keyword_headings(rows, "page_id", ("after",)).collect()] == ["Read after"]
+    assert [x["notice"] for x in html.notices(rows, "page_id").collect()] == ["Buy now"]
