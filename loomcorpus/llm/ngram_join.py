@@ -2,22 +2,24 @@
 
 Two documents link when their shingle sets' Jaccard similarity is ``percent`` per cent at least.
 Documents with equal sets are one class, joined by the hash of the set. Classes are blocked first.
-For each range of sizes, the space of shingles is cut into more stripes than two linked sets can
-differ in, so linked sets agree on some whole stripe, and classes that agree on a stripe fall into
-one block. Where sets are too small or may differ too much for that, classes whose prefixes meet do,
-in an order of shingles with common ones last. Within a block the incidence matrix is multiplied by its transpose, a row at a time:
-overlaps are summed over the postings of the row's shingles, and pairs whose sizes alone rule out
-a link are discarded.
-
-Rows are multiplied for a pivot first, then for every class outside the largest component so far.
-A link between two components has an end outside the largest, so no component is missed, and no
-group's pairs are ever written out. A block larger than one task should hold is dealt over cells,
-and its pivot and outside rows are multiplied with each cell.
+Put all shingles in one order: linked sets of sizes n and m <= n share p = percent * n / 100 shingles at
+least, so the first l of those they share are among the first n - p + l of the one and m - p + l of the
+other. A class writes that prefix, with l a tenth of its size, and stays only if a tenth of the size
+of its smallest possible partner is in other classes' prefixes too. A document with a passage that others have,
+or a few common lines, doesn't stay; a near copy does. Classes that stay and share a prefix shingle
+fall into one block.
+
+Within a block the incidence matrix is multiplied by its transpose, a row at a time: overlaps are
+summed over the postings of the row's shingles, and pairs whose sizes alone rule out a link are
+discarded. Rows are multiplied for a pivot first, then for every class outside the largest component
+so far. A link between two components has an end outside the largest, so no component is missed, and
+no group's pairs are ever written out. A block larger than one task should hold is parted again by an
+order of its own, rarest shingles first; what is still large is dealt over cells, and its pivot and
+outside rows are multiplied with each cell.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,90 +29,41 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import materialize
-from .words import folded, mixed, shingles, signed
+from .scratch import discard, materialize
+from .words import folded, shingle_sets, signed, slices
 
 #: Shingles that one cell of a large block holds, about.
 CELL = 500_000
 #: Shingles of small blocks that one task multiplies, about.
 BIN = 50_000
-_LARGEST = 1 << 40
+#: The share of a set, one in so many, that linked sets must share of their prefixes.
+SHARE = 10
 #: Documents, by the smallest id hashes, among which common shingles are looked for; how many of
 #: them must have one, and how many are kept at most.
-LOOK, OFTEN, KEPT = 20_000, 8, 200_000
+LOOK, OFTEN, KEPT = 20_000, 3, 1_000_000
 
 
-class Stripes:
-    """Ranges of set sizes, and how each is cut into stripes if it can be.
+def shared_at_least(n: int) -> int:
+    """How many prefix shingles a set of ``n`` and any set linked with it, no smaller, share."""
+    return max(1, n // SHARE)
 
-    Range k takes sizes from bounds[k] to below bounds[k + 1]; a set links only within its range or
-    with the next. ``differ[k]`` is the most that a linked pair whose smaller set is in range k can
-    differ by, ``count[k]`` the number of stripes; only stripes of two shingles or more count. It is
-    0 where no number leaves more such stripes than a pair can differ in: small sets, or low
-    similarities. Pairs of those ranges are found by prefixes.
-    """
 
-    def __init__(self, percent: int):
-        self.percent = percent
-        self.bounds = [1]
-        while self.bounds[-1] < _LARGEST:
-            b = self.bounds[-1]
-            self.bounds.append(max(b + 1, b * 100 // percent))
-        self.differ, self.count = [], []
-        for low, high in zip(self.bounds, self.bounds[1:]):
-            small = high - 1
-            d = (small + small * 100 // percent) * (100 - percent) // (100 + percent)
-            self.differ.append(d)
-            self.count.append(self._stripes(low, d))
-
-    @staticmethod
-    def _stripes(low: int, d: int) -> int:
-        m = d + 2
-        while low >= 64 and m <= 1.5 * d + 8:
-            mean = low / m
-            thin = m * math.exp(-mean) * (1 + mean)
-            if m - thin - 3 * math.sqrt(thin) > d:
-                return m
-            m += 1 + m // 50
-        return 0
-
-    def range_of(self, n: int) -> int:
-        return int(np.searchsorted(self.bounds, n, "right")) - 1
-
-    def signatures(self, h: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
-        """Hashes of a sorted set's stripes, for its own range and, as the larger of a pair, for
-        the one below; and, where a range has no stripes or too few of the set's hold enough, of the
-        shingles of a prefix, for that range only. Of two linked sets whose range has stripes, either one has more
-        good stripes than they differ in, so they agree on one, or both have a prefix; prefixes of
-        linked sets meet.
-
-        Shingles of ``common`` (sorted) are left out of the stripes and come last in the order of
-        prefixes, or every text with a common line would fall into one block. Whatever is left out
-        of both sets of a pair, they differ by no more than before, so no link is lost."""
-        own = self.range_of(len(h))
-        rare = ordered = h
-        if common is not None and len(common):
-            often = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
-            rare = h[~often]
-            ordered = np.concatenate([rare, h[often]])
-        spread = mixed(rare ^ np.uint64(0xA0761D6478BD642F))
-        prefix = ordered[: len(h) - -(-self.percent * len(h) // 100) + 1]
-        out = []
-        for k in (own, own - 1):
-            if k < 0 or self.differ[k] == 0:
-                continue
-            good = 0
-            if self.count[k] and len(spread):
-                stripe = (spread >> np.uint64(20)) % np.uint64(self.count[k])
-                order = np.argsort(stripe, kind="stable")
-                present, start, size = np.unique(stripe[order], return_index=True, return_counts=True)
-                sums = np.add.reduceat(mixed(spread[order] + np.uint64(k)), start)
-                enough = size >= 2
-                out.append(mixed((sums ^ (present * np.uint64(0x9E3779B97F4A7C15)))[enough] + np.uint64(2 * k + 1)))
-                good = int(enough.sum())
-            if good <= self.differ[k]:
-                out.append(mixed(prefix ^ np.uint64(2 * k << 40)))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+def prefix_length(n: int, percent: int) -> int:
+    return min(n, n - -(-percent * n // 100) + shared_at_least(n))
+
+
+def needed(n: int, percent: int) -> int:
+    """How many of its prefix shingles a set of ``n`` shares with any set that it links with."""
+    return shared_at_least(-(-percent * n // 100))
+
+
+def prefix(h: np.ndarray, percent: int, common: np.ndarray | None = None) -> np.ndarray:
+    """The first shingles of a sorted set in the order of all shingles: by hash, those of ``common``
+    (sorted) last. Any list is right, as it is the same for all sets."""
+    if common is not None and len(common):
+        often = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+        h = np.concatenate([h[~often], h[often]])
+    return h[: prefix_length(len(h), percent)]
 
 
 def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
@@ -119,62 +72,54 @@ def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
     total = docs.count()
     below = int(min(1.0, LOOK / max(total, 1)) * (1 << 64)) - (1 << 63) - 1
     order = F.xxhash64(F.lit("common"), "doc_id")
-    sample = docs.select("text", order.alias("_o")).filter(F.col("_o") <= below).select("text")
+    # in a few parts, whatever the number of files, so that what is common repeats within a part
+    sample = docs.select("text", order.alias("_o")).filter(F.col("_o") <= below).repartition(8, "_o").select("text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            sets = [shingles(t, n) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            sets = [h for part in slices(b) for h in shingle_sets(part.column("text"), n)]
             if sets:
                 h, c = np.unique(np.concatenate(sets), return_counts=True)
-                # what one batch has once is rarely common, and is most of what there is
+                # what a part has once is rarely common, and is most of what there is
                 yield pa.RecordBatch.from_arrays([pa.array(signed(h)[c > 1]), pa.array(c[c > 1])], ["h", "c"])
 
     counts = sample.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= OFTEN)
-    rows = counts.orderBy(F.col("c").desc(), "h").limit(KEPT).select("h").collect()
-    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+    kept = counts.orderBy(F.col("c").desc(), "h").limit(KEPT).select("h").toArrow()
+    return np.sort(kept["h"].to_numpy().view(np.uint64))
 
 
 def _class_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """One table of three kinds of rows. 0: a document, its set's size and class. 1: a stripe (a)
-    and the first class (b) of a batch that has it. 2: classes (a, b) of one batch that share a
-    stripe. A batch names a stripe once, so a stripe that very many classes share stays few rows."""
+    """One table of two kinds of rows. 0: a document, its set's size (n) and class (b). 1: a prefix
+    shingle (a) of a class (b) and how many of its shingles the class must share (n), once for each
+    slice of a batch that has the class."""
 
-    common = common_shingles(docs, n)
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, n))  # KEPT numbers at most
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stripes = Stripes(percent)
         for b in it:
-            sizes, classes, sigs, owners = [], [], [], []
-            seen: set[int] = set()
-            for text in b.column("text").cast(pa.binary()).to_pylist():
-                h = shingles(text, n)
-                sizes.append(len(h))
-                c = folded(h) if len(h) else None
-                classes.append(None if c is None else c - (1 << 63))
-                if c is not None and c not in seen:
-                    seen.add(c)
-                    sigs.append(stripes.signatures(h, common))
-                    owners.append(np.full(len(sigs[-1]), classes[-1], np.int64))
-            rows = b.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(rows, np.int8)), b.column("doc_id"), pa.array(sizes, pa.int64()),
-                 pa.nulls(rows, pa.int64()), pa.array(classes, pa.int64())],
-                ["kind", "doc_id", "n", "a", "b"],
-            )
-            if sigs:
-                sig, owner = np.concatenate(sigs), np.concatenate(owners)
-                unique, first, of = np.unique(sig, return_index=True, return_inverse=True)
-                lead = owner[first]
-                local = lead[of] != owner
-                pairs = np.unique(np.stack([lead[of][local], owner[local]], 1), axis=0)
-                by_owner = np.argsort(first)  # runs of one owner, which the table stores as such
-                unique, lead = unique[by_owner], lead[by_owner]
-                kinds = np.concatenate([np.ones(len(unique), np.int8), np.full(len(pairs), 2, np.int8)])
-                a = np.concatenate([signed(unique), pairs[:, 0]])
-                z = np.concatenate([lead, pairs[:, 1]])
+            for part in slices(b):
+                sizes, classes, names, prefixes, musts = [], [], [], [], []
+                seen: set[int] = set()
+                for h in shingle_sets(part.column("text"), n):
+                    sizes.append(len(h))
+                    c = folded(h) - (1 << 63) if len(h) else None
+                    classes.append(c)
+                    if c is not None and c not in seen:
+                        seen.add(c)
+                        names.append(c)
+                        prefixes.append(prefix(h, percent, common.value))
+                        musts.append(needed(len(h), percent))
+                lengths = [len(x) for x in prefixes]
+                flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64)
+                rows, more = part.num_rows, len(flat)
+                doc_ids = part.column("doc_id")
+                at = pa.array([*range(rows)], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(kinds), pa.nulls(len(a), b.schema.field("doc_id").type), pa.nulls(len(a), pa.int64()),
-                     pa.array(a), pa.array(z)],
+                    [pa.array(np.repeat(np.array([0, 1], np.int8), [rows, more])),
+                     pa.concat_arrays([doc_ids.take(at), pa.nulls(more, doc_ids.type)]),
+                     pa.array(np.concatenate([np.array(sizes, np.int64), np.repeat(np.array(musts, np.int64), lengths)])),
+                     pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(signed(flat))]),
+                     pa.concat_arrays([pa.array(classes, pa.int64()), pa.array(np.repeat(np.array(names, np.int64), lengths))])],
                     ["kind", "doc_id", "n", "a", "b"],
                 )
 
@@ -182,6 +127,41 @@ def _class_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(batches, f"kind byte, doc_id {kind}, n long, a long, b long")
 
 
+def _shared(held: DataFrame) -> DataFrame:
+    """(sig, low) of what two classes or more have; low is the first of them."""
+    ends = held.groupBy("sig").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.min("need").alias("least"))
+    # every class needs one at least, but a sum that reads ``need`` too reads the very rows that are
+    # joined with it, so Spark deals them once for both
+    return ends.filter("low <> high AND least > 0").select(F.col("sig").alias("_s"), "low")
+
+
+def _met(held: DataFrame) -> DataFrame:
+    """The rows (sig, cls, need) whose shingle others have too, as a table. The rows are dealt by
+    shingle once, for the sums and for the join with them."""
+    dealt = held.repartition("sig")
+    return materialize(dealt.join(_shared(dealt), F.col("sig") == F.col("_s")).select("sig", "cls", "need").distinct(), "join-shared")
+
+
+def _staying(met: DataFrame) -> DataFrame:
+    """The rows of classes that have ``need`` of them."""
+    enough = met.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("must"))
+    enough = enough.filter("n >= must").select(F.col("cls").alias("_c"))
+    return met.join(enough, F.col("cls") == F.col("_c"), "left_semi")
+
+
+def candidate_components(held: DataFrame) -> DataFrame:
+    """Components (node, root) of classes by their prefixes (sig, cls, need), such that linked
+    classes are in one. A shingle's classes form a star, never all pairs."""
+    first = _met(held)
+    second = _met(_staying(first))  # some of what was shared was shared with classes that left
+    discard(first)
+    stay = _staying(second)
+    stars = stay.join(_shared(stay), F.col("sig") == F.col("_s")).filter("cls <> low")
+    found = components(stars.select(F.col("low").alias("a"), F.col("cls").alias("b")))
+    discard(second)
+    return found
+
+
 class _Sets:
     """Union-find over a block's rows."""
 
@@ -297,16 +277,56 @@ def _cell_edges(percent: int):
     return run
 
 
-def class_links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """Edges (a, b) between classes whose components are those of the graph of links."""
-    stripes = rows.filter("kind = 1").select("a", "b")
-    low = F.min("b").over(Window.partitionBy("a"))
-    across = stripes.withColumn("low", low).filter("b <> low").select(F.col("low").alias("a"), "b")
-    blocks = components(across.unionByName(rows.filter("kind = 2").select("a", "b")))
-    named = rows.filter("kind = 0 and n > 0")
+_HELD = "block long, cls long, set binary"
+
+
+def _sizes(rows: DataFrame) -> DataFrame:
+    """Each block of ``rows`` (block, cls, size) with its shingles, first class and cells."""
+    sums = rows.groupBy("block").agg(F.sum("size").alias("shingles"), F.min("cls").alias("pivot"))
+    cells = F.ceil(F.col("shingles") / CELL).cast("long")
+    return sums.select(F.col("block").alias("_block"), "pivot", cells.alias("cells"), "shingles")
+
+
+def parted_again(wide: DataFrame, percent: int) -> DataFrame:
+    """The rows (block, cls, set) of large blocks in smaller ones: by prefixes in an order of each
+    block's own, shingles of fewest classes first. Classes that can't link with any are left out."""
+
+    def taken_apart(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                sets = [np.frombuffer(x, np.int64) for x in part.column("set").to_pylist()]
+                n = np.array([len(x) for x in sets])
+                of = pa.array(np.repeat(np.arange(len(sets)), n))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("block").take(of), part.column("cls").take(of), pa.array(np.concatenate(sets)),
+                     pa.array(np.repeat(np.array([prefix_length(x, percent) for x in n.tolist()]), n)),
+                     pa.array(np.repeat(np.array([needed(x, percent) for x in n.tolist()]), n))],
+                    ["block", "cls", "shingle", "length", "need"],
+                )
+
+    each = wide.mapInArrow(taken_apart, "block long, cls long, shingle long, length long, need long")
+    each = materialize(each, "join-apart")
+    often = each.groupBy("block", "shingle").agg(F.count(F.lit(1)).alias("classes"))
+    order = Window.partitionBy("block", "cls").orderBy("classes", "shingle")
+    ranked = each.join(often, ["block", "shingle"]).withColumn("nth", F.row_number().over(order))
+    held = ranked.filter("nth <= length").select(F.xxhash64("block", "shingle").alias("sig"), "cls", "need")
+    held = materialize(held, "join-prefixes")
+    found = candidate_components(held)
+    discard(each, held)
+    found = found.select(F.col("node").alias("_c"), F.col("root").alias("_root"))
+    return wide.join(found, F.col("cls") == F.col("_c")).select(F.col("_root").alias("block"), "cls", "set")
+
+
+def class_links(docs: DataFrame, named: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """Edges (a, b) between classes whose components are those of the graph of links, from documents
+    (doc_id, n_shingles, cls) and the prefixes in ``rows``, which are deleted when used."""
+    held = rows.filter("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("cls"), F.col("n").alias("need"))
+    blocks = candidate_components(held)
+    discard(rows)
     members = materialize(
-        named.groupBy(F.col("b").alias("cls"))
-        .agg(F.min("doc_id").alias("_id"), F.first("n").alias("size"))
+        named.filter("cls is not null").groupBy("cls")
+        .agg(F.min("doc_id").alias("_id"), F.first("n_shingles").alias("size"))
         .join(blocks.select(F.col("node").alias("cls"), F.col("root").alias("block")), "cls"),
         "join-members",
     )
@@ -318,8 +338,8 @@ def class_links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataF
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             keep, blobs = [], []
-            for i, (text, c) in enumerate(zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("_cls").to_pylist())):
-                h = shingles(text, n)
+            each = (h for part in slices(b) for h in shingle_sets(part.column("text"), n))
+            for i, (h, c) in enumerate(zip(each, b.column("_cls").to_pylist())):
                 if len(h) and folded(h) - (1 << 63) == c:  # a repeated doc_id may carry another text
                     keep.append(i)
                     blobs.append(h.tobytes())
@@ -329,25 +349,27 @@ def class_links(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataF
                 ["block", "cls", "set"],
             )
 
-    held = own.select("text", "_cls", "block").mapInArrow(sets, "block long, cls long, set binary")
-    sizes = members.groupBy("block").agg(F.sum("size").alias("shingles"), F.min("cls").alias("pivot"))
-    sizes = materialize(
-        sizes.select(F.col("block").alias("_block"), "pivot", F.ceil(F.col("shingles") / CELL).cast("long").alias("cells"),
-                     "shingles"),
-        "join-blocks",
-    )
+    held = own.select("text", "_cls", "block").mapInArrow(sets, _HELD)
+    sizes = materialize(_sizes(members.select("block", "cls", "size")), "join-blocks")
     total = sizes.agg(F.sum("shingles"), F.max("cells")).first()
     if total[0] is None:
-        return across.limit(0)
-    held = held.join(sizes, F.col("block") == F.col("_block")).drop("_block", "shingles")
+        return sizes.select(F.col("_block").alias("a"), F.col("_block").alias("b"))
     large = total[1] > 1
     if large:
-        held = materialize(held, "join-sets")
+        every = held = materialize(held, "join-sets")
+        wide = held.join(sizes.filter("cells > 1"), F.col("block") == F.col("_block"), "left_semi")
+        again = parted_again(wide, percent)
+        rest = held.join(sizes.filter("cells > 1"), F.col("block") == F.col("_block"), "left_anti")
+        held = materialize(rest.unionByName(again), "join-sets")
+        discard(every)
+        sizes = materialize(_sizes(held.select("block", "cls", (F.octet_length("set") / 8).alias("size"))), "join-blocks")
+        total = sizes.agg(F.coalesce(F.sum("shingles"), F.lit(0)), F.coalesce(F.max("cells"), F.lit(0))).first()
+    held = held.join(sizes, F.col("block") == F.col("_block")).drop("_block", "shingles")
     bins = max(1, -(-int(total[0]) // BIN))
     small = held.filter("cells = 1").withColumn("bin", F.pmod(F.xxhash64("block"), F.lit(bins)))
     edges = small.select("bin", "block", "cls", "set").groupBy("bin").applyInPandas(_block_edges(percent), _EDGES)
     edges = materialize(edges, "join-links")
-    if not large:
+    if total[1] <= 1:
         return edges
     wide = held.filter("cells > 1").withColumn("cell", F.pmod(F.xxhash64("cls"), F.col("cells")))
 
@@ -383,7 +405,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     """
     rows = materialize(_class_rows(docs, n, percent), "join-classes")
     named = rows.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("b").alias("cls"))
-    found = components(class_links(docs, rows, n, percent))
+    named = materialize(named, "join-documents")
+    found = components(class_links(docs, named, rows, n, percent))
     firsts = named.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"))
     rooted = materialize(
         firsts.join(found, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("root", "cls").alias("root")),
@@ -401,8 +424,8 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that name their component, with their own columns: one document of
     each group stays. Rows that share that document's doc_id stay with it."""
     kept = jaccard_components(docs, n, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = materialize(kept.select(F.col("doc_id").alias("_id")).distinct(), "join-kept")
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    ids = materialize(kept.select("doc_id").distinct(), "join-kept")
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
 
 
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
