@@ -132,32 +132,3 @@ def folded(h: np.ndarray) -> int:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
-
-
-#: Words that a worker keeps the hashes of; the table is emptied when full.
-CACHE = 400_000
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_hashes = _Hashes()
-
-
-def words(text: bytes | None) -> list[bytes]:
-    """Runs of anything but space and 0x09-0x0D, after lower-casing A-Z; none for a null text."""
-    return text.lower().split() if text else []
-
-
-def hashed(tokens: list[bytes]) -> np.ndarray:
-    if len(_hashes) > CACHE:
-        _hashes.clear()
-    return np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens))
-
-
-def shingles(text: bytes | None, n: int) -> np.ndarray:
-    """The distinct n-word shingles of a text, sorted. Shingles are told apart by 64-bit hashes."""
-    return np.unique(runs(hashed(words(text)), n))

@@ -18,7 +18,7 @@ def base(docs):
     return {i: (len(tokens(t)), sum(train[w] > 0 for w in tokens(t)), n, sum(math.log10((train[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens(t))) for i, t in docs}
 
 
-@pytest.mark.parametrize("size", [2_000_000, 300])
+@pytest.mark.parametrize("size", [1_000_000, 300])
 def test_counts_and_base_equal_brute_force(small, monkeypatch, size):
     """With one block a partition, and with many."""
     monkeypatch.setattr(M, "BLOCK_TOKENS", size)
@@ -38,24 +38,113 @@ def test_model_beats_the_base_on_held_out_texts(small):
     assert sum(r["score"] for r in held) > 1.05 * sum(r["base_score"] for r in held)
 
 
-def test_score_equals_the_mixture_and_sums_to_one(make):
-    docs = [(i, f"a b{i % 3} c a b{i % 2}") for i in range(40)]
-    rows = {r["doc_id"]: r for r in M.score_documents(make(*docs)).collect()}
-    assert all(r["score"] < 0 for r in rows.values())
-    w = M.learn(np.array([[3, 4, 6, 8, 10.0], [3, -1, 6, 2, 5.0]]), 100.0, 9)
-    assert w.shape == (M.BUCKETS, 3) and np.allclose(w.sum(1), 1)
+def counted(docs):
+    """Counts of words, pairs and triples of some texts, and how often contexts were seen."""
+    c = [Counter(), Counter(), Counter()]
+    for t in docs:
+        w = ["<<", "<", *tokens(t)]
+        c[0]["<"] += 1
+        for i in range(2, len(w)):
+            c[0][w[i]] += 1
+            c[1][tuple(w[i - 1 : i + 1])] += 1
+            c[2][tuple(w[i - 2 : i + 1])] += 1
+    return c
 
 
-def test_em_finds_weights():
-    """Tokens that only the bigram explains pull its weight up, and the likelihood rises."""
-    rows = np.array([[5, 8, 8, 0, 90.0], [5, -1, 8, 0, 10.0]])
-    w = M.learn(rows, 1e6, 1000)[5]
-    assert w[0] > 0.8
+def octave(c):
+    return min(c.bit_length(), M.OCTAVES - 1)
+
+
+def terms(c, w, i, n, v, order):
+    """(class, the four estimates) of token i of a text."""
+    longer = 0 if order == 2 else c[0]["<"] if w[i - 1] == "<" else c[1][tuple(w[i - 2 : i])]
+    shorter = c[0][w[i - 1]]
+    kind = octave(longer) * M.OCTAVES + octave(shorter)
+    p3 = c[2][tuple(w[i - 2 : i + 1])] / longer if longer else 0.0
+    p2 = c[1][tuple(w[i - 1 : i + 1])] / shorter if shorter else 0.0
+    return kind, (p3, p2, c[0][w[i]] / n, 1 / (v + 1))
+
 
+@pytest.mark.parametrize("size,order", [(1_000_000, 2), (5000, 2), (5000, 3)])
+def test_score_equals_the_mixture_by_brute_force(small, monkeypatch, size, order):
+    """Counts, contexts, classes and the weights' EM again in dictionaries and plain loops."""
+    monkeypatch.setattr(M, "BLOCK_TOKENS", size)
+    docs = [(r["doc_id"], r["text"]) for r in small.collect()]
+    rest = {i: zlib.crc32(str(i).encode()) % 5 for i, _ in docs}
+    train = counted([t for i, t in docs if rest[i] != 1])
+    kept = counted([t for i, t in docs if rest[i] not in (1, 2)])
+    n = sum(x for w, x in train[0].items() if w != "<")
+    v = len(train[0]) - 1
+    n_kept = n - sum(len(tokens(t)) for i, t in docs if rest[i] == 2)
+    learned = []
+    for i, t in docs:
+        if rest[i] == 2:
+            w = ["<<", "<", *tokens(t)]
+            learned += [terms(kept, w, k, n_kept, v, order) for k in range(2, len(w))]
+    every = np.array([0.3, 0.3, 0.3, 0.1])
+    found = {kind: every for kind in [*(k for k, _ in learned), None]}  # None: a class without tokens
+    for _ in range(M._ITERATIONS):
+        total, sums = np.zeros(4), {kind: np.zeros(4) for kind in found}
+        for kind, p in learned:
+            total += every * p / np.dot(every, p)
+            sums[kind] += found[kind] * p / np.dot(found[kind], p)
+        every = (total + 1e-9) / (total + 1e-9).sum()
+        old, found = found, {kind: (x + M._PRIOR * every + 1e-9) / (x + M._PRIOR * every + 1e-9).sum() for kind, x in sums.items()}
+        if max(np.abs(found[k] - old[k]).max() for k in found) < M._STILL:
+            break
+    weights = {}
+    for r in M.score_documents(small, order).collect():
+        w = ["<<", "<", *tokens(dict(docs)[r["doc_id"]])]
+        total = 0.0
+        for k in range(2, len(w)):
+            kind, p = terms(train, w, k, n, v, order)
+            if kind not in weights:
+                x = found.get(kind, found[None]).copy()
+                x[0] *= kind // M.OCTAVES > 0
+                x[1] *= kind % M.OCTAVES > 0
+                weights[kind] = x / x.sum()
+            total += math.log10(float(np.dot(weights[kind], p)))
+        assert r["score"] == pytest.approx(total, rel=1e-6)
+
+
+def test_the_mixture_sums_to_one_over_the_vocabulary():
+    """After any context, over all known words and one unknown one."""
+    rng = np.random.default_rng(3)
+    lengths = np.full(50, 9)
+    tokens = rng.integers(0, 6, 450).astype(np.int32)
+    tokens[8::9] = 6  # the end
+    g = M.Grams(tokens, lengths, 7, rng.integers(1, 1 << 62, 8).astype(np.uint64), 4)
+    c1 = np.bincount(tokens, minlength=8)
+    c1[7] = 50
+    c2, c3 = np.bincount(g.pair, minlength=len(g.pairs)), np.bincount(g.triple, minlength=len(g.triples))
+    weights = np.tile([0.3, 0.3, 0.3, 0.1], (M.OCTAVES**2, 1))
+    two = {(int(a), int(b)): int(c2[p]) for a, b, p in zip(g.before, tokens, g.pair)}
+    three = {(int(a), int(b)): int(c3[p]) for a, b, p in zip(g.context, tokens, g.triple)}
+    for at in (3, 100, 200):
+        u, context = int(g.before[at]), int(g.context[at])
+        kind = M.classes(np.array([c2[context]]), np.array([c1[u]]))[0]
+        w = weights[kind]
+        total = sum(w[0] * three.get((context, x), 0) / c2[context] + w[1] * two.get((u, x), 0) / c1[u] + w[2] * c1[x] / 450 + w[3] / 8 for x in range(7))
+        assert total + w[3] / 8 == pytest.approx(1)
 
-def test_the_grid_keeps_counts_within_a_twentieth():
-    c = np.unique(np.logspace(0, 12, 5000).astype(np.int64))
-    assert np.all(np.abs(2.0 ** (M._grid(c) / 8) / c - 1) < 0.05)
+
+def test_em_finds_weights():
+    """Tokens that only the trigram explains pull its weight up; a class without tokens has all's."""
+    kind = np.repeat([5 * M.OCTAVES + 6, 7], [1000, 100])
+    p = np.tile([0.0, 0.0, 1e-6, 1e-3], (1100, 1))
+    p[:900, 0] = 1.0
+    weights, every = np.tile([0.3, 0.3, 0.3, 0.1], (M.OCTAVES**2, 1)), np.array([0.3, 0.3, 0.3, 0.1])
+    for _ in range(20):
+        weights, every = M.after_round(M.shares(kind, p, weights, every), every)
+    assert weights[5 * M.OCTAVES + 6][0] > 0.85 and weights[7][0] < 0.6 and np.allclose(weights[9], every)
+    assert np.allclose(weights.sum(1), 1)
+
+
+def test_ids_of_any_kind(spark):
+    for kind in ("int", "string", "long"):
+        docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string").selectExpr(f"CAST(doc_id AS {kind}) AS doc_id", "text")
+        out = M.score_documents(docs)
+        assert out.schema["doc_id"].dataType == docs.schema["doc_id"].dataType and out.count() == 2
 
 
 def test_planes_round_trip():
