@@ -15,8 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_excerpt
+from . import inverted
 from . import retrieval as r
 
+#: Ranks queries by "bm25" or "cosine" in some corpora: (method, queries, chunks of those, corpora).
+Ranker = Callable[[str, DataFrame, DataFrame, Sequence[str]], DataFrame]
 _RANKED = "query_id long, chunk_id long, score double"
 RANK_AT = (1, 3, 5)
 
@@ -44,7 +47,28 @@ def _one(spark, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def ranked_by_route(queries: DataFrame, chunks: DataFrame, terms: Callable[[Column], Column], recipe: Recipe, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def scanning(terms: Callable[[Column], Column], k: int) -> Ranker:
+    """Reads every text of the corpora."""
+    return lambda method, asked, pool, corpora: {"bm25": r.bm25, "cosine": r.hashed_rank}[method](asked, pool, terms, k)
+
+
+def searching(index: inverted.Index, terms: Callable[[Column], Column], k: int) -> Ranker:
+    """Searches an index whose corpora these are. A ranking is written when it is first asked for, so
+    several recipes share it; the queries of a set of corpora must be the same in all of them."""
+    held: dict[tuple, DataFrame] = {}
+
+    def rank(method: str, asked: DataFrame, pool: DataFrame, corpora: Sequence[str]) -> DataFrame:
+        key = (method, tuple(corpora))
+        if key not in held:
+            held[key] = inverted.search(index, asked, terms, k, method, corpora)
+        return held[key]
+
+    return rank
+
+
+def ranked_by_route(
+    queries: DataFrame, chunks: DataFrame, terms: Callable[[Column], Column], recipe: Recipe, index: DataFrame | None = None, rank: Ranker | None = None
+) -> tuple[DataFrame, DataFrame]:
     """The ranking of ``queries`` (query_id, text, route) over ``chunks`` (chunk_id, text, corpus and,
     if there is an index, fingerprint), and each query's (method, reason).
 
@@ -53,6 +77,7 @@ def ranked_by_route(queries: DataFrame, chunks: DataFrame, terms: Callable[[Colu
     are ranked by BM25 alone.
     """
     spark = queries.sparkSession
+    rank = rank or scanning(terms, recipe.wide)
     rankings, methods = [], []
     for corpora in dict.fromkeys(tuple(c) for c in recipe.pools.values()):
         asked = queries.filter(F.col("route").isin([x for x, c in recipe.pools.items() if tuple(c) == corpora]))
@@ -67,7 +92,7 @@ def ranked_by_route(queries: DataFrame, chunks: DataFrame, terms: Callable[[Colu
         methods.append(asked.select("query_id", F.lit(method).alias("method"), F.lit(reason).cast("string").alias("reason")))
         if method == "none":
             continue
-        each = [f(asked, pool, terms, recipe.wide) for f in {"bm25": (r.bm25,), "vector": (r.hashed_rank,)}.get(method, (r.bm25, r.hashed_rank))]
+        each = [rank(m, asked, pool, corpora) for m in {"bm25": ("bm25",), "vector": ("cosine",)}.get(method, ("bm25", "cosine"))]
         if len(each) == 1:
             rankings.append(each[0].select("query_id", "chunk_id", "score", F.lit(False).alias("fused")))
         else:
@@ -78,7 +103,9 @@ def ranked_by_route(queries: DataFrame, chunks: DataFrame, terms: Callable[[Colu
     return ranking, reduce(DataFrame.unionByName, methods)
 
 
-def answer(queries: DataFrame, chunks: DataFrame, terms: Callable[[Column], Column], recipe: Recipe, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def answer(
+    queries: DataFrame, chunks: DataFrame, terms: Callable[[Column], Column], recipe: Recipe, index: DataFrame | None = None, rank: Ranker | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Results (query_id, position, chunk_id, score, document, url, tier, title, excerpt, used) and
     each query's (query_id, route, method, reason).
 
@@ -87,7 +114,7 @@ def answer(queries: DataFrame, chunks: DataFrame, terms: Callable[[Column], Colu
     one chunk of each document comes before its second, and the excerpts are taken that fit the
     budget, up to the first that doesn't.
     """
-    ranking, methods = ranked_by_route(queries, chunks, terms, recipe, index)
+    ranking, methods = ranked_by_route(queries, chunks, terms, recipe, index, rank)
     asked = queries.select("query_id", "route", F.array_distinct(terms(F.col("text"))).alias("_words"))
     about = chunks.select("chunk_id", "corpus", "document", "url", "tier", "title", safe_excerpt(F.col("text"), recipe.unsafe, recipe.excerpt).alias("excerpt"))
     held = ranking.join(about, "chunk_id").join(asked, "query_id")

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import rules, text, urls
 from ..operators import answers as a
 from ..operators import retrieval as r
+from ..sources.shared import written
 from .registry import query, table
+from .retrieve import index_of
 from .scalars import INJECTION
 
 POOLS = {"navigation": ("navigation",), "dialogue": ("dialogue", "official"), "official_fact": ("official", "dialogue"), "mixed": ("official", "dialogue")}
@@ -49,18 +51,24 @@ def gold(spark, d):
     return r.passages_in(docs, "chunk_id", "text", items).withColumnRenamed("passage_id", "query_id")
 
 
-def results_of(spark, d, recipe, index=None):
-    return a.answer(questions(spark, d), corpus(spark, d), words, recipe, index)
+def ranker(spark, d):
+    """Rankings from the index; routes read the folders of their corpora only."""
+    return a.searching(index_of(spark, d), words, RUNS["hybrid"].wide)
 
 
-def measured(spark, d, run):
+def results_of(spark, d, recipe, index=None, rank=None):
+    return a.answer(questions(spark, d), corpus(spark, d), words, recipe, index, rank or ranker(spark, d))
+
+
+_RESULT = "query_id long, position long, chunk_id long, score double, document string, url string, tier string, title string, excerpt string, used long"
+
+
+def measured(spark, d, run, rank=None, found=None):
     """(results, measures per case) of a run; the run "none" answers nothing."""
-    found = gold(spark, d)
+    found = gold(spark, d) if found is None else found
     tiers = found.join(corpus(spark, d).select("chunk_id", "tier"), "chunk_id").groupBy("query_id").agg(F.min("tier").alias("expected_tier"))
     cases = questions(spark, d).select("query_id").join(tiers, "query_id", "left")
-    results = results_of(spark, d, RUNS[run] or RUNS["bm25"])[0]
-    if RUNS[run] is None:
-        results = results.limit(0)
+    results = spark.createDataFrame([], _RESULT) if RUNS[run] is None else results_of(spark, d, RUNS[run], rank=rank)[0]
     return results, a.case_measures(results, cases, found, urls.is_safe_url, INJECTION, FIXTURES)
 
 
@@ -161,7 +169,9 @@ def a22_latencies(spark, d):
 
 @query(_SQL + _CASES + "SELECT * FROM me")
 def r13_compare_runs(spark, d):
-    rows = [a.run_measures(measured(spark, d, run)[1], run) for run in RUNS]
+    """All runs by the same rankings and gold, which are written once."""
+    rank, found = ranker(spark, d), written(gold(spark, d), "gold")
+    rows = [a.run_measures(measured(spark, d, run, rank, found)[1], run) for run in RUNS]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
@@ -195,6 +205,7 @@ def j8_gold_hits(spark, d):
   CASE WHEN n.top = b.top AND contains(qp.text, 'e ') THEN 'reviewed: ' || route END AS note FROM (SELECT * FROM tops WHERE run = 'hybrid') n JOIN qp USING (query_id) LEFT JOIN (SELECT * FROM tops WHERE run = 'bm25') b ON b.query_id = n.query_id""")
 def j9_carry_forward_review(spark, d):
     """Notes made on BM25's first five are kept where fusion left those five as they were."""
-    now, before = (a.top_results(results_of(spark, d, RUNS[run])[0]) for run in ("hybrid", "bm25"))
+    rank = ranker(spark, d)
+    now, before = (a.top_results(results_of(spark, d, RUNS[run], rank=rank)[0]) for run in ("hybrid", "bm25"))
     notes = questions(spark, d).filter(F.col("text").contains("e ")).select("query_id", F.concat(F.lit("reviewed: "), "route").alias("note"))
     return a.carry_forward(now, before, notes, ["note"]).select("query_id", "carried", "note")

@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import inverted
 from ..operators import retrieval as r
+from ..sources.shared import place
 from .registry import query, table
 
+#: Buckets of the queries' index: one for some hundred MB of postings is enough.
+BUCKETS = 16
+_indexes: dict[tuple[str, str], inverted.Index] = {}
+
 
 def words(c):
     return text.tokenize(c, "words")
@@ -21,6 +27,28 @@ def chunks_of(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang", "source", "n_chars")
 
 
+def indexed(spark, d):
+    """The documents as chunks of the corpora that answers are routed to."""
+    source = F.col("source")
+    corpus = F.when(source == "src0", "official").when(source == "src3", "navigation").otherwise("dialogue")
+    return chunks_of(spark, d).select("chunk_id", "text", corpus.alias("corpus"))
+
+
+def build_index(spark, d):
+    """The index of the documents, written anew; queries of the same tables and session use it."""
+    index = inverted.build(indexed(spark, d), words, place(spark, "inverted"), BUCKETS)
+    _indexes[spark.sparkContext.applicationId, d] = index
+    return index
+
+
+def index_of(spark, d):
+    return _indexes.get((spark.sparkContext.applicationId, d)) or build_index(spark, d)
+
+
+def best(spark, d, k, method):
+    return inverted.search(index_of(spark, d), queries_of(spark, d), words, k, method)
+
+
 _BASE = r"""
 WITH q AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM benchmark) GROUP BY ALL),
 h AS (SELECT doc_id AS chunk_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS t FROM documents),
@@ -54,7 +82,8 @@ def _shown(df):
 
 @query(_BASE + _RANK.format("bmr", 5))
 def r1_bm25(spark, d):
-    return _shown(r.bm25(queries_of(spark, d), chunks_of(spark, d), words, 5))
+    """BM25 from the index: only folders of the queries' terms are read."""
+    return _shown(best(spark, d, 5, "bm25"))
 
 
 @query(_VECTORS + "SELECT chunk_id, b::INT AS bucket, round(w, 8) AS weight FROM cn")
@@ -64,7 +93,7 @@ def r2_hashed_vectors(spark, d):
 
 @query(_VECTORS + _RANK.format("hvr", 5))
 def r3_hashed_rank(spark, d):
-    return _shown(r.hashed_rank(queries_of(spark, d), chunks_of(spark, d), words, 5))
+    return _shown(best(spark, d, 5, "cosine"))
 
 
 @query("""SELECT vec_id, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS norm, round(v[1], 6) AS first FROM (
@@ -88,8 +117,8 @@ def r5_dense_rank(spark, d):
 
 def hybrid(spark, d):
     """BM25 and hashed vectors fused; chunks of the preferred source gain and come first."""
-    q, c = queries_of(spark, d), chunks_of(spark, d)
-    plain = r.rrf([r.bm25(q, c, words, 50), r.hashed_rank(q, c, words, 50)], 10_000).drop("rank")
+    c = chunks_of(spark, d)
+    plain = r.rrf([best(spark, d, 50, "bm25"), best(spark, d, 50, "cosine")], 10_000).drop("rank")
     joined = plain.join(c.select("chunk_id", "source", "lang", "n_chars", "text"), "chunk_id")
     first = F.col("source") == "src0"
     joined = joined.withColumn("score", F.round(F.col("score") + F.when(first, 0.002).otherwise(0.0), 10))
@@ -129,16 +158,16 @@ def f20_diversify(spark, d):
 
 @query(_DIVERSE + "SELECT query_id, chunk_id, position, used::BIGINT AS used FROM pk WHERE used <= 1500")
 def f21_pack_context(spark, d):
-    best = r.diversify(hybrid(spark, d).filter("rank <= 50"), "source", 5)
-    out = r.pack_context(best, F.least(F.col("n_chars"), F.lit(480)), "position", 1500)
+    first = r.diversify(hybrid(spark, d).filter("rank <= 50"), "source", 5)
+    out = r.pack_context(first, F.least(F.col("n_chars"), F.lit(480)), "position", 1500)
     return out.select("query_id", "chunk_id", F.col("position").cast("long").alias("position"), F.col("used").cast("long").alias("used"))
 
 
 @query(_BASE + """SELECT query_id, string_agg('[' || source || ']', ' ' ORDER BY first) AS citations FROM (
   SELECT query_id, source, min(rank) AS first FROM bmr JOIN documents ON doc_id = chunk_id WHERE rank <= 5 GROUP BY ALL) GROUP BY query_id""")
 def r10_citations(spark, d):
-    best = r.bm25(queries_of(spark, d), chunks_of(spark, d), words, 5).join(chunks_of(spark, d).select("chunk_id", "source"), "chunk_id")
-    each = best.groupBy("query_id", "source").agg(F.min("rank").alias("first"))
+    found = best(spark, d, 5, "bm25").join(chunks_of(spark, d).select("chunk_id", "source"), "chunk_id")
+    each = found.groupBy("query_id", "source").agg(F.min("rank").alias("first"))
     row = F.sort_array(F.collect_list(F.struct("first", F.concat(F.lit("["), "source", F.lit("]")).alias("s"))))
     return each.groupBy("query_id").agg(F.array_join(row["s"], " ").alias("citations"))
 
@@ -157,13 +186,38 @@ def j14_stale_rows(spark, d):
     return r.stale(chunks, index)
 
 
+_CHANGED = r"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 20 = 7 THEN text || ' zebra zuko' ELSE text END AS text FROM documents WHERE doc_id % 20 <> 3),
+t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM d)
+SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t GROUP BY term"""
+
+
+@query(_CHANGED)
+def j14_refreshed_index(spark, d):
+    """The terms of an index that was refreshed after a twentieth of the chunks went and another
+    changed; the folders their terms aren't in stayed as they were."""
+    at = F.col("chunk_id") % 20
+    before = indexed(spark, d)
+    now = before.filter(at != 3).withColumn("text", F.when(at == 7, F.concat("text", F.lit(" zebra zuko"))).otherwise(F.col("text")))
+    index = inverted.build(before, words, place(spark, "refreshed"), BUCKETS)
+    return inverted.term_stats(inverted.refresh(index, now, words))
+
+
+@query(_BASE + "SELECT chunk_id, max(length)::INT AS length, count(*) AS terms, sum(tf)::BIGINT AS tokens FROM tf GROUP BY chunk_id")
+def s9_inverted_index(spark, d):
+    """The index written, loaded by its manifest, and each chunk's part of it."""
+    index = inverted.load(spark, build_index(spark, d).path)
+    each = index.postings().select(F.explode(F.arrays_zip("ids", "tfs", "lengths")).alias("p"))
+    g = each.groupBy(F.col("p.ids").alias("chunk_id"))
+    return g.agg(F.max("p.lengths").alias("length"), F.count(F.lit(1)).alias("terms"), F.sum("p.tfs").alias("tokens"))
+
+
 @query(_BASE + "SELECT term, df.df, sum(tf.tf)::BIGINT AS tf, n AS n_chunks, round(mean, 6) AS mean_length FROM df JOIN tf USING (term), s GROUP BY term, df.df, n, mean")
 def a20_term_stats(spark, d):
-    """Each term's frequencies, with the corpus's size beside them, which is one row."""
-    chunks = chunks_of(spark, d)
-    size = r.corpus_size(chunks, words(F.col("text"))).first()
-    stats = r.term_stats(r.postings(chunks, words(F.col("text"))))
-    return stats.select("term", "df", "tf", F.lit(size["n_chunks"]).alias("n_chunks"), F.round(F.lit(size["mean_length"]), 6).alias("mean_length"))
+    """Each term's frequencies from the heads of the index's blocks, with the corpus's size beside
+    them, which the manifest has."""
+    index = index_of(spark, d)
+    n, length = index.size()
+    return inverted.term_stats(index).select("term", "df", "tf", F.lit(n).alias("n_chunks"), F.round(F.lit(length / max(n, 1)), 6).alias("mean_length"))
 
 
 @query(_BASE + "SELECT chunk_id, len(t)::INT AS length FROM h")
@@ -204,8 +258,7 @@ def gold_of(spark, d):
 
 @query(_GOLD + "SELECT * FROM ev")
 def a22_retrieval_metrics(spark, d):
-    ranking = r.bm25(queries_of(spark, d), chunks_of(spark, d), words, 5)
-    return r.evaluate(ranking, gold_of(spark, d), queries_of(spark, d))
+    return r.evaluate(best(spark, d, 5, "bm25"), gold_of(spark, d), queries_of(spark, d))
 
 
 @query("""SELECT length(text) // 100 AS category, count(*) AS n, count(DISTINCT item_id) <> count(*) AS duplicates FROM benchmark GROUP BY 1""")
