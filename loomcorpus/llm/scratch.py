@@ -25,6 +25,7 @@ def folder(spark: SparkSession) -> str:
 
 #: Where the tables of this process lie.
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_tables: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -38,10 +39,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """As ``materialize``, the rows being dealt over the session's shuffle partitions by ``key``, so
+    that joins on it leave them where they are."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}-{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{folder(spark)}/{table}"
+    writer = df.repartition(n, key).write.option("compression", "zstd").option("path", path)
+    writer.bucketBy(n, key).saveAsTable(table)
+    out = spark.table(table)
+    _paths[out], _tables[out] = path, table
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that nothing reads any more."""
     for table in tables:
         path = _paths.pop(table, None)
+        if table in _tables:
+            table.sparkSession.sql(f"DROP TABLE {_tables.pop(table)}")
         if path:
             jvm = table.sparkSession._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)

@@ -138,3 +138,15 @@ def test_passages_equal_brute_force_and_keep_a_first_of_every_line(small):
     assert got == brute_passages(docs)
     lines = lambda texts: {x for t in texts for x in t.split("\n") if x.encode().split()}
     assert lines(got.values()) == lines(t for _, t in docs)
+
+
+def test_a_shared_digest_removes_nothing(make, monkeypatch):
+    """Every chunk and pair has the digest of every other one of its length; only equal bytes go."""
+    import loomcorpus.llm.line_dedup as module
+
+    monkeypatch.setattr(module, "digest", lambda body: len(body).to_bytes(16, "little"))
+    docs = [(i, "\n".join(f"{side} text {i:03d} {k} " + "word " * 6 for k in range(12))) for i, side in enumerate(["left", "rite"] * 8)]
+    docs.append((99, docs[3][1]))
+    got = {r["doc_id"]: r["text"] for r in module.dedup_lines(make(*docs), whole=True).collect()}
+    assert got == {**dict(docs), 99: ""}
+
