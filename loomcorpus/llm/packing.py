@@ -34,8 +34,9 @@ from .words import slices
 
 _log = logging.getLogger(__name__)
 
-#: Fillings enumerated for one bin, and bins completed in all, before the search settles.
-FILLINGS, NODES = 400, 3_000
+#: Fillings enumerated for one bin, and bins completed in all, before the search settles: both are
+#: parameters, and None for the fillings enumerates all.
+FILLINGS, NODES = 400, 20_000
 #: Bytes of text whose pieces are looked up at once, about.
 SLICE = 8 << 20
 
@@ -106,13 +107,13 @@ def dominated(pieces: tuple[int, ...], left: int, counts: dict[int, int], length
     return False
 
 
-def fillings(counts: dict[int, int], lengths: list[int], room: int, limit: int = FILLINGS) -> Iterator[tuple[int, tuple[int, ...]] | None]:
+def fillings(counts: dict[int, int], lengths: list[int], room: int, limit: int | None = FILLINGS) -> Iterator[tuple[int, tuple[int, ...]] | None]:
     """(room left, pieces) of the undominated fillings of ``room``, the fullest first; at last None
     if ``limit`` ended the enumeration. ``lengths`` is ascending, ``counts`` what may be used."""
     held: list[tuple[int, tuple[int, ...]]] = []
     stack: list[tuple[int, int, tuple[int, ...]]] = [(room, len(lengths), ())]
     looked = 0
-    while stack and looked < limit:
+    while stack and (limit is None or looked < limit):
         left, at, pieces = stack.pop()
         at = min(at, bisect_right(lengths, left))
         if at == 0:
@@ -149,9 +150,10 @@ class Packing:
         return 0 if self.proved else self.made - self.bound
 
 
-def search(counts: dict[int, int], capacity: int, nodes: int = NODES) -> Packing:
-    """The best packing of a count of pieces by length that ``nodes`` bins completed can find. Each
-    length must be 1 to ``capacity``. An empty count gives no bins."""
+def search(counts: dict[int, int], capacity: int, nodes: int = NODES, limit: int | None = FILLINGS) -> Packing:
+    """The best packing of a count of pieces by length that ``nodes`` bins completed, each by one of
+    the first ``limit`` fillings, can find. Each length must be 1 to ``capacity``. An empty count gives
+    no bins."""
     counts = {n: c for n, c in counts.items() if c > 0}
     if any(not 1 <= n <= capacity for n in counts):
         raise ValueError("lengths must be 1 to the capacity")
@@ -167,7 +169,7 @@ def search(counts: dict[int, int], capacity: int, nodes: int = NODES) -> Packing
         top = lengths[-1]
         rest = {n: c - (n == top) for n, c in left.items() if c > (n == top)}
         usable = lengths if top in rest else lengths[:-1]
-        for option in fillings(rest, usable, capacity - top):
+        for option in fillings(rest, usable, capacity - top, limit):
             if option is None:
                 whole = False
                 return
@@ -205,9 +207,9 @@ def search(counts: dict[int, int], capacity: int, nodes: int = NODES) -> Packing
     return found
 
 
-def pack_counts(counts: dict[int, int], capacity: int, nodes: int = NODES) -> Bins:
+def pack_counts(counts: dict[int, int], capacity: int, nodes: int = NODES, limit: int | None = FILLINGS) -> Bins:
     """The bins of ``search``; a gap that it leaves is logged."""
-    found = search(counts, capacity, nodes)
+    found = search(counts, capacity, nodes, limit)
     if found.gap:
         _log.info("packed into %d bins; %d is the least that is possible", found.made, found.bound)
     return found.bins
@@ -270,7 +272,7 @@ def places(bins: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarra
     return {n: tuple(np.array(c, np.int64) for c in zip(*r)) for n, r in runs.items()}
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2, nodes: int = NODES, limit: int | None = FILLINGS) -> DataFrame:
     """Every piece of every row of ``docs`` with its ``sequence_id`` and ``offset``.
 
     A null or empty text is one piece of the end token. Repeated rows are packed as often as they
@@ -278,7 +280,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2) ->
     """
     cut_up = materialize(pieces(docs, tokenizer, capacity, end), "packing-pieces")
     counts = {r["length"]: r["count"] for r in cut_up.groupBy("length").count().collect()}
-    runs = places(pack_counts(counts, capacity))
+    runs = places(pack_counts(counts, capacity, nodes, limit))
     ranked = gapless(cut_up, ["length"], ["doc_id", "piece"], "_rank", 20_000)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

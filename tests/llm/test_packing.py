@@ -142,3 +142,11 @@ def test_a_table_of_null_texts(spark):
     docs = spark.range(1200).selectExpr("id AS doc_id", "CAST(NULL AS STRING) AS text", "1 AS _row", "2 AS _rank", "3 AS part")
     rows = P.pack(docs, P.tokenizer_path()).collect()
     assert len(rows) == 1200 and len({r["sequence_id"] for r in rows}) == 2 and {r["length"] for r in rows} == {1}
+
+
+def test_all_fillings_prove_what_few_can_not(spark):
+    counts = {n: 1 for n in (91, 83, 71, 62, 55, 47, 38, 33, 29, 24, 21, 18, 14, 11, 9, 6, 5, 3)}
+    few, every = (P.search(counts, 100, nodes=10**6, limit=k) for k in (1, None))
+    assert every.proved and every.made <= few.made
+    total = lambda found: sum(t * sum(b) for b, t in found.bins)
+    assert total(few) == total(every) == sum(counts)
