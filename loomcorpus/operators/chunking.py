@@ -1,102 +1,93 @@
-"""Chunks of texts, turns and cues. Each document is folded on its own, in the tasks."""
+"""Chunks of texts, turns and cues: units and texts as columns, where chunks end from sums of sizes."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Mapping, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import context_flags
+from ..functions.text import SPACE, context_flags, strip
 from ..functions.urls import stable_id
-
-_ENDS = re.compile(r"(?<=[。！？!?；;.])\s*")
-_SOFT = "。！？；，.,;"
-_WHOLE = ("#", "- ", "* ", "• ")
-
-
-def hard_split(unit: str, most: int) -> list[str]:
-    """Pieces of at most ``most`` characters, cut after the last soft mark past the middle."""
-    out = []
-    while len(unit) > most:
-        at = max(unit.rfind(c, 0, most) for c in _SOFT) + 1
-        at = at if at > most // 2 else most
-        out.append(unit[:at].strip())
-        unit = unit[at:].strip()
-    return [x for x in [*out, unit] if x]
-
-
-def units_of(text: str, most: int) -> list[str]:
-    """Sentences, and headings and list lines whole, none longer than ``most``."""
-    out: list[str] = []
-    for line in (x.strip() for x in text.splitlines()):
-        parts = [line] if line.startswith(_WHOLE) else _ENDS.split(line)
-        for p in parts:
-            if p.strip():
-                out += hard_split(p.strip(), most)
-    return out
-
-
-class _Window:
-    """Units of the chunk being filled, by joined length."""
-
-    def __init__(self, overlap: int):
-        self.units: list[str] = []
-        self.overlap = overlap
-
-    def __len__(self) -> int:
-        return sum(map(len, self.units)) + max(0, len(self.units) - 1)
-
-    def carry(self) -> None:
-        """Keep the last units that fit the overlap, one at least."""
-        kept: list[str] = []
-        for u in reversed(self.units):
-            if kept and sum(map(len, kept)) + len(u) > self.overlap:
-                break
-            kept.insert(0, u)
-            if sum(map(len, kept)) >= self.overlap:
-                break
-        self.units = kept
-
-
-def split_text(text: str | None, target: int = 700, least: int = 500, most: int = 900, overlap: int = 100) -> list[str]:
-    """Chunks of whole units, closed at the target and never over ``most`` by a further unit, with
-    an overlap; a short tail joins the last chunk if it fits."""
+from .folds import Rule, folded
+from .ordered import fresh
+
+_ENDS, _SOFT = "。！？!?；;.", "。！？；，.,;"
+_LINES = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+_WHOLE = r"^(?:#|- |\* |• )"
+
+
+def units(text: Column, most: int) -> Column:
+    """The units of a text in order: headings and list lines whole, other lines by sentences, what is
+    longer than ``most`` characters in pieces, cut after the last soft mark past the middle if there
+    is one. Units have no white space at their ends and aren't empty; a null text has none."""
+    filled = lambda a: F.filter(a, lambda x: x != "")
+    lines = filled(F.transform(F.split(F.coalesce(text, F.lit("")), _LINES), strip))
+    sentences = lambda x: filled(F.transform(F.split(x, rf"(?<=[{_ENDS}])"), strip))
+    flat = F.flatten(F.transform(lines, lambda x: F.when(x.rlike(_WHOLE), F.array(x)).otherwise(sentences(x))))
+    piece = rf"{SPACE}*+((?s:.{{1,{most}}}\z|.{{{most // 2},{most - 1}}}[{re.escape(_SOFT)}]|.{{{most}}}))"
+    pieces = lambda x: F.transform(F.regexp_extract_all(x, F.lit(piece), F.lit(1)), strip)
+    return F.flatten(F.transform(flat, lambda x: F.when(F.length(x) <= most, F.array(x)).otherwise(pieces(x))))
+
+
+def text_spans(sizes: np.ndarray, target: int, most: int, overlap: int) -> tuple[list[tuple[int, int]], int]:
+    """(first unit, unit after the last) of the chunks of units of these sizes, and where the units
+    start that are left. A chunk ends once it has ``target`` characters, its units being joined by one
+    each, or where the next unit would take it over ``most``; it shares the units with the chunk
+    before that have ``overlap`` characters or fewer, one at least, and has one more at least."""
+    joined, plain = (np.concatenate([[0], np.cumsum(x)]) for x in (sizes + 1, sizes))
+    n, spans, start, new = len(sizes), [], 0, 0
+    size = lambda end: joined[end] - joined[start] - 1
+    shared = lambda end: max(start, min(end - 1, int(np.searchsorted(plain, plain[end] - overlap))))
+    while new < n:
+        reached = np.searchsorted(joined, joined[start] + 1 + target)
+        fits = np.searchsorted(joined, joined[start] + 1 + most, "right") - 1
+        end = int(min(max(min(reached, fits), new + 1), n))
+        full = size(end) >= target
+        if end == n and not full:
+            break
+        spans.append((start, end))
+        start, new = shared(end), end
+        if full and end < n and size(end + 1) > most:  # nothing more fits what is shared
+            spans.append((start, end))
+            start = shared(end)
+    return spans, start
+
+
+def with_chunks(df: DataFrame, text: str, out: str = "chunks", target: int = 700, least: int = 500, most: int = 900, overlap: int = 100) -> DataFrame:
+    """``df`` with the chunks of a text, by ``units`` and ``text_spans``. Units that are left and have
+    fewer than ``least`` characters join the last chunk if both fit ``most``, and are left out if it
+    has them; otherwise they are a chunk. Chunks are distinct; a null or empty text has none."""
     if not 0 < overlap < least <= target <= most:
         raise ValueError("sizes must be 0 < overlap < least <= target <= most")
-    chunks: list[str] = []
-    window = _Window(overlap)
-    for unit in units_of(text or "", most):
-        if window.units and len(window) + 1 + len(unit) > most:
-            chunks.append("\n".join(window.units))
-            window.carry()
-        window.units.append(unit)
-        if len(window) >= target:
-            chunks.append("\n".join(window.units))
-            window.carry()
-    tail = "\n".join(window.units)
-    if tail and chunks and len(tail) < least:
-        if len(chunks[-1]) + 1 + len(tail) <= most:
-            chunks[-1] += "\n" + tail
-        elif tail not in chunks[-1]:
-            chunks.append(tail)
-    elif tail and (not chunks or chunks[-1] != tail):
-        chunks.append(tail)
-    return list(dict.fromkeys(chunks))
+
+    @F.arrow_udf("struct<spans: array<struct<first: int, size: int>>, rest: int>")
+    def spans(column: pa.Array) -> pa.Array:
+        made = [text_spans(x.values.to_numpy(zero_copy_only=False), target, most, overlap) for x in column]
+        rows = [{"spans": [{"first": s + 1, "size": e - s} for s, e in found], "rest": rest + 1} for found, rest in made]
+        return pa.array(rows, pa.struct([("spans", pa.list_(pa.struct([("first", pa.int32()), ("size", pa.int32())]))), ("rest", pa.int32())]))
+
+    # a column each, so that nothing is evaluated once per chunk
+    own, found, full, rest = fresh(df, "_units", "_spans", "_full", "_rest")
+    df = df.withColumn(own, units(F.col(text), most)).withColumn(found, spans(F.transform(own, F.length)))
+    df = df.withColumns({
+        full: F.transform(F.col(found)["spans"], lambda x: F.array_join(F.slice(own, x["first"], x["size"]), "\n")),
+        rest: F.array_join(F.slice(own, F.col(found)["rest"], F.greatest(F.size(own), F.lit(1))), "\n"),
+    })
+    last = F.try_element_at(F.col(full), F.lit(-1))
+    both, more = F.concat_ws("\n", last, rest), F.array_append(full, F.col(rest))
+    short = F.when(F.length(both) <= most, F.array_append(F.slice(full, F.lit(1), F.size(full) - 1), both)).when(last.contains(F.col(rest)), F.col(full)).otherwise(more)
+    settled = F.when(F.col(rest) == "", F.col(full)).when(F.size(full) == 0, more).when(F.length(rest) < least, short).when(last == F.col(rest), F.col(full)).otherwise(more)
+    return df.withColumn(out, F.array_distinct(settled)).drop(*{own, found, full, rest} - {out})
 
 
 def chunk_documents(docs: DataFrame, key: str, text: str, **sizes: int) -> DataFrame:
     """(key, position, chunk) of every document."""
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            rows = [(k, i, c) for k, t in zip(pdf[key], pdf[text]) for i, c in enumerate(split_text(t, **sizes))]
-            yield pd.DataFrame(rows, columns=[key, "position", "chunk"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, position int, chunk string")
+    held = with_chunks(docs.select(key, text), text, "_chunks", **sizes)
+    return held.select(key, F.posexplode("_chunks").alias("position", "chunk"))
 
 
 def build_chunks(docs: DataFrame, key: str, text: str, tier: Column, status: str, catalog: Mapping[str, Sequence[str]], **sizes: int) -> DataFrame:
@@ -116,66 +107,13 @@ def split_long_units(text: Column, most: int) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def _listed(df: DataFrame, key: str, order: str, size: Column) -> DataFrame:
-    """Each key's (order, size) pairs in order: numbers only, the rows themselves don't move."""
-    return df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), size.cast("long").alias("size")))).alias("_r"))
-
-
-def _groups(df: DataFrame, key: str, order: str, size: Column, cut) -> DataFrame:
-    """(key, group, first, last) by ``cut``, which makes (start, end) of a list of sizes."""
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            rows = []
-            for k, pairs in zip(pdf[key], pdf["_r"]):
-                at = [x["at"] for x in pairs]
-                rows += [(k, g, at[s], at[e - 1]) for g, (s, e) in enumerate(cut([x["size"] for x in pairs]))]
-            yield pd.DataFrame(rows, columns=[key, "group", "first", "last"])
-
-    kind, place = df.schema[key].dataType.simpleString(), df.schema[order].dataType.simpleString()
-    return _listed(df, key, order, size).mapInPandas(run, f"{key} {kind}, group int, first {place}, last {place}")
-
-
-def flushed(sizes: list[int], limit: int) -> list[tuple[int, int]]:
-    """(start, end) of groups that end once their size has reached ``limit``."""
-    out, start, total = [], 0, 0
-    for i, n in enumerate(sizes):
-        total += n
-        if total >= limit:
-            out.append((start, i + 1))
-            start, total = i + 1, 0
-    return [*out, (start, len(sizes))] if start < len(sizes) else out
-
-
-def windowed(sizes: list[int], whole: int, least: int, most: int, overlap: int) -> list[tuple[int, int]]:
-    """(start, end) of groups of ``least`` to ``most``, each starting ``overlap`` rows before the end
-    of the one before; everything is one group where it is under ``whole``. A row is never parted, so
-    a group goes over ``most`` by one that is too large, or to reach ``least``."""
-    if sum(sizes) < whole:
-        return [(0, len(sizes))] if sizes else []
-    out, start = [], 0
-    while True:
-        end, total = start, 0
-        while end < len(sizes) and total < most and not (end > start and total >= least and total + sizes[end] > most):
-            total += sizes[end]
-            end += 1
-        out.append((start, end))
-        if end == len(sizes):
-            return out
-        start = max(start + 1, end - overlap)
-
-
 def chunk_turns(turns: DataFrame, key: str, order: str, size: Column, whole: int = 1200, least: int = 600, most: int = 1000, overlap: int = 3) -> DataFrame:
-    """(key, group, first, last): the turns of each chunk, parted between turns only."""
-    return _groups(turns, key, order, size, lambda sizes: windowed(sizes, whole, least, most, overlap))
+    """``turns`` with the ``group`` of each chunk that a turn is in: chunks are parted between turns
+    only, of ``least`` to ``most`` characters, each starting ``overlap`` turns before the end of the
+    one before; all is one chunk where it has under ``whole``."""
+    return folded(turns, key, order, size, Rule(least, most, overlap), whole)
 
 
 def chunk_cues(cues: DataFrame, key: str, order: str, size: Column, limit: int = 450) -> DataFrame:
-    """(key, group, first, last): the cues of each chunk, closed once it has ``limit`` characters."""
-    return _groups(cues, key, order, size, lambda sizes: flushed(sizes, limit))
-
-
-def with_rows(groups: DataFrame, rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Each group's rows: those of its key from ``first`` to ``last``."""
-    named = groups.select(F.col(key).alias("_k"), "group", F.col("first").alias("_f"), F.col("last").alias("_l"))
-    return rows.join(named, (F.col(key) == F.col("_k")) & F.col(order).between(F.col("_f"), F.col("_l"))).drop("_k", "_f", "_l")
+    """``cues`` with the ``group`` of their chunk, which ends once it has ``limit`` characters."""
+    return folded(cues, key, order, size, Rule(limit, limit, 0))

@@ -6,7 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..sources.shared import written
 
 
 def validated(df: DataFrame, rules: Sequence[tuple[Column, str]]) -> DataFrame:
@@ -82,40 +83,74 @@ def reserve_then_fill(df: DataFrame, group: str, targets: DataFrame, extra: int,
     return ranked.withColumn("reserved", reserved).orderBy(*place).limit(total).drop("_g", "_n", "target", "priority")
 
 
-def stratified_sample(df: DataFrame, stratum: str, key: str, score: str, flags: str, quotas: Mapping[str, int], least: Mapping[str, int]) -> DataFrame:
-    """(stratum, key): each stratum's ``quotas`` rows of the highest score, then swaps until
-    enough of the sample have each flag of ``least``, in their order. A swap puts the best row with
-    the flag in the place of its stratum's worst without it, where that costs least score.
+def predicate_quotas(df: DataFrame, predicates: Sequence[tuple[Column, int]], order: Sequence[Column], total: int) -> DataFrame:
+    """Rows taken by the predicates' quotas in turn, best first by ``order``, which no two rows share:
+    each takes what it still lacks, and a row taken for an earlier one counts for all that it meets.
+    Then the best of the rest up to ``total`` in all. ``reason`` is the predicate's number, null for
+    what fills.
+
+    Which predicates a row meets is a bit mask. Of each mask only the best rows that quotas or the fill
+    could take matter, ``total`` and all quotas together at most, so what is settled are those few; a
+    window over masks is cut to them before rows are shuffled.
+    """
+    bits = F.lit(0)
+    for i, (p, _) in enumerate(predicates):
+        bits = bits + F.when(p, 1 << i).otherwise(0)
+    most = total + sum(n for _, n in predicates)
+    marked = df.withColumn("_mask", bits).withColumn("_nth", F.row_number().over(Window.partitionBy("_mask").orderBy(*order))).filter(F.col("_nth") <= most)
+    held = marked.withColumn("reason", F.lit(None).cast("int"))
+    for i, (_, n) in enumerate(predicates):
+        meets, free = F.col("_mask").bitwiseAND(1 << i) != 0, F.col("reason").isNull()
+        everyone = Window.partitionBy(meets)  # of the few candidates
+        taken = F.count(F.when(~free, 1)).over(everyone)
+        place = F.row_number().over(Window.partitionBy(meets, free).orderBy(*order))
+        held = held.withColumns({"_taken": taken, "_place": place}).withColumn("reason", F.when(free & meets & (F.col("_place") <= n - F.col("_taken")), i).otherwise(F.col("reason")))
+    used = F.count(F.when(F.col("reason").isNotNull(), 1)).over(Window.partitionBy(F.lit(1)))
+    rest = F.row_number().over(Window.partitionBy(F.col("reason").isNull()).orderBy(*order))
+    out = held.withColumns({"_taken": used, "_place": rest})
+    return out.filter(F.col("reason").isNotNull() | (F.col("_place") <= total - F.col("_taken"))).drop("_mask", "_nth", "_taken", "_place")
+
 
-    A stratum's quota and, for each flag, as many of its best rows with the flag as the whole sample
-    is large are all that can be chosen, so no more than those come to the driver.
+def stratified_sample(df: DataFrame, stratum: str, key: str, score: str, flags: str, quotas: Mapping[str, int], least: Mapping[str, int]) -> DataFrame:
+    """(stratum, key): each stratum's ``quotas`` rows of the highest score, changed until enough of
+    them have each flag of ``least``, in their order. A change puts the best row with the flag in the
+    place of its stratum's worst without it, the cheapest changes first.
+
+    The n-th change of a stratum is always its n-th best row with the flag outside the sample for its
+    n-th worst row without it in there, and costs more with n. So for a flag, rows in and out of the
+    sample are ranked by stratum, the n-th are paired, and the cheapest pairs up to the number that is
+    missing change places: a join and two windows a flag, over no more rows than quotas and the whole
+    sample's size for each flag and stratum. Of rows at one score the one of the smaller key
+    leaves and comes in first; of changes at one cost, that of the stratum that quotas name first.
     """
     size = sum(quotas.values())
-    order = [F.col(score).desc(), F.col(key)]
-    rank = lambda *keys: F.row_number().over(Window.partitionBy(stratum, *keys).orderBy(*order))
-    held = df.filter(F.col(stratum).isin(list(quotas))).withColumn("_n", rank())
-    held = held.withColumns({f"_{f}": rank(F.col(flags)[f]) for f in least})
-    useful = F.col("_n") <= F.create_map(*[F.lit(x) for item in quotas.items() for x in item])[F.col(stratum)]
-    for f in least:
-        useful = useful | (F.col(flags)[f] & (F.col(f"_{f}") <= size))
-    rows = held.filter(useful).select(stratum, key, score, flags).collect()
-    rows.sort(key=lambda r: (-r[score], r[key]))
-    chosen = [r for s, n in quotas.items() for r in [x for x in rows if x[stratum] == s][:n]]
-    for flag, enough in least.items():
-        while sum(r[flags][flag] for r in chosen) < enough:
-            swaps = []
-            for s in quotas:
-                better = next((r for r in rows if r[stratum] == s and r[flags][flag] and r not in chosen), None)
-                worse = [r for r in chosen if r[stratum] == s and not r[flags][flag]]
-                if better and worse:
-                    victim = min(worse, key=lambda r: r[score])
-                    swaps.append((better[score] - victim[score], victim, better))
-            if not swaps:
-                break
-            _, victim, better = max(swaps, key=lambda x: x[0])
-            chosen[chosen.index(victim)] = better
-    kinds = T.StructType([df.schema[stratum], df.schema[key]])
-    return df.sparkSession.createDataFrame([(r[stratum], r[key]) for r in chosen], kinds)
+    best = [F.col("_score").desc(), F.col("_key")]
+    wanted = F.create_map(*[F.lit(x) for item in quotas.items() for x in item])
+    turn = F.create_map(*[F.lit(x) for i, s in enumerate(quotas) for x in (s, i)])
+    rank = lambda *by: F.row_number().over(Window.partitionBy("_stratum", *by).orderBy(*best))
+    rows = df.select(F.col(stratum).alias("_stratum"), F.col(key).alias("_key"), F.col(score).alias("_score"), *[F.coalesce(F.col(flags)[f], F.lit(False)).alias(f"_f{i}") for i, f in enumerate(least)])
+    rows = rows.filter(F.col("_stratum").isin(list(quotas))).withColumn("_n", rank())
+    useful = F.col("_n") <= wanted[F.col("_stratum")]
+    for i in range(len(least)):
+        rows = rows.withColumn(f"_n{i}", rank(f"_f{i}"))
+        useful = useful | (F.col(f"_f{i}") & (F.col(f"_n{i}") <= 2 * size))
+    held = written(rows.withColumn("_in", F.col("_n") <= wanted[F.col("_stratum")]).filter(useful), "sample-candidates")
+    for i, enough in enumerate(least.values()):
+        flag, inside = F.col(f"_f{i}"), F.col("_in")
+        leaves = held.filter(inside & ~flag).withColumn("_at", F.row_number().over(Window.partitionBy("_stratum").orderBy("_score", "_key")))
+        comes = held.filter(~inside & flag).withColumn("_at", rank())
+        pairs = leaves.select("_stratum", "_at", F.col("_key").alias("_leaves"), F.col("_score").alias("_lost")).join(
+            comes.select("_stratum", "_at", F.col("_key").alias("_comes"), (F.col("_score")).alias("_won")), ["_stratum", "_at"])
+        gain = F.col("_won") - F.col("_lost")
+        missing = held.agg((enough - F.count(F.when(inside & flag, 1))).alias("_missing"))
+        # the pairs are no more than the sample is large
+        cheapest = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(gain.desc(), turn[F.col("_stratum")], "_at"))
+        swapped = pairs.withColumn("_m", cheapest).join(missing, F.col("_m") <= F.col("_missing")).select("_leaves", "_comes")
+        gone, new = (swapped.select(F.col(c).alias("_k")) for c in ("_leaves", "_comes"))
+        moved = held.join(gone.withColumn("_out", F.lit(True)), F.col("_key") == F.col("_k"), "left").drop("_k")
+        moved = moved.join(new.withColumn("_new", F.lit(True)), F.col("_key") == F.col("_k"), "left").drop("_k")
+        held = written(moved.withColumn("_in", (inside & F.col("_out").isNull()) | F.col("_new").isNotNull()).drop("_out", "_new"), "sample")
+    return held.filter("_in").select(F.col("_stratum").alias(stratum), F.col("_key").alias(key))
 
 
 def cap_per_key(df: DataFrame, key: str, most: int, order: Sequence[Column]) -> DataFrame:

@@ -203,7 +203,7 @@ SELECT b.conv_id, grp AS "group", min(turn) AS first, max(turn) AS last, sum(siz
 def c4_chunk_turns(spark, d):
     """Groups of 600 to 1000 characters with three turns in common, whole where under 1200."""
     turns = table(spark, d, "conversations")
-    held = chunking.with_rows(chunking.chunk_turns(turns, "conv_id", "turn", F.length("text")), turns, "conv_id", "turn")
+    held = chunking.chunk_turns(turns, "conv_id", "turn", F.length("text"))
     return held.groupBy("conv_id", "group").agg(F.min("turn").alias("first"), F.max("turn").alias("last"), F.sum(F.length("text")).alias("chars"))
 
 
@@ -217,7 +217,7 @@ def c5_chunk_cues(spark, d):
     turns = table(spark, d, "conversations")
     official = turns.groupBy("conv_id").agg((F.count(F.lit(1)) > 1).alias("good")).filter("good").select("conv_id")
     cues = turns.filter("role <> 'system'").join(official, "conv_id", "left_semi")
-    held = chunking.with_rows(chunking.chunk_cues(cues, "conv_id", "turn", F.length("text")), cues, "conv_id", "turn")
+    held = chunking.chunk_cues(cues, "conv_id", "turn", F.length("text"))
     text = F.array_join(F.sort_array(F.collect_list(F.struct("turn", "text")))["text"], "\n")
     start = F.min("turn") * 5
     return held.groupBy("conv_id", "group").agg(

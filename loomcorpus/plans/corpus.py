@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text, urls
 from ..functions.rules import any_of
-from ..operators import graph, keyed
+from ..operators import graph, keyed, ordered
 from ..sources.html import extract_html
 from .registry import query, table
 
@@ -39,17 +39,9 @@ def f2_tiered_dedup(spark, d):
 
 @query("""SELECT doc_id, row_number() OVER (ORDER BY lang, n_chars DESC, doc_id) AS place FROM documents WHERE quality IS NULL OR quality = 1""".replace("documents", "documents LEFT JOIN labels USING (doc_id)"))
 def f3_rank_candidates(spark, d):
-    """Global ranks without a global window: ranks within each language and length, plus how many
-    rows come before those."""
+    """Global ranks by ranges of the order: no window holds all rows or a language's."""
     df = docs_of(spark, d).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left").filter("quality IS NULL OR quality = 1")
-    keys = df.groupBy("lang", "n_chars").agg(F.count(F.lit(1)).alias("n"))
-    per_lang = keys.groupBy(F.col("lang").alias("_l")).agg(F.sum("n").alias("_m"))
-    lower = per_lang.select(F.col("_l").alias("_a")).join(per_lang, F.col("_l") < F.col("_a"), "left").groupBy("_a").agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_lang"))
-    before = Window.partitionBy("lang").orderBy(F.col("n_chars").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    starts = keys.withColumn("_s", F.coalesce(F.sum("n").over(before), F.lit(0))).join(lower, F.col("lang") == F.col("_a"))
-    starts = starts.select("lang", "n_chars", (F.col("_s") + F.col("_lang")).alias("_start"))
-    n = F.row_number().over(Window.partitionBy("lang", "n_chars").orderBy("doc_id"))
-    return df.withColumn("_n", n).join(starts, ["lang", "n_chars"]).select("doc_id", (F.col("_start") + F.col("_n")).alias("place"))
+    return ordered.rank_all(df.select("doc_id", "lang", "n_chars"), [F.col("lang"), F.col("n_chars").desc(), F.col("doc_id")]).select("doc_id", "place")
 
 
 @query("""WITH p AS (SELECT doc_id, CASE WHEN contains(text, 'ention') AND n_chars > 500 THEN 0 WHEN n_chars > 2000 THEN 1 WHEN lang <> 'en' THEN 2 ELSE 3 END AS pr FROM documents),
@@ -61,6 +53,28 @@ def f6_predicate_quota(spark, d):
     return keyed.quota(df, "predicate", quotas, [F.col("doc_id")]).select("doc_id", "predicate")
 
 
+_F6 = (("contains(text, 'ention') AND n_chars > 500", 5), ("n_chars > 2000", 7), ("lang <> 'en'", 9), ("n_chars > 900", 3))
+
+
+def _carried_sql():
+    """Each predicate takes what it still lacks; what was taken for earlier ones counts."""
+    marks = ", ".join(f"coalesce({p}, false) AS p{i}" for i, (p, _) in enumerate(_F6))
+    steps = [f"d AS (SELECT doc_id, n_chars, {marks} FROM documents)"]
+    for i, (_, n) in enumerate(_F6):
+        taken = " UNION ALL ".join(f"SELECT doc_id FROM t{j}" for j in range(i)) or "SELECT doc_id FROM d WHERE false"
+        steps.append(f"t{i} AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS n FROM d WHERE p{i} AND doc_id NOT IN ({taken})) WHERE n <= {n} - (SELECT count(*) FROM d WHERE p{i} AND doc_id IN ({taken})))")
+    every = " UNION ALL ".join(f"SELECT doc_id, {i} AS reason FROM t{i}" for i in range(len(_F6)))
+    return f"WITH {', '.join(steps)}, a AS ({every}), f AS (SELECT doc_id FROM d WHERE doc_id NOT IN (SELECT doc_id FROM a) ORDER BY n_chars DESC, doc_id LIMIT 40 - (SELECT count(*) FROM a)) SELECT doc_id, reason::INT AS reason FROM a UNION ALL SELECT doc_id, NULL FROM f"
+
+
+@query(_carried_sql())
+def f6_carried_quotas(spark, d):
+    """Quotas of predicates that overlap: a row taken for one counts for all it meets; then the
+    largest of the rest, 40 in all."""
+    predicates = [(F.expr(p), n) for p, n in _F6]
+    return keyed.predicate_quotas(docs_of(spark, d), predicates, [F.col("n_chars").desc(), F.col("doc_id")], 40).select("doc_id", "reason")
+
+
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n <= 6")
 def f7_stratified_sample(spark, d):
     """The first step: each language's quota of the longest."""
@@ -68,17 +82,37 @@ def f7_stratified_sample(spark, d):
     return out.filter("NOT over_cap").select("doc_id")
 
 
-FLAGS = {"table": ("|", 6), "official": (None, 4), "long": (None, 1)}
+FLAGS = {"table": 6, "official": 4, "long": 1}
+_QUOTAS = {"en": 4, "de": 3, "fr": 3, "es": 2}
+
+
+def _swaps_sql():
+    """The sample as a state that a step of a recursive query changes: the flag in hand, and who is in."""
+    flags = list(FLAGS)
+    per = ", ".join(f"('{g}', {n})" for g, n in _QUOTAS.items())
+    least = ", ".join(f"({i}, {n})" for i, n in enumerate(FLAGS.values()))
+    return f"""WITH RECURSIVE quota(lang, quota) AS (VALUES {per}), least(f, least) AS (VALUES {least}),
+d AS (SELECT doc_id, lang, n_chars AS score, [contains(text, '|'), source = 'src0', n_chars > 3000] AS fl FROM documents JOIN quota USING (lang)),
+s(step, f, chosen) AS (
+  SELECT 0, 0, (SELECT list(doc_id) FROM (SELECT doc_id, quota, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id) AS n FROM d JOIN quota USING (lang)) WHERE n <= quota)
+  UNION ALL
+  SELECT step + 1, CASE WHEN pair IS NULL THEN f + 1 ELSE f END, CASE WHEN pair IS NULL THEN chosen ELSE list_append(list_filter(chosen, lambda x: x <> pair[1]), pair[2]) END FROM (
+    SELECT step, f, chosen, CASE WHEN (SELECT count(*) FROM d WHERE list_contains(chosen, doc_id) AND fl[f + 1]) < (SELECT least FROM least WHERE least.f = s.f) THEN (
+      SELECT [v.doc_id, b.doc_id] FROM (SELECT lang, arg_min(doc_id, (score, doc_id)) AS doc_id, min(score) AS score FROM d WHERE list_contains(chosen, doc_id) AND NOT fl[f + 1] GROUP BY lang) v
+      JOIN (SELECT lang, arg_min(doc_id, (-score, doc_id)) AS doc_id, max(score) AS score FROM d WHERE NOT list_contains(chosen, doc_id) AND fl[f + 1] GROUP BY lang) b USING (lang)
+      ORDER BY b.score - v.score DESC, list_position({list(_QUOTAS)}, lang) LIMIT 1) END AS pair
+    FROM s WHERE f < {len(flags)}))
+SELECT lang, doc_id FROM (SELECT unnest(chosen) AS doc_id FROM s ORDER BY step DESC LIMIT 1) JOIN d USING (doc_id)"""
 
 
-@query()
+@query(_swaps_sql().replace("FROM (SELECT unnest(chosen) AS doc_id FROM s ORDER BY step DESC LIMIT 1)", "FROM (SELECT unnest(chosen) AS doc_id FROM (SELECT arg_max(chosen, step) AS chosen FROM s))"))
 def f7_swapped_sample(spark, d):
     """Both steps: swaps within a language until enough have a bar, are official and are long."""
     df = docs_of(spark, d).select(
         "doc_id", "lang", F.col("n_chars").alias("score"),
         F.struct(F.col("text").contains("|").alias("table"), (F.col("source") == "src0").alias("official"), (F.col("n_chars") > 3000).alias("long")).alias("flags"),
     )
-    return keyed.stratified_sample(df, "lang", "doc_id", "score", "flags", {"en": 4, "de": 3, "fr": 3, "es": 2}, {k: n for k, (_, n) in FLAGS.items()})
+    return keyed.stratified_sample(df, "lang", "doc_id", "score", "flags", _QUOTAS, FLAGS)
 
 
 @query("""WITH a AS (SELECT conv_id, min(turn) FILTER (contains(text, 'tion')) AS anchor FROM conversations GROUP BY 1) SELECT conv_id, turn FROM conversations JOIN a USING (conv_id) WHERE turn BETWEEN anchor - 2 AND anchor + 2""")

@@ -63,20 +63,21 @@ def test_coverage_status(spark, counts, want):
     assert spark.range(1).select(column.alias("s")).first()["s"] == want
 
 
-def test_chunks_keep_their_sizes():
+def test_chunks_keep_their_sizes(spark):
     body = "".join(f"Sentence number {i} of the text. " for i in range(200))
-    chunks = chunking.split_text(body)
-    assert all(len(c) <= 900 for c in chunks) and len(chunks) > 5
+    df = spark.createDataFrame([(body,), (None,), ("",)], "t string")
+    chunks, null, empty = (r.c for r in chunking.with_chunks(df, "t", "c").collect())
+    assert all(500 <= len(c) <= 900 for c in chunks[:-1]) and len(chunks) > 5
     assert all(f"number {i} " in "\n".join(chunks) for i in range(200))
-    assert chunking.split_text(None) == [] and chunking.split_text("") == []
+    assert null == [] and empty == []
     with pytest.raises(ValueError):
-        chunking.split_text("x", overlap=0)
+        chunking.with_chunks(df, "t", overlap=0)
 
 
 def test_folded_groups_split_between_turns(spark):
     rows = [(1, i, "x" * n) for i, n in enumerate((5, 6, 7, 20, 1))]
     df = spark.createDataFrame(rows, "k int, i int, t string")
-    got = {r["i"]: r["group"] for r in chunking.with_rows(chunking.chunk_cues(df, "k", "i", F.length("t"), 10), df, "k", "i").collect()}
+    got = {r["i"]: r["group"] for r in chunking.chunk_cues(df, "k", "i", F.length("t"), 10).collect()}
     assert got == {0: 0, 1: 0, 2: 1, 3: 1, 4: 2}
 
 

@@ -64,12 +64,14 @@ def plain_chunks(text, target, least, most, overlap):
     return seen
 
 
-def test_split_text_equals_a_plain_fold(spark):
-    docs = [x["text"] for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if x["text"]]
-    rng = random.Random(2)
-    for text in docs[:150]:
-        sizes = rng.choice([(700, 500, 900, 100), (200, 100, 300, 60), (80, 50, 120, 30)])
-        assert chunking.split_text(text, *sizes) == plain_chunks(text, *sizes)
+@pytest.mark.parametrize("sizes", [(700, 500, 900, 100), (200, 100, 300, 60), (80, 50, 120, 30), (3, 2, 4, 1)])
+def test_text_chunks_equal_a_plain_fold(spark, sizes):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(150)
+    odd = [None, "", " \n ", "x" * 5000, "one. two! # three\n# a heading. with more\n- item; item", "A. " * 3000, "no marks at all " * 200, "。！？" * 300, "\x1c a\x85b\u2028c", "same.\n" * 400]
+    docs = docs.unionByName(spark.createDataFrame([(x,) for x in odd], "text string"))
+    names = dict(zip(("target", "least", "most", "overlap"), sizes))
+    for r in chunking.with_chunks(docs, "text", "c", **names).collect():
+        assert r.c == plain_chunks(r.text or "", *sizes)
 
 
 def test_built_chunks_are_of_accepted_documents_only(spark):
@@ -82,12 +84,25 @@ def test_built_chunks_are_of_accepted_documents_only(spark):
     assert all(x["names"] == (["tion"] if "tion" in x["chunk"] else []) and x["era"] == (["rest"] if "rest" in x["chunk"] else []) for x in rows)
 
 
-def test_windows_of_turns():
-    assert chunking.windowed([100] * 5, 1200, 600, 1000, 3) == [(0, 5)]
-    got = chunking.windowed([200] * 12, 1200, 600, 1000, 3)
-    assert got == [(0, 5), (2, 7), (4, 9), (6, 11), (8, 12)]
-    assert chunking.windowed([2000, 10, 10], 1200, 600, 1000, 3) == [(0, 1), (1, 3)]
-    assert chunking.windowed([], 1200, 600, 1000, 3) == []
+def test_quotas_count_what_was_taken_before(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.randint(0, 9), rng.random() < 0.3, rng.random() < 0.2, rng.random() < 0.5) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, s int, a boolean, b boolean, c boolean")
+    for quotas, total in (((5, 4, 60), 40), ((0, 3, 2), 10), ((200, 5, 5), 500)):
+        ranked = sorted(rows, key=lambda r: (-r[1], r[0]))
+        want = {}
+        for i, n in enumerate(quotas):
+            for r in ranked:
+                if sum(x[2 + i] for x in rows if x[0] in want) >= n:
+                    break
+                if r[2 + i]:
+                    want.setdefault(r[0], i)
+        for r in ranked:
+            if len(want) < total:
+                want.setdefault(r[0], None)
+        predicates = [(F.col(c), n) for c, n in zip("abc", quotas)]
+        got = keyed.predicate_quotas(df, predicates, [F.col("s").desc(), F.col("k")], total).collect()
+        assert {r.k: r.reason for r in got} == want and len(got) == len(want)
 
 
 def test_swaps_reach_the_least_flags_at_the_least_loss(spark):
