@@ -10,28 +10,36 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import any_of
 from ..functions.urls import host, path, stable_id
+from ..sources.shared import written
 
 #: Characters by which a title inside another one is looked up.
 GRAM = 4
 
 
-def _grams(title: Column) -> Column:
-    """The distinct runs of one to GRAM characters of a title."""
-    n = F.length(title)
-
-    def runs(k: int) -> Column:
-        every = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.substr(title, i, F.lit(k)))
-        return F.when(n >= k, every).otherwise(F.array().cast("array<string>"))
-
-    return F.array_distinct(F.concat(*[runs(k) for k in range(1, GRAM + 1)]))
+def _runs(title: Column, size: Column) -> Column:
+    """The distinct runs of ``size`` characters of a title."""
+    last = F.length(title) - size + 1
+    every = F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(title, i, size))
+    return F.when(last >= 1, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
 
 def containing(small: DataFrame, large: DataFrame) -> DataFrame:
-    """(small, large) of distinct titles of which the first is part of the second: an equi-join on
-    the first's opening characters among the second's runs, then the comparison."""
-    a = small.select(F.col("title").alias("small")).distinct().filter("small <> ''").withColumn("_g", F.substring("small", 1, GRAM))
-    b = large.select(F.col("title").alias("large")).distinct().withColumn("_r", F.explode(_grams(F.col("large"))))
-    return a.join(b, F.col("_g") == F.col("_r")).filter(F.col("large").contains(F.col("small"))).select("small", "large")
+    """(small, large) of distinct titles of which the first is part of the second: the first is looked
+    up by that of its runs of GRAM characters which the fewest of the second have, so no run that
+    is common is joined on unless a title has no other; then they are compared. A shorter title
+    is its own run."""
+    size = F.least(F.length("small"), F.lit(GRAM))
+    a = small.select(F.col("title").alias("small")).distinct().filter("small <> ''").withColumn("_size", size)
+    sizes = [r[0] for r in a.select("_size").distinct().collect()]  # GRAM at most
+    b = large.select(F.col("title").alias("large")).distinct()
+    if not sizes:
+        return a.select("small").join(b, F.lit(False))
+    runs = written(b.withColumn("_run", F.explode(F.concat(*[_runs(F.col("large"), F.lit(n)) for n in sizes]))), "title-runs")
+    common = runs.groupBy(F.col("_run").alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
+    each = a.withColumn("_own", F.explode(_runs(F.col("small"), F.col("_size")))).join(common, F.col("_own") == F.col("_r"), "left")
+    # a title with a run that no other has is part of none
+    rarest = each.groupBy("small").agg(F.min_by("_own", F.struct("_n", "_own")).alias("_g"), F.every(F.col("_n").isNotNull()).alias("_may")).filter("_may")
+    return rarest.join(runs, F.col("_g") == F.col("_run")).filter(F.col("large").contains(F.col("small"))).select("small", "large")
 
 
 def title_duplicates(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -19,7 +19,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+
+from .matching import term_matches
 
 #: Queries that one pass scores, and chunks that are scored at once.
 QUERY_BLOCK, BATCH = 1024, 512
@@ -315,33 +316,10 @@ def signature(rows: DataFrame, key: str, digest: str) -> DataFrame:
 
 
 def passages_in(docs: DataFrame, key: str, text: str, passages: DataFrame) -> DataFrame:
-    """(passage_id, key) of the texts in which a passage (passage_id, passage) stands, read once for
-    a block of QUERY_BLOCK passages. An empty passage stands nowhere."""
-    kind, name = docs.schema[key].dataType.simpleString(), passages.schema["passage_id"].dataType.simpleString()
-    passages_type = passages.schema["passage_id"].dataType
-    parts = []
-    for rows in batched(passages.select("passage_id", "passage").filter("passage <> ''").toLocalIterator(), QUERY_BLOCK):
-        wanted: dict[str, list] = {}
-        for r in rows:
-            wanted.setdefault(r["passage"], []).append(r["passage_id"])
-
-        def run(it: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
-
-            machine = ahocorasick.Automaton()
-            for passage in wanted:
-                machine.add_word(passage, passage)
-            machine.make_automaton()
-            for b in it:
-                found = [(p, i) for i, t in enumerate(b.column(text).to_pylist()) if t for w in {w for _, w in machine.iter(t)} for p in wanted[w]]
-                ids = [p for p, _ in found]
-                rows_of = pa.array([i for _, i in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, to_arrow_type(passages_type)), b.column(key).take(rows_of)], ["passage_id", key])
-
-        parts.append(docs.select(key, text).mapInArrow(run, f"passage_id {name}, {key} {kind}"))
-    if not parts:
-        return docs.sparkSession.createDataFrame([], f"passage_id {name}, {key} {kind}")
-    return reduce(DataFrame.unionByName, parts)
+    """(passage_id, key) of the texts in which a passage (passage_id, passage) stands, the texts being
+    read once for all passages of a lot. An empty passage stands nowhere."""
+    found = term_matches(docs, key, text, passages.select(F.col("passage").alias("term")), standalone=False)
+    return passages.join(found, F.col("passage") == F.col("term")).select("passage_id", key)
 
 
 def evaluate(ranking: DataFrame, gold: DataFrame, cases: DataFrame, ks: Iterable[int] = (1, 3, 5)) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text, urls
 from ..functions.rules import any_of
-from ..operators import graph, keyed, ordered
+from ..operators import graph, keyed, matching, ordered
 from ..sources.html import extract_html
 from .registry import query, table
 
@@ -180,6 +180,15 @@ def j5_dictionary_match(spark, d):
     return graph.dictionary_match(docs_of(spark, d), "doc_id", "text", TOPICS)
 
 
+@query("""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS term FROM benchmark),
+m AS (SELECT doc_id, term, (length(text) - length(replace(text, term, ''))) // length(term) AS n, text FROM documents JOIN t ON contains(text, term))
+SELECT doc_id, term, n::BIGINT AS n FROM m WHERE length(term) > 1 OR regexp_matches(text, '(^|[^A-Za-z0-9])' || term || '($|[^A-Za-z0-9])')""")
+def j5_catalog_match(spark, d):
+    """The words of the benchmark as a catalog that is a table of any size, in the documents."""
+    terms = table(spark, d, "benchmark").select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ÿ]+"), F.lit(0)))).alias("term"))
+    return matching.term_matches(docs_of(spark, d), "doc_id", "text", terms)
+
+
 @query(f"WITH {_MATCH} SELECT term, count(DISTINCT doc_id) AS documents, count(DISTINCT source) AS places, sum(n)::BIGINT AS mentions, min(doc_id) AS first FROM m GROUP BY term")
 def a1_entity_rollup(spark, d):
     df = docs_of(spark, d)
