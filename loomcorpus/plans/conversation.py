@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import stage
 from ..functions.urls import stable_id
 from ..operators import chunking, dialogue
+from ..sources.html import dialogue_turns
 from .registry import query, table
 
 
@@ -113,6 +114,20 @@ def s15_dialogue_lines(spark, d):
     return hit.select("conv_id", "turn", "line", F.regexp_extract("x", pattern, 1).alias("speaker"), F.regexp_extract("x", pattern, 2).alias("said"))
 
 
+@query(r"""WITH t AS (SELECT conv_id, turn, role, trim(regexp_replace(text, '\s+', ' ', 'g')) AS said FROM conversations)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS turn, CASE WHEN role <> 'system' THEN role END AS speaker, CASE WHEN role = 'system' THEN 'narration' ELSE 'dialogue' END AS kind, said FROM t WHERE said <> ''""")
+def s15_dialogue_markup(spark, d):
+    """Conversations as pages: a stage of lines with actor and content, or paragraphs with labels."""
+    said = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
+    line = F.concat(F.lit('<div class="dialog-line x"><b class="dialog-actor">'), F.col("role"), F.lit('：</b><p class="dialog-content">'), said, F.lit("</p></div>"))
+    label = F.concat(F.lit("<p>"), F.col("role"), F.lit("："), F.regexp_replace(said, r"\s+", " "), F.lit("</p>"))
+    held = table(spark, d, "conversations").withColumn("part", F.when(F.col("conv_id") % 3 > 0, line).otherwise(label))
+    lines = F.array_join(F.sort_array(F.collect_list(F.struct("turn", "part")))["part"], "\n")
+    page = F.when(F.col("conv_id") % 3 > 0, F.concat(F.lit('<p>aside: no turn</p><section class="stage">'), lines, F.lit("</section>"))).otherwise(F.concat(F.lit("<main>"), lines, F.lit("<p>nothing that is said by anyone</p></main>")))
+    pages = held.groupBy("conv_id").agg(page.alias("html"))
+    return dialogue_turns(pages, "conv_id", narrators=("system",))
+
+
 @query("""SELECT conv_id, count(*) AS turns, max(turn) + 1 = count(*) AND min(turn) = 0 AS complete, count(*) - count(DISTINCT turn) AS duplicates, bool_and(length(text) > 0 AND role IN ('user', 'assistant', 'system')) AS valid
 FROM conversations GROUP BY conv_id""")
 def a5_structural_gate(spark, d):

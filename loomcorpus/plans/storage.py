@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import retrieval as r
 from ..sources import files
-from ..sources.html import extract_sections
+from ..sources.html import extract_sections, video_metadata
 from ..sources.shared import place
 from .registry import query, table
 
@@ -115,6 +115,35 @@ def s17_embedded_json(spark, d):
     return table(spark, d, "pages").select("page_id", found.alias("s")).select("page_id", "s.size", "s.meta.head")
 
 
+_PARTS = r"""SELECT page_id, title, part, name, seconds FROM (SELECT page_id, substr(url, 1, 20) || ' {"}' AS title, unnest([1, 2]) AS part, unnest(['first } \ "{', url]) AS name, unnest([length(url), page_id % 7])::INT AS seconds FROM pages) WHERE page_id % 5 > 0"""
+
+
+def state_pages(spark, d):
+    """Pages with a video's state in a script, braces, quotes and escapes in its strings; a fifth of
+    them have an object that is cut off."""
+    url = F.col("url")
+    part = lambda n, name, seconds: F.struct(F.lit(n).alias("page"), name.alias("part"), seconds.cast("int").alias("duration"))
+    tracks = F.array(*[F.struct(F.lit(x).alias("lan"), F.concat(url, F.lit(f"#{x}}}")).alias("subtitle_url")) for x in ("en", "de")])
+    video = F.struct(
+        F.concat(F.substring(url, 1, 20), F.lit(' {"}')).alias("title"),
+        F.array(part(1, F.lit('first } \\ "{'), F.length(url)), part(2, url, F.col("page_id") % 7)).alias("pages"),
+        F.struct(tracks.alias("list")).alias("subtitle"),
+    )
+    state = F.to_json(F.struct(F.struct(F.lit("}{").alias("x")).alias("other"), video.alias("videoData")))
+    state = F.when(F.col("page_id") % 5 > 0, F.concat(state, F.lit(";(function() { run(); })()</script>"))).otherwise(F.substr(state, F.lit(1), F.length(state) - 2))
+    return table(spark, d, "pages").select("page_id", F.concat(F.lit("<script>window.__INITIAL_STATE__ = "), state, F.when(F.col("page_id") % 5 > 0, F.col("html")).otherwise("")).alias("html"))
+
+
+@query(_PARTS)
+def s17_video_parts(spark, d):
+    return video_metadata(state_pages(spark, d))[0]
+
+
+@query("""SELECT page_id, track, language, url || '#' || language || '}' AS url FROM (SELECT page_id, url, unnest([1, 2]) AS track, unnest(['en', 'de']) AS language FROM pages) WHERE page_id % 5 > 0""")
+def s17_subtitle_tracks(spark, d):
+    return video_metadata(state_pages(spark, d))[1]
+
+
 @query("SELECT role, CASE WHEN role = 'user' THEN 0 ELSE count(*) END + CASE WHEN role = 'user' THEN count(*) FILTER (turn = 0) ELSE 0 END AS n FROM conversations GROUP BY role")
 def s18_replace_partition(spark, d):
     """Rewriting the rows of one role leaves the others."""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Mapping
+import re
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,20 +21,35 @@ _BLOCKS = {"p", "div", "br", "li", "h1", "h2", "h3", "tr", "section", "article",
 _NOISE = ("ad", "comment", "share")
 
 
+#: Where a page's content is looked for, in this order: an attribute ("tag" for the element's name)
+#: and a value that it has among its words. The whole page comes last.
+REGIONS = (
+    ("tag", "article"), ("tag", "main"), ("role", "main"), ("class", "wiki-content"), ("class", "article-content"), ("class", "detail-content"),
+    ("class", "content"), ("id", "content"),
+)
+
+
+def _matches(tag: str, attrs: Mapping[str, str], attribute: str, value: str) -> bool:
+    return tag == value if attribute == "tag" else value in attrs.get(attribute, "").split()
+
+
 class _Page(HTMLParser):
-    def __init__(self) -> None:
+    def __init__(self, regions: Sequence[tuple[str, str]] = REGIONS) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []
+        self.regions = regions
+        # each open element: its tag, whether it hides what it holds, the regions that it is
+        self.open: list[tuple[str, bool, tuple[int, ...]]] = []
         self.title, self.heading, self.og, self.canonical = [], [], "", ""
-        self.body: dict[str, list[str]] = {"article": [], "main": [], "body": []}
+        self.body: list[list[str]] = [[] for _ in range(len(regions) + 1)]
         self.links: dict[str, list[str]] = {}
+        self.spare: dict[str, str] = {}
         self.link: str | None = None
 
     def hidden(self) -> bool:
-        return any(h for _, h in self.open)
+        return any(h for _, h, _ in self.open)
 
     def inside(self, tag: str) -> bool:
-        return any(t == tag for t, _ in self.open)
+        return any(t == tag for t, _, _ in self.open)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a = {k: v or "" for k, v in attrs}
@@ -44,11 +61,15 @@ class _Page(HTMLParser):
             # the first label of an address counts, not all of its links' labels together
             known = "".join(self.links.setdefault(a["href"], [])).strip()
             self.link = None if known else a["href"]
+            self.spare.setdefault(a["href"], a.get("title", ""))
+        if tag == "img" and self.link is not None:
+            self.spare[self.link] = a.get("alt") or a.get("title") or self.spare[self.link]
         if tag in _BLOCKS:
             self.text("\n")
         if tag not in _VOID:
             noisy = any(c in _NOISE for c in a.get("class", "").split()) or a.get("aria-hidden") == "true"
-            self.open.append((tag, tag in _SKIPPED or noisy))
+            own = tuple(i for i, r in enumerate(self.regions) if _matches(tag, a, *r))
+            self.open.append((tag, tag in _SKIPPED or noisy, own))
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "a":
@@ -63,9 +84,8 @@ class _Page(HTMLParser):
     def text(self, data: str) -> None:
         if self.hidden():
             return
-        for region in self.body:
-            if region == "body" or self.inside(region):
-                self.body[region].append(data)
+        for i in {len(self.regions), *(i for _, _, own in self.open for i in own)}:
+            self.body[i].append(data)
 
     def handle_data(self, data: str) -> None:
         if self.inside("title"):
@@ -85,13 +105,14 @@ def _clean(parts: list[str]) -> str:
 
 def parse(html: str | None) -> dict:
     """title (og:title, else title, else the first heading), canonical URL, text of the first region
-    with over 20 characters, links with labels, and whether the page needs rendering."""
+    with over 20 characters, links with labels (their text, else their image's, else their title, else
+    their address), and whether the page needs rendering."""
     page = _Page()
     page.feed(html or "")
     page.close()
-    text = next((t for t in map(_clean, page.body.values()) if len(t) > 20), "")
+    text = next((t for t in map(_clean, page.body) if len(t) > 20), "")
     title = page.og.strip() or "".join(page.title).strip() or "".join(page.heading).strip()
-    links = [{"href": k, "label": " ".join("".join(v).split()) or k} for k, v in page.links.items()]
+    links = [{"href": k, "label": " ".join("".join(v).split()) or page.spare[k].strip() or k} for k, v in page.links.items()]
     thin = len(text) < 200 or text.lower().startswith("loading")
     return {"title": title, "canonical": page.canonical, "text": text, "links": links, "needs_render": thin}
 
@@ -208,3 +229,110 @@ def keyword_headings(rows: DataFrame, key: str, words: Iterable[str]) -> DataFra
 
 def notices(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.explode("notices").alias("notice"))
+
+
+class _Stage(HTMLParser):
+    """Texts of actors and contents of the lines of a stage, in order."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.open: list[tuple[str, str]] = []
+        self.lines: list[dict[str, list[str]]] = []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in _VOID:
+            return
+        names = (dict(attrs).get("class") or "").split()
+        role = "stage" if tag == "section" and "stage" in names else next((n for n in ("dialog-line", "dialog-actor", "dialog-content") if n in names), "")
+        inside = {r for _, r in self.open}
+        if role == "dialog-line" and "stage" in inside:
+            self.lines.append({})
+        if role in ("dialog-actor", "dialog-content") and "dialog-line" in inside and self.lines:
+            # of several in a line the first counts
+            role = "" if role in self.lines[-1] else role
+            if role:
+                self.lines[-1][role] = []
+        self.open.append((tag, role))
+
+    def handle_endtag(self, tag: str) -> None:
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == tag:
+                del self.open[i:]
+                break
+
+    def handle_data(self, data: str) -> None:
+        inside = [r for _, r in self.open]
+        if self.lines and "stage" in inside and "dialog-line" in inside:
+            for role in ("dialog-actor", "dialog-content"):
+                if role in inside and role in self.lines[-1]:
+                    self.lines[-1][role].append(data)
+
+
+_LABELLED = re.compile(r"^([^：:\n]{1,30})[：:]\s*(.+)$")
+
+
+def dialogue_of(html: str | None, narrators: Sequence[str]) -> list[tuple[str | None, str]]:
+    """(speaker, said) of a page's turns: of its stage's lines if it has any with content, else of
+    the lines of its text that start with a label. A turn without a speaker, or whose speaker is one
+    of ``narrators``, is narration and has none."""
+    stage = _Stage()
+    stage.feed(html or "")
+    stage.close()
+    joined = lambda parts: " ".join(" ".join(parts).split())
+    found = [(joined(x.get("dialog-actor", [])).rstrip("：:"), joined(x.get("dialog-content", []))) for x in stage.lines]
+    found = [x for x in found if x[1]]
+    if not found:
+        found = [m.groups() for line in parse(html)["text"].split("\n") if (m := _LABELLED.match(line))]
+    return [(None if not a.strip() or a.strip() in narrators else a.strip(), said.strip()) for a, said in found]
+
+
+def dialogue_turns(pages: DataFrame, key: str = "page_id", html: str = "html", narrators: Sequence[str] = ()) -> DataFrame:
+    """(key, turn, speaker, kind, said): the turns of each page, from 1; kind is dialogue or narration."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = [(k, i, a, "narration" if a is None else "dialogue", said) for k, h in zip(pdf[key], pdf[html]) for i, (a, said) in enumerate(dialogue_of(h, narrators), 1)]
+            yield pd.DataFrame(rows, columns=[key, "turn", "speaker", "kind", "said"])
+
+    kind = pages.schema[key].dataType.simpleString()
+    return pages.select(key, html).mapInPandas(run, f"{key} {kind}, turn int, speaker string, kind string, said string")
+
+
+#: A string, a brace, or what leads to one of them.
+_PIECES = re.compile(r'"(?:[^"\\]|\\.)*"|[{}]|[^"{}]+|"', re.S)
+
+
+def balanced(page: str | None, marker: str) -> str | None:
+    """The object that follows a marker, up to the brace that closes it; braces within strings, which
+    may hold escaped quotes, don't count. None if there is no whole object."""
+    at = (page or "").find(marker)
+    start = page.find("{", at + len(marker)) if at >= 0 else -1
+    depth = 0
+    for piece in _PIECES.finditer(page, start) if start >= 0 else ():
+        depth += (piece[0] == "{") - (piece[0] == "}")
+        if depth == 0:
+            return page[start : piece.end()]
+    return None
+
+
+def embedded_objects(page: Column, marker: str, schema: str) -> Column:
+    """The object after a marker in a page, by a schema that may be nested; null if there is none or
+    it isn't JSON."""
+
+    @F.arrow_udf("string")
+    def scanned(pages: pa.Array) -> pa.Array:
+        return pa.array([balanced(x.as_py(), marker) for x in pages], pa.string())
+
+    return F.from_json(scanned(page), schema)
+
+
+_VIDEO = "videoData struct<title: string, pages: array<struct<page: int, part: string, duration: int>>, subtitle: struct<list: array<struct<lan: string, subtitle_url: string>>>>"
+
+
+def video_metadata(pages: DataFrame, key: str = "page_id", html: str = "html", marker: str = "window.__INITIAL_STATE__") -> tuple[DataFrame, DataFrame]:
+    """Parts (key, title, part, name, seconds) and subtitle tracks (key, track, language, url) of the
+    state object that a video's page holds."""
+    held = pages.select(key, embedded_objects(F.col(html), marker, _VIDEO)["videoData"].alias("v"))
+    parts = held.select(key, F.col("v.title").alias("title"), F.explode("v.pages").alias("p")).select(key, "title", F.col("p.page").alias("part"), F.col("p.part").alias("name"), F.col("p.duration").alias("seconds"))
+    tracks = held.select(key, F.posexplode("v.subtitle.list").alias("at", "t")).select(key, (F.col("at") + 1).alias("track"), F.col("t.lan").alias("language"), F.col("t.subtitle_url").alias("url"))
+    return parts, tracks
