@@ -245,3 +245,14 @@ def carry_forward(now: DataFrame, before: DataFrame, reviews: DataFrame, human:
     out = now.join(old, F.col("query_id") == F.col("_q"), "left").join(said, F.col("query_id") == F.col("_r"), "left")
     same = F.col("top").eqNullSafe(F.col("_top")) & F.col("_r").isNotNull()
     return out.select(*now.columns, same.alias("carried"), *[F.when(same, F.col(f"_{c}")).alias(c) for c in human])
+
+
+def carry_results(now: DataFrame, before: DataFrame, reviewed: DataFrame, human: Sequence[str]) -> DataFrame:
+    """``now`` (query_id, chunk_id, position) with the human columns of ``reviewed`` (query_id,
+    chunk_id), result by result, where the case had the same chunks in the same order ``before``;
+    elsewhere they are null."""
+    tops = lambda t: t.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("position", "chunk_id")))["chunk_id"].alias("top"))
+    same = tops(now).join(tops(before).withColumnRenamed("top", "_old"), "query_id").filter("top = _old").select(F.col("query_id").alias("_q"))
+    said = reviewed.select(F.col("query_id").alias("_r"), F.col("chunk_id").alias("_c"), *[F.col(c).alias(f"_{c}") for c in human])
+    out = now.join(same, F.col("query_id") == F.col("_q"), "left").join(said, (F.col("_q") == F.col("_r")) & (F.col("chunk_id") == F.col("_c")), "left")
+    return out.select(*now.columns, *[F.col(f"_{c}").alias(c) for c in human])

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rules import any_of
 from ..functions.text import bound, sentences, term_present
 from ..functions.text import short as cell
 from ..sources.shared import place
@@ -223,5 +224,41 @@ def longest_prefix(urls: DataFrame, key: str, host: Column, path: Column, source
     return urls.select(key, best.alias("source"))
 
 
+def identify(pages: DataFrame, key: str, kind: str, host: Column, path: Column, sources: DataFrame) -> DataFrame:
+    """(key, source, by) of each of ``pages``, by ``sources`` (source, kind, host, prefix), a table of
+    any size: the only source of the page's kind if there is just one, else the source of its host
+    with the longest prefix, at a segment boundary, that its path has; of equal ones the smaller."""
+    only = sources.groupBy(F.col("kind").alias("_k")).agg(F.count_distinct("source").alias("_n"), F.min("source").alias("_only")).filter("_n = 1").select("_k", "_only")
+    asked = pages.select(key, F.col(kind).alias("_kind"), host.alias("_host"), path.alias("_path"))
+    named = sources.select("source", F.col("host").alias("_h"), F.rtrim("prefix", F.lit("/")).alias("_bare"))
+    under = (F.col("_bare") == "") | (F.col("_path") == F.col("_bare")) | F.startswith("_path", F.concat("_bare", F.lit("/")))
+    best = asked.join(named, F.col("_host") == F.col("_h")).filter(under).groupBy(F.col(key).alias("_key"))
+    best = best.agg(F.min_by("source", F.struct(-F.length("_bare"), "source")).alias("_best"))
+    out = asked.join(only, F.col("_kind") == F.col("_k"), "left").join(best, F.col(key) == F.col("_key"), "left")
+    by = F.when(F.col("_only").isNotNull(), "kind").when(F.col("_best").isNotNull(), "prefix")
+    return out.select(key, F.coalesce("_only", "_best").alias("source"), by.alias("by"))
+
+
+def coalesced(urls: DataFrame, url: str, raw: DataFrame, cached: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``urls`` with ``origin`` and ``document``: the raw document (document, url) of the address or,
+    by the ``manifest`` (url, document), the one that it stands for, which comes first; else the cached
+    record (url, record), and if there is none "inspect". The last of several manifest rows counts, by
+    ``place``."""
+    own = raw.groupBy("url").agg(F.min("document").alias("document")).select(F.col("url").alias("_u"), F.col("document").alias("_own"))
+    alias = manifest.join(raw.select("document").distinct(), "document").groupBy("url").agg(F.max_by("document", "place").alias("_alias")).select(F.col("url").alias("_a"), "_alias")
+    kept = cached.groupBy("url").agg(F.max("record").alias("_record")).select(F.col("url").alias("_c"), "_record")
+    out = urls.join(own, F.col(url) == F.col("_u"), "left").join(alias, F.col(url) == F.col("_a"), "left").join(kept, F.col(url) == F.col("_c"), "left")
+    found = F.coalesce("_alias", "_own")
+    origin = F.when(found.isNotNull(), "raw").when(F.col("_record").isNotNull(), "audit").otherwise("inspect")
+    return out.select(*urls.columns, origin.alias("origin"), found.alias("document"))
+
+
+def scoped(relations: DataFrame, evidence: str, times: Sequence[tuple[str, Sequence[str]]], universes: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
+    """``relations`` with the time and the universe that their evidence speaks of: the first of each
+    list one of whose words it has, else an empty text."""
+    first = lambda scopes: F.coalesce(*[F.when(any_of(F.col(evidence), words), name) for name, words in scopes], F.lit(""))
+    return relations.withColumns({"time_scope": first(times), "universe": first(universes)})
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")

@@ -281,6 +281,19 @@ def rerank(ranking: DataFrame, keys: Sequence[Column]) -> DataFrame:
     return ranking.withColumn("rank", F.row_number().over(order))
 
 
+def directed_title(query: Column, pattern: str, form: str) -> Column:
+    """The start of the title that a query names, by a pattern of the whole query and a form of its
+    groups; empty if the query isn't of that kind."""
+    asked = F.trim(query)
+    return F.when(asked.rlike(pattern), F.regexp_replace(asked, pattern, form)).otherwise("")
+
+
+def metadata_keys(preferred: Column, directed: Column, title: Column, shared: Column) -> list[Column]:
+    """Keys for ``rerank``: chunks of the preferred corpus, then those whose title starts as the query
+    names it, then by how many words title and query share."""
+    return [preferred.desc(), ((directed != "") & F.startswith(title, directed)).desc(), shared.desc()]
+
+
 def diversify(ranking: DataFrame, document: str, k: int) -> DataFrame:
     """One chunk of each document first, then the others, ``k`` in all."""
     nth = F.row_number().over(Window.partitionBy("query_id", document).orderBy("rank"))
@@ -325,15 +338,21 @@ def passages_in(docs: DataFrame, key: str, text: str, passages: DataFrame) -> Da
 def evaluate(ranking: DataFrame, gold: DataFrame, cases: DataFrame, ks: Iterable[int] = (1, 3, 5)) -> DataFrame:
     """Per case: recall at each k, reciprocal rank and nDCG at 5. ``gold`` has (query_id,
     chunk_id); a case without gold has nulls."""
-    hit = ranking.join(gold.withColumn("_hit", F.lit(1)), ["query_id", "chunk_id"], "left")
-    rel = F.coalesce("_hit", F.lit(0))
-    each = hit.groupBy("query_id").agg(
+    hit = ranking.join(gold.withColumn("_hit", F.lit(1)), ["query_id", "chunk_id"], "left").withColumn("rel", F.coalesce("_hit", F.lit(0)))
+    wanted = gold.groupBy("query_id").agg(F.count_distinct("chunk_id").alias("n_gold"))
+    return measures(hit, cases.select("query_id").join(wanted, "query_id", "left"), ks)
+
+
+def measures(hits: DataFrame, cases: DataFrame, ks: Iterable[int] = (1, 3, 5)) -> DataFrame:
+    """As ``evaluate``, of a ranking with ``rel``, 1 for gold and else 0, and of ``cases`` (query_id,
+    n_gold); n_gold is null for a case without gold."""
+    rel = F.col("rel")
+    each = hits.groupBy("query_id").agg(
         *[F.sum(F.when(F.col("rank") <= k, rel).otherwise(0)).alias(f"hits_{k}") for k in ks],
         F.min(F.when(rel == 1, F.col("rank"))).alias("first"),
         F.sum(F.when(F.col("rank") <= 5, rel / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"),
     )
-    wanted = gold.groupBy("query_id").agg(F.count_distinct("chunk_id").alias("n_gold"))
-    out = cases.select("query_id").join(wanted, "query_id", "left").join(each, "query_id", "left")
+    out = cases.join(each, "query_id", "left")
     ideal = F.aggregate(
         F.sequence(F.lit(1), F.least(F.lit(5), F.col("n_gold")).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0)
     )

@@ -209,3 +209,12 @@ def j9_carry_forward_review(spark, d):
     now, before = (a.top_results(results_of(spark, d, RUNS[run], rank=rank)[0]) for run in ("hybrid", "bm25"))
     notes = questions(spark, d).filter(F.col("text").contains("e ")).select("query_id", F.concat(F.lit("reviewed: "), "route").alias("note"))
     return a.carry_forward(now, before, notes, ["note"]).select("query_id", "carried", "note")
+
+
+@query(_SQL + _CASES + """SELECT n.query_id, n.chunk_id, n.position, CASE WHEN tn.top = tb.top AND n.chunk_id % 2 = 0 THEN 'seen ' || n.chunk_id END AS note FROM res n JOIN (SELECT * FROM tops WHERE run = 'hybrid') tn USING (query_id) LEFT JOIN (SELECT * FROM tops WHERE run = 'bm25') tb USING (query_id) WHERE n.run = 'hybrid'""")
+def j9_result_fields(spark, d):
+    """Notes on single results of BM25 stay with their chunks where fusion left a case as it was."""
+    rank = ranker(spark, d)
+    now, before = (results_of(spark, d, RUNS[run], rank=rank)[0].select("query_id", "chunk_id", "position") for run in ("hybrid", "bm25"))
+    notes = before.filter("chunk_id % 2 = 0").select("query_id", "chunk_id", F.concat(F.lit("seen "), F.col("chunk_id").cast("string")).alias("note"))
+    return a.carry_results(now, before, notes, ["note"])

@@ -253,6 +253,18 @@ def _typed_sql() -> str:
     return f"WITH {_PAIRS}, y AS (" + " UNION ALL ".join(parts) + ") SELECT doc_id, source, relation, target, max(confidence) AS confidence, 'rel_' || substr(sha256(concat_ws('|', doc_id::VARCHAR, source, relation, target)), 1, 20) AS relation_id FROM y GROUP BY ALL"
 
 
+_TIMES = (("before", ("was", "war")), ("now", ("is", "ist")))
+_UNIVERSES = (("bubble", ("nd ",)), ("proper", ("the", "der")))
+_SCOPE = ", ".join("CASE " + " ".join(f"WHEN {' OR '.join(f"contains(x, '{w}')" for w in words)} THEN '{n}'" for n, words in scopes) + f" ELSE '' END AS {name}" for name, scopes in (("time_scope", _TIMES), ("universe", _UNIVERSES)))
+
+
+@query(f"WITH {_REL} SELECT doc_id, source, relation, target, time_scope, universe, count(*) AS n FROM (SELECT *, {_SCOPE} FROM r WHERE relation IS NOT NULL) GROUP BY ALL")
+def c8_scoped_relations(spark, d):
+    """Relations with the time and the universe that their sentence speaks of."""
+    made = graph.scoped(graph.rule_relations(pairs_of(spark, d), RULES), "evidence", _TIMES, _UNIVERSES)
+    return made.groupBy("doc_id", "source", "relation", "target", "time_scope", "universe").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(_typed_sql())
 def c8_rule_relations(spark, d):
     """Twelve typed rules with most gaps; of the three bonds between characters the first that holds."""
@@ -427,6 +439,43 @@ def j1_identify_source(spark, d):
     return graph.longest_prefix(table(spark, d, "pages"), "page_id", urls.host(F.col("url")), urls.path(F.col("url")), SOURCES)
 
 
+_CATALOG = rf"""{_NORMAL}, c AS (SELECT host || ':' || seg AS source, host, CASE seg WHEN '' THEN '/' ELSE '/' || seg END AS prefix, CASE WHEN seg = 'en' THEN 'single' ELSE 'many' END AS kind FROM (SELECT DISTINCT host, unnest(['', regexp_extract(path, '^/([^/]+)', 1)]) AS seg FROM u WHERE page_id % 2 = 0)),
+s AS (SELECT source, CASE WHEN source = (SELECT min(source) FROM c WHERE kind = 'single') THEN 'single' WHEN kind = 'single' THEN 'many' ELSE kind END AS kind, host, prefix FROM c)"""
+
+
+def catalog(spark, d):
+    """Sources as a table: each host and first segment of every second page; one is alone of its kind."""
+    host, path = urls.host(F.col("url")), urls.path(F.col("url"))
+    seg = F.explode(F.array(F.lit(""), F.regexp_extract(path, "^/([^/]+)", 1))).alias("seg")
+    each = table(spark, d, "pages").filter("page_id % 2 = 0").select(host.alias("host"), seg).distinct()
+    each = each.select(F.concat_ws(":", "host", "seg").alias("source"), "host", F.when(F.col("seg") == "", "/").otherwise(F.concat(F.lit("/"), "seg")).alias("prefix"), "seg")
+    first = each.filter("seg = 'en'").agg(F.min("source").alias("_first"))
+    return each.join(first).select("source", F.when(F.col("source") == F.col("_first"), "single").otherwise("many").alias("kind"), "host", "prefix")
+
+
+@query(f"""WITH {_CATALOG}, p AS (SELECT *, CASE WHEN page_id % 7 = 0 THEN 'single' ELSE 'many' END AS kind FROM u),
+o AS (SELECT kind, min(source) AS sole FROM s GROUP BY kind HAVING count(DISTINCT source) = 1),
+b AS (SELECT page_id, arg_min(source, (-length(rtrim(prefix, '/')), source)) AS best FROM p JOIN s ON p.host = s.host WHERE rtrim(prefix, '/') = '' OR path = rtrim(prefix, '/') OR starts_with(path, rtrim(prefix, '/') || '/') GROUP BY page_id)
+SELECT page_id, coalesce(sole, best) AS source, CASE WHEN sole IS NOT NULL THEN 'kind' WHEN best IS NOT NULL THEN 'prefix' END AS "by" FROM p LEFT JOIN o ON o.kind = p.kind LEFT JOIN b USING (page_id)""")
+def j1_catalog_source(spark, d):
+    """A kind that one source alone has decides before hosts and prefixes do."""
+    pages = table(spark, d, "pages").withColumn("kind", F.when(F.col("page_id") % 7 == 0, "single").otherwise("many"))
+    return graph.identify(pages, "page_id", "kind", urls.host(F.col("url")), urls.path(F.col("url")), catalog(spark, d))
+
+
+@query("""WITH r AS (SELECT page_id AS document, url FROM pages WHERE page_id % 4 = 0), m AS (SELECT url, page_id - page_id % 4 AS document, page_id AS place FROM pages WHERE page_id % 4 = 1 UNION ALL SELECT url, page_id + 1, page_id + 100000 FROM pages WHERE page_id % 8 = 3),
+a AS (SELECT url, arg_max(document, place) AS document FROM m WHERE document IN (SELECT document FROM r) GROUP BY url), o AS (SELECT url, min(document) AS document FROM r GROUP BY url), c AS (SELECT DISTINCT url FROM pages WHERE page_id % 4 = 2)
+SELECT page_id, CASE WHEN coalesce(a.document, o.document) IS NOT NULL THEN 'raw' WHEN c.url IS NOT NULL THEN 'audit' ELSE 'inspect' END AS origin, coalesce(a.document, o.document) AS document FROM pages LEFT JOIN a USING (url) LEFT JOIN o USING (url) LEFT JOIN c USING (url)""")
+def j3_manifest_alias(spark, d):
+    """Raw documents of their own address or, by a manifest, of another one; cached audits; the rest."""
+    pages = table(spark, d, "pages").select("page_id", "url")
+    at, page = F.col("page_id") % 4, F.col("page_id")
+    raw = pages.filter(at == 0).select(page.alias("document"), "url")
+    manifest = pages.filter(at == 1).select("url", (page - at).alias("document"), page.alias("place"))
+    manifest = manifest.unionByName(pages.filter(page % 8 == 3).select("url", (page + 1).alias("document"), (page + 100000).alias("place")))
+    return graph.coalesced(pages, "url", raw, pages.filter(at == 2).select("url", page.alias("record")), manifest).select("page_id", "origin", "document")
+
+
 @query("""WITH a AS (SELECT page_id AS audit, unnest([url, regexp_replace(url, '[?#].*$', '')]) AS u FROM pages WHERE page_id % 3 = 0), l AS (SELECT u, max(audit) AS audit FROM a GROUP BY u) SELECT page_id, audit FROM pages LEFT JOIN l ON u = url""")
 def j2_audit_lookup(spark, d):
     pages = table(spark, d, "pages").select("page_id", "url")

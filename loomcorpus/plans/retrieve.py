@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -144,6 +145,54 @@ def r7_metadata_rerank(spark, d):
     return _shown(r.rerank(base.join(asked, "query_id"), [overlap.desc()]).filter("rank <= 5"))
 
 
+_DIRECTED = _FUSED.rstrip() + r""",
+dt AS (SELECT item_id AS query_id, regexp_extract(trim(text), '^(\S{1,12})\s', 1) AS directed, regexp_extract_all(lower(text), '[a-z0-9_]+') AS asked FROM benchmark),
+rr AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY source = 'src0' DESC, directed <> '' AND starts_with(title, directed) DESC, len(list_intersect(regexp_extract_all(lower(title), '[a-z0-9_]+'), asked)) DESC, score DESC, chunk_id) AS place
+  FROM (SELECT *, split_part(text, chr(10), 1) AS title FROM fused) JOIN dt USING (query_id) WHERE rank <= 50)
+"""
+
+
+@query(_DIRECTED + "SELECT query_id, chunk_id, round(score, 8) AS score, place AS rank FROM rr WHERE place <= 5")
+def r7_directed_rerank(spark, d):
+    """Titles that start with the first word of the question come first within their corpus."""
+    base = hybrid(spark, d).filter("rank <= 50")
+    named = r.directed_title(F.col("text"), r"(?s)^(\S{1,12})\s.*$", "$1").alias("_d")
+    asked = queries_of(spark, d).select("query_id", F.array_distinct(words(F.col("text"))).alias("_q"), named)
+    title = F.substring_index("text", "\n", 1)
+    keys = r.metadata_keys(F.col("source") == "src0", F.col("_d"), title, F.size(F.array_intersect("_q", words(title))))
+    return _shown(r.rerank(base.join(asked, "query_id"), keys).filter("rank <= 5"))
+
+
+_SEMANTIC = r"""WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, (a.label = b.label)::INT AS rel, round(list_dot_product(a.v, b.v), 10) AS score FROM u a, u b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s WHERE score > 0),
+g AS (SELECT query_id, sum(rel) AS n_gold FROM s GROUP BY 1),
+p AS (SELECT query_id, sum(CASE WHEN rank <= 1 THEN rel ELSE 0 END) AS h1, sum(CASE WHEN rank <= 3 THEN rel ELSE 0 END) AS h3, sum(rel) AS h5, min(CASE WHEN rel = 1 THEN rank END) AS first, sum(rel / log2(rank + 1)) AS dcg FROM t WHERE rank <= 5 GROUP BY 1),
+e AS (SELECT query_id, n_gold, round(coalesce(h1, 0) / n_gold, 6) AS r1, round(coalesce(h3, 0) / n_gold, 6) AS r3, round(coalesce(h5, 0) / n_gold, 6) AS r5, round(coalesce(1.0 / first, 0), 6) AS rr, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(5, n_gold)::BIGINT + 1), lambda i: 1 / log2(i + 1.0))), 6) AS ndcg
+  FROM g LEFT JOIN p USING (query_id) WHERE n_gold > 0)
+SELECT 'semantic' AS run, count(*) AS cases, round(avg(r1), 5) AS recall_1, round(avg(r3), 5) AS recall_3, round(avg(r5), 5) AS recall_5, round(avg(rr), 5)::DOUBLE AS mrr, round(avg(ndcg), 5) AS ndcg_5 FROM e"""
+
+
+@query(_SEMANTIC)
+def r13_semantic_run(spark, d):
+    """The run by given vectors, not their words: each twentieth vector asks for the others of its label."""
+    held = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
+    asked = held.filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
+    ranking = r.dense_rank(asked, held, 6).filter("query_id <> chunk_id")
+    order = Window.partitionBy("query_id").orderBy("rank")
+    ranking = ranking.withColumn("rank", F.row_number().over(order)).filter("rank <= 5")
+    labels = asked.select("query_id", F.col("label").alias("_l"))
+    # the gold of a query is a label's rows: counted, and looked up for the few that were found
+    sizes = held.groupBy(F.col("label").alias("_l")).agg((F.count(F.lit(1)) - 1).alias("n_gold"))
+    found = ranking.join(labels, "query_id").join(held.select("chunk_id", "label"), "chunk_id").withColumn("rel", (F.col("label") == F.col("_l")).cast("int"))
+    each = r.measures(found, labels.join(sizes, "_l").filter("n_gold > 0").select("query_id", "n_gold"))
+    mean = lambda c: F.round(F.avg(c), 5)
+    return each.agg(
+        F.lit("semantic").alias("run"), F.count(F.lit(1)).alias("cases"), mean("recall_1").alias("recall_1"), mean("recall_3").alias("recall_3"),
+        mean("recall_5").alias("recall_5"), mean("reciprocal_rank").alias("mrr"), mean("ndcg_5").alias("ndcg_5"),
+    )
+
+
 _DIVERSE = _FUSED.rstrip() + r""",
 dv AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY nth > 1, rank) AS position FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS nth FROM fused WHERE rank <= 50)),
 pk AS (SELECT *, sum(least(n_chars, 480) + 2) OVER (PARTITION BY query_id ORDER BY position) - 2 AS used FROM dv WHERE position <= 5)

@@ -38,6 +38,14 @@ def s7_insert_if_absent(spark, d):
     return keyed.insert_if_absent(e.filter("event_type = 'signup'"), known, "user_id", "event_id").select("user_id", "event_id")
 
 
+@query("SELECT user_id, min(event_id) AS event_id FROM events WHERE event_type = 'signup' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND event_id % 50 = 0) GROUP BY user_id")
+def s7_insert_of_some(spark, d):
+    """Signups of the users that the target, one in fifty of the errors, doesn't have."""
+    e = table(spark, d, "events")
+    known = e.filter("event_type = 'error' AND event_id % 50 = 0").select("user_id").distinct()
+    return keyed.insert_if_absent(e.filter("event_type = 'signup'"), known, "user_id", "event_id").select("user_id", "event_id")
+
+
 @query("""SELECT event_id, over FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, ts DESC, event_id) > 30 AS over FROM events)""")
 def f10_cap_per_type(spark, d):
     out = keyed.cap_per_key(table(spark, d, "events"), "user_id", 30, [F.col("value").desc(), F.col("ts").desc(), F.col("event_id")])
