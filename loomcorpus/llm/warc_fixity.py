@@ -1,5 +1,7 @@
 """Merkle fixity audit of WARC replicas.
 
+Archives are records with their place, made from pages or read from WARC files.
+
 Records get a digest each; digests are hashed over ordered offset ranges of a file, ranges over
 files, and files over groups of files up to one root. Two replicas with equal roots are equal. Else
 the audit descends: of each level only the children of nodes that differ are compared, down to the
@@ -8,6 +10,12 @@ records.
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Iterator
+from hashlib import sha256
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +38,70 @@ def record(url: Column, body: Column, page: Column) -> Column:
     )
 
 
+_HEADER = re.compile(rb"WARC/1\.\d\r\n((?:[^\r\n]+\r\n)*)\r\n")
+
+
+def _framed(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset, record) of the records of uncompressed bytes, each by its own Content-Length."""
+    at = 0
+    while at < len(data):
+        head = _HEADER.match(data, at)
+        fields = head and dict(x.split(b":", 1) for x in head[1].lower().split(b"\r\n") if b":" in x)
+        size = (fields or {}).get(b"content-length", b"").strip()
+        end = head.end() + int(size) + 4 if head and size.isdigit() else 0
+        if not end or data[end - 4 : end] != b"\r\n\r\n":
+            yield at, data[at:]  # from here on nothing can be told apart: one record that matches no other
+            return
+        yield at, data[at:end]
+        at = end
+
+
+def _members(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset, bytes) of the gzip members of a file; one that can't be unpacked is kept as it is."""
+    at = 0
+    while at < len(data):
+        unpack = zlib.decompressobj(31)
+        try:
+            body = unpack.decompress(data[at:]) + unpack.flush()
+        except zlib.error:
+            body = b""
+        if not unpack.eof:
+            yield at, data[at:]
+            return
+        yield at, body
+        at = len(data) - len(unpack.unused_data)
+
+
+def records_of(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset in the file, record) of a WARC file's bytes; compressed files have a record a member."""
+    if data[:2] != b"\x1f\x8b":
+        yield from _framed(data)
+        return
+    for at, body in _members(data):
+        for inner, record in _framed(body):
+            yield at + inner, record
+
+
+_ID = re.compile(rb"(?im)^WARC-Record-ID:\s*(\S+)")
+
+
+def read_leaves(files: DataFrame, file: Column) -> DataFrame:
+    """The leaves of WARC files (path, content), as Spark's binary file source gives them: (page_id,
+    file, offset, length, hash), where page_id is the record's id and ``file`` numbers a path, alike in
+    all replicas. The digest is of the unpacked record, so replicas may be compressed otherwise. A
+    null or empty file has no records; damaged framing makes one record of the rest of its file."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for i in range(b.num_rows):
+                found = [(m[1].decode("utf-8", "replace") if (m := _ID.search(r[:65536])) else None, at, len(r), sha256(r).hexdigest()) for at, r in records_of(b.column("content")[i].as_py() or b"")]
+                ids, places, lengths, digests = zip(*found) if found else [[]] * 4
+                number = b.column("file").slice(i, 1).take(pa.array([0] * len(found), pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), number, pa.array(places, pa.int64()), pa.array(lengths, pa.int64()), pa.array(digests, pa.string())], ["page_id", "file", "offset", "length", "hash"])
+
+    return files.select(file.cast("int").alias("file"), "content").mapInArrow(run, "page_id string, file int, offset long, length long, hash string")
+
+
 def archive(pages: DataFrame) -> DataFrame:
     """``pages`` (page_id, url, html) as records with their place: file, offset, length.
 
@@ -79,8 +151,11 @@ def tree(records: DataFrame, files: int) -> list[DataFrame]:
 
 def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     """(page_id, length, status, left_hash, right_hash) of every record in which two replicas'
-    leaves differ: "corrupt" where both have a record at a place, "missing" or "extra" where one
-    has none. Equal or empty replicas give no rows.
+    leaves differ. Records of a page that are in both copies of a differing range's file are the same
+    wherever they stand, so one that was lost or added doesn't count against those after it. Of the
+    rest, the n-th of a page in each copy is "corrupt" if both have it, else "missing" or "extra". Null
+    ids are equal; repeated records are told apart by their order. Equal or empty replicas give no
+    rows. Only digests are compared, so records may be of any length.
     """
     left, right = materialize(left, "warc-left"), materialize(right, "warc-right")
     top = left.unionByName(right).agg(F.max("file")).first()[0]
@@ -103,18 +178,19 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     at = F.floor(F.col("offset") / RANGE_BYTES)
     inside = (F.col("file") == F.col("_f")) & (at == F.col("_r"))
     x, y = (t.join(suspects, inside, "left_semi") for t in (left, right))
-    place = ["file", "offset", "page_id", "length"]
-    x = x.groupBy(*place).agg(F.min("hash").alias("left_hash"))
-    y = y.groupBy(*place).agg(F.min("hash").alias("right_hash"))
-    same = [x[c].eqNullSafe(y[c]) for c in place]
+    # a record that has merely moved, since another before it was lost or added, is the same record
+    nth = F.row_number().over(Window.partitionBy("file", "page_id", "hash").orderBy("offset"))
+    x, y = (t.select("file", "page_id", "offset", "length", "hash").withColumn("nth", nth) for t in (x, y))
+    alike = [*(x[c].eqNullSafe(y[c]) for c in ("file", "page_id", "hash")), x["nth"] == y["nth"]]
+    left_over, right_over = x.join(y, alike, "left_anti"), y.join(x, alike, "left_anti")
+    turn = F.row_number().over(Window.partitionBy("file", "page_id").orderBy("offset"))
+    ends = [t.select("file", "page_id", "length", "hash", turn.alias("turn")) for t in (left_over, right_over)]
+    p, q = (t.select(*[F.col(c).alias(f"{side}_{c}") for c in t.columns]) for t, side in zip(ends, ("left", "right")))
+    same = [F.col(f"left_{c}").eqNullSafe(F.col(f"right_{c}")) for c in ("file", "page_id", "turn")]
     status = F.when(F.col("right_hash").isNull(), "missing").when(F.col("left_hash").isNull(), "extra").otherwise("corrupt")
-    return (
-        x.join(y, same, "full")
-        .filter(~F.col("left_hash").eqNullSafe(F.col("right_hash")))
-        .select(
-            F.coalesce(x["page_id"], y["page_id"]).alias("page_id"), F.coalesce(x["length"], y["length"]).alias("length"),
-            status.alias("status"), "left_hash", "right_hash",
-        )
+    return p.join(q, same, "full").select(
+        F.coalesce("left_page_id", "right_page_id").alias("page_id"), F.coalesce("left_length", "right_length").alias("length"),
+        status.alias("status"), "left_hash", "right_hash",
     )
 
 

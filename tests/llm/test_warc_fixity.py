@@ -1,5 +1,9 @@
+import gzip
+
 import duckdb
 
+from pyspark.sql import Window
+
 from loomcorpus.llm import warc_fixity as W
 
 DIR = "/root/testdata/sf0.01"
@@ -57,3 +61,34 @@ def test_long_bodies_and_a_page_repeated_very_often(spark):
 
     hurt = held.withColumn("hash", F.when(F.col("page_id") == 2, "0").otherwise(F.col("hash")))
     assert [(r["page_id"], r["status"]) for r in W.audit(held, hurt).collect()] == [(2, "corrupt")]
+
+
+def test_a_lost_record_is_the_only_one_reported(spark):
+    rows = [(i, f"https://e.example/{i}", "x" * (i * 37 % 900)) for i in range(100)]
+    held = W.archive(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    shift = Window.partitionBy("file").orderBy("offset")
+    for gone in ([50], [0, 3, 99]):
+        left = held.filter(~W.F.col("page_id").isin(gone))
+        closed = left.withColumn("offset", W.F.coalesce(W.F.sum("length").over(shift.rowsBetween(Window.unboundedPreceding, -1)), W.F.lit(0)))
+        assert {(r.page_id, r.status) for r in W.audit(W.leaves(held), W.leaves(closed)).collect()} == {(i, "missing") for i in gone}
+        assert {(r.page_id, r.status) for r in W.audit(W.leaves(closed), W.leaves(held)).collect()} == {(i, "extra") for i in gone}
+
+
+def warc(bodies):
+    return [f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:r:{i}>\r\nContent-Length: {len(b)}\r\n\r\n".encode() + b + b"\r\n\r\n" for i, b in enumerate(bodies)]
+
+
+def test_warc_files_are_read(spark):
+    bodies = [b"", b"one", b"\r\n\r\nWARC/1.1\r\n", b"z" * 300_000, bytes(range(256)), b"last"]
+    plain = b"".join(warc(bodies))
+    packed = b"".join(gzip.compress(r) for r in warc(bodies))
+    changed = b"".join(gzip.compress(r) for r in warc([*bodies[:3], b"y" * 300_000, bodies[4]]))
+    for data in (plain, packed):
+        assert [r for _, r in W.records_of(data)] == warc(bodies)
+    assert list(W.records_of(b"")) == [] and [r for _, r in W.records_of(plain[:-2])][:-1] == warc(bodies)[:-1]
+    assert [at for at, _ in W.records_of(packed)][1] == len(gzip.compress(warc(bodies)[0]))
+    files = lambda *x: spark.createDataFrame([(f"f{i}", bytearray(c) if c is not None else None) for i, c in enumerate(x)], "path string, content binary")
+    number = W.F.substring("path", 2, 9)
+    leaves = [W.read_leaves(files(data, None, plain), number) for data in (plain, packed, changed)]
+    assert W.audit(leaves[0], leaves[1]).collect() == []
+    assert {(r.page_id, r.status) for r in W.audit(leaves[1], leaves[2]).collect()} == {("<urn:r:3>", "corrupt"), ("<urn:r:5>", "missing")}
