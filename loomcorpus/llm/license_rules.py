@@ -112,6 +112,106 @@ PHRASES: list[tuple[str, str, int, float, str]] = [
     ("zlib", "provided", 6, 0.9, r"this software is provided as is without any express or implied warranty in no event will the authors"),
     ("bsl-1.0", "permission", 6, 0.9, r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
     ("wtfpl", "fuck", 6, 0.9, r"you just do what the fuck you want to"),
+    # grants
+    ("apache-2.0", "apache", 6, 0.95, r"you may not use this file except in compliance with the license you may obtain a copy of the license at .{1,60}? apache org"),
+    ("apache-2.0", "derivative", 5, 0.8, r"a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works"),
+    ("apache-2.0", "patent", 5, 0.85, r"if you institute patent litigation against any entity including a cross claim or counterclaim"),
+    ("apache-2.0", "conditions", 5, 0.9, r"terms and conditions for use reproduction and distribution 1 definitions"),
+    ("apache-1.1", "acknowledgment", 6, 0.9, r"this product includes software developed by the apache software foundation .{1,60}? alternately this acknowledgment"),
+    ("apache", "apache", 3, 0.6, r"this product includes software developed (?:at|by) the apache software foundation"),
+    ("mit", "substantial", 5, 0.85, r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "sublicense", 5, 0.85, r"the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit-0", "attribution", 6, 0.9, r"mit no attribution (?:.{1,60}? )?permission is hereby granted"),
+    ("x11", "consortium", 6, 0.9, r"except as contained in this notice the name of the x consortium shall not be used in advertising"),
+    ("x11", "advertising", 5, 0.7, r"except as contained in this notice the names? of .{1,60}? shall not be used in advertising or otherwise to promote"),
+    ("hpnd", "permission", 6, 0.85, r"permission to use copy modify and distribute this software and its documentation for any purpose"),
+    ("ntp", "permission", 6, 0.85, r"permission to use copy modify and distribute this software and its documentation for any purpose with or without fee is hereby granted"),
+    ("isc", "consortium", 4, 0.7, r"copyright (?:.{1,40}? )?internet (?:software|systems) consortium"),
+    ("zlib", "misrepresented", 5, 0.9, r"the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("zlib", "altered", 5, 0.85, r"altered source versions must be plainly marked as such and must not be misrepresented"),
+    ("bsl-1.0", "executable", 5, 0.85, r"in the form of machine executable object code generated by a source language processor"),
+    ("curl", "curl", 6, 0.9, r"copyright and permission notice .{1,80}? daniel stenberg (?:.{1,40}? )?curl"),
+    ("unlicense", "dedicate", 5, 0.9, r"dedicate any and all copyright interest in the software to the public domain"),
+    ("unlicense", "heirs", 5, 0.85, r"to the detriment of our heirs and successors"),
+    ("cc0-1.0", "affirmer", 6, 0.9, r"affirmer hereby overtly fully permanently irrevocably and unconditionally waives"),
+    ("cc0-1.0", "waived", 5, 0.85, r"to the extent possible under law .{1,60}? has waived all copyright and related or neighboring rights"),
+    ("public-domain", "disclaims", 4, 0.8, r"the author disclaims copyright to this source code"),
+    ("blessing", "blessing", 6, 0.9, r"in place of a legal notice here is a blessing"),
+    ("beerware", "beer", 6, 0.95, r"you can buy me a beer in return"),
+    ("wtfpl", "everyone", 4, 0.7, r"everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed"),
+    ("json", "evil", 6, 0.95, r"the software shall be used for good not evil"),
+    ("postcardware", "postcard", 5, 0.8, r"(?:send me a|please send a) postcard"),
+    # copyleft
+    ("gpl-2.0", "version", 7, 0.95, r"gnu general public license as published by the free software foundation either version 2 of the license"),
+    ("gpl-3.0", "version", 7, 0.95, r"gnu general public license as published by the free software foundation either version 3 of the license"),
+    ("gpl-2.0", "version", 7, 0.9, r"gnu general public license version 2 (?:only )?as published by the free software foundation"),
+    ("gpl-3.0", "version", 7, 0.9, r"gnu general public license version 3 (?:only )?as published by the free software foundation"),
+    ("lgpl-2.1", "lesser", 7, 0.95, r"gnu lesser general public license as published by the free software foundation either version 2 1 of the license"),
+    ("lgpl-3.0", "lesser", 7, 0.95, r"gnu lesser general public license as published by the free software foundation either version 3 of the license"),
+    ("lgpl-2.0", "library", 7, 0.95, r"gnu library general public license as published by the free software foundation either version 2 of the license"),
+    ("agpl-3.0", "affero", 7, 0.95, r"gnu affero general public license as published by the free software foundation"),
+    ("agpl-3.0", "remotely", 6, 0.85, r"all users interacting with it remotely through a computer network"),
+    ("gpl", "details", 4, 0.6, r"see the gnu general public license for more details"),
+    ("lgpl", "lesser", 4, 0.6, r"see the gnu lesser general public license for more details"),
+    ("gpl", "franklin", 4, 0.6, r"write to the free software foundation inc (?:51|59) franklin street"),
+    ("gpl-3.0", "tivoization", 3, 0.5, r"anti tivoization"),
+    ("gpl-2.0", "freedom", 4, 0.7, r"the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl-3.0", "copyleft", 5, 0.85, r"the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("classpath-exception", "linking", 7, 0.9, r"linking this library statically or dynamically with other modules is making a combined work based on this library"),
+    ("gcc-exception", "runtime", 7, 0.9, r"gcc runtime library exception"),
+    ("linking-exception", "exception", 6, 0.8, r"as a special exception .{1,120}? gives? permission to link"),
+    ("font-exception", "font", 6, 0.85, r"as a special exception if you create a document which uses this font"),
+    ("autoconf-exception", "configure", 6, 0.85, r"as a special exception .{1,80}? configure script"),
+    ("bison-exception", "bison", 6, 0.85, r"as a special exception .{1,80}? bison parser skeleton"),
+    ("mpl-1.1", "mozilla", 6, 0.9, r"the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-2.0", "incompatible", 6, 0.85, r"this source code form is incompatible with secondary licenses as defined by the mozilla public license"),
+    ("mpl-tri", "alternatively", 6, 0.85, r"alternatively the contents of this file may be used under the terms of either the gnu general public license"),
+    ("epl-1.0", "eclipse", 6, 0.9, r"are made available under the terms of the eclipse public license v1 0"),
+    ("epl-2.0", "eclipse", 6, 0.9, r"are made available under the terms of the eclipse public license 2 0"),
+    ("cddl-1.0", "distribution", 6, 0.9, r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("eupl", "union", 6, 0.9, r"licensed under the eupl (?:.{1,80}? )?european union"),
+    ("osl-3.0", "open", 6, 0.85, r"licensed under the open software license version 3 0"),
+    ("ms-pl", "microsoft", 6, 0.9, r"this license governs use of the accompanying software (?:.{1,200}? )?microsoft public license"),
+    ("artistic-1.0", "artistic", 6, 0.85, r"the intent of this document is to state the conditions under which a package may be copied (?:.{1,200}? )?artistic"),
+    ("artistic-2.0", "package", 6, 0.85, r"this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed"),
+    ("perl", "perl", 6, 0.9, r"(?:you can redistribute it and or modify it|may be used and distributed) under the same terms as perl(?: 5)?(?: itself)?"),
+    ("python-2.0", "psf", 6, 0.9, r"psf license agreement for python"),
+    ("python-2.0", "beopen", 6, 0.85, r"beopen com license agreement for python"),
+    ("openssl", "openssl", 6, 0.9, r"this product includes software developed by the openssl project"),
+    ("ssleay", "cryptographic", 6, 0.9, r"this product includes cryptographic software written by eric young"),
+    ("php-3.01", "php", 6, 0.85, r"this product includes php software freely available from"),
+    ("w3c", "w3c", 6, 0.85, r"w3c software (?:and document )?notice and license"),
+    ("unicode", "unicode", 6, 0.85, r"unicode (?:inc )?license agreement data files and software"),
+    ("ofl-1.1", "font", 6, 0.9, r"this font software is licensed under the sil open font license"),
+    ("ofl-1.1", "reserved", 5, 0.75, r"with reserved font names?"),
+    ("gfdl", "invariant", 6, 0.85, r"with no invariant sections no front cover texts and no back cover texts"),
+    # disclaimers and notices, which many licenses share
+    ("bsd", "copyright", 5, 0.8, r"redistributions of source code must retain the above copyright notice"),
+    ("bsd", "binary", 5, 0.8, r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", "regents", 5, 0.8, r"this software is provided by the (?:regents|regents of the university) and contributors"),
+    ("bsd", "holders", 4, 0.7, r"this software is provided by the copyright holders and contributors as is"),
+    ("bsd-3-clause", "endorse", 5, 0.85, r"may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-4-clause", "acknowledgement", 5, 0.85, r"must display the following acknowledgement this product includes software developed by"),
+    ("bsd-patent", "patent", 6, 0.85, r"each copyright holder and contributor hereby grants (?:.{1,120}? )?patent license"),
+    ("mit", "noninfringement", 3, 0.5, r"fitness for a particular purpose and noninfringement"),
+    # terms that restrict
+    ("cc-by", "attribution", 4, 0.6, r"you must give appropriate credit provide a link to the license and indicate if changes were made (?:.{1,200}? )?attribution"),
+    ("cc-by-nc", "noncommercial", 4, 0.7, r"you may not use the material for commercial purposes (?:.{1,200}? )?noncommercial"),
+    ("cc-by-nd", "derivatives", 4, 0.7, r"if you remix transform or build upon the material you may not distribute the modified material (?:.{1,200}? )?derivatives"),
+    ("bsl-1.1", "licensor", 6, 0.85, r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use"),
+    ("sspl-1.0", "service", 6, 0.85, r"making the functionality of the program or a modified version available to third parties as a service"),
+    ("elastic-2.0", "hosted", 6, 0.85, r"you may not provide the software to third parties as a hosted or managed service"),
+    ("commons-clause", "sell", 6, 0.85, r"the grant of rights under the license will not include and the license does not grant to you the right to sell the software"),
+    ("polyform", "polyform", 6, 0.85, r"polyform (?:noncommercial|small business|shield|strict|perimeter) license"),
+    ("responsible-ai", "restrictions", 5, 0.75, r"use based restrictions as referenced in paragraph 5"),
+    ("proprietary", "unauthorized", 3, 0.7, r"unauthorized copying of this file via any medium is strictly prohibited"),
+    ("proprietary", "trade", 3, 0.7, r"contains (?:confidential information and )?trade secrets of"),
+    ("proprietary", "evaluation", 3, 0.6, r"for evaluation purposes only"),
+    ("proprietary", "reverse", 3, 0.6, r"you may not reverse engineer decompile or disassemble"),
+    ("proprietary", "eula", 3, 0.6, r"end user licen[cs]e agreement eula"),
+    ("proprietary", "permission", 2, 0.5, r"may not be (?:reproduced|copied|distributed) without (?:the )?(?:prior )?(?:express )?written permission"),
+    ("non-commercial", "commercial", 2, 0.5, r"for non commercial use only"),
+    ("academic", "research", 2, 0.5, r"for (?:academic|educational) and research purposes only"),
     ("public-domain", "domain", 2, 0.6, r"(?:released|placed|dedicated|is) (?:in ?to|in|to) the public domain"),
     ("proprietary", "reserved", 1, 0.4, r"all rights reserved"),
     ("proprietary", "confidential", 2, 0.6, r"proprietary and confidential"),
