@@ -309,35 +309,46 @@ def _cosine(index: Index, asked: DataFrame) -> _Method:
     return _Method("dim", weights, F.col("max_share"), lambda tf, size, norm: tf / norm)
 
 
+def _places(keys: Iterable, values: Iterable) -> dict[object, np.ndarray]:
+    out: dict[object, list] = {}
+    for k, v in zip(keys, values):
+        out.setdefault(k, []).append(v)
+    return {k: np.array(v) for k, v in out.items()}
+
+
 def _scored(index: Index, needed: DataFrame, method: _Method, blocks: DataFrame, n_blocks: int, k: int) -> DataFrame:
-    """The ``k`` best chunks of each (query_id, shard) of ``needed``."""
+    """The ``k`` best chunks of each (query_id, shard) of ``needed``. What the queries of a block of
+    queries ask of a shard meets the blocks they need of it, each once, in one task."""
+    on, gain = method.on, method.gain
     group = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int")
-    wanted = needed.join(method.weights, "query_id").groupBy(group.alias("block"), "shard", method.on)
-    wanted = wanted.agg(F.collect_list(F.struct("query_id", "weight", "own")).alias("asked"))
-
-    gain = method.gain
-
-    def score(rows: pa.Table) -> pa.Table:
-        asked = rows.column("asked").combine_chunks()
-        flat = asked.flatten()
-        queries, query = np.unique(flat.field("query_id").to_numpy(zero_copy_only=False), return_inverse=True)
-        weight, own = flat.field("weight").to_numpy(zero_copy_only=False), flat.field("own").to_pylist()
-        starts = np.concatenate([[0], np.cumsum(asked.value_lengths().to_numpy(zero_copy_only=False))])
-        ids = [x.values.to_numpy(zero_copy_only=False) for x in rows.column("ids")]
-        names, of = np.unique(np.concatenate(ids), return_inverse=True)
-        ends = np.cumsum([len(x) for x in ids])
-        total, said = np.zeros((len(queries), len(names))), np.zeros((len(queries), len(names)), bool)
-        for i, (term, end) in enumerate(zip(rows.column("term").to_pylist(), ends)):
-            place = of[end - len(ids[i]) : end]
-            tf, size, norm = (rows.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("tfs", "lengths", "norms"))
-            at = slice(starts[i], starts[i + 1])
-            cells = np.ix_(query[at], place)
-            total[cells] += weight[at, None] * gain(tf, size, norm)[None, :]
-            said[cells] |= np.array([term in x for x in own[at]])[:, None]
-        return pa.Table.from_batches([best_of(queries, names, np.where(said, total, 0.0), k)])
-
-    held = blocks.select("term", "dim", "shard", "ids", "tfs", "lengths", "norms").join(wanted, ["shard", method.on])
-    return held.groupBy("block", "shard").applyInArrow(score, "query_id long, chunk_id long, score double")
+    asked = needed.join(method.weights, "query_id").select(group.alias("part"), "shard", "query_id", F.col(on).cast("string").alias("key"), "weight", "own")
+    keys = asked.select("part", "shard", F.col("key").cast(blocks.schema[on].dataType).alias(on)).distinct()
+    held = blocks.select("term", "dim", "shard", "ids", "tfs", "lengths", "norms").join(keys, ["shard", on]).withColumn("key", F.col(on).cast("string"))
+    held = held.select(F.col("part").alias("_part"), F.col("shard").alias("_shard"), "key", "term", "ids", "tfs", "lengths", "norms")
+
+    def score(wanted: pa.Table, rows: pa.Table) -> pa.Table:
+        if not (wanted.num_rows and rows.num_rows):
+            return pa.Table.from_batches([], pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())]))
+        queries, query = np.unique(wanted.column("query_id").to_numpy(), return_inverse=True)
+        names = wanted.column("key").to_pylist()
+        who, weight = _places(names, query), _places(names, wanted.column("weight").to_pylist())
+        own = wanted.column("own").to_pylist()
+        said = _places((t for terms in own for t in terms), (q for q, terms in zip(query, own) for _ in terms))
+        lists = rows.column("ids").combine_chunks()
+        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+        chunks, of = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        gains = gain(*(rows.column(c).combine_chunks().flatten().to_numpy() for c in ("tfs", "lengths", "norms")))
+        total, met = np.zeros((len(queries), len(chunks))), np.zeros((len(queries), len(chunks)), bool)
+        start = 0
+        for key, term, end in zip(rows.column("key").to_pylist(), rows.column("term").to_pylist(), ends.tolist()):
+            place = of[start:end]
+            total[who[key][:, None], place] += weight[key][:, None] * gains[start:end]
+            if term in said:
+                met[said[term][:, None], place] = True
+            start = end
+        return pa.Table.from_batches([best_of(queries, chunks, np.where(met, total, 0.0), k)])
+
+    return asked.groupBy("part", "shard").cogroup(held.groupBy("_part", "_shard")).applyInArrow(score, "query_id long, chunk_id long, score double")
 
 
 def search(index: Index, queries: DataFrame, terms: Terms, k: int, method: str = "bm25", corpora: Sequence[str] | None = None, probe: int = PROBE, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -348,13 +359,18 @@ def search(index: Index, queries: DataFrame, terms: Terms, k: int, method: str =
     spark = index.spark
     each = queries.select(F.col("query_id").cast("long").alias("query_id"), F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("n"))
     asked = written(each.withColumn("dim", bucket(F.col("term"), index.dimensions)), "index-asked")
-    buckets = [r["b"] for r in asked.select(index.bucket_of(F.col("dim")).alias("b")).distinct().collect()]
-    n_blocks = max(1, -(-asked.agg(F.count_distinct("query_id")).first()[0] // QUERY_BLOCK))
+    said = asked.agg(F.collect_set(index.bucket_of(F.col("dim"))).alias("buckets"), F.count_distinct("query_id").alias("n")).first()
+    buckets, n_blocks = said["buckets"], max(1, -(-said["n"] // QUERY_BLOCK))
     blocks = index.postings(corpora, buckets)
     heads = blocks.select("term", "dim", "shard", "n", "max_tf", "min_length", "max_share")
     way = _bm25(index, asked, heads, corpora, k1, b) if method == "bm25" else _cosine(index, asked)
     weights = written(way.weights, "index-weights")
     way = replace(way, weights=weights)
+    if index.shards <= 2 * probe:  # bounds would spare nothing
+        every = weights.select("query_id").distinct().select("query_id", F.explode(F.sequence(F.lit(0), F.lit(index.shards - 1))).alias("shard"))
+        out = written(ranked(_scored(index, every, way, blocks, n_blocks, k), k), "index-ranking")
+        removed(asked, weights)
+        return out
     most = heads.join(weights, way.on).groupBy("query_id", "shard").agg(F.sum(F.col("weight") * way.bound).alias("bound"))
     order = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "shard")
     bounds = written(most.withColumn("nth", F.row_number().over(order)), "index-bounds")
