@@ -64,24 +64,25 @@ def with_chunks(df: DataFrame, text: str, out: str = "chunks", target: int = 700
     if not 0 < overlap < least <= target <= most:
         raise ValueError("sizes must be 0 < overlap < least <= target <= most")
 
-    @F.arrow_udf("struct<spans: array<struct<first: int, size: int>>, rest: int>")
-    def spans(column: pa.Array) -> pa.Array:
-        made = [text_spans(x.values.to_numpy(zero_copy_only=False), target, most, overlap) for x in column]
-        rows = [{"spans": [{"first": s + 1, "size": e - s} for s, e in found], "rest": rest + 1} for found, rest in made]
-        return pa.array(rows, pa.struct([("spans", pa.list_(pa.struct([("first", pa.int32()), ("size", pa.int32())]))), ("rest", pa.int32())]))
-
-    # a column each, so that nothing is evaluated once per chunk
-    own, found, full, rest = fresh(df, "_units", "_spans", "_full", "_rest")
-    df = df.withColumn(own, units(F.col(text), most)).withColumn(found, spans(F.transform(own, F.length)))
-    df = df.withColumns({
-        full: F.transform(F.col(found)["spans"], lambda x: F.array_join(F.slice(own, x["first"], x["size"]), "\n")),
-        rest: F.array_join(F.slice(own, F.col(found)["rest"], F.greatest(F.size(own), F.lit(1))), "\n"),
-    })
+    kind = pa.struct([("full", pa.list_(pa.string())), ("rest", pa.string())])
+
+    @F.arrow_udf("struct<full: array<string>, rest: string>")
+    def joined(column: pa.Array) -> pa.Array:
+        rows = []
+        for x in column:
+            own = x.as_py()
+            found, rest = text_spans(np.array([len(u) for u in own], np.int64), target, most, overlap)
+            rows.append({"full": ["\n".join(own[s:e]) for s, e in found], "rest": "\n".join(own[rest:])})
+        return pa.array(rows, kind)
+
+    made, full, rest = fresh(df, "_made", "_full", "_rest")
+    df = df.withColumn(made, joined(units(F.col(text), most)))
+    df = df.withColumns({full: F.col(made)["full"], rest: F.col(made)["rest"]})
     last = F.try_element_at(F.col(full), F.lit(-1))
     both, more = F.concat_ws("\n", last, rest), F.array_append(full, F.col(rest))
     short = F.when(F.length(both) <= most, F.array_append(F.slice(full, F.lit(1), F.size(full) - 1), both)).when(last.contains(F.col(rest)), F.col(full)).otherwise(more)
     settled = F.when(F.col(rest) == "", F.col(full)).when(F.size(full) == 0, more).when(F.length(rest) < least, short).when(last == F.col(rest), F.col(full)).otherwise(more)
-    return df.withColumn(out, F.array_distinct(settled)).drop(*{own, found, full, rest} - {out})
+    return df.withColumn(out, F.array_distinct(settled)).drop(made, full, rest)
 
 
 def chunk_documents(docs: DataFrame, key: str, text: str, **sizes: int) -> DataFrame:
