@@ -285,3 +285,13 @@ def test_signatures_of_short_and_missing_texts(spark):
     got = {r.k: r.g for r in spark.createDataFrame(rows, "k int, t string").select("k", graph.shingle_signature(F.col("t"), size=2).alias("g")).collect()}
     of = lambda *runs: sorted(sha256(x.encode()).hexdigest()[:16] for x in runs)[:2]
     assert got == {1: of("abcde", "bcdef", "cdefg"), 2: of("xy"), 3: of(""), 4: [], 5: of("aaaaa")}
+
+
+def test_common_hashes_make_no_rows_of_pairs(spark):
+    """Signatures with one half in common that is too small, so that every two would be compared."""
+    common = [f"c{i}" for i in range(20)]
+    rows = [(i, sorted([*common, *(f"o{i}-{j}" for j in range(44))])) for i in range(600)] + [(600, sorted(common[:8])), (601, sorted(["x", "y"])), (602, ["x"]), (603, [])]
+    made = graph.near_duplicates(spark.createDataFrame(rows, "k int, signature array<string>"), "k")
+    got = {(r.a, r.b): r.similarity for r in made.collect()}
+    assert got == {(i, 600): 1.0 for i in range(600)} | {(601, 602): 1.0}
+    assert "Join" not in made._jdf.queryExecution().analyzed().toString().split("FlatMapCoGroupsInArrow", 1)[1]
