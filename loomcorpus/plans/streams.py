@@ -26,7 +26,8 @@ def drained(spark, df: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def stream_of(spark, d, name):
-    return spark.readStream.schema(table(spark, d, name).schema).option("pathGlobFilter", f"{name}*").parquet(f"{d}/{name}*")
+    """A table as a stream, be it one file or a folder of them: a pattern, which has that name alone."""
+    return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
 
 
 @query("""WITH t AS (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reply FROM conversations WHERE role <> 'system'), u AS (SELECT * FROM t WHERE role = 'user'),

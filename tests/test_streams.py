@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+from loomcorpus.plans import streams
 from loomcorpus.streaming import jobs
 
 SCHEMA = "key string, seq long, text string, reply string, at timestamp"
@@ -51,3 +52,12 @@ def test_expired_keys_leave(spark, tmp_path):
     scores = {(r.key, r.seq): (r.score, r.revision) for r in rows}
     assert scores["old", 0] == (23, 1) and scores["old", 1] == (21, 1)  # begun anew
     assert scores["kept", 3][1] > 1
+
+
+def test_a_table_in_many_files_is_read_whole(spark, tmp_path):
+    at = f"file://{tmp_path}"
+    spark.createDataFrame([(i, f"text {i % 3}") for i in range(9)], "doc_id long, text string").repartition(3).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(i % 2, i // 2, "user", "x") for i in range(12)], "conv_id long, turn long, role string, text string").repartition(4).write.parquet(f"{at}/conversations.parquet")
+    spark.createDataFrame([(1, "other")], "doc_id long, text string").write.parquet(f"{at}/documents.parquet_old")
+    assert streams.x2_stream_dedup(spark, at).count() == 3
+    assert sorted(streams.x4_stream_turn_trigger(spark, at).collect()) == [("0", 2), ("0", 5), ("1", 2), ("1", 5)]
