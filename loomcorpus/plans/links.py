@@ -37,8 +37,9 @@ def duplicates_of(spark, d):
     return links.title_duplicates(left, right.filter("title <> ''"))
 
 
+#: A reference counts without its semicolon too, as HTML reads it: titles are cut anywhere.
 _READ = r"""pg AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/([0-9]{4,})', 1) AS number,
-  replace(replace(replace(replace(replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&') AS title, regexp_extract_all(html, '<a href="([^"]+)"', 1) AS hrefs, regexp_extract_all(html, '<a href="[^"]+">([^<]*)</a>', 1) AS labels FROM pages)"""
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#x27;?', '''', 'g'), '&amp;?', '&', 'g') AS title, regexp_extract_all(html, '<a href="([^"]+)"', 1) AS hrefs, regexp_extract_all(html, '<a href="[^"]+">([^<]*)</a>', 1) AS labels FROM pages)"""
 _SIG = r"""list_sort(list_distinct(list_transform(list_transform(range(1, greatest(2, length({p}) - 3)), lambda i: substr({p}, i::BIGINT, 5)), lambda x: substr(sha256(x), 1, 16))))[1:64]"""
 _DUPLICATES = (
     "WITH " + _READ + ", lt AS (SELECT page_id AS id, lower(regexp_replace(title, '[^\\p{L}0-9]+', '', 'g')) AS title, number, " + _SIG.format(p="p")
