@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of one worker's cache of parts, and characters beyond which a part isn't kept there.
-CACHE, LONGEST = 800_000, 256
+CACHE, LONGEST = 400_000, 256
 #: Characters from which a text's parts are taken in blocks, and parts of a block.
 LONG, BLOCK = 1 << 20, 100_000
 
@@ -177,6 +177,21 @@ def decoded(ids: Column, path: str, pattern: str) -> Column:
     return _binary("decode", path, pattern)(ids)
 
 
+def encoded_and_decoded(text: Column, path: str, pattern: str) -> Column:
+    """A struct of ``ids`` as ``encoded`` makes them and the ``bytes`` that ``decoded`` makes of those.
+    One worker does both, so a task holds one vocabulary and the ids don't travel between two."""
+
+    @F.arrow_udf("ids binary, bytes binary")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        v = vocabulary(path, pattern)
+        for column in batches:
+            ids = pa.array((v.encode(x.as_py()) for x in column), pa.binary(), size=len(column))
+            back = pa.array((v.decode(x.as_py()) for x in ids), pa.binary(), size=len(column))
+            yield pa.StructArray.from_arrays([ids, back], ["ids", "bytes"])
+
+    return run(text)
+
+
 def multilingual() -> tuple[str, str]:
     """The file and pattern of the public vocabulary for many languages."""
     import public_tokenizers
@@ -186,9 +201,8 @@ def multilingual() -> tuple[str, str]:
 
 def op11_bitmap_bpe(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    ids = docs.select("doc_id", encoded(F.col("text"), *multilingual()).alias("ids"))
-    both = ids.withColumn("bytes", decoded(F.col("ids"), *multilingual()))
+    both = docs.select("doc_id", encoded_and_decoded(F.col("text"), *multilingual()).alias("both"))
     return both.select(
-        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"),
+        "doc_id", (F.octet_length("both.ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("both.ids", 256).alias("ids_sha256"), F.sha2("both.bytes", 256).alias("decoded_sha256"),
     )

@@ -106,3 +106,14 @@ def test_query(spark, library):
         assert r.n_tokens == len(want)
         assert r.ids_sha256 == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_one_worker_encodes_and_decodes(spark, library):
+    """The query holds one vocabulary a task, not one for each way."""
+    plan = bpe.op11_bitmap_bpe(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    texts = [None, "", "one one", "ü" * 30_000, "<|endoftext|>"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in df.select("doc_id", bpe.encoded_and_decoded(F.col("text"), PATH, PATTERN).alias("b")).collect():
+        text = texts[r.doc_id] or ""
+        assert ids(r.b.ids) == library.encode_ordinary(text) and bytes(r.b.bytes) == text.encode()
