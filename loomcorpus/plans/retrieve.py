@@ -77,8 +77,14 @@ fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY source = '
 _RANK = "SELECT query_id, chunk_id, round(score, 8) AS score, rank FROM {} WHERE rank <= {}"
 
 
+def places(c, n):
+    """A positive number to ``n`` places as SQL rounds it: the whole number nearest to the product with
+    10 to the n. Decimal digits that end in 5 may be rounded to the other side by F.round."""
+    return F.floor(c * 10.0**n + 0.5) / 10.0**n
+
+
 def _shown(df):
-    return df.select("query_id", "chunk_id", F.round("score", 8).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return df.select("query_id", "chunk_id", places(F.col("score"), 8).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(_BASE + _RANK.format("bmr", 5))
