@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of one worker's cache of parts, and characters beyond which a part isn't kept there.
-CACHE, LONGEST = 400_000, 256
+CACHE, LONGEST = 800_000, 256
 #: Characters from which a text's parts are taken in blocks, and parts of a block.
 LONG, BLOCK = 1 << 20, 100_000
 
@@ -50,18 +50,22 @@ def merged(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]
     n = len(piece)
     # where the symbol at a place ends, and where the one before it starts
     after, before = list(range(1, n + 1)), list(range(-1, n))
-    # the rank of the pair that starts at a place, if a symbol starts there and a token is its pair
+    # the rank of the pair that starts at a place, if a symbol starts there and a token is its pair,
+    # how many pairs have one, and the ranks whose buckets were filled
     due = [rank_of(piece[i : i + 2], -1) for i in range(n - 1)]
     due.append(-1)
+    live, met = 0, []
     for i, rank in enumerate(due):
         if rank >= 0:
+            live += 1
             bucket = buckets[rank]
             if not bucket:
                 at = rank >> shift
                 words[at] |= bits[rank & low]
                 top |= 1 << at
+                met.append(rank)
             bucket.append(i)
-    while top:
+    while live:
         at = (top & -top).bit_length() - 1
         word = words[at]
         rank = (at << shift) + (word & -word).bit_length() - 1
@@ -75,23 +79,37 @@ def merged(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]
             continue  # stale
         gone = after[i]
         past = after[i] = after[gone]
-        due[gone] = due[i] = -1
         left = before[i]
-        changed = []
+        live -= 1 + (due[gone] >= 0)
+        due[gone] = due[i] = -1
         if past < n:
             before[past] = i
-            changed.append((i, rank_of(piece[i : after[past]], -1)))
+            due[i] = rank = rank_of(piece[i : after[past]], -1)
+            if rank >= 0:
+                live += 1
+                bucket = buckets[rank]
+                if not bucket:
+                    at = rank >> shift
+                    words[at] |= bits[rank & low]
+                    top |= 1 << at
+                    met.append(rank)
+                heappush(bucket, i)
         if left >= 0:
-            changed.append((left, rank_of(piece[left:past], -1)))
-        for place, rank in changed:
-            due[place] = rank
+            live -= due[left] >= 0
+            due[left] = rank = rank_of(piece[left:past], -1)
             if rank >= 0:
+                live += 1
                 bucket = buckets[rank]
                 if not bucket:
                     at = rank >> shift
                     words[at] |= bits[rank & low]
                     top |= 1 << at
-                heappush(bucket, place)
+                    met.append(rank)
+                heappush(bucket, left)
+    if top:  # only stale entries are left
+        for rank in met:
+            buckets[rank].clear()
+            words[rank >> shift] = 0
     out, i = [], 0
     while i < n:
         past = after[i]
@@ -129,7 +147,8 @@ class Vocabulary:
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
         if any(bytes([b]) not in self.ranks for b in range(256)):
             raise ValueError(f"{path} lacks a byte")
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
+        tokens = {rank: token for token, rank in self.ranks.items()}
+        self.tokens = pa.array([tokens.get(i) for i in range(max(tokens) + 1)], pa.binary())
         self.pattern = regex.compile(pattern)
         self.parts = _Parts(self.ranks)
 
@@ -145,7 +164,16 @@ class Vocabulary:
 
     def decode(self, ids: bytes | None) -> bytes | None:
         """The bytes that ids stand for. An id that isn't in the vocabulary is an error."""
-        return None if ids is None else b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        if not ids:
+            return ids
+        numbers = np.frombuffer(ids, "<u4")
+        if numbers.max() >= len(self.tokens):
+            raise KeyError(int(numbers.max()))
+        found = self.tokens.take(pa.array(numbers))
+        if found.null_count:
+            raise KeyError(int(numbers[found.is_null().to_numpy(zero_copy_only=False)][0]))
+        _, ends, data = found.buffers()
+        return data[: int(np.frombuffer(ends, np.int32)[len(found)])].to_pybytes()
 
 
 @lru_cache(2)

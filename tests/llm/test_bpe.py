@@ -86,6 +86,21 @@ def test_unknown_ids_are_an_error(vocabulary):
         vocabulary.decode(np.array([60_000], "<u4").tobytes())
 
 
+def test_what_is_stale_at_the_end_is_not_popped(vocabulary, library, monkeypatch):
+    """A part ends with its last pair, and a gap among the ids is an error too."""
+    pops, own = [], bpe.heappop
+    monkeypatch.setattr(bpe, "heappop", lambda bucket: pops.append(1) or own(bucket))
+    for word in ("anblewhsttible", "hentharesh", "thndatintionston", "oftionntenti"):
+        queue = bpe.RankQueue(len(vocabulary.ranks))
+        found = bpe.merged(word.encode(), vocabulary.ranks, queue)
+        assert found == library.encode_ordinary(word) and not any(queue.words) and not any(queue.buckets)
+    assert len(pops) < 72  # as many pairs as were put there
+    few = bpe.Vocabulary(PATH, PATTERN)
+    few.tokens = few.tokens.slice(0, 300).take(bpe.pa.array([0, None, 2], bpe.pa.int64()))
+    with pytest.raises(KeyError):
+        few.decode(np.array([0, 1], "<u4").tobytes())
+
+
 def test_columns_with_odd_rows(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "one one", "x"), (3, "one one", "y"), (None, "ü" * 30_000, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
