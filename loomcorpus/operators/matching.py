@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from ..sources.shared import written
 
 #: Bytes of the terms of one reading, bytes of text that are looked through at once, bits of the table.
-LOT, SLICE, BITS = 16 << 20, 8 << 20, 22
+LOT, SLICE, BITS = 16 << 20, 1 << 19, 22
 _EDGE = re.compile(r"[一-鿿A-Za-z0-9]")
 
 
