@@ -15,6 +15,8 @@ from ..functions.urls import stable_id
 from .folds import Rule, folded
 from .ordered import fresh
 
+#: Rows of a batch that are taken apart at once.
+ROWS = 128
 _ENDS, _SOFT = "。！？!?；;.", "。！？；，.,;"
 _LINES = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 _WHOLE = r"^(?:#|- |\* |• )"
@@ -68,12 +70,15 @@ def with_chunks(df: DataFrame, text: str, out: str = "chunks", target: int = 700
 
     @F.arrow_udf("struct<full: array<string>, rest: string>")
     def joined(column: pa.Array) -> pa.Array:
-        rows = []
-        for x in column:
-            own = x.as_py()
-            found, rest = text_spans(np.array([len(u) for u in own], np.int64), target, most, overlap)
-            rows.append({"full": ["\n".join(own[s:e]) for s, e in found], "rest": "\n".join(own[rest:])})
-        return pa.array(rows, kind)
+        made = [pa.array([], kind)]
+        for at in range(0, len(column), ROWS):  # as Python's strings, a few rows are held at once
+            rows = []
+            for x in column.slice(at, ROWS):
+                own = x.as_py()
+                found, rest = text_spans(np.array([len(u) for u in own], np.int64), target, most, overlap)
+                rows.append({"full": ["\n".join(own[s:e]) for s, e in found], "rest": "\n".join(own[rest:])})
+            made.append(pa.array(rows, kind))
+        return pa.concat_arrays(made)
 
     made, full, rest = fresh(df, "_made", "_full", "_rest")
     df = df.withColumn(made, joined(units(F.col(text), most)))
