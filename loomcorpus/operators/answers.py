@@ -116,8 +116,10 @@ def answer(
     """
     ranking, methods = ranked_by_route(queries, chunks, terms, recipe, index, rank)
     asked = queries.select("query_id", "route", F.array_distinct(terms(F.col("text"))).alias("_words"))
-    about = chunks.select("chunk_id", "corpus", "document", "url", "tier", "title", safe_excerpt(F.col("text"), recipe.unsafe, recipe.excerpt).alias("excerpt"))
-    held = ranking.join(about, "chunk_id").join(asked, "query_id")
+    about = chunks.select("chunk_id", "corpus", "document", "url", "tier", "title", "text")
+    # excerpts of the chunks that were found, not of all
+    found = ranking.join(about, "chunk_id").withColumn("excerpt", safe_excerpt(F.col("text"), recipe.unsafe, recipe.excerpt)).drop("text")
+    held = found.join(asked, "query_id")
     first = reduce(lambda a, x: a | ((F.col("route") == x[0]) & (F.col("corpus") == x[1][0])), [p for p in recipe.pools.items() if p[1]], F.lit(False))
     first = first & F.col("fused")
     held = held.withColumn("score", F.round(F.col("score") + F.when(first, recipe.bonus).otherwise(0.0), 10))

@@ -206,7 +206,8 @@ def hashed_vectors(rows: DataFrame, key: str, terms: Column, dimensions: int = 2
 
 def buckets_of(names: pa.Array, dimensions: int) -> np.ndarray:
     """``bucket`` of each name."""
-    return np.array([int.from_bytes(sha256(x.encode()).digest()[:4], "big") % dimensions for x in names.to_pylist()], np.int64)
+    heads = b"".join([sha256(x).digest()[:4] for x in names.cast(pa.binary()).to_pylist()])
+    return np.frombuffer(heads, ">u4").astype(np.int64) % dimensions
 
 
 def unit_counts(row: np.ndarray, n: np.ndarray, rows: int) -> np.ndarray:
