@@ -198,10 +198,49 @@ def bucket(term: Column, dimensions: int) -> Column:
 
 
 def hashed_vectors(rows: DataFrame, key: str, terms: Column, dimensions: int = 2048) -> DataFrame:
-    """(key, bucket, weight): counts of hashed terms at unit length."""
-    each = rows.select(key, F.explode(terms).alias("_t")).groupBy(key, bucket(F.col("_t"), dimensions).alias("bucket")).count()
-    norm = each.groupBy(key).agg(F.sqrt(F.sum(F.col("count") * F.col("count"))).alias("_n"))
-    return each.join(norm, key).select(key, "bucket", (F.col("count") / F.col("_n")).alias("weight"))
+    """(key, bucket, weight): counts of hashed terms at unit length. Each row is counted where it is read
+    and moved as one value; rows that share a key count as one."""
+    kind = f"{key} {rows.schema[key].dataType.simpleString()}"
+    pair = np.dtype([("bucket", "<i4"), ("n", "<i4")])
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in it:
+            for at in range(0, whole.num_rows, 4 * BATCH):
+                b = whole.slice(at, 4 * BATCH)
+                tokens = Tokens.of(b.column("_t"))
+                row, bucket, n = tokens.counts(buckets_of(tokens.names, dimensions))
+                held = np.empty(len(row), pair)
+                held["bucket"], held["n"] = bucket, n
+                ends = np.searchsorted(row, np.arange(b.num_rows + 1)) * pair.itemsize
+                pairs = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(held.tobytes())])
+                yield pa.RecordBatch.from_arrays([b.column(key), pairs], [key, "pairs"])
+
+    def weigh(b: pa.Table) -> Iterator[pa.RecordBatch]:
+        name = b.column(key).combine_chunks()
+        other = np.append(True, pc.not_equal(name[1:], name[:-1]).to_numpy(zero_copy_only=False))
+        sizes = pc.binary_length(b.column("pairs")).to_numpy() // pair.itemsize
+        held = np.frombuffer(b"".join(b.column("pairs").to_pylist()), pair)
+        of = np.repeat(np.cumsum(other) - 1, sizes)
+        cells, at = np.unique(of * dimensions + held["bucket"], return_inverse=True)
+        of, n = cells // dimensions, np.bincount(at, weights=held["n"])
+        yield pa.RecordBatch.from_arrays([name.filter(pa.array(other)).take(pa.array(of)), pa.array(cells % dimensions, pa.int32()), pa.array(unit_counts(of, n, int(other.sum())))], [key, "bucket", "weight"])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the rows of a batch's last key, which the next may have more of
+        for whole in it:
+            for at in range(0, whole.num_rows, BATCH):
+                b = pa.Table.from_batches([whole.slice(at, BATCH)])
+                b = b if held is None else pa.concat_tables([held, b]).combine_chunks()
+                name = b.column(key).combine_chunks()
+                last = pc.index(name, name[-1]).as_py()
+                if last:
+                    yield from weigh(b.slice(0, last))
+                held = b.slice(last)
+        if held is not None:
+            yield from weigh(held)
+
+    counted = rows.filter(F.col(key).isNotNull()).select(key, terms.alias("_t")).mapInArrow(count, f"{kind}, pairs binary")
+    return counted.repartition(key).sortWithinPartitions(key).mapInArrow(run, f"{kind}, bucket int, weight double")
 
 
 def buckets_of(names: pa.Array, dimensions: int) -> np.ndarray:

@@ -93,7 +93,8 @@ def segments_to_cues(records: DataFrame, key: str) -> DataFrame:
 def write_index(df: DataFrame, path: str, model: str, dimensions: int) -> None:
     """An index table and, beside it, its one-row manifest."""
     df.write.mode("overwrite").parquet(f"{path}/rows")
-    manifest = df.agg(F.lit(model).alias("model"), F.lit(dimensions).alias("dimensions"), F.count(F.lit(1)).alias("n"))
+    # counted as written: ``df`` isn't made twice
+    manifest = df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows").agg(F.lit(model).alias("model"), F.lit(dimensions).alias("dimensions"), F.count(F.lit(1)).alias("n"))
     manifest.write.mode("overwrite").parquet(f"{path}/manifest")
 
 

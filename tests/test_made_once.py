@@ -29,6 +29,35 @@ def test_a_build_takes_texts_apart_once(spark, tmp_path):
     assert {x.term: (x.df, x.tf) for x in I.term_stats(index).collect()}["same"] == (100, 200)
 
 
+def test_hashed_vectors_are_moved_once(spark):
+    """Rows that share a key count as one, wherever they lie; null keys and texts have no vector."""
+    rows = [(i % 40, f"w{i} w{i % 3} w{i % 3}") for i in range(100)] + [(None, "x"), (90, None), (91, "")]
+    found = r.hashed_vectors(spark.createDataFrame(rows, "k long, text string").repartition(5), "k", words(F.col("text")), 64)
+    assert plan_of(found).count("Exchange hashpartitioning") == 1
+    want = {}
+    for k, text in rows:
+        if k is not None and text:
+            t = text.split()
+            for term, d in zip(t, r.buckets_of(I.pa.array(t), 64)):
+                want.setdefault(k, Counter())[int(d)] += 1
+    got = {(x.k, x.bucket): x.weight for x in found.collect()}
+    norm = {k: sqrt(sum(n * n for n in c.values())) for k, c in want.items()}
+    assert set(got) == {(k, d) for k, c in want.items() for d in c}
+    assert all(abs(got[k, d] - n / norm[k]) < 1e-12 for k, c in want.items() for d, n in c.items())
+
+
+def test_an_index_is_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(it):
+        for b in it:
+            made.add(b.num_rows)
+            yield b
+
+    files.write_index(spark.range(10).mapInArrow(count, "id long"), f"file://{tmp_path}/x", "m", 1)
+    assert made.value == 10 and files.load_index(spark, f"file://{tmp_path}/x", "m", 1).count() == 10
+
+
 def test_excerpts_are_made_of_what_was_found(spark):
     chunks = spark.createDataFrame([(1, "one two", "c", "d", "u", "A", "one"), (2, "three", "c", "d", "u", "A", "three")], "chunk_id long, text string, corpus string, document string, url string, tier string, title string")
     asked = spark.createDataFrame([(7, "one", "x")], "query_id long, text string, route string")
