@@ -20,10 +20,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
 from .matching import term_matches
 
 #: Queries that one pass scores, and chunks that are scored at once.
 QUERY_BLOCK, BATCH = 1024, 512
+#: Queries and vectors of a block that meets others.
+DENSE_QUERIES, DENSE_BLOCK = 4096, 8192
 _BEST = "query_id long, chunk_id long, score double"
 
 
@@ -279,27 +282,45 @@ def unit_vector(v: Column) -> Column:
     """At length 1; null unless all numbers are finite and one isn't zero."""
     square = F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     finite = F.forall(v, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when(finite & (square > 0), F.transform(v, lambda x: x.cast("double") / F.sqrt(square)))
+    return F.when(finite, bound(square, lambda s: F.when(s > 0, F.transform(v, lambda x: x.cast("double") / F.sqrt(s)))))
 
 
-def dense_rank(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Cosine of ``queries`` (query_id, vector) and ``vectors`` (chunk_id, vector) of one size, whose
-    ids are whole numbers."""
-    held = vectors.select(F.col("chunk_id").cast("long").alias("chunk_id"), unit_vector(F.col("vector")).alias("v")).filter("v is not null")
-    asked = queries.select("query_id", unit_vector(F.col("vector")).alias("v")).filter("v is not null")
-    parts = []
-    for rows in batched(asked.toLocalIterator(), QUERY_BLOCK):
-        ids, matrix = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
+def _flat_vectors(rows: DataFrame, key: str) -> DataFrame:
+    """Unit vectors as binary values, which are moved as they are."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            v = b.column("v")
+            ends = np.append(0, np.cumsum(pc.list_value_length(v).to_numpy(zero_copy_only=False))).astype(np.int32) * 8
+            flat = v.flatten().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.Array.from_buffers(pa.binary(), len(v), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())])], [key, "v"])
 
-        def run(it: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            for b in it:
-                for at in range(0, b.num_rows, BATCH):
-                    part = b.slice(at, BATCH)
-                    flat = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                    yield best_of(ids, part.column("chunk_id").to_numpy(zero_copy_only=False), matrix @ flat.T, k)
+    return rows.select(F.col(key).cast("long").alias(key), unit_vector(F.col("vector")).alias("v")).filter("v is not null").mapInArrow(run, f"{key} long, v binary")
 
-        parts.append(held.mapInArrow(run, _BEST))
-    return ranked(_union(parts, queries), k)
+
+def dense_rank(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """Cosine of ``queries`` (query_id, vector) and ``vectors`` (chunk_id, vector) of one size, whose
+    ids are whole numbers. Every block of queries meets every block of vectors in a task, which sends
+    on the ``k`` best of each query: the work is queries times vectors, what a task holds is not."""
+    parts, blocks = (max(1, -(-t.count() // size)) for t, size in ((queries, DENSE_QUERIES), (vectors, DENSE_BLOCK)))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = _flat_vectors(queries, "query_id").select(own("query_id", parts).alias("part"), every(blocks).alias("block"), "query_id", "v")
+    held = _flat_vectors(vectors, "chunk_id").select(every(parts).alias("_part"), own("chunk_id", blocks).alias("_block"), "chunk_id", "v")
+    matrix = lambda t: np.frombuffer(b"".join(t.column("v").to_pylist()), np.float64).reshape(t.num_rows, -1)
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        best = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())])
+        if not (asked.num_rows and held.num_rows):
+            return pa.Table.from_batches([], best)
+        ids, names, wanted, given = asked.column("query_id").to_numpy(), held.column("chunk_id").to_numpy(), matrix(asked), matrix(held)
+        found = pa.Table.from_batches([best_of(ids, names[at : at + BATCH], wanted @ given[at : at + BATCH].T, k) for at in range(0, len(names), BATCH)])
+        query, chunk, score = (found.column(c).to_numpy() for c in best.names)
+        order = np.lexsort((chunk, -score, query))
+        query = query[order]
+        return found.take(pa.array(order[np.arange(len(query)) - np.searchsorted(query, query) < k]))
+
+    return ranked(asked.groupBy("part", "block").cogroup(held.groupBy("_part", "_block")).applyInArrow(run, _BEST), k)
 
 
 def rrf(rankings: Sequence[DataFrame], k: int, c: int = 60, preferred: Column | None = None, bonus: float = 0.002) -> DataFrame:

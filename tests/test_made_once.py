@@ -58,6 +58,24 @@ def test_an_index_is_made_once(spark, tmp_path):
     assert made.value == 10 and files.load_index(spark, f"file://{tmp_path}/x", "m", 1).count() == 10
 
 
+def test_dense_rank_is_one_join_whatever_the_queries(spark, monkeypatch):
+    monkeypatch.setattr(r, "QUERY_BLOCK", 3)
+    rows = [(i, [float((i * 7) % 5 - 2), float(i % 3), 1.0]) for i in range(30)] + [(50, [0.0, 0.0, 0.0]), (51, [float("nan"), 1.0, 1.0]), (52, None)]
+    held = spark.createDataFrame(rows, "chunk_id long, vector array<double>")
+    asked = held.filter("chunk_id % 2 = 0").withColumnRenamed("chunk_id", "query_id")
+    whole = r.dense_rank(asked, held, 4)
+    assert "Union" not in plan_of(whole)
+    unit = {i: [x / sqrt(sum(y * y for y in v)) for x in v] for i, v in rows[:30]}
+    want = set()
+    for q in range(0, 30, 2):
+        scores = sorted((-round(sum(x * y for x, y in zip(unit[q], v)), 10), i) for i, v in unit.items())
+        want |= {(q, i, n + 1) for n, (s, i) in enumerate(scores[:4]) if s < 0}
+    assert {(x.query_id, x.chunk_id, x["rank"]) for x in whole.collect()} == want
+    monkeypatch.setattr(r, "DENSE_QUERIES", 4)
+    monkeypatch.setattr(r, "DENSE_BLOCK", 7)
+    assert {(x.query_id, x.chunk_id, x["rank"]) for x in r.dense_rank(asked, held, 4).collect()} == want
+
+
 def test_excerpts_are_made_of_what_was_found(spark):
     chunks = spark.createDataFrame([(1, "one two", "c", "d", "u", "A", "one"), (2, "three", "c", "d", "u", "A", "three")], "chunk_id long, text string, corpus string, document string, url string, tier string, title string")
     asked = spark.createDataFrame([(7, "one", "x")], "query_id long, text string, route string")
