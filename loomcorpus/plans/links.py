@@ -9,6 +9,7 @@ from ..functions.rules import any_of
 from ..operators import graph, links
 from ..sources import html
 from ..sources.html import extract_html
+from ..sources.shared import written
 from .registry import query, table
 
 #: What a title keeps for comparison.
@@ -30,9 +31,10 @@ def _shingles(c):
     return graph.shingle_signature(c)
 
 
-def duplicates_of(spark, d):
-    left = read(spark, d).select(F.col("page_id").alias("id"), tidy(F.col("title")).alias("title"), "number", _shingles(F.col("title")).alias("signature"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("first"))
+def duplicates_of(spark, d, pages=None):
+    pages = written(read(spark, d).drop("links"), "pages-read") if pages is None else pages
+    left = pages.select(F.col("page_id").alias("id"), tidy(F.col("title")).alias("title"), "number", _shingles(F.col("title")).alias("signature"))
+    docs = written(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("first")), "first-lines")
     right = docs.select("id", tidy(F.col("first")).alias("title"), _shingles(F.col("first")).alias("signature"))
     return links.title_duplicates(left, right.filter("title <> ''"))
 
