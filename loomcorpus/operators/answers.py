@@ -178,8 +178,9 @@ def case_measures(results: DataFrame, cases: DataFrame, gold: DataFrame, safe_ur
 
 
 def run_measures(measured: DataFrame, run: str) -> DataFrame:
-    """One row of a run's measures: means over the cases with gold, percentages, and counts."""
-    percent = lambda c: F.round(100.0 * F.count_if(F.col(c)) / F.count(c), 3)
+    """One row of a run's measures: means over the cases with gold, percentages, and counts. A mean or
+    percentage over no case is null, as where every case has gold, or none."""
+    percent = lambda c: F.round(F.try_divide(100.0 * F.count_if(F.col(c)), F.count(c)), 3)
     mean = lambda c: F.round(F.avg(c), 6)
     return measured.groupBy(F.lit(run).alias("run")).agg(
         F.count(F.lit(1)).alias("cases"), *[mean(f"recall_{k}").alias(f"recall_{k}") for k in RANK_AT],
