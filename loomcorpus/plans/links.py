@@ -64,9 +64,9 @@ def j7_title_duplicates(spark, d):
 _ARCHIVE = ("the", "que")
 
 
-def tables(spark, d):
+def tables(spark, d, pages=None):
     """Navigation, outbound links and archives of the pages."""
-    pages = read(spark, d)
+    pages = read(spark, d) if pages is None else pages
     navigation = pages.select(F.col("page_id").alias("id"), "url", F.col("host").alias("group"), F.when(~F.col("url").contains("?"), F.col("page_id")).alias("place"))
     each = pages.select(F.col("url").alias("found_on"), F.explode(F.array_distinct("links.href")).alias("target"))
     archive = any_of(F.lower("target"), _ARCHIVE)
@@ -84,8 +84,10 @@ UNION ALL SELECT page_id::VARCHAR, 'PRECEDES', next::VARCHAR, 0.8 FROM od WHERE
 
 @query(_GRAPH + "SELECT DISTINCT 'source_edge_' || substr(sha256(concat_ws('|', source, relation, target)), 1, 20) AS edge_id, source, relation, target, confidence::DOUBLE AS confidence FROM ed")
 def c11_link_graph(spark, d):
-    """All seven kinds of edge; pages of a host follow one another, unless their address has a query."""
-    return links.link_graph("root", *tables(spark, d), duplicates_of(spark, d))
+    """All seven kinds of edge; pages of a host follow one another, unless their address has a query.
+    Pages are taken apart once, and the duplicates, which two kinds are made of, are written once."""
+    pages = written(read(spark, d), "pages-read")
+    return links.link_graph("root", *tables(spark, d, pages), written(duplicates_of(spark, d, pages), "duplicates"))
 
 
 @query(_GRAPH + "SELECT pg.page_id, f.id AS first, count(DISTINCT target) FILTER (NOT archive) AS outbound, count(DISTINCT target) FILTER (archive) AS archives, max(\"right\") AS duplicate FROM pg JOIN f USING (url) LEFT JOIN lk ON lk.id = f.id LEFT JOIN dup ON \"left\" = f.id GROUP BY ALL")
