@@ -92,12 +92,14 @@ def c11_link_graph(spark, d):
 
 @query(_GRAPH + "SELECT pg.page_id, f.id AS first, count(DISTINCT target) FILTER (NOT archive) AS outbound, count(DISTINCT target) FILTER (archive) AS archives, max(\"right\") AS duplicate FROM pg JOIN f USING (url) LEFT JOIN lk ON lk.id = f.id LEFT JOIN dup ON \"left\" = f.id GROUP BY ALL")
 def j15_link_joins(spark, d):
-    """Each page with the first page of its address, and how many links, archives and duplicates that has."""
-    navigation, outbound, archives = tables(spark, d)
+    """Each page with the first page of its address, and how many links, archives and duplicates that has.
+    Pages are taken apart once."""
+    pages = written(read(spark, d), "pages-read")
+    navigation, outbound, archives = tables(spark, d, pages)
     first = links.first_by(navigation, "url", "id").select(F.col("url").alias("found_on"), F.col("id").alias("first"))
     count = lambda df, name: df.groupBy("found_on").agg(F.count_distinct("target").alias(name))
     held = first.join(count(outbound, "outbound"), "found_on", "left").join(count(archives, "archives"), "found_on", "left").na.fill(0)
-    held = held.join(duplicates_of(spark, d).select(F.col("left").alias("first"), F.col("right").alias("duplicate")), "first", "left")
+    held = held.join(duplicates_of(spark, d, pages).select(F.col("left").alias("first"), F.col("right").alias("duplicate")), "first", "left")
     return navigation.join(held, F.col("url") == F.col("found_on")).select(F.col("id").alias("page_id"), "first", "outbound", "archives", "duplicate")
 
 
